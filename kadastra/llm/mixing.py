@@ -25,6 +25,9 @@ from kadastra.llm.common import materialize, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No source is taken more often than this.
 MOST = 3.0
+#: A document of over one in this many words of its source is heavy: too few others could balance it. It is decided
+#: first, and the others' fractions make up for it. A source has fewer heavy documents than this.
+HEAVY = 400
 #: Documents of one bucket, about.
 BUCKET_ROWS = 256
 #: Sources whose totals the driver will hold; more are refused.
@@ -89,6 +92,16 @@ def land(sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
     return p
 
 
+def settle(sizes: np.ndarray, rate: float) -> np.ndarray:
+    """Copies of the heavy documents of a source, longest first: each takes up the words by which those before it missed."""
+    out, missed = np.zeros(len(sizes), np.int64), 0.0
+    for i in np.argsort(-sizes, kind="stable"):
+        missed += rate * sizes[i]
+        out[i] = min(max(round(missed / sizes[i]), np.floor(rate + EPS)), np.ceil(rate - EPS))
+        missed -= out[i] * sizes[i]
+    return out
+
+
 def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The groups of a partition sorted by ``keys``, one at a time."""
     held: list[pd.DataFrame] = []
@@ -119,6 +132,11 @@ def _fly(keys: list[str], last: bool):
     return run
 
 
+def _settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for group in _groups(frames, ["source"]):
+        yield group.assign(base=settle(group["size"].to_numpy(float), float(group["rate"].iloc[0])))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, text: str = "text", row_id: str = "doc_id", source: str = "source") -> DataFrame:
     """How many copies of each document the mix takes: row id, size, source_size, target, copies and taken.
 
@@ -136,14 +154,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     plan = spark.createDataFrame([(r["source"], r["source_size"], t, max(1, r["n"] // BUCKET_ROWS)) for r, t in zip(totals, found, strict=True)], "source string, source_size long, target double, buckets long")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     planned = rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["source"])).select("row_id", rows["source"], "size", "source_size", "target", "buckets", rate.alias("rate"))
+    is_heavy = F.col("size") * HEAVY > F.col("source_size")
+    heavy = planned.where(is_heavy).drop("buckets").withColumn("base", F.lit(0).cast("long"))
+    heavy = materialize(heavy.repartition("source").sortWithinPartitions("source", F.desc("size"), "row_id").mapInPandas(_settle, heavy.schema), "mix-heavy")
+    spent = heavy.groupBy("source").agg(F.sum("size").alias("heavy_size"), F.sum(F.col("base") * F.col("size")).alias("heavy_taken")).withColumnRenamed("source", "of")
+    light = planned.where(~is_heavy).join(F.broadcast(spent), F.col("source").eqNullSafe(F.col("of")), "left")
+    rest = F.col("source_size") - F.coalesce("heavy_size", F.lit(0))
+    light_rate = F.when(rest > 0, (F.col("target") - F.coalesce("heavy_taken", F.lit(0))) / rest).otherwise(0.0)
+    light = light.withColumn("rate", F.least(F.greatest(light_rate, F.lit(0.0)), F.lit(most)))
     base = F.floor(F.col("rate") + F.lit(EPS))
     p = F.greatest(F.lit(0.0), F.col("rate") - base)
-    flying = planned.select("row_id", "source", "size", "source_size", "target", base.cast("long").alias("base"), F.when(F.col("size") > 0, p).otherwise(0.0).alias("p"), F.pmod(F.xxhash64("row_id", F.lit("bucket")), F.col("buckets")).alias("bucket"), F.xxhash64("row_id", F.lit("order")).alias("o"))
+    flying = light.select("row_id", "source", "size", "source_size", "target", base.cast("long").alias("base"), F.when(F.col("size") > 0, p).otherwise(0.0).alias("p"), F.pmod(F.xxhash64("row_id", F.lit("bucket")), F.col("buckets")).alias("bucket"), F.xxhash64("row_id", F.lit("order")).alias("o"))
     first = flying.repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.desc("size"), "o", "row_id").mapInPandas(_fly(["source", "bucket"], False), flying.schema)
     first = materialize(first, "mix-flight")
     undecided = first.where("p > 0 and p < 1")
     second = undecided.repartition("source").sortWithinPartitions("source", F.desc("size"), "o", "row_id").mapInPandas(_fly(["source"], True), flying.schema)
-    decided = first.where("p <= 0 or p >= 1").unionByName(second)
+    settled = heavy.select("row_id", "source", "size", "source_size", "target", "base", F.lit(0.0).alias("p"))
+    decided = first.where("p <= 0 or p >= 1").unionByName(second).drop("bucket", "o").unionByName(settled)
     copies = F.when(F.col("size") > 0, F.col("base") + F.round("p").cast("long")).otherwise(F.lit(0)).cast("long")
     return decided.select(F.col("row_id").alias(row_id), F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
