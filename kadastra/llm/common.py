@@ -1,4 +1,4 @@
-"""What the training-data operators share: the work folder, written tables, joins with hot keys."""
+"""What the training-data operators share: the work folder, written tables, samples."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Groups holding more than one in this many rows count as hot; so there are fewer hot groups than this.
-HOT_SHARE = 1000
-
 #: What separates words, in the contracts' sense: space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,22 +42,6 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
-    """Inner join of rows with their groups, where a few groups may hold most rows.
-
-    ``groups`` has one row per non-null key and in ``size`` the number of its rows. Groups with over 1/HOT_SHARE
-    of all rows number under HOT_SHARE, so these are broadcast; all others meet in a shuffled join in which
-    no key has more than that share.
-    """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    is_hot = F.col(size) * HOT_SHARE > total
-    hot = groups.where(is_hot)
-    cold = groups.where(~is_hot)
-    in_hot = rows.join(F.broadcast(hot), key)
-    in_cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
-    return in_hot.unionByName(in_cold)
-
-
 def sample_rate(n: int, bound: int) -> float:
     """Share of n rows that keeps about ``bound`` of them."""
     return 1.0 if n <= bound else bound / n

@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kadastra.llm.common import join_groups, materialize
+from kadastra.llm.common import materialize
+from kadastra.operators.skew import join_groups
 
 SLOTS, KICKS = 4, 200
 #: Digests of one index bucket, about.

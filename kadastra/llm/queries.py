@@ -1,11 +1,12 @@
 """The registered queries of the training-data operators."""
 
-from kadastra.llm import exact_dedup, mixing, sharding
+from kadastra.llm import exact_dedup, mixing, sharding, simhash
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_sharding": sharding.op5_sharding,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLE_SQL = {
