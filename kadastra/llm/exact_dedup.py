@@ -114,8 +114,10 @@ class DigestIndex:
             del self.stored[digest]
         return True
 
-    def rows(self) -> pd.DataFrame:
-        return pd.DataFrame([(d, *v) for d, v in self.stored.items()], columns=["digest", "n_bytes", "keep_id", "group_size"])
+    def frames(self) -> Iterator[pd.DataFrame]:
+        if self.stored:
+            rows = pd.DataFrame([(d, *v) for d, v in self.stored.items()], columns=["digest", "n_bytes", "keep_id", "group_size"])
+            yield rows.assign(keep_id=rows["keep_id"].astype("Int64"))
 
 
 def _index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,8 +125,7 @@ def _index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         for digest, length, keep, copies in zip(f["digest"], f["n_bytes"], f["keep_id"], f["group_size"], strict=True):
             index.insert(bytes(digest), int(length), None if pd.isna(keep) else int(keep), int(copies))
-    out = index.rows()
-    yield out.assign(keep_id=out["keep_id"].astype("Int64"))
+    yield from index.frames()
 
 
 INDEX = "digest binary, n_bytes long, keep_id long, group_size long"
@@ -163,8 +164,7 @@ def update_index(index: DataFrame, added: DataFrame, removed: DataFrame, buckets
                     index.insert(bytes(digest), int(length), None if pd.isna(keep) else int(keep), int(copies))
         for x in out:
             index.delete(*x)
-        rows = index.rows()
-        yield rows.assign(keep_id=rows["keep_id"].astype("Int64"))
+        yield from index.frames()
 
     return ops.repartition(buckets, "digest").mapInPandas(run, INDEX)
 

@@ -1,10 +1,11 @@
 """The registered queries of the training-data operators."""
 
-from kadastra.llm import exact_dedup, mixing, sharding, simhash
+from kadastra.llm import exact_dedup, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_sharding": sharding.op5_sharding,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
 }
