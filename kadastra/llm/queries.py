@@ -1,11 +1,13 @@
 """The registered queries of the training-data operators."""
 
-from kadastra.llm import exact_dedup, mixing, sharding, simhash, toxicity
+from kadastra.llm import exact_dedup, language_id, mixing, quality, sharding, simhash, toxicity
 
 QUERIES = {
+    "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
     "op5_sharding": sharding.op5_sharding,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_language_id": language_id.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
 }
