@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators."""
 
-from kadastra.llm import exact_dedup, language_id, mixing, quality, sharding, simhash, toxicity
+from kadastra.llm import exact_dedup, html_extraction, language_id, mixing, quality, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = {
+    "op2_html_extraction": html_extraction.op2_html_extraction,
     "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
     "op5_sharding": sharding.op5_sharding,
@@ -10,6 +11,7 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLE_SQL = {
