@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators."""
 
-from kadastra.llm import exact_dedup, html_extraction, language_id, mixing, quality, sharding, simhash, substring_dedup, toxicity
+from kadastra.llm import decontamination, exact_dedup, html_extraction, language_id, mixing, quality, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_html_extraction": html_extraction.op2_html_extraction,
     "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
