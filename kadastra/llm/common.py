@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,13 +50,7 @@ def by_hash(rate: float, *columns: str, salt: str = "") -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), *columns), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))
 
 
-def run_once(make: Callable[[], object]) -> Callable[[], object]:
-    """Memoise a thunk inside one Python worker."""
-    kept: list = []
-
-    def get():
-        if not kept:
-            kept.append(make())
-        return kept[0]
-
-    return get
+def pick_ids(docs: DataFrame, ids: DataFrame, column: str, how: str, bound: int = 1_000_000) -> DataFrame:
+    """Semi or anti join of documents with a table of ids: broadcast if there are ``bound`` ids at most, else shuffled."""
+    ids = ids.select(F.col(column)).distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= bound else ids, column, how)

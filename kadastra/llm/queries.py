@@ -1,5 +1,6 @@
 """The registered queries of the training-data operators."""
 
+import corpus_pipeline
 from kadastra.llm import decontamination, exact_dedup, html_extraction, language_id, mixing, quality, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

@@ -120,9 +120,8 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", row_id: str = "d
     """
     dims = dimensions(F.col(text))
     t = F.coalesce(F.col(text), F.lit(""))
-    kept = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
-    points = docs.select(F.col(row_id).alias("row_id"), (text_bytes(F.col(text)) + 1).alias("weight"), F.crc32(F.encode(t, "UTF-8")).alias("crc"), F.xxhash64(t).alias("h"), *(d.alias(f"d{i}") for i, d in enumerate(dims)), *kept)
-    points = materialize(points, "kd-points")
+    columns = [F.col(row_id).alias("row_id"), (text_bytes(F.col(text)) + 1).alias("weight"), F.crc32(F.encode(t, "UTF-8")).alias("crc"), F.xxhash64(t).alias("h"), *(d.alias(f"d{i}") for i, d in enumerate(dims))]
+    points = materialize(docs.select(*columns), "kd-points")
     ends = points.agg(F.count("*").alias("n"), *(f(f"d{i}").alias(f"{n}{i}") for i in range(len(dims)) for n, f in (("lo", F.min), ("hi", F.max)))).first()
 
     def key(i: int) -> Column:
@@ -130,16 +129,21 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", row_id: str = "d
         unit = (F.col(f"d{i}") - F.lit(lo)) / F.lit((hi - lo) or 1.0)
         return F.shiftleft(F.floor(unit * F.lit(float((1 << BITS) - 1))).cast("long"), BITS) + F.col("h").bitwiseAND(F.lit((1 << BITS) - 1))
 
-    keyed = points.select("row_id", "weight", "crc", *(f"keep_{i}" for i in range(len(keep))), *(key(i).alias(f"k{i}") for i in range(len(dims))))
-    root = build_tree(keyed, len(dims), shards)
+    kept = [f"keep_{i}" for i in range(len(keep))]
+    names = ["row_id", "weight", "crc"]
     buckets = max(1, -(-ends["n"] // (shards * BUCKET_ROWS)))
-    placed = keyed.select("row_id", "weight", "crc", *(f"keep_{i}" for i in range(len(keep))), _leaf(root, [F.col(f"k{d}") for d in range(len(dims))], lambda n: n.first).cast("int").alias("shard"))
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("row_id", "crc"), F.lit(buckets)))
+    keyed = points.select(*names, *(key(i).alias(f"k{i}") for i in range(len(dims))))
+    leaf = _leaf(build_tree(keyed, len(dims), shards), [F.col(f"k{d}") for d in range(len(dims))], lambda n: n.first).cast("int").alias("shard")
+    bucket = F.pmod(F.xxhash64("row_id", "crc"), F.lit(buckets)).alias("bucket")
+    placed = keyed.select(*names, leaf, bucket)
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("row_id", "crc", "weight", *(f"keep_{i}" for i in range(len(keep))))
+    if keep:  # only now are the other columns read
+        rows = docs.select(*columns, *(F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)))
+        placed = rows.select(*names, *kept, *(key(i).alias(f"k{i}") for i in range(len(dims)))).select(*names, *kept, leaf, bucket)
+    inside = Window.partitionBy("shard", "bucket").orderBy("row_id", "crc", "weight")
     slots = placed.withColumn("at", F.row_number().over(inside)).join(offsets, ["shard", "bucket"])
-    return slots.select(F.col("row_id").alias(row_id), F.col("weight").alias("size"), F.col("crc").alias("text_crc32"), "shard", (F.col("offset") + F.col("at") - 1).cast("long").alias("slot"), *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)))
+    return slots.select(F.col("row_id").alias(row_id), F.col("weight").alias("size"), F.col("crc").alias("text_crc32"), "shard", (F.col("offset") + F.col("at") - 1).cast("long").alias("slot"), *(F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)))
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
