@@ -1,9 +1,8 @@
 """Operator 6: toxicity by a learned lexicon, matched with Levenshtein automata and scored in context windows.
 
 Labelled rows teach the lexicon: whole words and word beginnings (stems) that toxic documents hold far more often
-than chance, with log-odds as weights. The lexicon is a trie. A word is looked up by running its Levenshtein automaton
-(one row of edit distances per trie level) over the trie, pruned where every distance exceeds one; stems accept
-words that go on. Misspelt words count less than exact ones, and not at all if a clean labelled document has them.
+than chance, with log-odds as weights. The lexicon is a trie. A word is looked up by running its Levenshtein automaton of
+degree one over the trie, state by state; stems accept words that go on. Misspelt words count less than exact ones, and not at all if a clean labelled document has them.
 Around each hit a window of words is looked at: further hits raise its score, quotation marks on both sides lower it.
 Ridge regression on the document's scores, then isotonic calibration, give a probability.
 """
@@ -36,7 +35,7 @@ FUZZY_LENGTH = 5
 WINDOW = 8
 THRESHOLD = 0.3
 #: Words whose lookup a worker remembers.
-MEMORY = 200_000
+MEMORY = 600_000
 
 WORDS = re.compile(r"\w+")
 OPEN, CLOSE = re.compile(r"""["“„«]|(?<!\w)['‘]"""), re.compile(r"""["”“»]|['’](?!\w)""")
@@ -54,11 +53,12 @@ class Trie:
         node = self.root
         for c in term:
             node = node.setdefault(c, {})
-        node["stem" if stem else "word"] = max(weight, node.get("stem" if stem else "word", 0.0))
-        if not stem and len(term) >= FUZZY_LENGTH:  # one edit leaves one half of the term as it was
-            half = len(term) // 2
-            self.heads.add(term[:half])
-            self.tails.add(term[half:])
+        kind = "stem" if stem else "word"
+        node[kind] = max(weight, node.get(kind, 0.0))
+        if not stem and len(term) >= FUZZY_LENGTH:  # one edit leaves the first two letters or the last three
+            node["long"] = node[kind]
+            self.heads.add(term[:2])
+            self.tails.add(term[-3:])
 
     def exact(self, word: str) -> float:
         node, best = self.root, 0.0
@@ -66,31 +66,39 @@ class Trie:
             node = node.get(c)
             if node is None:
                 return best
-            best = max(best, node.get("stem", 0.0))
+            if "stem" in node:
+                best = max(best, node["stem"])
         return max(best, node.get("word", 0.0))
 
-    def may_be_near(self, word: str) -> bool:
-        n = len(word)
-        return any(word[:k] in self.heads for k in range(2, min(n, 8) + 1)) or any(word[-k:] in self.tails for k in range(3, min(n, 8) + 1))
-
     def near(self, word: str) -> float:
-        """Largest weight of a whole word at one edit (insertion, deletion, substitution) from ``word``."""
-        if len(word) < FUZZY_LENGTH - 1 or not self.may_be_near(word):
+        """Largest weight of a long whole word at one edit from ``word``.
+
+        States of the automaton are (letters read, edits made). Without edits it follows one path of the trie; from
+        each node there, one edit leads to states that have to follow the rest of the word letter by letter.
+        """
+        n = len(word)
+        if n < FUZZY_LENGTH - 1 or (word[:2] not in self.heads and word[-3:] not in self.tails):
             return 0.0
-        best, n = 0.0, len(word)
-        stack = [(self.root, list(range(n + 1)), 0)]
-        while stack:
-            node, row, depth = stack.pop()
-            if depth >= FUZZY_LENGTH and row[n] == 1:
-                best = max(best, node.get("word", 0.0))
+
+        def rest(node: dict, at: int) -> float:
+            for c in word[at:]:
+                node = node.get(c)
+                if node is None:
+                    return 0.0
+            return node.get("long", 0.0)
+
+        best, node = 0.0, self.root
+        for i in range(n + 1):
+            if i < n:
+                best = max(best, rest(node, i + 1))  # a letter too many
             for c, child in node.items():
-                if len(c) > 1:
-                    continue
-                new = [row[0] + 1]
-                for i in range(n):
-                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (word[i] != c)))
-                if min(new) <= 1:
-                    stack.append((child, new, depth + 1))
+                if len(c) == 1:
+                    best = max(best, rest(child, i))  # one missing
+                    if i < n and c != word[i]:
+                        best = max(best, rest(child, i + 1))  # another one
+            node = node.get(word[i]) if i < n else None
+            if node is None:
+                break
         return best
 
 
