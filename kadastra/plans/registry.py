@@ -1,4 +1,7 @@
 """The registered queries of the listing engine and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from kadastra.plans import catalogue_data, catalogue_search, catalogue_state
+
+MODULES = (catalogue_search, catalogue_data, catalogue_state)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}

@@ -1 +1 @@
-
+"""Structured Streaming forms of ingestion, alerts and limits."""
