@@ -52,7 +52,7 @@ _search("search_basic", Filters(property_type="mieszkanie", transaction="sprzeda
 _search("search_ranges", Filters(price_min=50000.0, price_max=300000.0, area_min=40.0, area_max=160.0, rooms_min=2, rooms_max=5, floor_min=1, floor_max=8, price_m2_min=500.0, only_original=False, only_active=False), "price between 50000 and 300000 and area between 40 and 160 and rooms between 2 and 5 and floor between 1 and 8 and price_per_m2 >= 500")
 _search("search_sort_nulls_last", Filters(sort="cena_m2_rosnaco", per_page=100, only_active=False, page=3), "is_original", "price_per_m2 asc nulls last, id desc", 100, 200)
 _search("search_page_two", Filters(sort="powierzchnia", page=2), _BASE, "area desc nulls last, id desc", 25, 25)
-_search("search_auction_dates", Filters(kind="licytacja", sort="termin_licytacji", per_page=100, only_active=False), "is_original and kind = 'licytacja'", f"case when event_date < timestamp '2001-08-02 14:00:00' then 1 else 0 end, event_date asc nulls last, id desc", 100)
+_search("search_auction_dates", Filters(kind="licytacja", sort="termin_licytacji", per_page=100, only_active=False), "is_original and kind = 'licytacja'", f"case when event_date < timestamp '2001-08-01 14:00:00' then 1 else 0 end, event_date asc nulls last, id desc", 100)
 _search("search_place_prefix", Filters(city="nation_1"), f"{_BASE} and {fold_sql('city')} like 'nation\\_1%' escape '\\'")
 _search("search_fold_prefix", Filters(district="srodm"), f"{_BASE} and {fold_sql('district')} like 'srodm%'")
 _search("search_voivodeship_source", Filters(voivodeship="EUROPE", source=("src1", "src4")), "status = 'aktywna' and voivodeship = 'EUROPE' and source_key in ('src1', 'src4')")
@@ -63,7 +63,7 @@ _search("search_with_phone", Filters(with_phone=True, seller_type="prywatna"), f
 _search("search_unknown_enum", Filters(kind="zamek", agency_id=7), f"{_BASE} and agency_id = 7")
 _search("price_dropped", Filters(price_dropped=True), f"{_BASE} and price < initial_price")
 _search("days_on_market", Filters(days_on_market_min=30, days_on_market_max=365), f"{_BASE} and listed_at <= timestamp '{NOW}' - interval 30 day and listed_at >= timestamp '{NOW}' - interval 365 day")
-_search("search_period_today", Filters(period="dzis", only_active=False, only_original=False), "listed_at >= timestamp '2001-08-01 22:00:00'")
+_search("search_period_today", Filters(period="dzis", only_active=False, only_original=False), "listed_at >= timestamp '2001-07-31 22:00:00'")
 _search("search_period_month", Filters(period="30dni"), f"{_BASE} and listed_at >= timestamp '{NOW}' - interval 30 day")
 
 
@@ -90,10 +90,10 @@ _ACTIVE = "status = 'aktywna'"
 _FLATS = f"{_BASE} and property_type = 'mieszkanie' and transaction = 'sprzedaz'"
 
 
-@query("stats_totals", f"""{W}select count(*) as listings, count_if({_ACTIVE}) as active, count_if({_BASE}) as originals, count_if({_ACTIVE} and not is_original) as copies,
-count_if({_ACTIVE} and kind = 'licytacja') as auctions, count_if({_ACTIVE} and kind in ('przetarg', 'wykaz')) as tenders,
-count_if({_ACTIVE} and listed_at >= timestamp '{NOW}' - interval 7 day) as this_week, count_if({_BASE} and price < initial_price) as dropped,
-count_if({_ACTIVE} and seller_type = 'prywatna') as private, count_if({_ACTIVE} and phone is not null) as with_phone, count_if({_ACTIVE} and lat is not null) as with_point,
+@query("stats_totals", f"""{W}select count(*) as listings, count(*) filter (where {_ACTIVE}) as active, count(*) filter (where {_BASE}) as originals, count(*) filter (where {_ACTIVE} and not is_original) as copies,
+count(*) filter (where {_ACTIVE} and kind = 'licytacja') as auctions, count(*) filter (where {_ACTIVE} and kind in ('przetarg', 'wykaz')) as tenders,
+count(*) filter (where {_ACTIVE} and listed_at >= timestamp '{NOW}' - interval 7 day) as this_week, count(*) filter (where {_BASE} and price < initial_price) as dropped,
+count(*) filter (where {_ACTIVE} and seller_type = 'prywatna') as private, count(*) filter (where {_ACTIVE} and phone is not null) as with_phone, count(*) filter (where {_ACTIVE} and lat is not null) as with_point,
 round(avg(case when {_FLATS} then price_per_m2 end), 0) as avg_price_m2 from listings""")
 def _(spark, sf_dir):
     return stats.totals(listings(spark, sf_dir), NOW)
@@ -107,7 +107,7 @@ for _column, _most in (("kind", None), ("source_key", None), ("seller_type", Non
 @query("market_report", f"""{W}, r as (select *, row_number() over (partition by property_type order by price) as place, count(*) over (partition by property_type) as group_n,
 greatest(0, floor((epoch_us(timestamp '{NOW}') - epoch_us(listed_at)) / 86400000000)) as days from listings where is_original and price is not null and listed_at >= timestamp '{NOW}' - interval 900 day)
 select property_type, count(*) as n, max(case when place = group_n // 2 + 1 then price end) as median_price, min(price) as min_price, max(price) as max_price, round(avg(price), 2) as avg_price,
-round(avg(days), 1) as avg_days, count_if(status <> 'aktywna') as removed, round(100.0 * count_if(seller_type = 'posrednik') / count(*), 1) as agency_share from r group by property_type""")
+round(avg(days), 1) as avg_days, count(*) filter (where status <> 'aktywna') as removed, round(100.0 * count(*) filter (where seller_type = 'posrednik') / count(*), 1) as agency_share from r group by property_type""")
 def _(spark, sf_dir):
     return stats.market_report(listings(spark, sf_dir), NOW, 900)
 
@@ -138,7 +138,7 @@ def _(spark, sf_dir):
     return search.page(market.score(listings(spark, sf_dir)), f, NOW).select("id", "price", "deal_ratio", "deal_level")
 
 
-@query("bargain_count", f"{_SCORED} select count_if({_BASE} and deal_ratio <= {C.BARGAIN_RATIO} and found_level in ('miasto', 'powiat')) as bargains from scored")
+@query("bargain_count", f"{_SCORED} select count(*) filter (where {_BASE} and deal_ratio <= {C.BARGAIN_RATIO} and found_level in ('miasto', 'powiat')) as bargains from scored")
 def _(spark, sf_dir):
     return market.score(listings(spark, sf_dir)).agg(F.count_if(market.is_bargain()).alias("bargains"))
 

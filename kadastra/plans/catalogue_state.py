@@ -62,7 +62,7 @@ case when not there then street when id % 11 = 0 then 'ul. Nowa 1' when id % 11
 
 @query("upsert_merge", f"""{_UPSERT} select source_key, cast(id as string) as external_id, round(new_price, 4) as price, new_street as street,
 case when not here then 'new' when not there then 'kept' when new_price is distinct from price or new_street is distinct from street then 'updated' else 'unchanged' end as change,
-case when not there then status when kind in ('licytacja', 'przetarg') and event_date < timestamp '2001-08-01 14:00:00' then 'nieaktywna' else 'aktywna' end as status,
+case when not there then status when kind in ('licytacja', 'przetarg') and event_date < timestamp '2001-07-31 14:00:00' then 'nieaktywna' else 'aktywna' end as status,
 case when not here then case when id % 77 = 0 then round(lat + 0.5, 4) end when here and there and new_street is distinct from street then case when id % 77 = 0 then round(lat + 0.5, 4) end when there and id % 77 = 0 then round(lat + 0.5, 4) else round(lat, 4) end as lat from m""")
 def _(spark, sf_dir):
     df = listings(spark, sf_dir)
@@ -82,7 +82,7 @@ def _(spark, sf_dir):
     return upsert.mark_missing(df, now(), ["src1", "src2"]).select("id", "status")
 
 
-@query("mark_concluded", f"{W}select id, case when status = 'aktywna' and kind in ('licytacja', 'przetarg') and event_date < timestamp '2001-08-01 14:00:00' then 'nieaktywna' else status end as status from listings")
+@query("mark_concluded", f"{W}select id, case when status = 'aktywna' and kind in ('licytacja', 'przetarg') and event_date < timestamp '2001-07-31 14:00:00' then 'nieaktywna' else status end as status from listings")
 def _(spark, sf_dir):
     return upsert.mark_concluded(listings(spark, sf_dir), now()).select("id", "status")
 
@@ -134,7 +134,7 @@ def _(spark, sf_dir):
     return repair.outside_region(repair.outside(df), regions).select("id", F.round("lat", 4).alias("lat"))
 
 
-@query("repair_unswap", "select o_orderkey, case when swapped > timestamp '2001-08-02 12:00:00' and day(swapped) <= 12 then o_orderdate else swapped end as published from (select o_orderkey, o_orderdate, case when day(o_orderdate) <= 12 then make_timestamp(year(o_orderdate), day(o_orderdate), month(o_orderdate), 0, 0, 0) else o_orderdate end as swapped from orders)")
+@query("repair_unswap", "select o_orderkey, case when swapped > timestamp '2001-08-01 12:00:00' and day(swapped) <= 12 then o_orderdate else swapped end as published from (select o_orderkey, o_orderdate, case when day(o_orderdate) <= 12 then make_timestamp(year(o_orderdate), day(o_orderdate), month(o_orderdate), 0, 0, 0) else o_orderdate end as swapped from orders)")
 def _(spark, sf_dir):
     swapped = F.when(F.day("o_orderdate") <= 12, F.expr("make_timestamp(year(o_orderdate), day(o_orderdate), month(o_orderdate), 0, 0, 0)")).otherwise(F.col("o_orderdate").cast("timestamp"))
     return repair.unswap(table(spark, sf_dir, "orders").select("o_orderkey", swapped.alias("published")), now()).select("o_orderkey", "published")
@@ -154,9 +154,9 @@ def _(spark, sf_dir):
     return places.geocode(df, cache)[0].select("id", F.round("lat", 4).alias("lat"))
 
 
-@query("geocode_missing", f"{W}select street, city, count(*) as listings from listings where id % 4 = 0 and street is null group by all")
+@query("geocode_missing", f"{W}select street, city, count(*) as listings from listings where id % 5 = 0 and street is null group by all")
 def _(spark, sf_dir):
-    df = listings(spark, sf_dir).withColumn("lat", F.when(F.col("id") % 4 != 0, F.col("lat").cast("double"))).withColumn("lon", F.col("lon").cast("double"))
+    df = listings(spark, sf_dir).withColumn("lat", F.when(F.col("id") % 5 != 0, F.col("lat").cast("double"))).withColumn("lon", F.col("lon").cast("double"))
     key = text.digest(text.norm_key(F.concat_ws(", ", "street", "city", "voivodeship")))
     cache = df.where("street is not null").select(key.alias("query_hash"), F.lit(50.0).alias("lat"), F.lit(20.0).alias("lon")).distinct()
     return places.geocode(df, cache)[1].select("street", "city", "listings")

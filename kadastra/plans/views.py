@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: "Now" of all registered queries.
-NOW = "2001-08-02 12:00:00"
+NOW = "2001-08-01 12:00:00"
 
 LISTING = {
     "id": "o_orderkey",
