@@ -51,7 +51,7 @@ def upsert(current: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
         if c in columns:
             moved = moved | ~columns[c].eqNullSafe(F.col(c))
     if {"lat", "lon"} <= set(current.columns):
-        brings = F.col("b_lat").isNotNull() & F.col("b_lon").isNotNull()
+        brings = F.col("b_lat").isNotNull() & F.col("b_lon").isNotNull() if {"b_lat", "b_lon"} <= set(b.columns) else F.lit(False)
         void = both & moved & (~F.col("geo_precision").eqNullSafe("portal") | brings)
         for c in POINT:
             if c in current.columns:
