@@ -115,6 +115,12 @@ def street_label(street: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(base, r"\bIi\b", "II"), r"\bIii\b", "III")
 
 
+def extract_street(body: Column) -> Column:
+    """The street that a text names after its kind of street; null if it names none."""
+    found = F.regexp_extract(F.coalesce(body, F.lit("")), r"(?U)\b(?:[Uu]l\.|[Uu]lic[aiy]|[Aa]l\.|[Aa]lej[aie]|[Oo]s\.|[Pp]l\.)\s+((?:\p{Lu}[\p{L}-]*|\d+-go|\d+ \p{Lu}[\p{L}-]*)(?:\s+\p{Lu}[\p{L}-]*){0,3})", 1)
+    return F.nullif(F.regexp_replace(found, r"\s+(?:Kontakt|Tel|Telefon|Cena|Oferta|Polecam)\b.*$", ""), F.lit(""))
+
+
 def looks_like_agency(name: Column) -> Column:
     return F.coalesce(name.rlike(C.AGENCY_NAME), F.lit(False))
 

@@ -72,6 +72,14 @@ def nearest(left: DataFrame, right: DataFrame, km: float = C.REVERSE_RADIUS_KM)
     return neighbours(left, right, km).groupBy("a_id").agg(F.min(F.struct("km", "b_id")).alias("best")).select("a_id", "best.*")
 
 
+def surroundings(df: DataFrame, points: DataFrame, km: float, most: int = 120) -> DataFrame:
+    """What lies near each listing: the least distance by label, nearest first; ``points`` has id, lat, lon, label."""
+    found = neighbours(df, points, km)
+    w = Window.partitionBy("a_id").orderBy("km", "b_id")
+    near = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    return near.join(points.select(F.col("id").alias("b_id"), "label"), "b_id").groupBy("a_id", "label").agg(F.min("km").alias("km"))
+
+
 def geocode(df: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Listings without a point filled from cached addresses, one lookup per address; and the addresses not in the cache."""
     key = text.digest(text.norm_key(F.concat_ws(", ", "street", "city", "voivodeship")))

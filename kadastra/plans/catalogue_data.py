@@ -251,7 +251,14 @@ UNITS = [
 ]
 
 
-@query("find_places")
+_FOUND = {0: UNITS[0], 1: UNITS[1], 2: UNITS[2], 3: UNITS[3], 4: UNITS[4]}
+
+
+def _found(k: int) -> str:
+    return "case id % 6 " + " ".join(f"when {i} then '{u[k]}'" for i, u in _FOUND.items()) + " end"
+
+
+@query("find_places", f"{W}select id, {_found(0)} as teryt, {_found(1)} as place, {_found(4)} as county, {_found(3)} as region from listings")
 def _(spark, sf_dir):
     units = spark.createDataFrame(UNITS, "teryt string, name string, kind string, voivodeship string, county string, commune string, town boolean, city_county boolean, district_unit boolean")
     texts = listings(spark, sf_dir).select("id", F.concat(F.lit("Ładne mieszkanie w "), F.element_at(F.array(*map(F.lit, ("Krakowie", "Nysie", "Opolu", "Wrocławiu", "Starogardzie Gdańskim", "centrum"))), (F.col("id") % 6 + 1).cast("int")), F.lit(", dobra oferta")).alias("text"))
@@ -267,7 +274,7 @@ def _(spark, sf_dir):
     return normalize.normalize(raw, F.lit(NOW).cast("timestamp_ntz")).select("external_id", "property_type", "transaction", "price", "area", "plot_area", "rooms", "floor", "price_per_m2", "seller_type", "case_number")
 
 
-@query("fuzzy_dates")
+@query("fuzzy_dates", "select event_id, case event_id % 4 when 0 then timestamp '2001-08-01 00:00:00' when 1 then timestamp '2001-07-31 00:00:00' when 2 then timestamp '2001-03-12 00:00:00' else timestamp '2001-03-05 10:30:00' end as at from events")
 def _(spark, sf_dir):
     raw = F.concat(F.lit("dodano "), F.element_at(F.array(F.lit("dzisiaj"), F.lit("wczoraj"), F.lit("12 marca"), F.lit("5.03.2001 10:30")), (F.col("event_id") % 4 + 1).cast("int")))
     return table(spark, sf_dir, "events").select("event_id", dates.parse_moment(raw, F.lit(NOW).cast("timestamp")).cast("timestamp").alias("at"))

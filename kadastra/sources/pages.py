@@ -103,3 +103,21 @@ def crawl_order(pages: DataFrame, key: str = "external_id") -> DataFrame:
     by_page = fresh.groupBy("section", "page").agg(F.max("fresh").alias("some"))
     ends = by_page.where(~F.col("some")).groupBy("section").agg(F.min("page").alias("end"))
     return fresh.where("fresh").join(ends, "section", "left").where(F.col("end").isNull() | (F.col("page") < F.col("end"))).drop("n", "fresh", "end")
+
+
+def sitemap_urls(files: DataFrame, body: str = "xml") -> DataFrame:
+    """URLs of sitemap files with what they were last changed, newest first and undated ones last; index files name files."""
+    parts = F.regexp_extract_all(F.coalesce(F.col(body), F.lit("")), F.lit(r"(?is)<((?:url|sitemap)>.*?)</(?:url|sitemap)>"), 1)
+    rows = files.select(F.explode(parts).alias("e"))
+    one = lambda tag: F.nullif(F.trim(F.regexp_extract("e", f"(?is)<{tag}>(.*?)</{tag}>", 1)), F.lit(""))
+    found = rows.select(F.replace(one("loc"), F.lit("&amp;"), F.lit("&")).alias("url"), F.try_to_timestamp(F.substring(one("lastmod"), 1, 10)).alias("lastmod"), F.col("e").startswith("sitemap>").alias("is_index"))
+    return found.where("url is not null").dropDuplicates(["url"]).orderBy(F.col("lastmod").desc_nulls_last(), "url")
+
+
+def notice_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """Links of notice boards that lead to offers: (page, link); results, forms and page furniture are left out."""
+    found = pages.select(F.col(url).alias("page"), F.explode(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?is)(<a\s[^>]*href=["\'][^"\']+["\'][^>]*>.*?</a>)'), 1)).alias("a"))
+    rows = found.select("page", F.regexp_extract("a", r'(?is)href=["\']([^"\']+)', 1).alias("link"), F.trim(F.regexp_replace(F.regexp_replace("a", "<[^>]{1,400}>", " "), r"\s+", " ")).alias("label"))
+    offer = F.col("label").rlike(r"(?iu)przetarg|sprzeda|nieruchomo|dzia[łl]k|lokal|wykaz|rokowan")
+    other = F.col("label").rlike(r"(?iu)wynik|rozstrzygn|formularz|deklaracj|archiwum|regulamin|strona g[łl]ówna|^\s*(?:dalej|wstecz|więcej)\s*$")
+    return rows.where(offer & ~other & (F.length("label") > 10)).dropDuplicates(["page", "link"])
