@@ -145,8 +145,8 @@ def repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id", least:
 
     unsure = runs.where((F.col("n_words") < least) & (F.col("n_words") + F.col("before") + F.col("after") + 2 * SLACK >= least))
     heads = unsure.groupBy("digest").agg(F.count("*").alias("n_unsure"))
-    sizes = groups.join(heads, "digest").select("digest", "n")
-    places = join_groups(found, sizes, "digest", "n").select("row_id", F.shiftright("pack", 24).alias("start"))
+    marked = groups.join(heads, "digest", "left").select("digest", "n", F.col("n_unsure").isNotNull().alias("asked"))
+    places = join_groups(found.drop("first_id"), marked, "digest", "n").where("asked").select("row_id", F.shiftright("pack", 24).alias("start"))
     places = materialize(places.groupBy("row_id").agg(F.collect_set("start").alias("places")), "unsure-places")
     small = places.count() <= BROADCAST_IDS
     texts = source.join(F.broadcast(places.select("row_id")) if small else places.select("row_id"), "row_id", "left_semi").dropDuplicates(["row_id"]).join(places, "row_id")
