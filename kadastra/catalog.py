@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kadastra.operators import market, search, stats, upsert
 from kadastra.operators.search import Filters
@@ -21,26 +24,32 @@ LAYOUT = {
 }
 
 
+VERSIONS = "name string, version long, schema string"
+
+
 class Catalog:
     """Parquet tables in ``root``. Writes go to a new version beside the old one, so a failed job leaves the old one whole."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self, name: str) -> DataFrame:
-        return self.spark.read.schema("name string, version long").json(f"{self.root}/_versions").where(F.col("name") == name)
+    def _latest(self, name: str):
+        log = self.spark.read.schema(VERSIONS).json(f"{self.root}/_versions").where(F.col("name") == name)
+        return log.agg(F.max(F.struct("version", "schema")).alias("last")).first()["last"]
 
     def version(self, name: str) -> int | None:
-        return self._versions(name).agg(F.max("version")).first()[0]
+        last = self._latest(name)
+        return last and last["version"]
 
     def table(self, name: str) -> DataFrame:
-        number = self.version(name)
-        if number is None:
+        last = self._latest(name)
+        if last is None:
             raise KeyError(name)
-        return self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/{name}/version={number}")
+        schema = T.StructType.fromJson(json.loads(last["schema"]))
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/version={last['version']}").select(*schema.names)
 
     def create(self) -> None:
-        self.spark.createDataFrame([], "name string, version long").write.mode("append").json(f"{self.root}/_versions")
+        self.spark.createDataFrame([], VERSIONS).write.mode("append").json(f"{self.root}/_versions")
 
     def save(self, name: str, df: DataFrame) -> None:
         parts, order = LAYOUT.get(name, ((), ()))
@@ -49,7 +58,7 @@ class Catalog:
         rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
         writer = rows.write.mode("overwrite")
         (writer.partitionBy(*parts) if parts and set(parts) <= set(df.columns) else writer).parquet(f"{self.root}/{name}/version={number}")
-        self.spark.createDataFrame([(name, number)], "name string, version long").write.mode("append").json(f"{self.root}/_versions")
+        self.spark.createDataFrame([(name, number, df.schema.json())], VERSIONS).write.mode("append").json(f"{self.root}/_versions")
 
     def scan(self, batch: DataFrame, now: Column, complete: list[str] = ()) -> None:
         """Take in a batch: upsert, price history, missing offers of completely scanned sources, new medians."""

@@ -40,8 +40,8 @@ def _(spark, sf_dir):
 @query("search_total", f"{W}select id, price, count(*) over () as total from listings where is_original and status = 'aktywna' and property_type = 'dom' order by price desc nulls last, id desc limit 25")
 def _(spark, sf_dir):
     df, f = listings(spark, sf_dir), Filters(property_type="dom", sort="cena_malejaco")
-    total = search.search(df, f, NOW).agg(F.count("*").alias("total"))
-    return search.page(df, f, NOW).select("id", "price").join(F.broadcast(total))
+    total = search.search(df, f, NOW).count()
+    return search.page(df, f, NOW).select("id", "price", F.lit(total).cast("long").alias("total"))
 
 
 @query("scan_totals", "select cast(sum(l_linenumber) as bigint) as found, cast(sum(case when l_returnflag = 'A' then 1 else 0 end) as bigint) as new, cast(sum(case when l_returnflag = 'R' then 1 else 0 end) as bigint) as updated, cast(sum(case when l_tax = 0 then 1 else 0 end) as bigint) as errors from lineitem")
