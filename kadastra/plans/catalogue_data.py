@@ -186,9 +186,27 @@ def _(spark, sf_dir):
     return robots.judge(docs.select("page_id", "url"), each).select("page_id", "allowed")
 
 
-@query("json_ld_items")
+@query("json_ld_items", f"{W}select 'https://e.org/' || cast(id as string) as url, title, price, area, city from listings where title is not null")
 def _(spark, sf_dir):
-    return pages.json_ld_offers(table(spark, sf_dir, "pages"))
+    offer = F.struct(F.col("price").cast("string").alias("price"), F.struct(F.struct(F.col("area").cast("string").alias("value")).alias("floorSize"), F.struct(F.col("city").alias("addressLocality")).alias("address")).alias("itemOffered"))
+    item = F.to_json(F.struct(F.lit("Offer").alias("@type"), F.col("title").alias("name"), offer.alias("offers")))
+    html = F.concat(F.lit('<html><head><script type="application/ld+json">'), item, F.lit("</script></head></html>"))
+    made = listings(spark, sf_dir).where("title is not null").select(F.concat(F.lit("https://e.org/"), F.col("id").cast("string")).alias("url"), html.alias("html"))
+    return pages.json_ld_offers(made).select("url", "title", "price", "area", "city")
+
+
+@query("rest_offers", f"{W}select cast(id as string) as external_id, title, price, area, city, lat from listings")
+def _(spark, sf_dir):
+    param = lambda k, c: F.struct(F.lit(k).alias("key"), F.struct(F.col(c).cast("string").alias("value")).alias("value"))
+    body = F.struct(F.col("id").cast("string").alias("id"), "title", F.array(param("price", "price"), param("m", "area")).alias("params"), F.struct(F.struct(F.col("city").alias("name")).alias("city")).alias("location"), F.struct("lat", "lon").alias("map"))
+    return pages.rest_offers(listings(spark, sf_dir).select(F.to_json(body).alias("value"))).select("external_id", "title", "price", "area", "city", "lat")
+
+
+@query("notice_links", f"{W}select 'u' || cast(id as string) as page, '/p/' || cast(id as string) as link, 'Przetarg na sprzedaż działki ' || cast(id as string) as label from listings")
+def _(spark, sf_dir):
+    i = F.col("id").cast("string")
+    html = F.concat(F.lit('<a href="/">Strona główna</a> <a class="x" href="/p/'), i, F.lit('">Przetarg na <b>sprzedaż</b> działki '), i, F.lit('</a><a href="/w/'), i, F.lit('">Wynik przetargu na lokal '), i, F.lit('</a><a href="/f">Formularz ofertowy na nieruchomości</a>'))
+    return pages.notice_links(listings(spark, sf_dir).select(F.concat(F.lit("u"), i).alias("url"), html.alias("html"))).select("page", "link", "label")
 
 
 @query("events_json_props", "select event_type, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) as total from events group by event_type")

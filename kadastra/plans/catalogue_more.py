@@ -148,11 +148,6 @@ def _(spark, sf_dir):
     return pages.sitemap_urls(listings(spark, sf_dir).where("id % 20 = 0").select(xml.alias("xml"))).select("url", "lastmod")
 
 
-@query("notice_links")
-def _(spark, sf_dir):
-    return pages.notice_links(table(spark, sf_dir, "pages"))
-
-
 @query("similar_pool", f"""{W}, c as (select a.id as a_id, b.id as id, case when a.city = b.city then 0 when a.county = b.county then 1 else 2 end as level, abs(b.price - a.price) / a.price + coalesce(abs(coalesce(b.area, 0) - a.area) / a.area, 0) as gap
 from (select * from listings where kind = 'nieruchomosc' and status = 'aktywna' and is_original and id % 97 = 0) a join (select * from listings where is_original and status = 'aktywna') b on a.kind = b.kind and a.property_type = b.property_type and a.transaction = b.transaction and a.voivodeship = b.voivodeship and a.id <> b.id
 where b.price between a.price * 0.75 and a.price * 1.3 and (a.area is null or b.area between a.area * 0.75 and a.area * 1.3) and (a.property_type not in ('mieszkanie', 'dom') or a.rooms is null or b.rooms is null or abs(a.rooms - b.rooms) <= 1)),
