@@ -4,7 +4,7 @@ A gear hash rolls over the bytes of a text's words; a chunk ends after a word wh
 RADIUS neighbours on each side. So cuts depend on a few words around them only, and an insertion shifts nothing else.
 Chunks are counted by digest over all documents; a run of neighbouring chunks that other documents hold too is a
 repeated passage. Chunks inside a passage cover it but for a few words at its ends; where these decide whether it is
-longer than MIN_WORDS - 1, windows of MIN_WORDS words that start before the run's first chunk are compared exactly.
+longer than MIN_WORDS - 1, windows of MIN_WORDS words around the run's rarest chunk are compared exactly.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ MIN_WORDS = 51
 RADIUS, LONGEST = 3, 32
 #: The hash sees 2**DOUBLINGS bytes.
 DOUBLINGS = 4
-#: Words by which a cut inside a passage may be missing at its ends, for what the hash sees beyond them.
-SLACK = 8
+#: Words at the start and end of a passage whose cuts may differ by what the hash and the neighbours see beyond them.
+SLACK = (6, RADIUS)
 #: Ids that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -53,7 +53,13 @@ def cuts(words: list[bytes]) -> np.ndarray:
     starts = np.r_[0, np.flatnonzero(low) + 1, n]
     gaps = np.diff(starts)
     if gaps.max() > LONGEST:
-        starts = np.unique(np.concatenate([np.arange(a, b, LONGEST) for a, b in zip(starts, starts[1:], strict=False)] + [[n]]))
+        pieces = []
+        for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+            inner = [a, b]
+            if b - a > LONGEST:  # rows of repeated words, in which no hash undercuts its neighbours: cut where such a row starts
+                inner = [a, *(i for i in range(a + 1, b - 1) if words[i] != words[i - 1] and words[i] == words[i + 1]), b]
+            pieces += [np.arange(c, d, LONGEST) for c, d in zip(inner, inner[1:], strict=False)]
+        starts = np.concatenate([*pieces, [n]])
     return starts
 
 
@@ -88,13 +94,15 @@ def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Runs of neighbouring repeated chunks, of a partition sorted by document and pack."""
 
     def of(f: pd.DataFrame) -> pd.DataFrame:
-        ids, pack, first = (f[c].to_numpy(np.int64) for c in ("row_id", "pack", "first_id"))
+        ids, pack, first, often = (f[c].to_numpy(np.int64) for c in ("row_id", "pack", "first_id", "n"))
         start, n = pack >> 24, pack >> 16 & 0xFF
         new = np.r_[True, (ids[1:] != ids[:-1]) | (start[1:] != start[:-1] + n[:-1])]
         at = np.flatnonzero(new)
         end = np.r_[at[1:] - 1, len(ids) - 1]
+        order = np.lexsort((pack, often, np.cumsum(new)))  # of each run the rarest chunk comes first
+        rare = order[at]
         later = np.add.reduceat((first != ids).astype(np.int64), at)
-        return pd.DataFrame({"row_id": ids[at], "digest": f["digest"].to_numpy()[at], "start": start[at], "n_words": start[end] + n[end] - start[at], "before": pack[at] >> 8 & 0xFF, "after": pack[end] & 0xFF, "first_id": np.minimum.reduceat(first, at), "kept": later == 0})
+        return pd.DataFrame({"row_id": ids[at], "digest": f["digest"].to_numpy()[rare], "rare_start": start[rare], "start": start[at], "n_words": start[end] + n[end] - start[at], "before": pack[at] >> 8 & 0xFF, "after": pack[end] & 0xFF, "first_id": np.minimum.reduceat(first, at), "kept": later == 0})
 
     held = None
     for f in frames:
@@ -110,15 +118,16 @@ def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _windows(least: int):
-    """Hashes of all windows of ``least`` words that start at a place or up to LONGEST + SLACK words before it."""
+    """Hashes of all windows of ``least`` words that hold the chunk at a place (first word and number of words)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for row_id, text, places in zip(f["row_id"], f["text"], f["places"], strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
-                for start in places:
-                    for s in range(max(0, start - LONGEST - SLACK), min(start, len(words) - least) + 1):
+                for place in places:
+                    start, n = place["start"], place["n_words"]
+                    for s in range(max(0, start + n - least), min(start, len(words) - least) + 1):
                         out.append((row_id, start, xxhash.xxh64_intdigest(b" ".join(words[s : s + least])) - (1 << 63)))
             if out:
                 yield pd.DataFrame(out, columns=["row_id", "start", "hash"])
@@ -138,22 +147,22 @@ def repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id", least:
     chunks = materialize(source.mapInPandas(_chunks, "digest long, row_id long, pack long"), "chunks")
     groups = chunks.groupBy("digest").agg(F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"), F.count("*").alias("n"))
     groups = materialize(groups.where("first_id < last_id").drop("last_id"), "repeated-chunks")
-    found = materialize(join_groups(chunks, groups, "digest", "n").select("digest", "row_id", "pack", "first_id"), "repeated-places")
+    found = materialize(join_groups(chunks, groups, "digest", "n").select("digest", "row_id", "pack", "first_id", "n"), "repeated-places")
     spans = found.dropDuplicates(["row_id", "pack"]).repartition("row_id").sortWithinPartitions("row_id", "pack")
-    runs = materialize(spans.mapInPandas(_runs, "row_id long, digest long, start long, n_words long, before long, after long, first_id long, kept boolean"), "repeated-runs")
+    runs = materialize(spans.mapInPandas(_runs, "row_id long, digest long, rare_start long, start long, n_words long, before long, after long, first_id long, kept boolean"), "repeated-runs")
     long = runs.where(F.col("n_words") >= least)
 
-    unsure = runs.where((F.col("n_words") < least) & (F.col("n_words") + F.col("before") + F.col("after") + 2 * SLACK >= least))
+    unsure = runs.where((F.col("n_words") < least) & (F.col("n_words") + F.col("before") + F.col("after") + sum(SLACK) >= least))
     heads = unsure.groupBy("digest").agg(F.count("*").alias("n_unsure"))
     marked = groups.join(heads, "digest", "left").select("digest", "n", F.col("n_unsure").isNotNull().alias("asked"))
-    places = join_groups(found.drop("first_id"), marked, "digest", "n").where("asked").select("row_id", F.shiftright("pack", 24).alias("start"))
-    places = materialize(places.groupBy("row_id").agg(F.collect_set("start").alias("places")), "unsure-places")
+    places = join_groups(found.drop("first_id", "n"), marked, "digest", "n").where("asked").select("row_id", F.shiftright("pack", 24).alias("start"), F.shiftright("pack", 16).bitwiseAND(F.lit(0xFF)).alias("n_words"))
+    places = materialize(places.groupBy("row_id").agg(F.collect_set(F.struct("start", "n_words")).alias("places")), "unsure-places")
     small = places.count() <= BROADCAST_IDS
     texts = source.join(F.broadcast(places.select("row_id")) if small else places.select("row_id"), "row_id", "left_semi").dropDuplicates(["row_id"]).join(places, "row_id")
     windows = materialize(texts.mapInPandas(_windows(least), "row_id long, start long, hash long"), "unsure-windows")
     twice = windows.groupBy("hash").agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     proven = join_groups(windows, materialize(twice.drop("hi"), "repeated-windows"), "hash", "n").groupBy("row_id", "start").agg(F.min("lo").alias("lo"))
-    short = unsure.join(proven, ["row_id", "start"]).drop("lo")
+    short = unsure.join(proven.withColumnRenamed("start", "rare_start"), ["row_id", "rare_start"]).drop("lo")
     both = long.unionByName(short)
     return both.select(F.col("row_id").alias(row_id), F.col("start").alias("start_word"), "n_words", F.col("first_id"), "kept")
 
