@@ -6,27 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kadastra import constants as C
+from kadastra.functions import once
 
 
 def parse_number(text: Column) -> Column:
     """The first number of a text as a double; spaces part thousands, a comma the decimals."""
-    raw = F.regexp_replace(F.regexp_extract(F.translate(text, "\u00a0", " "), r"(\d[\d\s .,]*)", 1), " ", "")
-    raw = F.trim(raw)
-    commas, dots = F.length(raw) - F.length(F.replace(raw, F.lit(","), F.lit(""))), F.length(raw) - F.length(F.replace(raw, F.lit("."), F.lit("")))
-    no_dots, no_commas = F.replace(raw, F.lit("."), F.lit("")), F.replace(raw, F.lit(","), F.lit(""))
-    fixed = (
-        F.when((commas > 0) & (dots > 0), F.replace(no_dots, F.lit(","), F.lit(".")))
-        .when(commas > 1, no_commas)
-        .when(commas == 1, F.replace(raw, F.lit(","), F.lit(".")))
-        .when((dots == 1) & raw.rlike(r"^\d{0,3}\.\d{3}$"), no_dots)
-        .when(dots > 1, no_dots)
-        .otherwise(raw)
-    )
-    return F.when(fixed.rlike(r"^\d+\.?\d*$"), fixed.cast("double"))
+    def read(raw: Column) -> Column:
+        commas, dots = F.length(raw) - F.length(F.replace(raw, F.lit(","), F.lit(""))), F.length(raw) - F.length(F.replace(raw, F.lit("."), F.lit("")))
+        no_dots, no_commas = F.replace(raw, F.lit("."), F.lit("")), F.replace(raw, F.lit(","), F.lit(""))
+        return (
+            F.when((commas > 0) & (dots > 0), F.replace(no_dots, F.lit(","), F.lit(".")))
+            .when(commas > 1, no_commas)
+            .when(commas == 1, F.replace(raw, F.lit(","), F.lit(".")))
+            .when((dots == 1) & raw.rlike(r"^\d{0,3}\.\d{3}$"), no_dots)
+            .when(dots > 1, no_dots)
+            .otherwise(raw)
+        )
+
+    raw = F.trim(F.regexp_replace(F.regexp_extract(F.translate(text, "\u00a0", " "), r"(\d[\d\s .,]*)", 1), " ", ""))
+    return once(once(raw, read), lambda x: F.when(x.rlike(r"^\d+\.?\d*$"), x.cast("double")))
 
 
 def _group(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), pattern, group), F.lit(""))
+    return once(F.regexp_extract(F.coalesce(text, F.lit("")), pattern, group), lambda x: F.nullif(x, F.lit("")))
 
 
 def area(text: Column) -> Column:

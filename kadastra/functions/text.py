@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kadastra import constants as C
+from kadastra.functions import once
 
 
 def _accents() -> tuple[str, str]:
@@ -73,12 +74,15 @@ def shingle_hash(text: Column) -> Column:
     k = C.SHINGLE_WORDS
 
     def of(words: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))
-        top = F.slice(F.array_sort(F.array_distinct(grams)), 1, C.SHINGLES_KEPT)
+        n = F.greatest(F.size(words) - k + 1, F.lit(0))
+        grams = F.slice(words, 1, n)
+        for j in range(2, k + 1):  # each word joined with the next ones, in time linear in the text
+            grams = F.zip_with(grams, F.slice(words, j, n), lambda x, y: F.concat_ws(" ", x, y))
+        top = F.slice(F.sort_array(F.array_distinct(grams)), 1, C.SHINGLES_KEPT)
         return F.when(F.size(words) >= C.MIN_SHINGLE_WORDS, digest(F.array_join(top, "|")))
 
     words = F.filter(F.split(norm_key(text), " "), lambda w: w != "")
-    return F.get(F.transform(F.array(words), of), 0)  # a lambda's argument is computed once, not once per shingle
+    return once(words, of)
 
 
 def truncate(text: Column, limit: int = 220) -> Column:

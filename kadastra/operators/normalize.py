@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kadastra import constants as C
-from kadastra.functions import dates, numbers, phones, text
+from kadastra.functions import dates, numbers, once, phones, text
 
 _S, _D, _I = T.StringType(), T.DoubleType(), T.IntegerType()
 RAW = T.StructType(
@@ -42,10 +42,9 @@ def normalize(raw: DataFrame, now: Column, key: str = "kadastra", regions: list[
     kind = F.when(c("property_type").isNotNull() & (c("property_type") != "inne"), c("property_type")).otherwise(text.property_type(both(800)))
     rows = rows.withColumn("kind", F.coalesce("kind", F.lit("nieruchomosc"))).withColumn("property_type", kind)
     land = c("property_type").isin(*C.LAND_TYPES)
-    size = pick(c("area"), numbers.area(both(1500)))
-    size = F.when(numbers.plausible_area(size, c("property_type")), size).otherwise(F.when(numbers.plausible_area(numbers.area(c("title")), c("property_type")), numbers.area(c("title"))))
-    plot = pick(c("plot_area"), numbers.plot_area(both(2500)))
-    plot = F.when(plot.between(1, 20_000_000), plot)
+    fits = lambda v: F.when(numbers.plausible_area(v, c("property_type")), v)
+    size = F.coalesce(once(pick(c("area"), numbers.area(both(1500))), fits), once(numbers.area(c("title")), fits))
+    plot = once(pick(c("plot_area"), numbers.plot_area(both(2500))), lambda v: F.when(v.between(1, 20_000_000), v))
     rows = rows.withColumn("area", size).withColumn("plot_area", plot)
     rows = rows.withColumn("area", F.when(land & c("plot_area").isNotNull(), F.greatest("area", "plot_area")).otherwise(c("area"))).withColumn("plot_area", F.when(land & c("area").isNotNull(), c("area")).otherwise(c("plot_area")))
     price = F.when(numbers.plausible_price(c("price")), c("price"))

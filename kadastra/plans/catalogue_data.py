@@ -60,7 +60,7 @@ g as (select doc_id, len(w) as n, list_transform(range(1, len(w) - 3), lambda i:
 h as (select doc_id, sha1(array_to_string(list_sort(list_distinct(grams))[1:64], '|') || '|') as h from g)
 select h as shingle, min(doc_id) as first_id, count(*) as copies from h group by h having count(*) > 1""")
 def _(spark, sf_dir):
-    made = table(spark, sf_dir, "documents").select("doc_id", text.shingle_hash(F.col("text")).alias("shingle")).where("shingle is not null")
+    made = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_compact(F.array(text.shingle_hash(F.col("text"))))).alias("shingle"))  # a filter would compute it twice
     return made.groupBy("shingle").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
 
 
