@@ -4,7 +4,7 @@ A gear hash rolls over the bytes of a text's words; a chunk ends after a word wh
 RADIUS neighbours on each side. So cuts depend on a few words around them only, and an insertion shifts nothing else.
 Chunks are counted by digest over all documents; a run of neighbouring chunks that other documents hold too is a
 repeated passage. Chunks inside a passage cover it but for a few words at its ends; where these decide whether it is
-longer than MIN_WORDS - 1, windows of MIN_WORDS words around the run's rarest chunk are compared exactly.
+longer than MIN_WORDS - 1, windows of MIN_WORDS words around each of the run's chunks are compared exactly.
 """
 
 from __future__ import annotations
@@ -94,15 +94,15 @@ def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Runs of neighbouring repeated chunks, of a partition sorted by document and pack."""
 
     def of(f: pd.DataFrame) -> pd.DataFrame:
-        ids, pack, first, often = (f[c].to_numpy(np.int64) for c in ("row_id", "pack", "first_id", "n"))
+        ids, pack, first = (f[c].to_numpy(np.int64) for c in ("row_id", "pack", "first_id"))
         start, n = pack >> 24, pack >> 16 & 0xFF
         new = np.r_[True, (ids[1:] != ids[:-1]) | (start[1:] != start[:-1] + n[:-1])]
         at = np.flatnonzero(new)
         end = np.r_[at[1:] - 1, len(ids) - 1]
-        order = np.lexsort((pack, often, np.cumsum(new)))  # of each run the rarest chunk comes first
-        rare = order[at]
+        asked = [x.tolist() for x in np.split(f["digest"].to_numpy(np.int64), at[1:])]
+        asked_at = [x.tolist() for x in np.split(start, at[1:])]
         later = np.add.reduceat((first != ids).astype(np.int64), at)
-        return pd.DataFrame({"row_id": ids[at], "digest": f["digest"].to_numpy()[rare], "rare_start": start[rare], "start": start[at], "n_words": start[end] + n[end] - start[at], "before": pack[at] >> 8 & 0xFF, "after": pack[end] & 0xFF, "first_id": np.minimum.reduceat(first, at), "kept": later == 0})
+        return pd.DataFrame({"row_id": ids[at], "digests": asked, "starts": asked_at, "start": start[at], "n_words": start[end] + n[end] - start[at], "before": pack[at] >> 8 & 0xFF, "after": pack[end] & 0xFF, "first_id": np.minimum.reduceat(first, at), "kept": later == 0})
 
     held = None
     for f in frames:
@@ -149,11 +149,11 @@ def repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id", least:
     groups = materialize(groups.where("first_id < last_id").drop("last_id"), "repeated-chunks")
     found = materialize(join_groups(chunks, groups, "digest", "n").select("digest", "row_id", "pack", "first_id", "n"), "repeated-places")
     spans = found.dropDuplicates(["row_id", "pack"]).repartition("row_id").sortWithinPartitions("row_id", "pack")
-    runs = materialize(spans.mapInPandas(_runs, "row_id long, digest long, rare_start long, start long, n_words long, before long, after long, first_id long, kept boolean"), "repeated-runs")
+    runs = materialize(spans.mapInPandas(_runs, "row_id long, digests array<long>, starts array<long>, start long, n_words long, before long, after long, first_id long, kept boolean"), "repeated-runs")
     long = runs.where(F.col("n_words") >= least)
 
     unsure = runs.where((F.col("n_words") < least) & (F.col("n_words") + F.col("before") + F.col("after") + sum(SLACK) >= least))
-    heads = unsure.groupBy("digest").agg(F.count("*").alias("n_unsure"))
+    heads = unsure.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n_unsure"))
     marked = groups.join(heads, "digest", "left").select("digest", "n", F.col("n_unsure").isNotNull().alias("asked"))
     places = join_groups(found.drop("first_id", "n"), marked, "digest", "n").where("asked").select("row_id", F.shiftright("pack", 24).alias("start"), F.shiftright("pack", 16).bitwiseAND(F.lit(0xFF)).alias("n_words"))
     places = materialize(places.groupBy("row_id").agg(F.collect_set(F.struct("start", "n_words")).alias("places")), "unsure-places")
@@ -162,8 +162,9 @@ def repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id", least:
     windows = materialize(texts.mapInPandas(_windows(least), "row_id long, start long, hash long"), "unsure-windows")
     twice = windows.groupBy("hash").agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     proven = join_groups(windows, materialize(twice.drop("hi"), "repeated-windows"), "hash", "n").groupBy("row_id", "start").agg(F.min("lo").alias("lo"))
-    short = unsure.join(proven.withColumnRenamed("start", "rare_start"), ["row_id", "rare_start"]).drop("lo")
-    both = long.unionByName(short)
+    asked = unsure.select("row_id", "start", F.explode("starts").alias("asked_start"))
+    sure = asked.join(proven.select("row_id", F.col("start").alias("asked_start")), ["row_id", "asked_start"]).select("row_id", "start").distinct()
+    both = long.unionByName(unsure.join(sure, ["row_id", "start"], "left_semi"))
     return both.select(F.col("row_id").alias(row_id), F.col("start").alias("start_word"), "n_words", F.col("first_id"), "kept")
 
 
