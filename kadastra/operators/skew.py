@@ -1,8 +1,10 @@
-"""Joins in which a few keys may hold most rows."""
+"""Joins in which a few keys may hold most rows, and the folder in which lineage is cut."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Groups holding more than one in this many rows count as hot; so there are fewer hot groups than this.
@@ -23,3 +25,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     in_hot = rows.join(F.broadcast(hot), key)
     in_cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return in_hot.unionByName(in_cold)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Without one, a session on one machine
+    gets a folder of its own; on a cluster that would be one folder per machine, so it has to be set there."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found

@@ -11,6 +11,7 @@ from kadastra import constants as C
 from kadastra.functions import text
 from kadastra.operators import duplicates, places, repair, search, upsert
 from kadastra.operators.search import Filters
+from kadastra.operators.skew import shared_dir
 from kadastra.plans.views import LISTINGS_SQL, NOW, listings, table
 from kadastra.sources import export
 
@@ -35,12 +36,10 @@ def now():
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the folder of the session, or in one of our own where none is set."""
-    import tempfile
-
+    """Cut lineage by a reliable checkpoint in the shared folder of the session."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
