@@ -2,9 +2,14 @@
 
 A gear hash rolls over the bytes of a text's words; a chunk ends after a word whose hash is the smallest among its
 RADIUS neighbours on each side. So cuts depend on a few words around them only, and an insertion shifts nothing else.
-Chunks are counted by digest over all documents; a run of neighbouring chunks that other documents hold too is a
-repeated passage. Chunks inside a passage cover it but for a few words at its ends; where these decide whether it is
-longer than MIN_WORDS - 1, windows of MIN_WORDS words around each of the run's chunks are compared exactly.
+Chunks are counted by digest over all documents. Each repeated chunk knows its first document and its place there:
+
+* neighbouring chunks of a document that are neighbours in one first document too make a part; a part of MIN_WORDS words
+  or more is a passage of both documents;
+* chunks in no such part, in a run of repeated chunks that could hold a passage, are asked about: the windows of
+  MIN_WORDS words around them and around all their other places are compared by two 64-bit hashes.
+
+So a passage is never put together from chunks that different documents hold, and no chunk is believed alone.
 """
 
 from __future__ import annotations
@@ -14,31 +19,41 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kadastra.llm.common import materialize
+from kadastra.llm.common import free_name, materialize
 from kadastra.operators.skew import join_groups
 
 #: Repeated passages have at least this many words.
 MIN_WORDS = 51
 #: Neighbours on each side that the hash at a cut has to undercut, and the longest chunk, in words.
 RADIUS, LONGEST = 3, 32
-#: The hash sees 2**DOUBLINGS bytes.
+#: The hash sees 2**DOUBLINGS bytes, which are 2**(DOUBLINGS - 1) words at most.
 DOUBLINGS = 4
-#: Words at the start and end of a passage whose cuts may differ by what the hash and the neighbours see beyond them.
-SLACK = (6, RADIUS)
-#: Ids that are broadcast at most (8 bytes each).
-BROADCAST_IDS = 1_000_000
+#: Words at both ends of a passage in which cuts may differ by what the hash and the neighbours see beyond them.
+SLACK = 2 * RADIUS + (1 << (DOUBLINGS - 1))
+#: Places that are broadcast at most (about 40 bytes each).
+BROADCAST_PLACES = 1_000_000
 
 GEAR = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Odd multipliers of the two hashes of stretches of words; the first one makes the digests of chunks.
+FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+ROW = "row_id long, k int"
+CHUNK = f"digest long, {ROW}, pack long"
+RUN = f"{ROW}, chunks array<struct<digest:bigint,start:bigint,n_words:bigint,asked:boolean>>, parts array<struct<start:bigint,n_words:bigint,first_id:bigint,first_k:int,first_start:bigint>>"
+
 
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").split()
 
-def cuts(words: list[bytes]) -> np.ndarray:
-    """Numbers of words that start a chunk, with the number of words at the end."""
+
+def cuts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words that start a chunk, with the number of words at the end; and those of them that the hash alone chose."""
     n = len(words)
     if not n:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int64), np.zeros(1, np.int64)
     data = GEAR[np.frombuffer(b" ".join(words), np.uint8)]
     for k in range(DOUBLINGS):
         step = 1 << k
@@ -51,37 +66,54 @@ def cuts(words: list[bytes]) -> np.ndarray:
         low[:-k] &= mixed[:-k] <= mixed[k:]  # of equal ones the first, as in a row of one word
     low[:RADIUS], low[n - RADIUS :] = False, False
     starts = np.r_[0, np.flatnonzero(low) + 1, n]
-    gaps = np.diff(starts)
-    if gaps.max() > LONGEST:
-        pieces = []
-        for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
-            inner = [a, b]
-            if b - a > LONGEST:  # rows of repeated words, in which no hash undercuts its neighbours: cut where such a row starts
-                inner = [a, *(i for i in range(a + 1, b - 1) if words[i] != words[i - 1] and words[i] == words[i + 1]), b]
-            pieces += [np.arange(c, d, LONGEST) for c, d in zip(inner, inner[1:], strict=False)]
-        starts = np.concatenate([*pieces, [n]])
-    return starts
+    if np.diff(starts).max() <= LONGEST:
+        return starts, starts
+    pieces = []
+    for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+        inner = [a]
+        while b - inner[-1] > LONGEST:  # rows of repeated words: after the first smallest hash, so that all copies fall into step
+            at = inner[-1] + RADIUS
+            inner.append(at + int(mixed[at : inner[-1] + LONGEST].argmin()) + 1)
+        pieces += inner
+    return np.array([*pieces, n]), starts
+
+
+def window_hashes(words: list[bytes], factor: int) -> np.ndarray:
+    """Prefix sums from which hash_of() takes the hash of any stretch of words, alike wherever it stands."""
+    n = len(words)
+    each = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    up = np.full(n + 1, factor, np.uint64)
+    up[0] = 1
+    np.multiply.accumulate(up, out=up)
+    down = np.full(n + 1, pow(factor, -1, 1 << 64), np.uint64)
+    down[0] = 1
+    np.multiply.accumulate(down, out=down)
+    return np.stack([np.r_[np.zeros(1, np.uint64), np.cumsum(each * down[:-1], dtype=np.uint64)], up])
+
+
+def hash_of(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((sums[0][b] - sums[0][a]) * sums[1][a]).view(np.int64)
 
 
 def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Digest, document, and packed: first word, words, words of the chunk before and after."""
-    digest = xxhash.xxh64_intdigest
+    """Digest, document, and packed: first word, words, and words between the chunk and the next cuts that the hash chose."""
 
     def out(parts):
-        hashes, ids, packs = zip(*parts, strict=True)
-        return pd.DataFrame({"digest": np.concatenate(hashes).view(np.int64), "row_id": np.concatenate(ids), "pack": np.concatenate(packs)})
+        hashes, ids, ks, packs = zip(*parts, strict=True)
+        return pd.DataFrame({"digest": np.concatenate(hashes), "row_id": np.concatenate(ids), "k": np.concatenate(ks), "pack": np.concatenate(packs)})
 
     parts, held = [], 0
     for f in frames:
-        for row_id, text in zip(f["row_id"], f["text"], strict=True):
-            words = text.encode("utf-8", "surrogatepass").split()
+        for row_id, k, text in zip(f["row_id"], f["k"], f["text"], strict=True):
+            words = words_of(text)
             if not words:
                 continue
-            at = cuts(words)
+            at, true = cuts(words)
             n = np.diff(at)
-            hashes = np.array([digest(b" ".join(words[a:b])) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)], np.uint64)
-            pack = (at[:-1] << 24) | (n << 16) | (np.r_[0, n[:-1]] << 8) | np.r_[n[1:], 0]
-            parts.append((hashes, np.full(len(n), row_id, np.int64), pack))
+            before = at[:-1] - true[np.maximum(np.searchsorted(true, at[:-1], "left") - 1, 0)]
+            after = true[np.minimum(np.searchsorted(true, at[1:], "right"), len(true) - 1)] - at[1:]
+            pack = (at[:-1] << 24) | (n << 16) | (np.minimum(before, 255) << 8) | np.minimum(after, 255)
+            parts.append((hash_of(window_hashes(words, FACTORS[0]), at[:-1], at[1:]), np.full(len(n), row_id, np.int64), np.full(len(n), k, np.int32), pack))
             held += len(n)
             if held > 100_000:
                 yield out(parts)
@@ -90,98 +122,179 @@ def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out(parts)
 
 
-def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs of neighbouring repeated chunks, of a partition sorted by document and pack."""
+def _runs(least: int):
+    """Runs of neighbouring repeated chunks that could hold a passage, of a partition sorted by document and pack."""
 
     def of(f: pd.DataFrame) -> pd.DataFrame:
-        ids, pack, first = (f[c].to_numpy(np.int64) for c in ("row_id", "pack", "first_id"))
-        start, n = pack >> 24, pack >> 16 & 0xFF
-        new = np.r_[True, (ids[1:] != ids[:-1]) | (start[1:] != start[:-1] + n[:-1])]
-        at = np.flatnonzero(new)
-        end = np.r_[at[1:] - 1, len(ids) - 1]
-        asked = [x.tolist() for x in np.split(f["digest"].to_numpy(np.int64), at[1:])]
-        asked_at = [x.tolist() for x in np.split(start, at[1:])]
-        later = np.add.reduceat((first != ids).astype(np.int64), at)
-        return pd.DataFrame({"row_id": ids[at], "digests": asked, "starts": asked_at, "start": start[at], "n_words": start[end] + n[end] - start[at], "before": pack[at] >> 8 & 0xFF, "after": pack[end] & 0xFF, "first_id": np.minimum.reduceat(first, at), "kept": later == 0})
-
-    held = None
-    for f in frames:
-        if f.empty:
-            continue
-        f = f if held is None else pd.concat([held, f], ignore_index=True)
-        same = f["row_id"] == f["row_id"].iloc[-1]  # the last document may go on in the next batch
-        if not same.all():
-            yield of(f[~same])
-        held = f[same].reset_index(drop=True)
-    if held is not None:
-        yield of(held)
+        ids, k, pack, first, first_k, first_at = (f[c].to_numpy(np.int64) for c in ("row_id", "k", "pack", "first_id", "first_k", "first_pack"))
+        twice = np.r_[False, (ids[1:] == ids[:-1]) & (k[1:] == k[:-1]) & (pack[1:] == pack[:-1])]  # repeated rows
+        if twice.any():
+            f = f[~twice]
+            ids, k, pack, first, first_k, first_at = (x[~twice] for x in (ids, k, pack, first, first_k, first_at))
+        digest = f["digest"].to_numpy(np.int64)
+        start, n, there = pack >> 24, pack >> 16 & 0xFF, first_at >> 24
+        new = np.r_[True, (ids[1:] != ids[:-1]) | (k[1:] != k[:-1]) | (start[1:] != start[:-1] + n[:-1])]
+        part = new | np.r_[True, (first[1:] != first[:-1]) | (first_k[1:] != first_k[:-1]) | (there[1:] != there[:-1] + n[:-1])]
+        own = (first == ids) & (first_k == k)
+        size = np.add.reduceat(n, np.flatnonzero(part))
+        proven = (size >= least) & ~own[part]
+        asked = ~proven[np.cumsum(part) - 1]
+        run_at, part_at = np.flatnonzero(new), np.flatnonzero(part)
+        run_end, part_end = np.r_[run_at[1:], len(ids)], np.r_[part_at[1:], len(ids)]
+        able = np.add.reduceat(n, run_at) + (pack[run_at] >> 8 & 0xFF) + (pack[run_end - 1] & 0xFF) + SLACK >= least
+        rows = []
+        for a, b, ok in zip(run_at.tolist(), run_end.tolist(), able.tolist(), strict=True):
+            if ok:
+                p, q = np.searchsorted(part_at, [a, b])
+                parts = [(int(start[part_at[i]]), int(size[i]), int(first[part_at[i]]), int(first_k[part_at[i]]), int(there[part_at[i]])) for i in range(p, q) if proven[i]]
+                chunks = list(zip(digest[a:b].tolist(), start[a:b].tolist(), n[a:b].tolist(), asked[a:b].tolist(), strict=True))
+                rows.append((ids[a], k[a], chunks, parts))
+        return pd.DataFrame(rows, columns=["row_id", "k", "chunks", "parts"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for f in frames:
+            if f.empty:
+                continue
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
+            same = (f["row_id"] == f["row_id"].iloc[-1]) & (f["k"] == f["k"].iloc[-1])  # the last document may go on in the next batch
+            if not same.all():
+                yield of(f[~same])
+            held = f[same].reset_index(drop=True)
+        if held is not None:
+            yield of(held)
+
+    return run
 
 
 def _windows(least: int):
-    """Hashes of all windows of ``least`` words that hold the chunk at a place (first word and number of words)."""
+    """Hashes of all windows of ``least`` words that hold one of the chunks at ``places`` (first word and number of words)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for row_id, text, places in zip(f["row_id"], f["text"], f["places"], strict=True):
-                words = text.encode("utf-8", "surrogatepass").split()
+            for row_id, k, text, places in zip(f["row_id"], f["k"], f["text"], f["places"], strict=True):
+                words = words_of(text)
+                wanted = np.zeros(max(len(words) - least + 1, 0), bool)
                 for place in places:
-                    start, n = place["start"], place["n_words"]
-                    for s in range(max(0, start + n - least), min(start, len(words) - least) + 1):
-                        out.append((row_id, start, xxhash.xxh64_intdigest(b" ".join(words[s : s + least])) - (1 << 63)))
+                    wanted[max(0, place["start"] + place["n_words"] - least) : place["start"] + 1] = True
+                at = np.flatnonzero(wanted)
+                if len(at):
+                    one, two = (hash_of(window_hashes(words, x), at, at + least) for x in FACTORS)
+                    out.append(pd.DataFrame({"hash": one, "check": two, "row_id": np.int64(row_id), "k": np.int32(k), "start": at}))
             if out:
-                yield pd.DataFrame(out, columns=["row_id", "start", "hash"])
+                yield pd.concat(out, ignore_index=True)
 
     return run
 
 
+def _spans(least: int):
+    """Stretches of one document and first document joined where no window of ``least`` words is new, of a partition sorted by
+    these and the first word."""
+    keys = ["row_id", "k", "first_id", "first_k"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list | None = None
+        for f in frames:
+            out = []
+            for *key, start, n in f[[*keys, "start", "n_words"]].itertuples(index=False):
+                if held is not None and key == held[0] and (start + n <= held[2] or start + least <= held[2] + 1):
+                    held[2] = max(held[2], start + n)
+                    continue
+                if held is not None:
+                    out.append((*held[0], held[1], held[2] - held[1]))
+                held = [key, start, start + n]
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, "start", "n_words"])
+        if held is not None:
+            yield pd.DataFrame([(*held[0], held[1], held[2] - held[1])], columns=[*keys, "start", "n_words"])
+
+    return run
+
+
+def keys_of(text: str, row_id: str) -> tuple[Column, Column]:
+    """What tells documents apart: the id, or a hash of the text where it is null, and 31 bits of another hash, negative where
+    the id is null."""
+    other = F.xxhash64(F.lit("other"), F.col(text)).bitwiseAND(F.lit((1 << 31) - 1))
+    return F.coalesce(F.col(row_id).cast("long"), F.xxhash64(text)), F.when(F.col(row_id).isNull(), -1 - other).otherwise(other).cast("int")
+
+
+def documents_of(docs: DataFrame, text: str, row_id: str) -> DataFrame:
+    """row_id, k (see keys_of) and text of all rows that have a text."""
+    own, k = keys_of(text, row_id)
+    return docs.where(F.col(text).isNotNull()).select(own.alias("row_id"), k.alias("k"), F.col(text).alias("text"))
+
+
+def passages(docs: DataFrame, text: str = "text", row_id: str = "doc_id", least: int = MIN_WORDS) -> DataFrame:
+    """What repeats() tells, by the documents' inner keys: row_id, k, start, n_words, first_id, first_k."""
+    source = documents_of(docs, text, row_id)
+    chunks = materialize(source.mapInPandas(_chunks, CHUNK), "chunks")
+    counts = chunks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    found = join_groups(chunks, materialize(counts, "repeated-chunks"), "digest", "n")
+    found = materialize(found, "repeated-places")
+    here = F.struct("row_id", "k", "pack")
+    groups = found.groupBy("digest").agg(F.min(here).alias("first"), F.max(F.struct("row_id", "k")).alias("last"), F.max("n").alias("n"))
+    groups = groups.where("first.row_id < last.row_id or first.k < last.k").select("digest", "n", F.col("first.row_id").alias("first_id"), F.col("first.k").alias("first_k"), F.col("first.pack").alias("first_pack"))
+    placed = join_groups(found.drop("n"), materialize(groups, "first-places"), "digest", "n").drop("n")
+    runs = materialize(placed.repartition("row_id", "k").sortWithinPartitions("row_id", "k", "pack").mapInPandas(_runs(least), RUN), "repeated-runs")
+
+    parts = runs.select("row_id", "k", F.explode("parts").alias("p")).select("row_id", "k", "p.*")
+    later = parts.select("row_id", "k", "start", "n_words", "first_id", "first_k")
+    earlier = parts.select(F.col("first_id").alias("row_id"), F.col("first_k").alias("k"), F.col("first_start").alias("start"), "n_words", "first_id", "first_k").distinct()
+
+    places = runs.select("row_id", "k", F.explode("chunks").alias("c")).select("row_id", "k", "c.*")
+    asked = places.groupBy("digest").agg(F.count("*").alias("n"), F.max("asked").alias("asked"))
+    places = join_groups(places.drop("asked"), materialize(asked.where("asked and n > 1").drop("asked"), "asked-chunks"), "digest", "n")
+    places = materialize(places.groupBy("row_id", "k").agg(F.collect_set(F.struct("start", "n_words")).alias("places")), "asked-places")
+    few = (places.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES
+    texts = source.join(F.broadcast(places) if few else places, ["row_id", "k"])
+    windows = materialize(texts.mapInPandas(_windows(least), f"hash long, check long, {ROW}, start long"), "asked-windows")
+    who = F.struct("row_id", "k")
+    twice = windows.groupBy("hash", "check").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    twice = twice.select("hash", F.col("check").alias("of_check"), F.col("lo.row_id").alias("first_id"), F.col("lo.k").alias("first_k"), "n")
+    proven = join_groups(windows, materialize(twice, "repeated-windows"), "hash", "n").where("check = of_check").select("row_id", "k", "start", F.lit(least).cast("long").alias("n_words"), "first_id", "first_k")
+
+    both = later.unionByName(earlier).unionByName(proven)
+    return both.repartition("row_id", "k", "first_id").sortWithinPartitions("row_id", "k", "first_id", "first_k", "start", "n_words").mapInPandas(_spans(least), f"{ROW}, first_id long, first_k int, start long, n_words long")
+
+
 def repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id", least: int = MIN_WORDS) -> DataFrame:
     """Passages of at least ``least`` words that two or more documents share: row id, start_word, n_words, first_id, kept.
 
-    start_word and n_words tell the chunks of the passage (its ends may lie a few words further out); first_id is the
-    smallest id that holds one of these chunks, and kept says that no earlier document holds any. Words are what ASCII
-    white space separates, taken as they are. Repetition within one id does not count; rows with a null id or text are left out,
-    and repeated rows count as one document. An empty table gives an empty result; other columns are not read.
+    Every stretch of ``least`` words of a passage stands in the first document too, and first_id is its id: the smallest of
+    those that hold the passage; kept says that it is the row's own document. Passages of a row with different first
+    documents are rows of their own, and may overlap. start_word and n_words tell the chunks or windows that prove the
+    passage; its ends may lie a few words further out. Words are what ASCII white space separates, taken as they are.
+
+    Rows with one id and different texts are different documents, and so are rows without an id (in the result the id and
+    first_id are null; they come in the order of a hash). Repeated rows count as one document, and repetition within a
+    document does not count. Null texts hold nothing. An empty table gives an empty result; other columns are not read.
     """
-    source = docs.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"))
-    chunks = materialize(source.mapInPandas(_chunks, "digest long, row_id long, pack long"), "chunks")
-    groups = chunks.groupBy("digest").agg(F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"), F.count("*").alias("n"))
-    groups = materialize(groups.where("first_id < last_id").drop("last_id"), "repeated-chunks")
-    found = materialize(join_groups(chunks, groups, "digest", "n").select("digest", "row_id", "pack", "first_id", "n"), "repeated-places")
-    spans = found.dropDuplicates(["row_id", "pack"]).repartition("row_id").sortWithinPartitions("row_id", "pack")
-    runs = materialize(spans.mapInPandas(_runs, "row_id long, digests array<long>, starts array<long>, start long, n_words long, before long, after long, first_id long, kept boolean"), "repeated-runs")
-    long = runs.where(F.col("n_words") >= least)
-
-    unsure = runs.where((F.col("n_words") < least) & (F.col("n_words") + F.col("before") + F.col("after") + sum(SLACK) >= least))
-    heads = unsure.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n_unsure"))
-    marked = groups.join(heads, "digest", "left").select("digest", "n", F.col("n_unsure").isNotNull().alias("asked"))
-    places = join_groups(found.drop("first_id", "n"), marked, "digest", "n").where("asked").select("row_id", F.shiftright("pack", 24).alias("start"), F.shiftright("pack", 16).bitwiseAND(F.lit(0xFF)).alias("n_words"))
-    places = materialize(places.groupBy("row_id").agg(F.collect_set(F.struct("start", "n_words")).alias("places")), "unsure-places")
-    small = places.count() <= BROADCAST_IDS
-    texts = source.join(F.broadcast(places.select("row_id")) if small else places.select("row_id"), "row_id", "left_semi").dropDuplicates(["row_id"]).join(places, "row_id")
-    windows = materialize(texts.mapInPandas(_windows(least), "row_id long, start long, hash long"), "unsure-windows")
-    twice = windows.groupBy("hash").agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    proven = join_groups(windows, materialize(twice.drop("hi"), "repeated-windows"), "hash", "n").groupBy("row_id", "start").agg(F.min("lo").alias("lo"))
-    asked = unsure.select("row_id", "start", F.explode("starts").alias("asked_start"))
-    sure = asked.join(proven.select("row_id", F.col("start").alias("asked_start")), ["row_id", "asked_start"]).select("row_id", "start").distinct()
-    both = long.unionByName(unsure.join(sure, ["row_id", "start"], "left_semi"))
-    return both.select(F.col("row_id").alias(row_id), F.col("start").alias("start_word"), "n_words", F.col("first_id"), "kept")
+    named = lambda i, k, name: F.when(F.col(k) >= 0, F.col(i)).alias(name)
+    kept = (F.col("first_id") == F.col("row_id")) & (F.col("first_k") == F.col("k"))
+    return passages(docs, text, row_id, least).select(named("row_id", "k", row_id), F.col("start").alias("start_word"), "n_words", named("first_id", "first_k", "first_id"), kept.alias("kept"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id", least: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the passages cut out that an earlier document holds; documents without any are left as they are."""
-    spans = repeats(docs, text, row_id, least).where(~F.col("kept")).groupBy(F.col(row_id).alias("__of")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("__spans"))
-    marked = docs.join(spans, F.col(row_id) == F.col("__of"), "left").drop("__of")
+    own_id, own_k, cut = (free_name(docs, c) for c in ("row_of_cut", "k_of_cut", "cuts"))
+    gone = passages(docs, text, row_id, least).where("first_id <> row_id or first_k <> k")
+    gone = gone.groupBy(F.col("row_id").alias(own_id), F.col("k").alias(own_k)).agg(F.collect_list(F.struct("start", "n_words")).alias(cut))
+    key, k = keys_of(text, row_id)
+    marked = docs.withColumns({own_id: key, own_k: k}).join(gone, [own_id, own_k], "left").drop(own_id, own_k)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for t, cut in zip(f[text], f["__spans"], strict=True):
-                if cut is not None and len(cut):
-                    gone = {i for s in cut for i in range(s["start_word"], s["start_word"] + s["n_words"])}
-                    t = b" ".join(w for i, w in enumerate(t.encode("utf-8", "surrogatepass").split()) if i not in gone).decode("utf-8", "surrogatepass")
+            for t, spans in zip(f[text], f[cut], strict=True):
+                if spans is not None and len(spans):
+                    words = words_of(t)
+                    left = np.ones(len(words), bool)
+                    for s in spans:
+                        left[s["start"] : s["start"] + s["n_words"]] = False
+                    t = b" ".join(words[i] for i in np.flatnonzero(left)).decode("utf-8", "surrogatepass")
                 out.append(t)
-            yield f.drop(columns="__spans").assign(**{text: out})
+            yield f.drop(columns=cut).assign(**{text: out})
 
     return marked.mapInPandas(run, docs.schema)
 

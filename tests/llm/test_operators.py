@@ -415,7 +415,37 @@ def repeated_documents(rows, least=substring_dedup.MIN_WORDS):
 def test_substring_dedup_against_brute_force(spark, corpus):
     got = {r.doc_id for r in substring_dedup.repeats(corpus).collect()}
     want = repeated_documents([(r.doc_id, r.text) for r in corpus.collect()])
-    assert len(got ^ want) <= 0.01 * len(want) and want
+    assert got == want and want
+
+
+def test_substring_dedup_of_ids_that_do_not_tell_documents_apart(spark):
+    """Rows without an id, with one id and different texts, and repeated rows; copies and passages mixed."""
+    a, b, c = words(1, 90), words(2, 60), words(3, 70)
+    rows = [(None, a + " " + words(4, 40)), (None, words(5, 40) + " " + a), (5, b + " " + words(6, 30)), (5, words(7, 30) + " " + b), (6, words(8, 80)), (6, words(8, 80)), (7, a + " " + c), (8, a + " " + c)]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
+    got = substring_dedup.repeats(docs).collect()
+    assert {r.doc_id for r in got} == {None, 5, 7, 8}
+    assert sum(r.kept for r in got if r.doc_id == 5) == 1 and sum(not r.kept for r in got if r.doc_id == 5) == 1
+    left = [r.text for r in substring_dedup.remove_repeats(docs).collect()]
+    for passage in (a, b, c):  # each stays in one document, but for a few words at its ends
+        inner = " ".join(passage.split()[12:-12])
+        assert sum(inner in t for t in left) == 1
+    assert left.count(words(8, 80)) == 2
+
+
+def test_passages_of_different_documents_make_no_passage_together(spark):
+    """Thirty words of one document beside thirty of another are no passage of sixty."""
+    x, y = words(11, 30), words(12, 30)
+    rows = [(1, words(13, 60) + " " + x + " " + words(14, 50)), (2, words(15, 60) + " " + y + " " + words(16, 50)), (3, words(17, 40) + " " + x + " " + y + " " + words(18, 40))]
+    assert not substring_dedup.repeats(documents(spark, [(i, t, "en", "a") for i, t in rows])).count()
+
+
+def test_rows_of_repeated_words_are_passages(spark):
+    rows = []
+    for k, period in enumerate((1, 2, 3, 5, 8)):
+        row = " ".join((words(50 + k, period) + " ") .strip() for _ in range(120 // period))
+        rows += [(10 * k, words(60 + k, 41 + k) + " " + row + " " + words(70 + k, 30), "en", "a"), (10 * k + 1, words(80 + k, 50 - k) + " " + row + " " + words(90 + k, 30), "en", "a")]
+    assert {r.doc_id for r in substring_dedup.repeats(documents(spark, rows)).collect()} == {r[0] for r in rows}
 
 
 def test_passages_of_all_lengths(spark):
@@ -429,10 +459,10 @@ def test_passages_of_all_lengths(spark):
 
 def test_cuts_resist_shifts():
     w = words(7, 400).encode().split()
-    own = substring_dedup.cuts(w)
-    moved = substring_dedup.cuts(words(8, 23).encode().split() + w)
+    own, _ = substring_dedup.cuts(w)
+    moved, _ = substring_dedup.cuts(words(8, 23).encode().split() + w)
     assert len({int(c) + 23 for c in own[3:]} & set(moved.tolist())) >= len(own) - 4
-    assert substring_dedup.cuts([]).tolist() == [0] and np.diff(substring_dedup.cuts([b"ha"] * 1000)).max() <= substring_dedup.LONGEST
+    assert substring_dedup.cuts([])[0].tolist() == [0] and np.diff(substring_dedup.cuts([b"ha"] * 1000)[0]).max() <= substring_dedup.LONGEST
 
 
 def test_substring_dedup_awkward(spark, odd, none):
