@@ -1,21 +1,23 @@
 """Operator 4: mixing sources to target weights by cube-method balanced sampling.
 
 Each source has a target in words. A document's expected number of copies is its source's target over its source's
-size; the whole part is taken for certain, the fraction by the cube method: in a group of three undecided documents
-the fractions are moved along the null space of the two balancing constraints (documents and words) until one of them
-reaches 0 or 1. The longest documents go first, so those left to the end are short. Groups are hash buckets of a source; what each leaves undecided (two documents at most) is balanced
-again within its source, and the last two documents of a source are landed by trying all outcomes.
+size; the whole part is taken for certain, the fraction by the cube method: the fractions of undecided documents move
+along the null space of the two balancing constraints (documents and words), up or down at random so that each fraction is
+kept on average, until one of them reaches 0 or 1. The direction is the longest undecided document's, projected into the
+null space, so long documents are decided first and the others make up for them; a few short ones are left.
 
-Texts are never shuffled; only id, source and size are.
+Documents fly in hash buckets of their source; what each bucket leaves undecided (LANDING documents at most) flies again in
+fewer buckets, round by round, until one bucket a source is left. Its last documents are landed by trying all outcomes. Texts are never shuffled; only id, source, size and a hash are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +27,10 @@ from kadastra.llm.common import materialize, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No source is taken more often than this.
 MOST = 3.0
-#: A document of over one in this many words of its source is heavy: too few others could balance it. It is decided
-#: first, and the others' fractions make up for it. A source has fewer heavy documents than this.
-HEAVY = 400
 #: Documents of one bucket, about.
 BUCKET_ROWS = 256
+#: Documents of a source that are left to landing, and the share of its target that counts as no miss in words there.
+LANDING, NEAR = 8, 0.001
 #: Sources whose totals the driver will hold; more are refused.
 MAX_SOURCES = 1_000_000
 EPS = 1e-9
@@ -53,132 +54,109 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[
     return out
 
 
-def flight(sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Move fractions through the null space of (documents, words) until two documents at most are undecided."""
-    p = p.astype(float).copy()
-    open_ = []
-    for i in range(len(p)):
-        if p[i] <= EPS or p[i] >= 1 - EPS:
-            p[i] = round(p[i])
-            continue
-        open_.append(i)
-        if len(open_) < 3:
-            continue
-        a, b, c = open_
-        u = (sizes[c] - sizes[b], sizes[a] - sizes[c], sizes[b] - sizes[a])
-        if not any(u):
-            u = (1.0, -1.0, 0.0)
-        up = min((((1 - p[k]) if v > 0 else p[k]) / abs(v)) for k, v in zip(open_, u, strict=True) if v)
-        down = min(((p[k] if v > 0 else (1 - p[k])) / abs(v)) for k, v in zip(open_, u, strict=True) if v)
-        # Deterministic and unbiased enough: the hash order of the documents is the only randomness.
-        toss = (int(sizes[a]) * 2654435761 + i * 40503 + int(sizes[c]) * 97) % 1_000_003 / 1_000_003
-        move = up if toss * (up + down) < down else -down
-        for k, v in zip(open_, u, strict=True):
-            p[k] += move * v
-            if p[k] <= EPS or p[k] >= 1 - EPS:
-                p[k] = float(round(p[k]))
-        open_ = [k for k in open_ if 0 < p[k] < 1]
+def direction(sizes: np.ndarray, p: np.ndarray, lead: int) -> np.ndarray:
+    """The unit vector of ``lead`` projected into the null space of (1, sizes), in the metric of the room p (1 - p); zero if
+    that space leaves the document no way to move."""
+    room = p * (1 - p)
+    total, first, second = room.sum(), room @ sizes, room @ (sizes * sizes)
+    spread = total * second - first * first
+    own = np.array([1.0, sizes[lead]]) * room[lead]
+    if spread > 1e-12 * total * second:
+        a, b = (second * own[0] - first * own[1]) / spread, (total * own[1] - first * own[0]) / spread
+    else:  # sizes alike: one constraint
+        a, b = own[0] / total, 0.0
+    out = -room * (a + b * sizes)
+    out[lead] += room[lead]
+    return out if abs(out[lead]) > 1e-9 * room[lead] else np.zeros(len(p))
+
+
+def flight(sizes: np.ndarray, p: np.ndarray, toss: Callable[[], float], stop: int = 2) -> np.ndarray:
+    """Move fractions through the null space of (documents, words) until ``stop`` documents at most are undecided.
+
+    Each move has two ends, one up and one down; which is taken is tossed (``toss`` gives numbers in [0, 1)) so that the
+    fractions are kept on average. Documents are looked at in the order given."""
+    p = np.where(p <= EPS, 0.0, np.where(p >= 1 - EPS, 1.0, p.astype(float)))
+    at = np.flatnonzero((p > 0) & (p < 1))
+    scale = max(float(sizes.max()), 1.0) if len(sizes) else 1.0
+    while len(at) > max(stop, 2):
+        now, s = p[at], sizes[at] / scale
+        for lead in range(len(at)):
+            u = direction(s, now, lead)
+            if u.any():
+                break
+        else:
+            break
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(u > 0, (1 - now) / u, np.where(u < 0, now / -u, np.inf)).min()
+            down = np.where(u < 0, (1 - now) / -u, np.where(u > 0, now / u, np.inf)).min()
+        now = now + (up if toss() * (up + down) < down else -down) * u
+        now = np.where(now <= EPS, 0.0, np.where(now >= 1 - EPS, 1.0, now))
+        p[at] = now
+        at = at[(now > 0) & (now < 1)]
     return p
 
 
-def land(sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Decide the few documents left (two at most after a flight): of all outcomes, the nearest in words, then in documents."""
-    open_ = [i for i in range(len(p)) if 0 < p[i] < 1]
-    words, count = sum(sizes[i] * p[i] for i in open_), sum(p[i] for i in open_)
-    best = min(product((0.0, 1.0), repeat=len(open_)), key=lambda x: (abs(sum(sizes[i] * v for i, v in zip(open_, x, strict=True)) - words), abs(sum(x) - count), x))
+def land(sizes: np.ndarray, p: np.ndarray, near: float = 0.0) -> np.ndarray:
+    """Decide the few documents left: of all outcomes, the nearest in words (misses of up to ``near`` are alike), then in documents."""
+    at = np.flatnonzero((p > 0) & (p < 1))
+    outcomes = np.array(list(product((0.0, 1.0), repeat=len(at)))).reshape(-1, len(at))
+    words = np.abs((outcomes - p[at]) @ sizes[at])
+    count = np.abs((outcomes - p[at]).sum(axis=1))
     p = p.copy()
-    for i, v in zip(open_, best, strict=True):
-        p[i] = v
+    p[at] = outcomes[np.lexsort((words, np.round(count, 9), np.maximum(words - near, 0)))[0]]
     return p
 
 
-def settle(sizes: np.ndarray, rate: float) -> np.ndarray:
-    """Copies of the heavy documents of a source, longest first: each takes up the words by which those before it missed."""
-    out, missed = np.zeros(len(sizes), np.int64), 0.0
-    for i in np.argsort(-sizes, kind="stable"):
-        missed += rate * sizes[i]
-        out[i] = min(max(round(missed / sizes[i]), np.floor(rate + EPS)), np.ceil(rate - EPS))
-        missed -= out[i] * sizes[i]
-    return out
-
-
-def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of a partition sorted by ``keys``, one at a time."""
-    held: list[pd.DataFrame] = []
-    for frame in frames:
-        if frame.empty:
-            continue
-        same = (frame[keys].eq(frame[keys].shift()) | (frame[keys].isna() & frame[keys].shift().isna())).all(axis=1)
-        same.iloc[0] = bool(held) and all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(frame[keys].iloc[0], held[-1][keys].iloc[-1], strict=True))
-        starts = [0, *np.flatnonzero(~same.to_numpy()).tolist(), len(frame)]
-        for a, b in zip(starts, starts[1:], strict=False):
-            if a == b:
-                continue
-            if not same.iloc[a] and held:
-                yield pd.concat(held, ignore_index=True)
-                held = []
-            held.append(frame.iloc[a:b])
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def _fly(keys: list[str], last: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(frames, keys):
-            sizes = group["size"].to_numpy(float)
-            p = flight(sizes, group["p"].to_numpy(float))
-            yield group.assign(p=land(sizes, p) if last else p)
+def _fly(seed: int, turn: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["size", "o", "row_id", "copy"], ascending=[False, True, True, True], ignore_index=True)
+        name = group["source"].iloc[0]
+        random = np.random.default_rng([seed, turn, int(group["bucket"].iloc[0]), xxhash.xxh64_intdigest("" if name is None else f"s{name}")])
+        return group.assign(p=flight(group["size"].to_numpy(float), group["p"].to_numpy(float), random.random, LANDING))
 
     return run
 
 
-def _settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for group in _groups(frames, ["source"]):
-        yield group.assign(base=settle(group["size"].to_numpy(float), float(group["rate"].iloc[0])))
+def _land(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values(["size", "o", "row_id", "copy"], ascending=[False, True, True, True], ignore_index=True)
+    return group.assign(p=land(group["size"].to_numpy(float), group["p"].to_numpy(float), NEAR * float(group["target"].iloc[0])))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, text: str = "text", row_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """How many copies of each document the mix takes: row id, size, source_size, target, copies and taken.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, text: str = "text", row_id: str = "doc_id", source: str = "source", seed: int = 0) -> DataFrame:
+    """How many copies of each document the mix takes: row id, size, source_size, target, copies, taken and landed.
 
-    Null and empty texts have size 0 and are never taken; a null source is a source of its own, ordered last; null
-    ids and repeated rows are rows like any other (equal rows may differ in copies); an empty table gives an empty
-    result. Columns other than the three named are not read.
+    ``landed`` marks the documents (LANDING at most in a source) that were decided by landing and not in flight. Null and empty
+    texts have size 0 and are never taken; a null source is a source of its own, ordered last; null ids and repeated rows
+    are rows like any other (rows equal in id, source and text are numbered, and may differ in copies); an empty table gives
+    an empty result. Columns other than the three named are not read. ``seed`` chooses another of the possible mixes.
     """
     spark = docs.sparkSession
-    rows = materialize(docs.select(F.col(row_id).alias("row_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "mix-sizes")
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
+    rows = docs.select(F.col(row_id).alias("row_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(text), F.col(row_id)).alias("o"))
+    rows = materialize(rows.groupBy("row_id", "source", "size", "o").agg(F.count("*").alias("n")), "mix-sizes")
+    totals = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
     totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     found = targets([r["source_size"] for r in totals], [weights[i % len(weights)] for i in range(len(totals))], most)
-    plan = spark.createDataFrame([(r["source"], r["source_size"], t, max(1, r["n"] // BUCKET_ROWS)) for r, t in zip(totals, found, strict=True)], "source string, source_size long, target double, buckets long")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    planned = rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["source"])).select("row_id", rows["source"], "size", "source_size", "target", "buckets", rate.alias("rate"))
-    is_heavy = F.col("size") * HEAVY > F.col("source_size")
-    heavy = planned.where(is_heavy).drop("buckets").withColumn("base", F.lit(0).cast("long"))
-    heavy = materialize(heavy.repartition("source").sortWithinPartitions("source", F.desc("size"), "row_id").mapInPandas(_settle, heavy.schema), "mix-heavy")
-    spent = heavy.groupBy("source").agg(F.sum("size").alias("heavy_size"), F.sum(F.col("base") * F.col("size")).alias("heavy_taken")).withColumnRenamed("source", "of")
-    light = planned.where(~is_heavy).join(F.broadcast(spent), F.col("source").eqNullSafe(F.col("of")), "left")
-    rest = F.col("source_size") - F.coalesce("heavy_size", F.lit(0))
-    light_rate = F.when(rest > 0, (F.col("target") - F.coalesce("heavy_taken", F.lit(0))) / rest).otherwise(0.0)
-    light = light.withColumn("rate", F.least(F.greatest(light_rate, F.lit(0.0)), F.lit(most)))
-    base = F.floor(F.col("rate") + F.lit(EPS))
-    p = F.greatest(F.lit(0.0), F.col("rate") - base)
-    flying = light.select("row_id", "source", "size", "source_size", "target", base.cast("long").alias("base"), F.when(F.col("size") > 0, p).otherwise(0.0).alias("p"), F.pmod(F.xxhash64("row_id", F.lit("bucket")), F.col("buckets")).alias("bucket"), F.xxhash64("row_id", F.lit("order")).alias("o"))
-    first = flying.repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.desc("size"), "o", "row_id").mapInPandas(_fly(["source", "bucket"], False), flying.schema)
-    first = materialize(first, "mix-flight")
-    undecided = first.where("p > 0 and p < 1")
-    second = undecided.repartition("source").sortWithinPartitions("source", F.desc("size"), "o", "row_id").mapInPandas(_fly(["source"], True), flying.schema)
-    settled = heavy.select("row_id", "source", "size", "source_size", "target", "base", F.lit(0.0).alias("p"))
-    decided = first.where("p <= 0 or p >= 1").unionByName(second).drop("bucket", "o").unionByName(settled)
-    copies = F.when(F.col("size") > 0, F.col("base") + F.round("p").cast("long")).otherwise(F.lit(0)).cast("long")
-    return decided.select(F.col("row_id").alias(row_id), F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    plan = spark.createDataFrame([(r["source"], r["source_size"], t) for r, t in zip(totals, found, strict=True)], "of string, source_size long, target double")
+    rate = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
+    planned = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + F.lit(EPS)).cast("long"))
+    planned = planned.select("row_id", "source", "size", "o", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"), "source_size", "target", "base", F.greatest(F.lit(0.0), F.col("rate") - F.col("base")).alias("p"), F.lit(False).alias("landed"))
+    decided, flying, turn, most_buckets = planned.where("p <= 0"), planned.where("p > 0"), 0, 2
+    while most_buckets > 1:
+        counts = flying.groupBy("source").agg(F.count("*").alias("n")).select(F.col("source").alias("of"), F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))
+        counts = materialize(counts, "mix-buckets")  # a row for each source
+        most_buckets = counts.agg(F.max("buckets")).first()[0] or 0
+        bucket = F.pmod(F.xxhash64("row_id", "o", "copy", F.lit(turn)), F.col("buckets"))
+        dealt = flying.join(F.broadcast(counts), F.col("source").eqNullSafe(F.col("of"))).withColumn("bucket", bucket).drop("of", "buckets")
+        flown = materialize(dealt.groupBy("source", "bucket").applyInPandas(_fly(seed, turn), dealt.schema).drop("bucket"), "mix-flight")
+        decided, flying, turn = decided.unionByName(flown.where("p <= 0 or p >= 1")), flown.where("p > 0 and p < 1"), turn + 1
+    landed = flying.groupBy("source").applyInPandas(_land, flying.schema).withColumn("landed", F.lit(True))  # LANDING rows a source at most
+    copies = (F.col("base") + F.round("p").cast("long")).cast("long")
+    return decided.unionByName(landed).select(F.col("row_id").alias(row_id), F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "landed")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kadastra.llm.common import table
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
-
-
-
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "landed")
