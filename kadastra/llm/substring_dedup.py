@@ -6,8 +6,8 @@ Chunks are counted by digest over all documents. Each repeated chunk knows its f
 
 * neighbouring chunks of a document that are neighbours in one first document too make a part; a part of MIN_WORDS words
   or more is a passage of both documents;
-* chunks in no such part, in a run of repeated chunks that could hold a passage, are asked about: the windows of
-  MIN_WORDS words around them and around all their other places are compared by two 64-bit hashes.
+* chunks in no such part, in a run of repeated chunks that could hold a passage, are asked about by all but their first
+  document: the windows of MIN_WORDS words around them and around all their other places are compared by two 64-bit hashes.
 
 So a passage is never put together from chunks that different documents hold, and no chunk is believed alone.
 """
@@ -138,7 +138,7 @@ def _runs(least: int):
         own = (first == ids) & (first_k == k)
         size = np.add.reduceat(n, np.flatnonzero(part))
         proven = (size >= least) & ~own[part]
-        asked = ~proven[np.cumsum(part) - 1]
+        asked = ~proven[np.cumsum(part) - 1] & ~own  # for chunks that a document holds first, the later ones ask
         run_at, part_at = np.flatnonzero(new), np.flatnonzero(part)
         run_end, part_end = np.r_[run_at[1:], len(ids)], np.r_[part_at[1:], len(ids)]
         able = np.add.reduceat(n, run_at) + (pack[run_at] >> 8 & 0xFF) + (pack[run_end - 1] & 0xFF) + SLACK >= least
