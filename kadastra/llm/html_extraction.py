@@ -1,74 +1,96 @@
 """Operator 2: HTML extraction by nearest-URL page differencing.
 
-Pages are sorted by host and URL path, so that each page's neighbour is the nearest page of its host; the sort is a
-range partitioning of the whole table, which splits large hosts by path. Each page is read as blocks of text. The blocks of a
-page and of its neighbour are aligned by longest common subsequence, and shared ones are deleted as boilerplate.
+Pages are sorted by host and URL path. A page's partner is that of its two neighbours whose path agrees with its own for
+more segments (the one before it if both agree alike). Each page is read as lines of text, one for each block; the lines of
+a page and of its partner are aligned by a longest common subsequence, and shared ones are deleted as boilerplate.
 
-What the markup itself names is stronger evidence than a shared line: blocks in navigation, header, footer, sidebar,
-form, advert, notice or comment elements go whether shared or not, and blocks in an ``article`` or ``main`` element
-stay even if the neighbour has them, since mirrored pages and repeated passages are content (see README).
+Markup settles what differencing cannot tell:
+
+* lines in an ``article`` or ``main`` element stay although shared: mirrored pages and repeated passages are content;
+* lines in elements named as navigation, adverts, comments and the like go although the partner has others there;
+* inside an article weaker names (notice, related, share) count only for shared lines, as a template's;
+* without such elements, a partner that leaves next to nothing is a copy: then the other neighbour counts, if it leaves more.
+
+The sort is dealt to ranges of the sorted keys. The first and the last page of a range go to the range beside it too, so a
+page meets the same neighbours however the table is dealt.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kadastra.llm.common import by_hash, materialize, sample_rate
+
 DROPPED = frozenset("nav header footer aside form script style noscript template iframe svg button select option textarea input dialog menu head title object canvas".split())
-RAW = frozenset({"script", "style"})
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements that a head may hold; any other one ends it.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 CONTENT = frozenset({"article", "main"})
-#: Words of class and id values that mark boilerplate elements.
-MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri\w*|signup|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|header|masthead|topbar|share|sharing|social|related|recommended|widget|pagination|pager|comments?|commentlist|disqus|replies|reply|respond)(?:$|[\s_-])")
-COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|ads?|advert\w*|sponsor\w*)(?:$|[\s_-])")
+#: Words of class and id values that mark boilerplate elements: anywhere, and outside articles (inside only if shared).
+STRONG = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reply|respond|ads?|advert\w*|sponsor\w*)(?:$|[\s_-])")
+WEAK = re.compile(r"(?:^|[\s_-])(?:banner|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri\w*|signup|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|header|masthead|topbar|share|sharing|social|related|recommended|widget|pagination|pager)(?:$|[\s_-])")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 SPACE = re.compile(r"\s+")
-#: Hosts with over one in this many pages are split by path; the pages of all others meet in one task.
-LARGE_HOST = 200
-#: Two neighbours that share more of their lines are copies of one page; sharing says nothing then.
-MIRROR = 0.8
+#: A neighbour that leaves less than one in this many characters of what the other one leaves is a copy of the page.
+COPY = 5
+#: Ranges for each shuffle partition, sampled keys for each range, and pages of a range at least.
+RANGES, SAMPLES, LEAST_PAGES = 4, 4, 32
+#: Bits of one table of the alignment; larger ones are cut in halves.
+TABLE_BITS = 1 << 28
+
+#: Kinds of lines: in no named element; boilerplate by a strong or a weak name; in a content element; there with a weak name.
+PLAIN, CHROME, SOFT, INNER, HINT = range(5)
 
 
 class _Blocks(HTMLParser):
-    """Blocks of text with the kind of the element they are in: 'content', 'page' or dropped."""
+    """Lines of text, each with its kind."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, dropped, content
-        self.out: list[tuple[str, bool]] = []
+        self.stack: list[tuple[str, int, bool]] = []  # tag, kind, emphatically dropped (no text is kept at all)
+        self.out: list[tuple[str, int]] = []
         self.parts: list[str] = []
 
-    def state(self) -> tuple[bool, bool]:
-        return self.stack[-1][1:] if self.stack else (False, False)
+    def state(self) -> tuple[int, bool]:
+        return self.stack[-1][1:] if self.stack else (PLAIN, False)
 
     def flush(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             self.parts = []
             if text:
-                self.out.append((text, self.state()[1]))
+                self.out.append((text, self.state()[0]))
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS or tag in DROPPED:
             self.flush()
+        if tag not in IN_HEAD and any(x[0] == "head" for x in self.stack):  # a head whose end tag was left out
+            self._close("head")
         if tag in VOID:
             return
         if tag == "p" or tag == "li":  # these end a like one that was left open, and inline elements within
             self._close(tag, until=("article", "main", "section", "div", "td", "ul", "ol", "blockquote", "body"))
-        dropped, content = self.state()
-        if not dropped and tag not in ("html", "body"):
+        kind, silent = self.state()
+        if tag not in ("html", "body"):
             at = dict(attrs)
             named = f"{at.get('class') or ''} {at.get('id') or ''}".lower()
-            dropped = tag in DROPPED and not (tag == "header" and content) or "hidden" in at or at.get("role") in ROLES or at.get("aria-hidden") == "true" or (named != " " and bool((COMMENT if tag in CONTENT else MARKS).search(named)))
-        self.stack.append((tag, dropped, content or tag in CONTENT))
+            inside = kind in (INNER, HINT)
+            if tag in DROPPED and not (tag == "header" and inside) or "hidden" in at or at.get("role") in ROLES or at.get("aria-hidden") == "true" or (named != " " and bool(STRONG.search(named))):
+                kind = CHROME
+            elif kind == PLAIN and tag in CONTENT or kind == SOFT and tag == "main":
+                kind = INNER
+            elif kind in (PLAIN, INNER) and named != " " and WEAK.search(named):
+                kind = HINT if inside else SOFT
+            silent = silent or tag in ("script", "style", "head", "title", "template", "noscript")
+        self.stack.append((tag, kind, silent))
 
     def _close(self, tag: str, until: tuple[str, ...] = ()) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -85,12 +107,12 @@ class _Blocks(HTMLParser):
             self._close(tag)
 
     def handle_data(self, data):
-        if not self.state()[0]:
+        if not self.state()[1]:
             self.parts.append(data)
 
 
-def blocks(html: str) -> list[tuple[str, bool]]:
-    """(text, is content) of all blocks that are not in boilerplate elements."""
+def blocks(html: str) -> list[tuple[str, int]]:
+    """(text, kind) of all lines but those of scripts, styles and the head."""
     parser = _Blocks()
     parser.feed(html)
     parser.close()
@@ -98,65 +120,129 @@ def blocks(html: str) -> list[tuple[str, bool]]:
     return parser.out
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b`` (Hunt and Szymanski)."""
-    places: dict[str, list[int]] = defaultdict(list)
+def _rows(a: list[int], b: list[int]) -> list[int]:
+    """For each line of ``a``, the bit vector of a bit-parallel alignment with ``b``: zero where the common subsequence grows."""
+    where: dict[int, int] = {}
     for j, line in enumerate(b):
-        places[line].append(j)
-    ends: list[int] = []
-    chains: list[tuple] = []
-    for i, line in enumerate(a):
-        for j in reversed(places.get(line, ())):
-            k = bisect_left(ends, j)
-            link = (i, chains[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chains.append(link)
-            else:
-                ends[k], chains[k] = j, link
-    out, at = set(), chains[-1] if chains else None
-    while at:
-        out.add(at[0])
-        at = at[1]
+        where[line] = where.get(line, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    now, out = full, []
+    for line in a:
+        if u := now & where.get(line, 0):
+            now = ((now + u) | (now - u)) & full
+        out.append(now)
+    return out
+
+
+def _grown(bits: int, n: int) -> np.ndarray:
+    """Lengths of the common subsequences with the first 0 to n lines, from a bit vector."""
+    zeros = 1 - np.unpackbits(np.frombuffer(bits.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n].astype(np.int64)
+    return np.r_[0, np.cumsum(zeros)]
+
+
+def _align(a: list[int], b: list[int], at: int, out: set[int]) -> None:
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[len(a) - 1 - j] == b[len(b) - 1 - j]:
+        j += 1
+    out.update(range(at, at + i))
+    out.update(range(at + len(a) - j, at + len(a)))
+    a, b, at = a[i : len(a) - j], b[i : len(b) - j], at + i
+    if not a or not b:
+        return
+    if len(a) * len(b) > TABLE_BITS and len(a) > 1:  # halves of a, with the cut of b that keeps most
+        half = len(a) // 2
+        head = _grown(_rows(a[:half], b)[-1], len(b))
+        tail = _grown(_rows(a[half:][::-1], b[::-1])[-1], len(b))[::-1]
+        cut = int((head + tail).argmax())
+        _align(a[:half], b[:cut], at, out)
+        _align(a[half:], b[cut:], at + half, out)
+        return
+    rows, row, col = _rows(a, b), len(a), len(b)
+    while row and col:
+        if rows[row - 1] >> (col - 1) & 1:
+            col -= 1
+            continue
+        row -= 1
+        if not row or rows[row - 1] >> (col - 1) & 1:
+            out.add(at + row)
+            col -= 1
+
+
+def shared(a: list[str], b: list[str]) -> set[int]:
+    """Positions in ``a`` of a longest common subsequence with ``b``."""
+    names: dict[str, int] = {}
+    out: set[int] = set()
+    _align([names.setdefault(x, len(names)) for x in a], [names.setdefault(x, len(names)) for x in b], 0, out)
     return out
 
 
-def main_text(own: list[tuple[str, bool]], near: list[tuple[str, bool]] | None) -> str:
-    """The text of a page: its blocks in content elements, or, if it has none, those that its neighbour lacks."""
-    if any(content for _, content in own):
-        return "\n".join(text for text, content in own if content)
+def likeness(a: str, b: str) -> int:
+    """Segments in which two paths agree, from the start."""
+    n = 0
+    for x, y in zip(a.split("/"), b.split("/"), strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def main_text(own: list[tuple[str, int]], near: list[list[tuple[str, int]]]) -> tuple[str, int, int, int]:
+    """The text of a page, and how many lines were deleted as shared, deleted by their names alone, and kept by their element
+    although shared. ``near`` has the neighbours, the partner first."""
     lines = [text for text, _ in own]
+    open_ = [kind not in (CHROME, SOFT) for _, kind in own]
+    held = any(kind in (INNER, HINT) for _, kind in own)
+
+    def difference(other: list[tuple[str, int]]) -> tuple[set[int], int]:
+        common = shared(lines, [text for text, _ in other])
+        return common, sum(len(x) for i, x in enumerate(lines) if open_[i] and i not in common)
+
+    common: set[int] = set()
     if near:
-        common = shared(lines, [text for text, content in near if not content])
-        if len(common) <= MIRROR * len(lines):
-            lines = [x for i, x in enumerate(lines) if i not in common]
-    return "\n".join(lines)
+        common, left = difference(near[0])
+        if not held and len(near) > 1:
+            other, more = difference(near[1])
+            if left * COPY < more:
+                common, left = other, more
+        if not held and not left:  # only copies of the page: nothing to tell from
+            common = {i for i in common if not open_[i]}
+    kept = [i for i, (_, kind) in enumerate(own) if kind == INNER or open_[i] and i not in common]
+    gone = set(range(len(own))) - set(kept)
+    return "\n".join(lines[i] for i in kept), len(gone & common), len(gone - common), len(set(kept) & common)
+
+
+RESULT = "page_id long, url string, text string, n_chars long, n_shared long, n_named long, n_settled long"
 
 
 def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of a partition sorted by host and path: a page's neighbour is the one before it; that of a host's first page is the next."""
-    before, waiting = None, None
+    """Of a partition sorted by range and key: pages between the one before and the one after them; pages that are not ``own``
+    stand there for their neighbours only."""
+    window: list = []
+
+    def row(before, page, after):
+        page_id, url, host, path, own, _, _ = page
+        near = [x for x in (before, after) if x is not None and host and x[2] == host and x[5] == page[5]]
+        if len(near) == 2 and likeness(near[1][3], path) > likeness(near[0][3], path):
+            near.reverse()
+        text, *counts = main_text(own, [x[4] for x in near])
+        return page_id, url, text, len(text), *counts
 
-    def row(page, near):
-        page_id, url, host, own = page
-        text = main_text(own, near[3] if near and host and near[2] == host else None)
-        return page_id, url, text, len(text)
+    def table(out):
+        return pd.DataFrame(out, columns=[x.split()[0] for x in RESULT.split(", ")]).astype({"page_id": "Int64"})
 
     for f in frames:
         out = []
-        for page_id, url, host, html in zip(f["page_id"], f["url"], f["host"], f["html"], strict=True):
-            page = (page_id, url, host, blocks(html or ""))
-            if waiting is not None:
-                out.append(row(waiting, page))
-            first = before is None or before[2] != host
-            waiting = page if first else None
-            if not first:
-                out.append(row(page, before))
-            before = page
+        for page_id, url, host, path, html, at, own in zip(*(f[c] for c in ("page_id", "url", "host", "path", "html", "at", "own")), strict=True):
+            window = [*window, (page_id, url, host, path, blocks(html or ""), at, own)][-3:]
+            if len(window) > 1 and window[-2][6]:
+                out.append(row(window[-3] if len(window) > 2 else None, window[-2], window[-1]))
         if out:
-            yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
-    if waiting is not None:
-        yield pd.DataFrame([row(waiting, None)], columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
+            yield table(out)
+    if window and window[-1][6]:
+        yield table([row(window[-2] if len(window) > 1 else None, window[-1], None)])
 
 
 def host(url: Column) -> Column:
@@ -168,20 +254,44 @@ def path(url: Column) -> Column:
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars (code points) of every page.
+    """page_id, url, text and n_chars (code points) of every page; n_shared, n_named and n_settled count its lines that were
+    deleted as shared, deleted by their names alone, and kept by their element although shared.
 
-    Null or empty html gives an empty text. A page with a null or hostless URL, or alone in its host, has no neighbour
-    and keeps all blocks that the markup does not rule out. Repeated pages are mirrors of each other and lose nothing
-    to each other. An empty table gives an empty result; columns other than the three named are not read.
+    Null or empty html gives an empty text. A page with a null or hostless URL, or alone in its host, has no neighbour and
+    keeps all lines that the markup does not rule out. Repeated pages are neighbours of each other; rows equal in id, URL
+    and html are told apart by nothing and meet in one task, one at a time. An empty table gives an empty result; columns
+    other than the three named are not read.
     """
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"), F.col(html).alias("html"))
-    counts = rows.groupBy("host").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    large = counts.where(F.col("n") * LARGE_HOST > total).select("host", F.lit(True).alias("large"))  # fewer than LARGE_HOST rows
-    rows = rows.join(F.broadcast(large), "host", "left").withColumn("within", F.when(F.col("large"), F.concat_ws(" ", "path", F.lpad("page_id", 20, "0"))))
-    ordered = rows.repartitionByRange("host", "within").sortWithinPartitions("host", "path", "page_id", "url")
-    found = ordered.select("page_id", "url", "host", "html").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
-    return found.select(F.col("page_id").alias(page_id), F.col("url").alias(url), "text", "n_chars")
+    spark = pages.sparkSession
+    key = F.concat_ws("\t", F.concat_ws(" ", host(F.col(url)), path(F.col(url))), F.col(url), F.lpad(F.coalesce(F.col(page_id).cast("string"), F.lit("")), 20, "0"), F.hex(F.xxhash64(html)))
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"), F.col(html).alias("html"), key.alias("key"))
+    keys = materialize(rows.select("key"), "page-keys")
+    total = keys.count()
+    ranges = max(1, min(RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")), total // LEAST_PAGES))
+    sampled = sorted(r["key"] for r in keys.where(by_hash(sample_rate(total, SAMPLES * ranges), "key", salt="range")).distinct().collect())  # SAMPLES * ranges, about
+    bounds = sampled[:: max(1, len(sampled) // ranges)][1:]
+
+    def place(values: pd.Series) -> np.ndarray:
+        return np.searchsorted(np.array(bounds, object), values.to_numpy(object), "right") if bounds else np.zeros(len(values), np.int64)
+
+    @F.pandas_udf("long")
+    def of_range(values: pd.Series) -> pd.Series:
+        return pd.Series(place(values))
+
+    ends = keys.select("key", of_range("key").alias("at")).groupBy("at").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("at").collect()  # a row for each range
+    beside: dict[str, list[int]] = {}
+    for a, b in zip(ends, ends[1:], strict=False):
+        beside.setdefault(a["hi"], []).append(b["at"])
+        beside.setdefault(b["lo"], []).append(a["at"])
+
+    @F.pandas_udf("array<bigint>")
+    def dealt(values: pd.Series) -> pd.Series:
+        return pd.Series([[int(at), *beside.get(k, ())] for k, at in zip(values, place(values), strict=True)])
+
+    spread = rows.withColumn("to", dealt("key")).select("*", F.posexplode("to").alias("nth", "at")).withColumn("own", F.col("nth") == 0).drop("to", "nth")
+    ordered = spread.repartition("at").sortWithinPartitions("at", "key")
+    found = ordered.select("page_id", "url", "host", "path", "html", "at", "own").mapInPandas(_extract, RESULT)
+    return found.select(F.col("page_id").alias(page_id), F.col("url").alias(url), "text", "n_chars", "n_shared", "n_named", "n_settled")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,6 +115,41 @@ def test_longest_common_subsequence():
         assert len(html_extraction.shared(a, b)) == table[-1, -1]
 
 
+def test_alignment_of_long_pages_in_halves(monkeypatch):
+    rng = np.random.default_rng(2)
+    a, b = ([str(x) for x in rng.integers(0, 30, 700)] for _ in range(2))
+    whole = html_extraction.shared(a, b)
+    monkeypatch.setattr(html_extraction, "TABLE_BITS", 500)
+    halves = html_extraction.shared(a, b)
+    assert len(whole) == len(halves)
+    it = iter(b)
+    assert all(any(x == y for y in it) for x in (a[i] for i in sorted(halves)))
+    assert len(html_extraction.shared(["x"] * 20_000, ["x"] * 9_000 + ["y"] + ["x"] * 11_000)) == 20_000
+
+
+def test_a_template_without_names_goes(spark):
+    """Nine lines of template and one own line; a copy of a page does not empty it; names inside an article count if shared."""
+    template = "".join(f"<div>Linia szablonu {k}</div>" for k in range(9))
+    rows = [(i, f"https://e.pl/a/{i}", f"<body>{template}<p>Artykuł numer {i}</p>") for i in (1, 2, 3)]
+    rows += [(4, "https://f.pl/x/1", "<body><div>menu</div><p>jeden</p><p>dwa</p>"), (5, "https://f.pl/x/2", "<body><div>menu</div><p>jeden</p><p>dwa</p>"), (6, "https://f.pl/x/3", "<body><div>menu</div><p>trzy</p>"), (11, "https://f.pl/x/0", "<body><div>menu</div><p>zero</p>")]
+    rows += [(7, "https://g.pl/1", "<html><head><title>t</title><body><main><h1>Tytuł</h1><div class='notice'>Ważne dla tej strony</div><div class='share'>Udostępnij</div></main>"), (8, "https://g.pl/2", "<main><h1>Tytuł</h1><div class='share'>Udostępnij</div><p>b</p></main>")]
+    rows += [(None, "https://h.pl/1", "<p>a</p>"), (9, "https://h.pl/1", "<p>a</p>"), (9, "https://h.pl/1", "<p>a</p>"), (10, "https://h.pl/2", "<p>" + "słowo " * 200_000 + "</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_extraction.extract(pages).collect()
+    text = {r.page_id: r.text for r in got}
+    assert [text[i] for i in range(1, 9)] == ["Artykuł numer 1", "Artykuł numer 2", "Artykuł numer 3", "jeden\ndwa", "jeden\ndwa", "trzy", "Tytuł\nWażne dla tej strony", "Tytuł\nb"]
+    assert sorted(r.text for r in got if r.url == "https://h.pl/1") == ["a"] * 3 and len(text[10]) == 200_000 * 6 - 1
+
+
+def test_pages_meet_the_same_neighbours_however_they_are_dealt(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    results = []
+    for least, parts in ((32, 4), (1, 40), (7, 5)):
+        monkeypatch.setattr(html_extraction, "LEAST_PAGES", least)
+        results.append(sorted(map(tuple, html_extraction.extract(pages.repartition(parts)).collect())))
+    assert results[0] == results[1] == results[2] and sum(r[4] for r in results[0]) > 0
+
+
 # 3, 6, 7 ------------------------------------------------------------------------------------------
 
 
