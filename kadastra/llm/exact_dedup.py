@@ -103,15 +103,12 @@ class DigestIndex:
             self.filter = CuckooFilter(2 * self.filter.size * SLOTS)
             fits = all(map(self.filter.insert, self.stored))
 
-    def delete(self, digest: bytes, length: int, copies: int = 1) -> bool:
-        """Take out copies of a digest; it leaves the index with the last one."""
-        found = self.find(digest, length)
-        if found is None:
+    def delete(self, digest: bytes, length: int) -> bool:
+        """Take a digest out; False if it is not there."""
+        if self.find(digest, length) is None:
             return False
-        found[2] -= copies
-        if found[2] <= 0:
-            self.filter.delete(digest)
-            del self.stored[digest]
+        self.filter.delete(digest)
+        del self.stored[digest]
         return True
 
     def frames(self) -> Iterator[pd.DataFrame]:
@@ -143,30 +140,39 @@ def build_index(rows: DataFrame) -> DataFrame:
     return parts.drop("part").repartition(buckets, "digest").mapInPandas(_index, INDEX)
 
 
-def update_index(index: DataFrame, added: DataFrame, removed: DataFrame, buckets: int) -> DataFrame:
-    """The index after a batch: ``added`` and ``removed`` come from digests(). Removing what is not there changes nothing.
+def live_rows(rows: DataFrame) -> DataFrame:
+    """The content behind an index: digest, n_bytes, row_id and how many rows are alike in these (from digests())."""
+    return rows.groupBy("digest", "n_bytes", "row_id").agg(F.count("*").alias("n"))
+
+
+def update_index(index: DataFrame, live: DataFrame, added: DataFrame, removed: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """The index and the live rows after a batch: ``added`` and ``removed`` come from digests(), ``live`` from live_rows().
 
-    The id to keep of a digest that loses copies stays as it was, since the index holds no other ids.
+    Removing rows that are not there changes nothing. A digest that a batch touches is deleted from its bucket's index and
+    inserted again from its live rows, if any are left; so the id to keep is always that of a live row.
     """
+    change = live_rows(added).unionByName(live_rows(removed).withColumn("n", -F.col("n")))
+    after = live.unionByName(change).groupBy("digest", "n_bytes", "row_id").agg(F.sum("n").alias("n")).where("n > 0")
+    after = materialize(after, "live-digests")
+    touched = added.select("digest", "n_bytes").unionByName(removed.select("digest", "n_bytes")).distinct()
+    left = after.join(touched, ["digest", "n_bytes"], "left_semi").groupBy("digest", "n_bytes").agg(F.max("row_id").alias("keep_id"), F.sum("n").alias("group_size"))
     ops = (
         index.select("digest", "n_bytes", "keep_id", "group_size", F.lit(0).alias("what"))
-        .unionByName(build_index(added).withColumn("what", F.lit(0)))
-        .unionByName(build_index(removed).withColumn("what", F.lit(1)))
+        .unionByName(touched.select("digest", "n_bytes", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(1).alias("what")))
+        .unionByName(left.withColumn("what", F.lit(2)))
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, out = DigestIndex(), []
-        for f in frames:
+        index = DigestIndex()
+        for f in frames:  # by what: those there, those touched, those that live
             for what, digest, length, keep, copies in zip(f["what"], f["digest"], f["n_bytes"], f["keep_id"], f["group_size"], strict=True):
-                if what:
-                    out.append((bytes(digest), int(length), int(copies)))
+                if what == 1:
+                    index.delete(bytes(digest), int(length))
                 else:
                     index.insert(bytes(digest), int(length), None if pd.isna(keep) else int(keep), int(copies))
-        for x in out:
-            index.delete(*x)
         yield from index.frames()
 
-    return ops.repartition(buckets, "digest").mapInPandas(run, INDEX)
+    return ops.repartition(buckets, "digest").sortWithinPartitions("what").mapInPandas(run, INDEX), after
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
