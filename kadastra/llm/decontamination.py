@@ -37,8 +37,8 @@ BLOCK = 8
 #: Words of the longest items of the first length class; each further class doubles it.
 CLASS_WORDS = 64
 SHINGLE, OVERLAP, ANSWER_OVERLAP = 5, 0.8, 0.5
-#: Postings of one part of the index; a larger index is broadcast part by part.
-PART_POSTINGS = 2_000_000
+#: Postings of one part of the index, about: all that the driver and a task hold of it at once. Each part reads the documents again.
+PART_POSTINGS = 1_000_000
 #: Tokens that are looked at in one step.
 STEP_TOKENS = 400_000
 
@@ -108,7 +108,12 @@ class Index:
         self.at = np.r_[0, np.cumsum([len(postings[t]) for t in terms])].astype(np.int64)
         flat = [p for t in terms for p in sorted(postings[t])]
         self.item, self.weight = np.array([p[0] for p in flat], np.int64), np.array([p[1] for p in flat])
-        tops = [sorted({b: max(w for i, w in postings[t] if i // BLOCK == b) for b in {i // BLOCK for i, _ in postings[t]}}.items()) if t not in common else [] for t in terms]
+        tops = []
+        for t in terms:
+            best: dict[int, float] = {}
+            for i, w in postings[t] if t not in common else ():
+                best[i // BLOCK] = max(w, best.get(i // BLOCK, 0.0))
+            tops.append(sorted(best.items()))
         self.block_at = np.r_[0, np.cumsum([len(x) for x in tops])].astype(np.int64)
         self.block = np.array([b for x in tops for b, _ in x], np.int64)
         self.block_bound = np.array([w for x in tops for _, w in x])
@@ -138,18 +143,21 @@ class Index:
         h, t = h[keep], t[keep]
         if not len(h):
             return []
-        rank = np.cumsum(used) - 1
         n = self.block_at[t + 1] - self.block_at[t]
         place = np.repeat(self.block_at[t] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        cell = np.repeat(rank[h], n) * self.blocks + self.block[place]
-        grid = np.bincount(cell, weights=self.block_bound[place], minlength=(int(rank[-1]) + 1) * self.blocks).reshape(-1, self.blocks)
+        h, bound = np.repeat(h, n), self.block_bound[place]
+        # Sums by window and block, where there are any: each half counts for its own window and for the one before it.
+        cell = np.r_[h * self.blocks + self.block[place], (h - 1) * self.blocks + self.block[place]]
+        ok = np.r_[window[np.minimum(h, total - 1)] & (h < total), (h > 0) & window[np.maximum(h - 1, 0)]]
+        cells, which = np.unique(cell[ok], return_inverse=True)
+        cells = cells[np.bincount(which, weights=np.r_[bound, bound][ok], minlength=len(cells)) >= least]
         out = []
         start = np.searchsorted(half, np.arange(total + 2))
-        for w in np.flatnonzero(window):
-            both = grid[rank[w]] + (grid[rank[w + 1]] if w + 1 < len(used) and used[w + 1] else 0.0)
-            live = both >= least
-            if not live.any():
-                continue
+        live = np.zeros(self.blocks, bool)
+        for some in np.split(cells, np.flatnonzero(np.diff(cells // self.blocks)) + 1) if len(cells) else ():
+            w = int(some[0] // self.blocks)
+            live[:] = False
+            live[some % self.blocks] = True
             terms = np.unique(term[start[w] : start[min(w + 2, total + 1)]])
             n = self.at[terms + 1] - self.at[terms]
             place = np.repeat(self.at[terms] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
@@ -241,9 +249,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", row_
     hit. An empty benchmark or table gives an empty result; columns other than those named are not read.
     """
     spark = docs.sparkSession
+    found: DataFrame | None = None
     source = docs.where(F.col(text).isNotNull()).select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"))
     schema = "row_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
-    found = spark.createDataFrame([], schema)
     for part in build_index(benchmark):
         shared = spark.sparkContext.broadcast(part)  # PART_POSTINGS postings at most, about
 
@@ -254,7 +262,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", row_
                     ids = f["row_id"].astype("Int64").iloc[[h[0] for h in hits]].reset_index(drop=True)
                     yield pd.concat([ids, pd.DataFrame([h[1:] for h in hits], columns=["item_id", "score", "overlap", "question_overlap", "answer_overlap"])], axis=1)
 
-        found = found.unionByName(source.mapInPandas(run, schema))
+        hits = materialize(source.mapInPandas(run, schema), "benchmark-hits")  # before the next part of the index is read
+        shared.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    found = spark.createDataFrame([], schema) if found is None else found
     best = found.groupBy("row_id", "item_id").agg(F.max(F.struct("score", "overlap", "question_overlap", "answer_overlap")).alias("best"))
     return best.select(F.col("row_id").alias(row_id), "item_id", "best.*")
 
