@@ -8,7 +8,8 @@ ones of the other, and two segments two bits apart share the index of the word b
 Of four errors over three segments, two segments together have two at most. So for each pair (a, b) of segments the
 keys index(a) x near(b) and near(a) x index(b) suffice: errors (0,2) and (2,0) meet within one kind of keys, (1,1)
 across both. Fingerprints that share a 24-bit key are compared; within a key, a search over those not yet reached
-gives a spanning forest, never all pairs. Equal fingerprints are one node from the start.
+gives a spanning forest, never all pairs. Keys with more fingerprints than a task should hold are dealt to blocks, and each
+two blocks meet. Equal fingerprints are one node from the start.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from kadastra.operators.graph import connected_components
 from kadastra.operators.skew import join_groups
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
+#: Fingerprints of a key, or of a block of a larger one, about; and such larger keys that are broadcast at most.
+BLOCK, BROADCAST_KEYS = 8192, 1_000_000
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Generator polynomial of the code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -130,7 +133,7 @@ def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of a partition sorted by key."""
+    """Of a partition sorted by key and pair of blocks."""
 
     def of(key, fp, rep):
         out = []
@@ -149,7 +152,8 @@ def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         if f.empty:
             continue
-        now = [f["key"].to_numpy(np.int64), f["fp"].to_numpy(np.int64).view(np.uint64), f["rep"].to_numpy(np.int64)]
+        both = f["key"].to_numpy(np.int64) << 32 | f["lo"].to_numpy(np.int64) << 16 | f["hi"].to_numpy(np.int64)
+        now = [both, f["fp"].to_numpy(np.int64).view(np.uint64), f["rep"].to_numpy(np.int64)]
         held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
         last = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
         if last:
@@ -159,6 +163,18 @@ def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield of(*held)
 
 
+def in_blocks(keyed: DataFrame) -> DataFrame:
+    """Keyed fingerprints with the blocks lo and hi that meet; both are 0 for keys of one block, and a row of a larger key
+    is in one row for each other block."""
+    large = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "simhash-large")
+    blocks = large.select("key", F.least(F.ceil(F.col("n") / BLOCK), F.lit(1 << 15)).cast("int").alias("blocks"))
+    joined = keyed.join(F.broadcast(blocks) if blocks.count() <= BROADCAST_KEYS else blocks, "key", "left")
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array(block)))
+    met = joined.withColumn("block", F.coalesce(block, F.lit(0))).withColumn("other", F.explode(others))
+    return met.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "fp", "rep")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """One row per document: row id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links.
 
@@ -169,8 +185,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
     source = docs.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"))
     prints = materialize(source.mapInPandas(_fingerprints, "row_id long, fp long"), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("row_id").alias("rep"), F.count("*").alias("n")), "simhash-nodes")
-    keyed = nodes.where("rep is not null").select("fp", "rep").mapInPandas(_keys, "key long, fp long, rep long")
-    links = keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_links, "u long, v long")
+    keyed = materialize(nodes.where("rep is not null").select("fp", "rep").mapInPandas(_keys, "key int, fp long, rep long"), "simhash-keys")
+    links = in_blocks(keyed).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(_links, "u long, v long")
     found = connected_components(links, lambda df: materialize(df, "simhash-links"))
     groups = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
     joined = join_groups(prints, groups, "fp", "n")

@@ -436,6 +436,16 @@ def test_simhash_against_brute_force(spark, corpus):
     assert got == {i: (f"{f:016x}", parts[i]) for i, f in prints}
 
 
+def test_large_keys_are_compared_in_blocks(spark, corpus, monkeypatch):
+    """Distinct near copies that share their keys, in blocks of four: the same groups as in one piece."""
+    base = words(77, 400).split()
+    rows = [(i, " ".join([*base[:i], f"inny{i}", *base[i + 1 :]]), "en", "a") for i in range(60)]
+    docs = documents(spark, rows).select("doc_id", "text").unionByName(corpus.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 1000))
+    want = sorted(map(tuple, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == want
+
+
 def test_simhash_awkward(odd, none):
     got = simhash.near_duplicates(odd).collect()
     parts = naive_components([(r[0], naive_fingerprint(r[1])) for r in awkward()])
