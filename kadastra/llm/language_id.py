@@ -14,20 +14,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kadastra.llm.common import by_hash, materialize, sample_rate
+from kadastra.llm.common import materialize, sample_rate
 from kadastra.llm.models import normal_equations, ridge
 from kadastra.llm.toxicity import remainder
 
 ORDERS = (1, 2, 3)
-#: N-grams are hashed to this many cells (a power of two); cells that no landmark has are not kept.
+#: N-grams are hashed to this many cells (a power of two); cells that no landmark has are not kept. A text of n distinct
+#: n-grams has about n * n / (2 * CELLS) collisions: 15 of 1,000.
 CELLS = 1 << 15
-#: Labelled rows that the model is fitted on, at most (about), and landmarks among them.
+#: Labelled rows that the model is fitted on (about), and landmarks among them, or one for each language if these are more.
 MAX_FIT, LANDMARKS = 10_000, 160
-#: Languages, at most: those with most labelled rows.
-MAX_LANGUAGES = 200
+#: Rows of each language that are in the fit at least (about), if it has so many.
+LEAST_FIT = 50
+#: Languages of which a model is made; more are refused.
+MAX_LANGUAGES = 10_000
 #: Code points read at once.
 CHUNK = 1 << 20
 STRENGTH = 1e-3
@@ -101,18 +104,22 @@ class Model:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", row_id: str = "doc_id", most: int = MAX_FIT, landmarks: int = LANDMARKS) -> Model:
-    """A model of all rows with text and language, or of about ``most`` of them chosen by a hash of the row id."""
+    """A model of all rows with text and language, or of about ``most`` of them chosen by a hash of row id and text; of each
+    language LEAST_FIT at least."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(row_id).alias("row_id"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages")
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 1), np.float32), np.eye(1), np.zeros((1, 0)))
-    rows = materialize(rows.where(by_hash(sample_rate(sum(r["count"] for r in counts), most), "row_id", salt="language")).select("text", "lang"), "language-fit")
+    rate = sample_rate(sum(r["count"] for r in counts), most)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], max(rate, sample_rate(r["count"], LEAST_FIT))) for r in counts], "lang string, share double")
+    place = F.pmod(F.xxhash64(F.lit("language"), "row_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = materialize(rows.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("text", "lang"), "language-fit")
     each = max(1, landmarks // len(languages))
-    numbered = rows.dropDuplicates(["text", "lang"]).withColumn("o", F.xxhash64("text"))
-    chosen: list = []
-    for name in languages:  # few, short top-k queries over the bounded sample
-        chosen += [r["text"] for r in numbered.where(F.col("lang") == name).orderBy("o", "text").limit(each).collect()]
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+    chosen = [r["text"] for r in rows.distinct().withColumn("nth", nth).where(F.col("nth") <= each).orderBy("lang", "nth").collect()]
     presence = np.zeros((len(chosen), CELLS), bool)
     for i, t in enumerate(chosen):
         cells(t, presence[i])
@@ -133,7 +140,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", row_id: str = "
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score. Null texts and texts without a letter: ``und`` with score 0."""
+    """``docs`` with lang_pred and score, in place of columns of these names. Null texts and texts without a letter: ``und``
+    with score 0. Of languages with equal scores the first by code point is taken."""
+    docs = docs.drop("lang_pred", "score")
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

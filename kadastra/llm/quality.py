@@ -2,8 +2,9 @@
 
 A document is described by a few statistics of its whole text (shares of character classes, word and line lengths,
 repetition). Their standardised values z give features sqrt(2/D) cos(w z + b) with Gaussian w, whose inner products
-approximate a Gaussian kernel. Every partition sums its part of the normal equations; ridge regression on the sums
-and isotonic calibration of the fitted scores give a probability.
+approximate a Gaussian kernel. Every partition sums its part of the normal equations, for two halves of the rows apart;
+ridge regression on the sums gives scores, and isotonic calibration a probability. It is fitted on scores that each half
+gets from the other one's weights.
 """
 
 from __future__ import annotations
@@ -117,9 +118,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                yield pd.DataFrame({"x": list(_table(f["text"])), "label": f["label"]})
+                yield pd.DataFrame({"x": list(_table(f["text"])), "label": f["label"], "fold": f["fold"]})
 
-    rows = materialize(rows.mapInPandas(measure, "x array<double>, label double"), "quality-fit")
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "of"), F.lit(2)).cast("int"))
+    rows = materialize(rows.mapInPandas(measure, "x array<double>, label double, fold int"), "quality-fit")
     each = [F.struct(F.avg(F.col("x")[i]).alias("m"), F.stddev_pop(F.col("x")[i]).alias("s")).alias(f"c{i}") for i in range(STATISTICS)]
     found = rows.agg(*each).first()
     mean, scale = (np.array([float(found[f"c{i}"][k] or 0.0) for i in range(STATISTICS)]) for k in "ms")
@@ -130,19 +132,23 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
     def design(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return model.expand(np.array(f["x"].tolist()).reshape(-1, STATISTICS)), f["label"].to_numpy(float)[:, None]
 
-    model.weights = ridge(*normal_equations(rows.repartition(16), design, WIDTH + 1, 1), STRENGTH)[:, 0]
+    sums = [normal_equations(rows.where(F.col("fold") == k).repartition(16), design, WIDTH + 1, 1) for k in (0, 1)]
+    weights = [ridge(*s, STRENGTH)[:, 0] for s in sums]
+    model.weights = ridge(sums[0][0] + sums[1][0], sums[0][1] + sums[1][1], STRENGTH)[:, 0]
 
     def raw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             x, y = design(f)
-            yield pd.DataFrame({"score": x @ model.weights, "label": y[:, 0]})
+            other = np.stack(weights, axis=1)[:, 1 - f["fold"].to_numpy()]
+            yield pd.DataFrame({"score": (x * other.T).sum(axis=1), "label": y[:, 0]})
 
     model.knots, model.values = isotonic(rows.mapInPandas(raw, "score double, label double"))
     return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with the probability of quality 1; a null text counts as empty, and empty texts are scored like any other."""
+    """``docs`` with the probability of quality 1, in place of a column of that name; a null text counts as empty, and empty texts are scored like any other."""
+    docs = docs.drop(into)
     schema = docs.select("*", F.lit(0.0).alias(into)).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

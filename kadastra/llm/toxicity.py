@@ -25,8 +25,6 @@ from kadastra.llm.models import calibrated, isotonic, normal_equations, ridge
 
 #: Labelled rows that the model is fitted on, at most (about); chosen by a hash of their ids.
 MAX_FIT = 20_000
-#: Terms that the lexicon holds, at most.
-MAX_TERMS = 2_000
 #: Lengths of word beginnings that may become stems.
 STEM = range(3, 9)
 #: Whole words at least this long are also found when misspelt.
@@ -55,9 +53,9 @@ class Trie:
             node = node.setdefault(c, {})
         kind = "stem" if stem else "word"
         node[kind] = max(weight, node.get(kind, 0.0))
-        if not stem and len(term) >= FUZZY_LENGTH:  # one edit leaves the first two letters or the last three
+        if not stem and len(term) >= FUZZY_LENGTH:  # one edit leaves the first two letters or the last three, or exchanges what lies between
             node["long"] = node[kind]
-            self.heads.add(term[:2])
+            self.heads.update((term[:2], term[0] + term[2]))
             self.tails.add(term[-3:])
 
     def exact(self, word: str) -> float:
@@ -71,7 +69,7 @@ class Trie:
         return max(best, node.get("word", 0.0))
 
     def near(self, word: str) -> float:
-        """Largest weight of a long whole word at one edit from ``word``.
+        """Largest weight of a long whole word at one edit from ``word``, an exchange of two neighbouring letters included.
 
         States of the automaton are (letters read, edits made). Without edits it follows one path of the trie; from
         each node there, one edit leads to states that have to follow the rest of the word letter by letter.
@@ -91,6 +89,10 @@ class Trie:
         for i in range(n + 1):
             if i < n:
                 best = max(best, rest(node, i + 1))  # a letter too many
+            if i + 1 < n and word[i] != word[i + 1]:  # two exchanged
+                other = node.get(word[i + 1])
+                if other is not None and (other := other.get(word[i])) is not None:
+                    best = max(best, rest(other, i + 2))
             for c, child in node.items():
                 if len(c) == 1:
                     best = max(best, rest(child, i))  # one missing
@@ -188,7 +190,8 @@ def _terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def learn_terms(rows: DataFrame) -> tuple[list[tuple[str, float]], int, int]:
     """The lexicon of labelled (text, label) rows: terms with weights. Chosen are terms with over twice the share
-    of toxic documents that chance would give a term of their count, among as many terms as were tried."""
+    of toxic documents that chance would give a term of their count, among as many terms as were tried. The rows are a
+    bounded sample, which bounds the terms too."""
     by_label = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = by_label.get(1, 0), by_label.get(0, 0)
     if not toxic or not clean:
@@ -199,7 +202,7 @@ def learn_terms(rows: DataFrame) -> tuple[list[tuple[str, float]], int, int]:
     rest = F.when(F.col("clean") > 0, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
     surprise = n * (share * F.log(share / rate) + rest)  # exponent of the chance of such a count
     found = counts.where((F.col("toxic") >= 3) & (share > max(0.4, min(0.9, 2 * rate))) & (surprise > math.log(tried))).select("term", "toxic", "clean", surprise.alias("surprise"))
-    best = sorted(found.orderBy(F.desc("surprise"), "term").limit(MAX_TERMS).collect(), key=lambda r: (-len(r["term"].rstrip("*")), r["term"]))
+    best = sorted(found.collect(), key=lambda r: (-len(r["term"].rstrip("*")), r["term"]))
     chosen: dict[str, tuple[float, int, int]] = {}
     for r in best:  # whole words and long stems first; a shorter stem has to be worth it without those
         stem = r["term"].rstrip("*") if r["term"].endswith("*") else None
@@ -217,8 +220,8 @@ def _lexicon(terms: list[tuple[str, float]], clean: frozenset = frozenset()) ->
     return Lexicon(trie, clean)
 
 
-def clean_misspellings(rows: DataFrame, terms: list[tuple[str, float]], most: int = 100_000) -> frozenset:
-    """Words at one edit from the lexicon that clean labelled documents hold."""
+def clean_misspellings(rows: DataFrame, terms: list[tuple[str, float]]) -> frozenset:
+    """Words at one edit from the lexicon that clean documents of the labelled sample hold."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon, found = _lexicon(terms), Counter()
@@ -231,7 +234,7 @@ def clean_misspellings(rows: DataFrame, terms: list[tuple[str, float]], most: in
             yield pd.DataFrame({"word": list(found), "n": list(found.values())})
 
     got = rows.where("label = 0").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return frozenset(r["word"] for r in got.orderBy(F.desc("n"), "word").limit(most).collect())
+    return frozenset(r["word"] for r in got.select("word").collect())
 
 
 def lexicon_of(rows: DataFrame) -> tuple[list[tuple[str, float]], frozenset]:
@@ -276,7 +279,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with the probability of being toxic; null and empty texts get that of a text without hits."""
+    """``docs`` with the probability of being toxic, in place of a column of that name; null and empty texts get that of a text without hits."""
+    docs = docs.drop(into)
     schema = docs.select("*", F.lit(0.0).alias(into)).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
