@@ -6,7 +6,7 @@ Chunks are counted by digest over all documents. Each repeated chunk knows its f
 
 * neighbouring chunks of a document that are neighbours in one first document too make a part; a part of MIN_WORDS words
   or more is a passage of both documents;
-* chunks in no such part, in a run of repeated chunks that could hold a passage, are asked about by all but their first
+* chunks in no such part, in a stretch of repeated chunks that could hold a passage, are asked about by all but their first
   document: the windows of MIN_WORDS words around them and around all their other places are compared by two 64-bit hashes.
 
 So a passage is never put together from chunks that different documents hold, and no chunk is believed alone.
@@ -28,11 +28,11 @@ from kadastra.operators.skew import join_groups
 #: Repeated passages have at least this many words.
 MIN_WORDS = 51
 #: Neighbours on each side that the hash at a cut has to undercut, and the longest chunk, in words.
-RADIUS, LONGEST = 3, 32
+RADIUS, LONGEST = 4, 32
 #: The hash sees 2**DOUBLINGS bytes, which are 2**(DOUBLINGS - 1) words at most.
 DOUBLINGS = 4
-#: Words at both ends of a passage in which cuts may differ by what the hash and the neighbours see beyond them.
-SLACK = 2 * RADIUS + (1 << (DOUBLINGS - 1))
+#: Words at the start and the end of a passage in which cuts may differ by what the hash and the neighbours see beyond them.
+SLACK = RADIUS + (1 << (DOUBLINGS - 1)), RADIUS
 #: Places that are broadcast at most (about 40 bytes each).
 BROADCAST_PLACES = 1_000_000
 
@@ -42,7 +42,7 @@ FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 ROW = "row_id long, k int"
 CHUNK = f"digest long, {ROW}, pack long"
-RUN = f"{ROW}, chunks array<struct<digest:bigint,start:bigint,n_words:bigint,asked:boolean>>, parts array<struct<start:bigint,n_words:bigint,first_id:bigint,first_k:int,first_start:bigint>>"
+RUN = f"{ROW}, chunks array<struct<digest:bigint,low:bigint,high:bigint,asked:boolean>>, parts array<struct<start:bigint,n_words:bigint,first_id:bigint,first_k:int,first_start:bigint>>"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -138,16 +138,25 @@ def _runs(least: int):
         own = (first == ids) & (first_k == k)
         size = np.add.reduceat(n, np.flatnonzero(part))
         proven = (size >= least) & ~own[part]
-        asked = ~proven[np.cumsum(part) - 1] & ~own  # for chunks that a document holds first, the later ones ask
+        sure = proven[np.cumsum(part) - 1]
         run_at, part_at = np.flatnonzero(new), np.flatnonzero(part)
-        run_end, part_end = np.r_[run_at[1:], len(ids)], np.r_[part_at[1:], len(ids)]
-        able = np.add.reduceat(n, run_at) + (pack[run_at] >> 8 & 0xFF) + (pack[run_end - 1] & 0xFF) + SLACK >= least
+        run_end = np.r_[run_at[1:], len(ids)]
+        at = np.flatnonzero(new | np.r_[True, sure[1:] != sure[:-1]])  # stretches of proven or of open chunks
+        end = np.r_[at[1:], len(ids)]
+        room = np.add.reduceat(n, at) + np.where(new[at], pack[at] >> 8 & 0xFF, 0) + np.where(np.r_[new, True][end], pack[end - 1] & 0xFF, 0) + sum(SLACK)
+        asked = ~sure & ~own & np.repeat(room >= least, end - at)  # for chunks that a document holds first, the later ones ask
+        # A passage that holds chunks of a run ends within the chunks beside it, but for SLACK: its windows lie between these.
+        reach_low = np.maximum(start[run_at] - (pack[run_at] >> 8 & 0xFF) - SLACK[0], 0)
+        reach_high = start[run_end - 1] + n[run_end - 1] + (pack[run_end - 1] & 0xFF) + SLACK[1]
+        able = reach_high - reach_low >= least
+        low = np.maximum(np.repeat(reach_low, run_end - run_at), start + n - least)
+        high = np.minimum(np.repeat(reach_high, run_end - run_at) - least, start)
         rows = []
         for a, b, ok in zip(run_at.tolist(), run_end.tolist(), able.tolist(), strict=True):
             if ok:
                 p, q = np.searchsorted(part_at, [a, b])
                 parts = [(int(start[part_at[i]]), int(size[i]), int(first[part_at[i]]), int(first_k[part_at[i]]), int(there[part_at[i]])) for i in range(p, q) if proven[i]]
-                chunks = list(zip(digest[a:b].tolist(), start[a:b].tolist(), n[a:b].tolist(), asked[a:b].tolist(), strict=True))
+                chunks = list(zip(digest[a:b].tolist(), low[a:b].tolist(), high[a:b].tolist(), asked[a:b].tolist(), strict=True))
                 rows.append((ids[a], k[a], chunks, parts))
         return pd.DataFrame(rows, columns=["row_id", "k", "chunks", "parts"])
 
@@ -168,7 +177,7 @@ def _runs(least: int):
 
 
 def _windows(least: int):
-    """Hashes of all windows of ``least`` words that hold one of the chunks at ``places`` (first word and number of words)."""
+    """Hashes of all windows of ``least`` words that start at ``places`` (from low to high)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -177,7 +186,7 @@ def _windows(least: int):
                 words = words_of(text)
                 wanted = np.zeros(max(len(words) - least + 1, 0), bool)
                 for place in places:
-                    wanted[max(0, place["start"] + place["n_words"] - least) : place["start"] + 1] = True
+                    wanted[place["low"] : place["high"] + 1] = True
                 at = np.flatnonzero(wanted)
                 if len(at):
                     one, two = (hash_of(window_hashes(words, x), at, at + least) for x in FACTORS)
@@ -244,8 +253,8 @@ def passages(docs: DataFrame, text: str = "text", row_id: str = "doc_id", least:
 
     places = runs.select("row_id", "k", F.explode("chunks").alias("c")).select("row_id", "k", "c.*")
     asked = places.groupBy("digest").agg(F.count("*").alias("n"), F.max("asked").alias("asked"))
-    places = join_groups(places.drop("asked"), materialize(asked.where("asked and n > 1").drop("asked"), "asked-chunks"), "digest", "n")
-    places = materialize(places.groupBy("row_id", "k").agg(F.collect_set(F.struct("start", "n_words")).alias("places")), "asked-places")
+    places = join_groups(places.drop("asked").where("low <= high"), materialize(asked.where("asked and n > 1").drop("asked"), "asked-chunks"), "digest", "n")
+    places = materialize(places.groupBy("row_id", "k").agg(F.collect_set(F.struct("low", "high")).alias("places")), "asked-places")
     few = (places.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES
     texts = source.join(F.broadcast(places) if few else places, ["row_id", "k"])
     windows = materialize(texts.mapInPandas(_windows(least), f"hash long, check long, {ROW}, start long"), "asked-windows")
@@ -264,7 +273,8 @@ def repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id", least:
     Every stretch of ``least`` words of a passage stands in the first document too, and first_id is its id: the smallest of
     those that hold the passage; kept says that it is the row's own document. Passages of a row with different first
     documents are rows of their own, and may overlap. start_word and n_words tell the chunks or windows that prove the
-    passage; its ends may lie a few words further out. Words are what ASCII white space separates, taken as they are.
+    passage; its ends may lie some words further out (up to a chunk that is cut otherwise in the first document, and to stretches
+    of under MIN_WORDS words, SLACK included, beside a passage that is proven without them). Words are what ASCII white space separates, taken as they are.
 
     Rows with one id and different texts are different documents, and so are rows without an id (in the result the id and
     first_id are null; they come in the order of a hash). Repeated rows count as one document, and repetition within a
