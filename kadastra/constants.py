@@ -103,6 +103,18 @@ JITTER_SPREAD, JITTER_ANGLE, JITTER_LON = 0.013, 137.508, 1.55
 REVERSE_RADIUS_KM, STALE_POINT = 1.5, 0.002
 SITEMAP_CHUNK, SITEMAP_LEAST = 20_000, 3
 
+# Place names in text. Cues stand before a name, CUE_REACH characters at most; ambiguous names are common words.
+PLACE_CUE = r"(?i)(?:w\s+miejscowo\w+|miejscowo\w+|we?\s+wsi|w\s+mie[śs]cie|sołectw\w+|obr[ęe]b\w*|po[łl]o[żz]on\w*\s+w|zlokalizowan\w*\s+w|adres\w*[:\s])\s*[:\-]?\s*"
+COMMUNE_CUE = r"(?i)\bgm(?:\.|ina|iny|inie|inę)?\s+"
+COUNTY_CUE = r"(?i)\bpow(?:\.|iat|iatu|iecie)?\s+"
+CUE_REACH, EARLY, TOWN_RANK, VILLAGE_RANK, RANK_SHARE = 3, 60, 70, 30, 5
+CUE_POINTS, COUNTY_POINTS, REGION_POINTS, EXACT_POINTS, EARLY_POINTS, REPEAT_POINTS = 60, 40, 25, 10, 5, 12
+AMBIGUOUS_NAMES = (
+    "Biała", "Biały Bór", "Boru", "Brzeziny", "Budy", "Czarna", "Czarne", "Dobra", "Dolina", "Dzielnica", "Góra", "Huta", "Kolonia", "Kąty",
+    "Lipie", "Las", "Łąki", "Miasteczko", "Miejsce", "Most", "Mała", "Nowa", "Nowe", "Ogrody", "Osiedle", "Park", "Piaski", "Podlesie",
+    "Pokój", "Przystań", "Rogi", "Ruda", "Rynek", "Sady", "Stara", "Stare", "Stawy", "Sucha", "Wielka", "Wola", "Zalesie", "Zamek",
+)
+
 # Ingestion and upkeep.
 PRICE_CHANGE, MISSING_DAYS, MISSING_LIMIT, RETENTION_DAYS = 0.5, 3, 1000, 540
 RATE_LIMIT, RATE_SECONDS = 60, 3600

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from kadastra import constants as C
 from kadastra.functions import dates, numbers, once, phones, text
+from kadastra.operators import locate
 
 _S, _D, _I = T.StringType(), T.DoubleType(), T.IntegerType()
 RAW = T.StructType(
@@ -24,11 +25,11 @@ def pick(*values: Column) -> Column:
     return F.coalesce(*(F.nullif(v, F.lit(0).cast("double")) for v in values))
 
 
-def normalize(raw: DataFrame, now: Column, key: str = "kadastra", regions: list[str] | None = None) -> DataFrame:
+def normalize(raw: DataFrame, now: Column, key: str = "kadastra", regions: list[str] | None = None, units: DataFrame | None = None, boxes: DataFrame | None = None) -> DataFrame:
     """Listings of raw offers (columns of RAW).
 
     Dropped are rows without title or URL, requests and services among ordinary offers, navigation, and, with
-    ``regions``, offers outside. Parameters that a portal did not give are read from title and description; implausible
+    ``regions``, offers outside. With ``units`` (and ``boxes`` of regions) the location is settled first (locate.py). Parameters that a portal did not give are read from title and description; implausible
     prices and areas are emptied; titles that tell of a lease or rent overrule the portal's category.
     """
     c = F.col
@@ -36,6 +37,8 @@ def normalize(raw: DataFrame, now: Column, key: str = "kadastra", regions: list[
     rows = raw.withColumn("title", title).withColumn("description", body)
     rows = rows.where((F.length("title") > 0) & (F.length(F.coalesce("url", F.lit(""))) > 0) & ~c("title").rlike(C.NAVIGATION))
     rows = rows.where(~((F.coalesce("kind", F.lit("nieruchomosc")) == "nieruchomosc") & c("title").rlike(C.NOISE)))
+    if units is not None:
+        rows = locate.where_it_lies(rows, units, boxes)
     if regions:
         rows = rows.where(c("voivodeship").isNull() | c("voivodeship").isin(*regions))
     both = lambda n: F.concat_ws(" ", "title", F.substring("description", 1, n))

@@ -1,4 +1,4 @@
-"""Places: a registry of units as an input table, lookups by name and code, place names found in text, reverse lookups.
+"""Places: a registry of units as an input table, lookups by name and code, reverse lookups. Names in text: ``locate.py``.
 
 ``units`` has teryt, name, kind, voivodeship, county, commune, town, city_county, district_unit; ``boxes`` has
 voivodeship, lat_min, lat_max, lon_min, lon_max. Both are reference tables of fixed size (tens of thousands of rows).
@@ -6,20 +6,16 @@ voivodeship, lat_min, lat_max, lon_min, lon_max. Both are reference tables of fi
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kadastra import constants as C
 from kadastra.functions import geo, text
-from kadastra.functions.text import ACCENTED, PLAIN
 
-#: Units that a driver will hold and send to the tasks; a larger registry is refused.
-MAX_UNITS = 200_000
+#: Units that are broadcast at most (under 200 bytes each); a larger registry is joined by a shuffle.
+BROADCAST_UNITS = 200_000
+#: Boxes of regions that an expression is made of; more are refused.
+MAX_BOXES = 256
 
 
 def rank() -> Column:
@@ -35,23 +31,45 @@ def by_code(rows: DataFrame, units: DataFrame, code: str = "teryt") -> DataFrame
     return rows.join(best, code, "left").select(*rows.columns, "best.*")
 
 
+def small(units: DataFrame) -> DataFrame:
+    """The registry, broadcast if it is as small as registries are."""
+    return F.broadcast(units) if units.count() <= BROADCAST_UNITS else units
+
+
+def name_key(name: Column) -> Column:
+    """What a place is looked up by: its name up to a comma, slash or bracket, folded."""
+    return F.nullif(F.trim(text.fold(F.regexp_extract(name, r"^[^,/(]*", 0))), F.lit(""))
+
+
+def known(units: DataFrame) -> DataFrame:
+    """Units that a name may mean: no regions, no parts of towns."""
+    rows = units.where((F.col("kind") != "wojewodztwo") & ~F.coalesce("district_unit", F.lit(False))) if "district_unit" in units.columns else units.where(F.col("kind") != "wojewodztwo")
+    commune = F.col("commune") if "commune" in units.columns else F.lit(None).cast("string")
+    return rows.select(name_key(F.col("name")).alias("unit_key"), "teryt", F.col("name").alias("unit_name"), F.col("kind").alias("unit_kind"), F.col("voivodeship").alias("unit_region"), F.col("county").alias("unit_county"), commune.alias("unit_commune"), rank().alias("unit_rank"))
+
+
 def resolve(rows: DataFrame, units: DataFrame, name: str = "place", region: str = "hint") -> DataFrame:
-    """Name and region hint to a unit: of those with the name (folded), in the hinted region if there is one, the one of
-    highest rank; several without hint and none of rank 70 or more: only the name is known."""
-    known = units.select(text.fold(F.col("name")).alias("k"), "teryt", F.col("voivodeship").alias("unit_region"), F.col("county").alias("unit_county"), rank().alias("rank"))
-    asked = rows.withColumn("k", text.fold(F.col(name)))
-    joined = asked.join(known, "k").where(F.col(region).isNull() | (F.col(region) == F.col("unit_region")))
-    w = Window.partitionBy(name, region)
-    picked = joined.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("rank"), "teryt"))).where("r = 1")
-    sure = (F.col("n") == 1) | F.col(region).isNotNull() | (F.col("rank") >= 70)
-    best = picked.select(F.col(name).alias("__n"), F.col(region).alias("__h"), *(F.when(sure, F.col(c)).alias(c) for c in ("teryt", "unit_county", "unit_region")))
-    return rows.join(best, rows[name].eqNullSafe(F.col("__n")) & rows[region].eqNullSafe(F.col("__h")), "left").drop("__n", "__h")
+    """Name and region hint to a unit: teryt, unit_name, unit_commune, unit_county and unit_region.
+
+    Of units with the name those in the hinted region come first, then the one of highest rank. Of several without a hint
+    and none of town rank only the name is known. Each name and hint is looked up once.
+    """
+    asked = rows.select(F.col(name).alias("__n"), F.col(region).alias("__h")).where("__n is not null").distinct()
+    joined = asked.join(small(known(units)), name_key(F.col("__n")) == F.col("unit_key"))
+    inside = F.coalesce(F.col("__h") == F.col("unit_region"), F.lit(False))
+    best = F.min(F.struct((~inside).alias("outside"), (-F.col("unit_rank")).alias("minor"), (F.col("unit_kind") != "gmina").alias("other"), "unit_name", "teryt", "unit_commune", "unit_county", "unit_region")).alias("b")
+    found = joined.groupBy("__n", "__h").agg(best, F.count("*").alias("n"))
+    sure = (F.col("n") == 1) | F.col("__h").isNotNull() | (F.col("b.minor") <= -C.TOWN_RANK)
+    found = found.select("__n", "__h", F.col("b.unit_name").alias("unit_name"), *(F.when(sure, F.col(f"b.{c}")).alias(c) for c in ("teryt", "unit_commune", "unit_county", "unit_region")))
+    return rows.join(found, (rows[name] == F.col("__n")) & rows[region].eqNullSafe(F.col("__h")), "left").drop("__n", "__h")
 
 
 def region_of_point(df: DataFrame, boxes: DataFrame) -> DataFrame:
     """The region whose box holds a point, of several the smallest; ``boxes`` has one row per region."""
     b = boxes.select(F.col("voivodeship").alias("box_region"), "lat_min", "lat_max", "lon_min", "lon_max").withColumn("size", (F.col("lat_max") - F.col("lat_min")) * (F.col("lon_max") - F.col("lon_min")))
-    rows = b.limit(64).collect()
+    rows = b.limit(MAX_BOXES + 1).collect()
+    if len(rows) > MAX_BOXES:
+        raise ValueError(f"over {MAX_BOXES} boxes")
     held = [F.when(geo.in_box(F.col("lat"), F.col("lon"), r["lat_min"], r["lat_max"], r["lon_min"], r["lon_max"]), r["box_region"]) for r in sorted(rows, key=lambda r: (r["size"], r["box_region"]))]
     return df.withColumn("box_region", F.coalesce(*held) if held else F.lit(None).cast("string"))
 
@@ -90,83 +108,6 @@ def geocode(df: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     return filled, asked.join(cache.select("query_hash"), "query_hash", "left_anti")
 
 
-_TABLE = str.maketrans(ACCENTED, PLAIN)
-TOKEN = re.compile(r"\w+")
-
-
-def fold_text(s: str) -> str:
-    return s.translate(_TABLE).lower()
-
-
-def same_word(token: str, name: str) -> bool:
-    """Whether a token may be an inflected form of a name's word."""
-    if token == name:
-        return True
-    if len(name) <= 3:
-        return False
-    if token.startswith(name):
-        return len(token) - len(name) <= 3
-    stem = name[:-1]
-    return len(stem) >= 3 and token.startswith(stem) and len(token) - len(stem) <= 3
-
-
-class Gazetteer:
-    """Names of units found in texts, inflected or not: leftmost longest matches that do not overlap."""
-
-    def __init__(self, units: list[tuple[str, str, str, str, int]]):
-        self.by_head: dict[str, list] = defaultdict(list)
-        for teryt, name, county, region, own in units:
-            words = [fold_text(w) for w in TOKEN.findall(name)]
-            if words:
-                self.by_head[words[0][:3]].append((words, teryt, name, county, region, own))
-
-    def find(self, body: str) -> list[tuple[int, int, str, str, str, str, int]]:
-        """(start, end, teryt, name, county, region, rank) in order."""
-        spans = [(m.start(), m.end(), fold_text(m.group())) for m in TOKEN.finditer(body)]
-        hits = []
-        for i, (start, _, token) in enumerate(spans):
-            if not body[start].isupper():
-                continue
-            for words, teryt, name, county, region, own in self.by_head.get(token[:3], ()):
-                n = len(words)
-                if i + n <= len(spans) and all(same_word(spans[i + k][2], w) for k, w in enumerate(words)):
-                    exact = all(spans[i + k][2] == w for k, w in enumerate(words))
-                    hits.append((start, -n, not exact, -own, name, teryt, spans[i + n - 1][1], county, region, own))
-        out, end = [], -1
-        for start, _, _, _, name, teryt, stop, county, region, own in sorted(hits):
-            if start >= end:
-                out.append((start, stop, teryt, name, county, region, own))
-                end = stop
-        return out
-
-    def locate(self, body: str) -> tuple[str, str, str, str] | None:
-        """The best scored place: rank, a cue before it, the county or region named too, an early place, repetition."""
-        low, best = fold_text(body), {}
-        for start, stop, teryt, name, county, region, own in self.find(body):
-            cue = re.search(r"(?:\bw|\bwe|\bmiejscowosc\w*|\bmiasto|\bmiescie|\bgmin\w*|\bk\.|\bkolo)\s{0,3}$", low[max(0, start - 16) : start])
-            score = own // 5 + (60 if cue else 0) + (40 if county and county != name and fold_text(county) in low else 25 if region and fold_text(region) in low else 0)
-            score += (10 if low[start:stop] == fold_text(name) else 0) + (5 if start < 60 else 0)
-            best[teryt] = (max(best[teryt][0], score) + 12 if teryt in best else score, -start, teryt, name, county, region)
-        return max(best.values())[2:] if best else None
-
-
-def find_places(docs: DataFrame, units: DataFrame, body: str = "text", row_id: str = "id") -> DataFrame:
-    """The place of each text: row id, teryt, place, county, region (null if none). The registry is sent to the tasks."""
-    rows = units.select("teryt", "name", "county", "voivodeship", rank().alias("rank")).limit(MAX_UNITS + 1).collect()
-    if len(rows) > MAX_UNITS:
-        raise ValueError(f"over {MAX_UNITS} units")
-    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gazetteer = Gazetteer(shared.value)
-        for f in frames:
-            found = [gazetteer.locate(t or "") or (None,) * 4 for t in f["body"]]
-            yield pd.DataFrame([(i, *x) for i, x in zip(f["row_id"], found, strict=True)], columns=["row_id", "teryt", "place", "county", "region"]).astype({"row_id": "int64"})
-
-    rows = docs.select(F.col(row_id).cast("long").alias("row_id"), F.col(body).alias("body")).where("row_id is not null")
-    return rows.mapInPandas(run, "row_id long, teryt string, place string, county string, region string").withColumnRenamed("row_id", row_id)
-
-
 def parse_unit(value: Column) -> tuple[Column, Column, Column]:
     """Region, county and commune of a text like {Polska,małopolskie,wadowicki,Spytkowice}; names may be quoted."""
     parts = F.transform(F.regexp_extract_all(value, F.lit(r'("[^"]*"|[^{},]+)'), 1), lambda p: F.trim(F.translate(p, '"', "")))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from kadastra import constants as C
 from kadastra.functions import dates, fuzzy, numbers, phones, text
-from kadastra.operators import agencies, normalize, places, upsert
+from kadastra.operators import agencies, locate, normalize, upsert
 from kadastra.plans.catalogue_search import fold_sql
+from kadastra.plans import sample_places
 from kadastra.plans.views import LISTINGS_SQL, NOW, listings, table
 from kadastra.sources import pages, robots
 from kadastra.streaming import jobs
@@ -260,27 +261,27 @@ def _(spark, sf_dir):
     return agencies.match(names, known).withColumn("score", F.round("score", 2))
 
 
-UNITS = [
-    ("126101", "Kraków", "miasto", "małopolskie", "Kraków", "Kraków", True, True, False),
-    ("160705", "Nysa", "gmina", "opolskie", "nyski", "Nysa", True, False, False),
-    ("166101", "Opole", "miasto", "opolskie", "Opole", "Opole", True, True, False),
-    ("026401", "Wrocław", "miasto", "dolnośląskie", "Wrocław", "Wrocław", True, True, False),
-    ("2213", "Starogard Gdański", "gmina", "pomorskie", "starogardzki", "Starogard Gdański", True, False, False),
-]
+_TEXTS = ", ".join(f"({i}, '{body}', {'null' if teryt is None else repr(teryt)})" for i, (body, teryt) in enumerate(sample_places.TEXTS))
+_UNITS = ", ".join(f"('{u[0]}', '{u[1]}', '{u[4]}', '{u[3]}')" for u in sample_places.UNITS if u[2] in ("miasto", "gmina"))
 
 
-_FOUND = {0: UNITS[0], 1: UNITS[1], 2: UNITS[2], 3: UNITS[3], 4: UNITS[4]}
-
-
-def _found(k: int) -> str:
-    return "case id % 6 " + " ".join(f"when {i} then '{u[k]}'" for i, u in _FOUND.items()) + " end"
+@query("find_places", f"{W}select id, u.teryt, u.name as place, u.county, coalesce(u.region, case when body like '%woj. %' then regexp_extract(body, 'woj. (.*)', 1) end) as region from listings join (values {_TEXTS}) t(n, body, found) on n = id % {len(sample_places.TEXTS)} left join (values {_UNITS}) u(teryt, name, county, region) on u.teryt = found")
+def _(spark, sf_dir):
+    texts = listings(spark, sf_dir).select("id", F.element_at(F.array(*(F.lit(body) for body, _ in sample_places.TEXTS)), (F.col("id") % len(sample_places.TEXTS) + 1).cast("int")).alias("text"))
+    return locate.find_places(texts, sample_places.units(spark))
 
 
-@query("find_places", f"{W}select id, {_found(0)} as teryt, {_found(1)} as place, {_found(4)} as county, {_found(3)} as region from listings")
+@query("locate_offers", f"""{W}select id, u.region as voivodeship, u.county, coalesce(u.name, case when id % 5 = 4 then 'Florynka' end) as city, u.teryt, case when id % 5 = 4 then 'portal' when u.teryt is null then 'brak' when id % 5 in (0, 1) then 'rejestr' else 'tekst' end as origin
+from listings left join (values {_UNITS}) u(teryt, name, county, region) on u.teryt = case id % 5 when 0 then '166101' when 1 then case when id % 2 = 0 then '121301' else '221303' end when 2 then '226401' when 3 then case when id % 2 = 0 then '321702' end end""")
 def _(spark, sf_dir):
-    units = spark.createDataFrame(UNITS, "teryt string, name string, kind string, voivodeship string, county string, commune string, town boolean, city_county boolean, district_unit boolean")
-    texts = listings(spark, sf_dir).select("id", F.concat(F.lit("Ładne mieszkanie w "), F.element_at(F.array(*map(F.lit, ("Krakowie", "Nysie", "Opolu", "Wrocławiu", "Starogardzie Gdańskim", "centrum"))), (F.col("id") % 6 + 1).cast("int")), F.lit(", dobra oferta")).alias("text"))
-    return places.find_places(texts, units)
+    made = {
+        "voivodeship": "case when id % 5 = 1 then case when id % 2 = 0 then 'MALOPOLSKIE' else 'pomorskie' end end",
+        "city": "case id % 5 when 0 then 'Opole' when 1 then 'Osiek' when 2 then 'pomorskie' when 4 then 'Florynka' end",
+        "title": "case id % 5 when 2 then 'Mieszkanie w Sopocie' when 3 then 'Dobra oferta, tanio' else 'Dom w Krakowie' end",
+        "description": "case when id % 2 = 0 then 'Dom w miejscowości Dobra, gm. Dobra' end",
+    }
+    raw = listings(spark, sf_dir).select("id", *(F.expr(v).alias(k) for k, v in made.items()))
+    return locate.where_it_lies(raw, sample_places.units(spark)).select("id", "voivodeship", "county", "city", "teryt", "origin")
 
 
 @query("normalize_offers")

@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kadastra.operators import agencies, alerts, duplicates, graph, market, normalize, places, repair, search, similar, skew, stats, upsert
+from kadastra.operators import agencies, alerts, duplicates, graph, locate, market, normalize, places, repair, search, similar, skew, stats, upsert
 from kadastra.operators.search import Filters
+from kadastra.plans import sample_places
 
 NOW = "2026-09-30 12:00:00"
 
@@ -174,17 +175,39 @@ def test_agency_match(spark):
     assert [(r.agency_id, r.score) for r in agencies.match(names, known).collect()] == [(7, 100.0)]
 
 
-def test_places(spark):
-    units = spark.createDataFrame(
-        [("126101", "Kraków", "miasto", "małopolskie", "Kraków", "Kraków", True, True, False), ("2213", "Starogard Gdański", "gmina", "pomorskie", "starogardzki", "Starogard Gdański", True, False, False), ("2261", "Gdańsk", "miasto", "pomorskie", "Gdańsk", "Gdańsk", True, True, False), ("1", "Osiek", "gmina", "małopolskie", "oświęcimski", "Osiek", False, False, False), ("2", "Osiek", "gmina", "pomorskie", "starogardzki", "Osiek", False, False, False)],
-        "teryt string, name string, kind string, voivodeship string, county string, commune string, town boolean, city_county boolean, district_unit boolean",
-    )
-    docs = spark.createDataFrame([(1, "Miejsce postojowe na sprzedaż w Krakowie"), (2, "Mieszkanie w Starogardzie Gdańskim"), (3, "Dobra oferta, tanio, pilnie"), (4, None), (5, "")], "id long, text string")
-    found = {r.id: r.place for r in places.find_places(docs, units).collect()}
-    assert found == {1: "Kraków", 2: "Starogard Gdański", 3: None, 4: None, 5: None}
-    asked = spark.createDataFrame([("Osiek", None), ("osiek", "pomorskie"), ("Kraków", None), ("Nigdzie", None)], "place string, hint string")
+def test_places_in_texts(spark):
+    docs = spark.createDataFrame([(i, body) for i, (body, _) in enumerate(sample_places.TEXTS)] + [(98, None), (99, "")], "id long, text string")
+    found = {r.id: r.teryt for r in locate.find_places(docs, sample_places.units(spark)).collect()}
+    assert found == {i: teryt for i, (_, teryt) in enumerate(sample_places.TEXTS)} | {98: None, 99: None}
+
+
+def test_named_places_are_looked_up(spark):
+    units = sample_places.units(spark)
+    asked = spark.createDataFrame([("Osiek", None), ("osiek", "pomorskie"), ("Kraków, Podgórze", None), ("Nigdzie", None), ("Opole", "śląskie"), ("opolskie", None), (None, "opolskie")], "place string, hint string")
     got = {(r.place, r.hint): r.teryt for r in places.resolve(asked, units).collect()}
-    assert got == {("Osiek", None): None, ("osiek", "pomorskie"): "2", ("Kraków", None): "126101", ("Nigdzie", None): None}
+    assert got == {("Osiek", None): None, ("osiek", "pomorskie"): "221303", ("Kraków, Podgórze", None): "126101", ("Nigdzie", None): None, ("Opole", "śląskie"): "166101", ("opolskie", None): None, (None, "opolskie"): None}
+
+
+def test_where_offers_lie(spark):
+    """Portal before registry before text; the point tells regions apart; a region in the town field is no town."""
+    boxes = spark.createDataFrame([("małopolskie", 49.2, 50.5, 19.1, 21.4), ("świętokrzyskie", 50.0, 51.3, 19.7, 21.9), ("pomorskie", 53.5, 54.9, 16.7, 19.6)], "voivodeship string, lat_min double, lat_max double, lon_min double, lon_max double")
+    rows = [
+        (1, "OPOLSKIE", None, "Opole", None, None, None, None, None),
+        (2, None, None, "Osiek", None, None, None, 50.003, 20.105),
+        (3, None, None, "pomorskie", "Mieszkanie w Sopocie", None, None, None, None),
+        (4, None, "namysłowski", None, "Ładna działka", "gm. Pokój", None, None, None),
+        (5, None, None, "Florynka", "Dom w Krakowie", None, None, None, None),
+        (6, None, None, None, "Dobra oferta", None, "Dom w miejscowości Dobra, gm. Dobra", None, None),
+        (7, None, None, None, "Działka, woj. opolskie", None, "Dąbrowa, blisko lasu", None, None),
+        (8, None, None, None, None, None, None, None, None),
+        (9, None, "krakowski", "Kraków", None, None, None, None, None),
+    ]
+    raw = spark.createDataFrame(rows, "id long, voivodeship string, county string, city string, title string, location_text string, description string, lat double, lon double")
+    got = {r.id: (r.voivodeship, r.county, r.city, r.origin) for r in locate.where_it_lies(raw, sample_places.units(spark), boxes).collect()}
+    assert got == {
+        1: ("opolskie", "Opole", "Opole", "rejestr"), 2: ("małopolskie", "oświęcimski", "Osiek", "rejestr"), 3: ("pomorskie", "Sopot", "Sopot", "tekst"), 4: ("opolskie", "namysłowski", "Pokój", "tekst"),
+        5: (None, None, "Florynka", "portal"), 6: ("zachodniopomorskie", "łobeski", "Dobra", "tekst"), 7: ("opolskie", "opolski", "Dąbrowa", "tekst"), 8: (None, None, None, "brak"), 9: ("małopolskie", "krakowski", "Kraków", "rejestr"),
+    }
 
 
 def test_parse_unit(spark):
