@@ -7,7 +7,7 @@ Chunks are counted by digest over all documents. Each repeated chunk knows its f
 * neighbouring chunks of a document that are neighbours in one first document too make a part; a part of MIN_WORDS words
   or more is a passage of both documents;
 * chunks in no such part, in a stretch of repeated chunks that could hold a passage, are asked about by all but their first
-  document: the windows of MIN_WORDS words around them and around all their other places are compared by two 64-bit hashes.
+  document: the windows of MIN_WORDS words around them and around all their other places are compared by hashes of 96 bits.
 
 So a passage is never put together from chunks that different documents hold, and no chunk is believed alone.
 """
@@ -33,7 +33,7 @@ RADIUS, LONGEST = 4, 32
 DOUBLINGS = 4
 #: Words at the start and the end of a passage in which cuts may differ by what the hash and the neighbours see beyond them.
 SLACK = RADIUS + (1 << (DOUBLINGS - 1)), RADIUS
-#: Places that are broadcast at most (about 40 bytes each).
+#: Stretches of windows that are broadcast at most (about 40 bytes each); beyond that the texts are shuffled to them.
 BROADCAST_PLACES = 1_000_000
 
 GEAR = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -42,7 +42,7 @@ FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 ROW = "row_id long, k int"
 CHUNK = f"digest long, {ROW}, pack long"
-RUN = f"{ROW}, chunks array<struct<digest:bigint,low:bigint,high:bigint,asked:boolean>>, parts array<struct<start:bigint,n_words:bigint,first_id:bigint,first_k:int,first_start:bigint>>"
+RUN = f"{ROW}, chunks array<struct<digest:bigint,start:bigint,low:bigint,high:bigint,asked:boolean>>, parts array<struct<start:bigint,n_words:bigint,first_id:bigint,first_k:int,first_start:bigint>>"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -156,7 +156,7 @@ def _runs(least: int):
             if ok:
                 p, q = np.searchsorted(part_at, [a, b])
                 parts = [(int(start[part_at[i]]), int(size[i]), int(first[part_at[i]]), int(first_k[part_at[i]]), int(there[part_at[i]])) for i in range(p, q) if proven[i]]
-                chunks = list(zip(digest[a:b].tolist(), low[a:b].tolist(), high[a:b].tolist(), asked[a:b].tolist(), strict=True))
+                chunks = list(zip(digest[a:b].tolist(), start[a:b].tolist(), low[a:b].tolist(), high[a:b].tolist(), asked[a:b].tolist(), strict=True))
                 rows.append((ids[a], k[a], chunks, parts))
         return pd.DataFrame(rows, columns=["row_id", "k", "chunks", "parts"])
 
@@ -190,7 +190,7 @@ def _windows(least: int):
                 at = np.flatnonzero(wanted)
                 if len(at):
                     one, two = (hash_of(window_hashes(words, x), at, at + least) for x in FACTORS)
-                    out.append(pd.DataFrame({"hash": one, "check": two, "row_id": np.int64(row_id), "k": np.int32(k), "start": at}))
+                    out.append(pd.DataFrame({"hash": one, "check": (two >> 32).astype(np.int32), "row_id": np.int64(row_id), "k": np.int32(k), "start": at.astype(np.int32)}))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
@@ -228,6 +228,13 @@ def keys_of(text: str, row_id: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(row_id).cast("long"), F.xxhash64(text)), F.when(F.col(row_id).isNull(), -1 - other).otherwise(other).cast("int")
 
 
+def joined(stretches: Column) -> Column:
+    """Sorted stretches (low, high) of numbers, those that touch made one."""
+    last = lambda acc: F.element_at(acc, -1)
+    grow = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["low"].alias("low"), F.greatest(last(acc)["high"], x["high"]).alias("high"))))
+    return F.aggregate(F.slice(stretches, 2, F.size(stretches)), F.slice(stretches, 1, 1), lambda acc, x: F.when(x["low"] <= last(acc)["high"] + 1, grow(acc, x)).otherwise(F.concat(acc, F.array(x))))
+
+
 def documents_of(docs: DataFrame, text: str, row_id: str) -> DataFrame:
     """row_id, k (see keys_of) and text of all rows that have a text."""
     own, k = keys_of(text, row_id)
@@ -252,16 +259,18 @@ def passages(docs: DataFrame, text: str = "text", row_id: str = "doc_id", least:
     earlier = parts.select(F.col("first_id").alias("row_id"), F.col("first_k").alias("k"), F.col("first_start").alias("start"), "n_words", "first_id", "first_k").distinct()
 
     places = runs.select("row_id", "k", F.explode("chunks").alias("c")).select("row_id", "k", "c.*")
-    asked = places.groupBy("digest").agg(F.count("*").alias("n"), F.max("asked").alias("asked"))
-    places = join_groups(places.drop("asked").where("low <= high"), materialize(asked.where("asked and n > 1").drop("asked"), "asked-chunks"), "digest", "n")
-    places = materialize(places.groupBy("row_id", "k").agg(F.collect_set(F.struct("low", "high")).alias("places")), "asked-places")
+    # A window of both documents begins as far from their common chunk in either: as far as those that ask allow.
+    off = lambda c: F.when(F.col("asked"), F.col(c) - F.col("start"))
+    asked = places.where("low <= high").groupBy("digest").agg(F.count("*").alias("n"), F.min(off("low")).alias("from"), F.max(off("high")).alias("to")).where("n > 1 and from is not null")
+    places = join_groups(places.drop("asked"), materialize(asked, "asked-chunks"), "digest", "n").select("row_id", "k", F.greatest("low", F.col("start") + F.col("from")).alias("low"), F.least("high", F.col("start") + F.col("to")).alias("high"))
+    places = materialize(places.where("low <= high").groupBy("row_id", "k").agg(joined(F.array_sort(F.collect_set(F.struct("low", "high")))).alias("places")), "asked-places")
     few = (places.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES
     texts = source.join(F.broadcast(places) if few else places, ["row_id", "k"])
-    windows = materialize(texts.mapInPandas(_windows(least), f"hash long, check long, {ROW}, start long"), "asked-windows")
+    windows = materialize(texts.mapInPandas(_windows(least), f"hash long, check int, {ROW}, start int"), "asked-windows")
     who = F.struct("row_id", "k")
     twice = windows.groupBy("hash", "check").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.count("*").alias("n")).where("lo < hi")
     twice = twice.select("hash", F.col("check").alias("of_check"), F.col("lo.row_id").alias("first_id"), F.col("lo.k").alias("first_k"), "n")
-    proven = join_groups(windows, materialize(twice, "repeated-windows"), "hash", "n").where("check = of_check").select("row_id", "k", "start", F.lit(least).cast("long").alias("n_words"), "first_id", "first_k")
+    proven = join_groups(windows, materialize(twice, "repeated-windows"), "hash", "n").where("check = of_check").select("row_id", "k", F.col("start").cast("long").alias("start"), F.lit(least).cast("long").alias("n_words"), "first_id", "first_k")
 
     both = later.unionByName(earlier).unionByName(proven)
     return both.repartition("row_id", "k", "first_id").sortWithinPartitions("row_id", "k", "first_id", "first_k", "start", "n_words").mapInPandas(_spans(least), f"{ROW}, first_id long, first_k int, start long, n_words long")
