@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from kadastra.operators import market, search, stats, upsert
 from kadastra.operators.search import Filters
+from kadastra.operators.skew import shared_dir
 
 #: How tables are laid out: partition columns, and the columns that rows are sorted by within files.
 LAYOUT = {
@@ -61,8 +62,12 @@ class Catalog:
         self.spark.createDataFrame([(name, number, df.schema.json())], VERSIONS).write.mode("append").json(f"{self.root}/_versions")
 
     def scan(self, batch: DataFrame, now: Column, complete: list[str] = ()) -> None:
-        """Take in a batch: upsert, price history, missing offers of completely scanned sources, new medians."""
-        merged = upsert.upsert(self.table("listings"), batch, now)
+        """Take in a batch: upsert, price history, missing offers of completely scanned sources, new medians. Of rows that
+        repeat a key the one published last counts. One job at a time may write a catalogue."""
+        if not self.spark.sparkContext.getCheckpointDir():
+            self.spark.sparkContext.setCheckpointDir(shared_dir(self.spark))
+        once = upsert.latest_per_key(batch, "published" if "published" in batch.columns else "listed_at" if "listed_at" in batch.columns else None)
+        merged = upsert.upsert(self.table("listings"), once, now).checkpoint()  # read by two writes
         changes = upsert.price_changes(merged, now)
         if self.version("price_history") is not None:
             changes = self.table("price_history").unionByName(changes, allowMissingColumns=True)

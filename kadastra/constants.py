@@ -20,6 +20,12 @@ HOUSE_NUMBER = r"^(.*?)[,\s]+(\d+[A-Za-z]?(?:/\d+[A-Za-z]?)?)\s*$"
 # Market statistics.
 COMPARABLE_TYPES = ("mieszkanie", "dom", "kamienica", "lokal", "biuro", "garaz", "dzialka")
 MARKET_LEVELS = ("miasto", "powiat", "wojewodztwo")
+NOT_COMPARABLE = (
+    r"(?iU)\bROD\b|rodzinnych ogrod|ogrodzie dzia[łl]kow|\baltan|domek holendersk|"
+    r"\bkontener|pawilon|modu[łl]ow|barakow[oó]z|\bblaszak|\bkiosk|"
+    r"kwater\w*\s+(?:pracownicz|dla)|noclegi|nocleg\w*|za\s+dob[ęe]|na\s+doby|"
+    r"agroturyst|\bhostel|apartament\w*\s+na\s+doby|\bmiejsce\s+noclegow"
+)
 MIN_SAMPLE, MIN_RATIO, BARGAIN_RATIO = 8, 0.35, 0.85
 
 # Similar offers and duplicates.

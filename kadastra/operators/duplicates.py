@@ -2,7 +2,8 @@
 
 A pair can only match through an equal case number, shingle or fingerprint, or through an equal phone with similar
 areas. Each way becomes a key that holds all its exact conditions (also kind, type and transaction; for phones a
-bucket of the area, and the next one), so the join is an equi-join on narrow keys and never a disjunction.
+bucket of the area, and the next one), so the join is an equi-join on narrow keys and never a disjunction. Listings alike in
+all that decides are one class and make no pairs among themselves.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from kadastra import constants as C
 from kadastra.functions import fuzzy, text
 from kadastra.operators.graph import connected_components
+from kadastra.operators.skew import join_groups
 
 #: Columns that verdicts look at; missing ones count as null.
 COLUMNS = {
@@ -49,24 +51,47 @@ def _differ(x: Column, y: Column) -> Column:
     return F.coalesce(x != y, F.lit(False))
 
 
-def candidate_pairs(df: DataFrame) -> DataFrame:
-    """Pairs (a, b) of structs, a older by id, that share a key and lie within the window."""
-    row = F.struct(*(F.col(c) for c in (*COLUMNS, "fingerprint", "text_shingle")))
+#: What verdicts look at; listings alike in these are one class.
+JUDGED = tuple(c for c in (*COLUMNS, "fingerprint", "text_shingle") if c not in ("id", "first_seen", "published", "seller_type"))
+
+
+def keys() -> Column:
+    """The blocking keys of a listing."""
     same = lambda name, *parts: F.when(F.concat(*parts).isNotNull(), F.concat_ws("|", F.lit(name), *parts))
     base = [F.coalesce(c, F.lit("")) for c in ("kind", "property_type", "transaction")]
     bucket = F.floor(F.col("area") / C.AREA_TOLERANCE).cast("long")
-    keys = F.array(
+    found = F.array(
         same("case", "case_number", *base),
         same("text", "text_shingle", *base),
         same("print", "fingerprint", *base),
         same("phone", "phone_fingerprint", bucket.cast("string"), *base),
         same("phone", "phone_fingerprint", (bucket + 1).cast("string"), *base),
     )
-    keyed = df.where(F.col("kind") != "przetarg").select(row.alias("r"), F.explode(F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))).alias("key"))
-    a, b = keyed.select("key", F.col("r").alias("a")), keyed.select("key", F.col("r").alias("b"))
-    pairs = a.join(b, "key").where("a.id < b.id")
-    near = F.abs(F.datediff("a.first_seen", "b.first_seen")) <= C.DEDUP_WINDOW_DAYS
-    return pairs.where(F.coalesce(near, F.lit(True))).drop("key").dropDuplicates(["a", "b"])
+    return F.array_distinct(F.filter(found, lambda k: k.isNotNull()))
+
+
+def candidate_pairs(df: DataFrame) -> DataFrame:
+    """Pairs (a, b) of structs, a older by id, that share a key and lie within the window.
+
+    Keys, ids, dates and a class meet, not listings: the class is a hash of all that verdicts look at, so listings of one
+    class get the same verdict with any other. Under a key the listings of a class and a stretch of time of the window's
+    length are paired with the first of them only, and classes and stretches meet by their first and last listings, which
+    are the nearest to all that lies outside. So groups come out as from all pairs, and copies make no pairs among
+    themselves. The columns are fetched for the pairs that are left.
+    """
+    window = C.DEDUP_WINDOW_DAYS
+    rows = df.where(F.col("kind") != "przetarg").withColumn("class", F.xxhash64(*(x for c in JUDGED for x in (F.col(c), F.col(c).isNull()))))
+    stretch = F.floor(F.datediff("first_seen", F.lit("2000-01-01")) / window)
+    keyed = rows.select("id", "first_seen", F.explode(keys()).alias("key"), "class", stretch.alias("stretch")).withColumn("group", F.xxhash64("key", "class", F.coalesce("stretch", F.lit(-1 << 40))))
+    ends = keyed.groupBy("group").agg(F.first("key").alias("key"), F.min(F.struct("first_seen", "id")).alias("lo"), F.max(F.struct("first_seen", "id")).alias("hi"), F.count("*").alias("n"))
+    stars = join_groups(keyed.select("id", "group"), ends.select("group", "lo.id", "n").withColumnRenamed("id", "first_id"), "group", "n").where("id <> first_id").select("id", F.col("first_id").alias("other"))
+    stands = ends.select("key", "group", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("at")).select("key", "group", "at.id", "at.first_seen")
+    a, b = (stands.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("group", "id", "first_seen"))) for side in "ab")
+    near = F.coalesce(F.abs(F.datediff("a_first_seen", "b_first_seen")) <= window, F.lit(True))
+    across = a.join(b, "key").where((F.col("a_group") < F.col("b_group")) & near).select(F.col("a_id").alias("id"), F.col("b_id").alias("other"))
+    pairs = stars.unionByName(across).where("id <> other").select(F.least("id", "other").alias("a_id"), F.greatest("id", "other").alias("b_id")).distinct()
+    row = lambda side: df.select(F.col("id").alias(f"{side}_id"), F.struct(*(F.col(c) for c in (*COLUMNS, "fingerprint", "text_shingle"))).alias(side))
+    return pairs.join(row("a"), "a_id").join(row("b"), "b_id").select("a", "b")
 
 
 def verdicts(pairs: DataFrame) -> DataFrame:

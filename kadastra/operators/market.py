@@ -19,7 +19,9 @@ def scopes() -> Column:
 
 
 def comparable() -> Column:
-    return (F.col("status") == "aktywna") & (F.col("price_per_m2") > 0) & F.col("property_type").isin(*C.COMPARABLE_TYPES)
+    """Listings that medians are made of: no kiosks, allotments or lodgings, whatever type they are filed under."""
+    other = F.coalesce(F.col("title").rlike(C.NOT_COMPARABLE), F.lit(False))
+    return ~other & (F.col("status") == "aktywna") & (F.col("price_per_m2") > 0) & F.col("property_type").isin(*C.COMPARABLE_TYPES)
 
 
 def medians(df: DataFrame, least: int = C.MIN_SAMPLE) -> DataFrame:

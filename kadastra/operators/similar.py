@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from kadastra import constants as C
 from kadastra.functions.geo import haversine_km
 
+#: Types whose number of rooms matters.
+ROOMS_MATTER = ("mieszkanie", "dom")
 ANCHOR = ("id", "kind", "property_type", "transaction", "price", "area", "rooms", "city", "county", "voivodeship", "lat", "lon", "district")
 
 
@@ -18,29 +20,48 @@ def relative_gap() -> Column:
     return price + size
 
 
+def _at(prefix: str) -> Column:
+    """The places at which a row can be met, nearest first: its town (with the region if known), county and region."""
+    c = lambda name: F.col(f"{prefix}{name}")
+    town = F.concat(F.lit("0|"), c("city"), F.lit("|"), F.coalesce(c("voivodeship"), F.lit("")))
+    keys = [town, F.concat(F.lit("1|"), c("county")), F.concat(F.lit("2|"), c("voivodeship"))]
+    if not prefix:  # an anchor without region asks with its town alone
+        keys.append(F.when(c("voivodeship").isNotNull(), F.concat(F.lit("0|"), c("city"), F.lit("|"))))
+    return F.array_compact(F.array(*keys))
+
+
 def candidates(df: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Active originals of the anchors' kind, type and transaction in the same region, within the bands, with the level
-    of the place they share (0 town, 1 county, 2 region). Prices are bucketed by the logarithm, so the join is on
-    equal keys: a band spans the bucket of the anchor and its neighbours."""
+    """Active originals of the anchors' kind, type and transaction within the bands, with the nearest place they share as
+    ``level`` (0 town, 1 county, 2 region). Prices are bucketed by the logarithm, so the join is on equal keys: a band
+    spans the bucket of the anchor and its neighbours. Anchors without a price take any price, those without an area any area."""
     bucket = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1.0))) / F.log(F.lit(C.SIMILAR_HIGH / 1.0))).cast("int")
-    asked = anchors.select(*(F.col(c).alias(f"a_{c}") for c in ANCHOR), F.explode(F.array(*(bucket("price") + i for i in (-2, -1, 0, 1)))).alias("bucket"))
-    rows = df.where((F.col("status") == "aktywna") & F.col("is_original") & F.col("price").isNotNull()).withColumn("bucket", bucket("price"))
-    on = [F.col(c) == F.col(f"a_{c}") for c in ("kind", "property_type", "transaction", "voivodeship")]
-    joined = rows.join(asked, [rows["bucket"] == asked["bucket"], *on]).drop("bucket")
-    rooms = F.when(F.col("a_property_type").isin("mieszkanie", "dom"), F.col("rooms").isNull() | F.col("a_rooms").isNull() | (F.abs(F.col("rooms") - F.col("a_rooms")) <= 1)).otherwise(True)
-    band = F.col("price").between(F.col("a_price") * C.SIMILAR_LOW, F.col("a_price") * C.SIMILAR_HIGH) & (F.col("a_area").isNull() | F.col("area").between(F.col("a_area") * C.SIMILAR_LOW, F.col("a_area") * C.SIMILAR_HIGH))
-    level = F.when(F.col("city") == F.col("a_city"), 0).when(F.col("county") == F.col("a_county"), 1).otherwise(2)
-    return joined.where((F.col("id") != F.col("a_id")) & band & rooms).withColumn("level", level)
+    around = F.when(F.col("price").isNotNull(), F.array(*(bucket("price") + i for i in (-2, -1, 0, 1)))).otherwise(F.array(F.lit(None).cast("int")))
+    asked = anchors.select(*(F.col(c).alias(f"a_{c}") for c in ANCHOR), F.explode(around).alias("a_bucket")).withColumn("a_at", F.explode(_at("a_")))
+    extra = [c for c in ("images",) if c in df.columns]
+    rows = df.where((F.col("status") == "aktywna") & F.col("is_original")).withColumn("at", F.explode(_at("")))
+    on = [F.col("at") == F.col("a_at"), *(F.col(c) == F.col(f"a_{c}") for c in ("kind", "property_type", "transaction"))]
+    priced = rows.where("price is not null").withColumn("bucket", bucket("price")).join(asked.where("a_price is not null"), [F.col("bucket") == F.col("a_bucket"), *on]).drop("bucket")
+    unpriced = rows.join(asked.where("a_price is null"), on)
+    joined = priced.unionByName(unpriced)
+    rooms = F.when(F.col("a_property_type").isin(*ROOMS_MATTER), F.col("rooms").isNull() | F.col("a_rooms").isNull() | (F.abs(F.col("rooms") - F.col("a_rooms")) <= 1)).otherwise(True)
+    band = lambda c: F.col(f"a_{c}").isNull() | F.coalesce(F.col(c).between(F.col(f"a_{c}") * C.SIMILAR_LOW, F.col(f"a_{c}") * C.SIMILAR_HIGH), F.lit(False))
+    town = F.coalesce((F.col("city") == F.col("a_city")) & (F.col("a_voivodeship").isNull() | (F.col("voivodeship") == F.col("a_voivodeship"))), F.lit(False))
+    nearest = F.when(town, 0).when(F.coalesce(F.col("county") == F.col("a_county"), F.lit(False)), 1).otherwise(2)
+    level = F.substring("a_at", 1, 1).cast("int")
+    found = joined.where((F.col("id") != F.col("a_id")) & band("price") & band("area") & rooms & (level == nearest))
+    return found.withColumn("level", level).drop("at", "a_at", "a_bucket").select("*", *([] if extra else [F.lit(None).cast("array<string>").alias("images")]))
 
 
 def closeness() -> Column:
-    """Distance in price, area, rooms and place; the smaller the more alike."""
-    price = F.abs(F.log(F.col("price") / F.col("a_price")))
-    size = F.coalesce(F.when((F.col("area") > 0) & (F.col("a_area") > 0), F.abs(F.log(F.col("area") / F.col("a_area")))), F.lit(0.5))
-    rooms = F.coalesce(0.15 * F.abs(F.col("rooms") - F.col("a_rooms")), F.lit(0.1))
+    """Distance in price, area, rooms and place, and a little for offers without pictures; the smaller the more alike."""
+    price = F.coalesce(F.abs(F.log(F.col("price") / F.col("a_price"))), F.lit(0.0))
+    size = F.when(F.col("a_area") > 0, F.when(F.col("area") > 0, F.abs(F.log(F.col("area") / F.col("a_area")))).otherwise(0.5)).otherwise(0.0)
+    asks_rooms = (F.col("a_rooms") > 0) & F.col("a_property_type").isin(*ROOMS_MATTER)
+    rooms = F.when(asks_rooms, F.coalesce(0.15 * F.abs(F.col("rooms") - F.col("a_rooms")), F.lit(0.1))).otherwise(0.0)
     away = F.coalesce(F.least(haversine_km(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon")), F.lit(40.0)) / 40, F.lit(0.0))
     district = F.when(F.col("district") == F.col("a_district"), 0.1).otherwise(0.0)
-    return price + size + rooms + away - district
+    bare = F.when(F.coalesce(F.size("images"), F.lit(0)) > 0, 0.0).otherwise(0.25)
+    return price + size + rooms + away - district + bare
 
 
 def pools(df: DataFrame, anchors: DataFrame, pool: int = C.SIMILAR_POOL) -> DataFrame:
@@ -51,9 +72,10 @@ def pools(df: DataFrame, anchors: DataFrame, pool: int = C.SIMILAR_POOL) -> Data
 
 
 def same_property(price_a, area_a, city_a, price_b, area_b, city_b) -> bool:
-    close = price_a is not None and price_b is not None and abs(price_a - price_b) <= 0.005 * price_a
-    size = (area_a is None and area_b is None) or (area_a is not None and area_b is not None and abs(area_a - area_b) < 1.0)
-    return close and size and (city_a or "").lower() == (city_b or "").lower()
+    """Whether two offers are one property told twice; offers without price or area are never taken for one."""
+    if not (price_a and price_b and area_a and area_b):
+        return False
+    return abs(price_a - price_b) <= 0.005 * price_a and abs(area_a - area_b) < 1.0 and (city_a or "").lower() == (city_b or "").lower()
 
 
 def similar(df: DataFrame, anchors: DataFrame, most: int = C.SIMILAR_LIMIT) -> DataFrame:

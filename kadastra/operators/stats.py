@@ -9,10 +9,31 @@ from kadastra import constants as C
 from kadastra.functions import dates, text
 
 
-def upper_median(column: str, keys: list[str]) -> tuple[Column, Column]:
-    """Place of a row by ``column`` in its group, and whether it is the upper median: n div 2 + 1."""
-    w = Window.partitionBy(*keys)
-    return F.row_number().over(w.orderBy(column)), F.count("*").over(w)
+#: Width of the ranges of values in which an upper median is looked for.
+RANGE = 1000.0
+#: Groups that are broadcast at most.
+BROADCAST_GROUPS = 1_000_000
+
+
+def upper_medians(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, upper_median): the value at place n div 2 + 1 of each group.
+
+    Rows are counted by range, the ranges' counts added up, and the one range that holds the place is looked at by value;
+    so no group is sorted in one task.
+    """
+    rows = df.where(F.col(column).isNotNull()).select(F.col(key).alias("k"), F.col(column).alias("v"), F.floor(F.col(column) / RANGE).alias("range"))
+    w = Window.partitionBy("k")
+
+    def reached(counts: DataFrame, by: str, place: Column) -> DataFrame:
+        """The first row of each group whose running count reaches ``place``, with the count before it."""
+        up = counts.withColumn("sum", F.sum("n").over(w.orderBy(by))).withColumn("place", place)
+        return up.where((F.col("place") <= F.col("sum")) & (F.col("place") > F.col("sum") - F.col("n")))
+
+    ranges = reached(rows.groupBy("k", "range").agg(F.count("*").alias("n")), "range", F.floor(F.sum("n").over(w) / 2) + 1)
+    ranges = ranges.select(F.col("k").alias("of"), F.col("range").alias("in_range"), (F.col("place") - F.col("sum") + F.col("n")).alias("rest"))
+    inner = rows.join(F.broadcast(ranges) if ranges.count() <= BROADCAST_GROUPS else ranges, F.col("k").eqNullSafe(F.col("of")) & (F.col("range") == F.col("in_range")))
+    found = reached(inner.groupBy("k", "v").agg(F.count("*").alias("n"), F.max("rest").alias("rest")), "v", F.col("rest"))
+    return found.select(F.col("k").alias(key), F.col("v").alias("upper_median"))
 
 
 def totals(df: DataFrame, now: str) -> DataFrame:
@@ -48,12 +69,11 @@ def market_report(df: DataFrame, now: str, days: int, city: str | None = None) -
     moment = F.lit(now).cast("timestamp")
     rows = df.where(F.col("is_original") & (F.col("listed_at") >= moment - F.make_dt_interval(F.lit(days))))
     rows = rows if city is None else rows.where(F.col("city") == city)
-    place, n = upper_median("price", ["property_type"])
-    rows = rows.where("price is not null").withColumn("place", place).withColumn("group_n", n)
+    rows = rows.where("price is not null")
+    middle = upper_medians(rows, "property_type", "price").withColumnsRenamed({"property_type": "of", "upper_median": "median_price"})
     on_market = dates.whole_days(F.col("listed_at"), moment)
-    return rows.groupBy("property_type").agg(
+    found = rows.groupBy("property_type").agg(
         F.count("*").alias("n"),
-        F.max(F.when(F.col("place") == F.expr("group_n div 2 + 1"), F.col("price"))).alias("median_price"),
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),
         F.round(F.avg("price"), 2).alias("avg_price"),
@@ -61,6 +81,7 @@ def market_report(df: DataFrame, now: str, days: int, city: str | None = None) -
         F.count_if(F.col("status") != "aktywna").alias("removed"),
         F.round(100.0 * F.count_if(F.col("seller_type") == "posrednik") / F.count("*"), 1).alias("agency_share"),
     )
+    return found.join(middle, F.col("property_type").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 def completeness(df: DataFrame, columns: list[str], by: str = "source_key") -> DataFrame:

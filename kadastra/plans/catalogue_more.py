@@ -65,11 +65,11 @@ def _(spark, sf_dir):
     return places.by_code(coded, units).select("c_custkey", "unit_name")
 
 
-@query("resolve_places", f"{W}select id, city as place, city as found from listings where id % 50 = 0")
+@query("resolve_places", f"{W}select id, city as place, city as found from listings")
 def _(spark, sf_dir):
     df = listings(spark, sf_dir)
     units = df.select(F.col("city").alias("name"), "voivodeship", "county").distinct().select(F.col("name").alias("teryt"), "name", F.lit("gmina").alias("kind"), "voivodeship", "county", F.lit(False).alias("town"), F.lit(False).alias("city_county"))
-    asked = df.where("id % 50 = 0").select("id", F.col("city").alias("place"), F.col("voivodeship").alias("hint"))
+    asked = df.select("id", F.col("city").alias("place"), F.col("voivodeship").alias("hint"))
     return places.resolve(asked, units).select("id", "place", F.col("teryt").alias("found"))
 
 
@@ -122,11 +122,11 @@ def _(spark, sf_dir):
     return duplicates.first_of(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "ts", "event_id")
 
 
-@query("crawl_pages", """with p as (select 'u' || cast(user_id % 5 as string) as section, event_id // 100 as page, event_id as position, (event_id * 7919) % 2003 as item from events where event_id < 5000),
+@query("crawl_pages", """with p as (select 'u' || cast(user_id % 5 as string) as section, event_id // 100 as page, event_id as position, (event_id * 7919) % 20011 as item from events),
 f as (select *, row_number() over (partition by item order by page, section, position) = 1 as fresh from p), e as (select section, min(page) as e from (select section, page, max(fresh) as any_fresh from f group by all) where not any_fresh group by section)
 select f.section, page, item from f left join e on e.section = f.section where fresh and (e is null or page < e)""")
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id < 5000").select(F.expr("'u' || cast(user_id % 5 as string)").alias("section"), F.expr("event_id div 100").alias("page"), F.col("event_id").alias("position"), F.expr("(event_id * 7919) % 2003").alias("item"))
+    rows = table(spark, sf_dir, "events").select(F.expr("'u' || cast(user_id % 5 as string)").alias("section"), F.expr("event_id div 100").alias("page"), F.col("event_id").alias("position"), F.expr("(event_id * 7919) % 20011").alias("item"))
     return pages.crawl_order(rows, "item").select("section", "page", "item")
 
 
@@ -142,21 +142,21 @@ def _(spark, sf_dir):
     return listings(spark, sf_dir).select("id", numbers.price_from_text(told).alias("amount"), F.get(numbers.parcel_numbers(told), 0).alias("parcel"))
 
 
-@query("sitemap_read", f"{W}select 'https://e.org/' || cast(id as string) as url, case when id % 3 <> 0 then listed_at end as lastmod from listings where id % 20 = 0")
+@query("sitemap_read", f"{W}select 'https://e.org/' || cast(id as string) as url, case when id % 3 <> 0 then listed_at end as lastmod from listings")
 def _(spark, sf_dir):
     xml = F.concat(F.lit("<urlset><url><loc>https://e.org/"), F.col("id").cast("string"), F.lit("</loc>"), F.when(F.col("id") % 3 != 0, F.concat(F.lit("<lastmod>"), F.date_format("listed_at", "yyyy-MM-dd"), F.lit("T00:00:00Z</lastmod>"))).otherwise(""), F.lit("</url></urlset>"))
-    return pages.sitemap_urls(listings(spark, sf_dir).where("id % 20 = 0").select(xml.alias("xml"))).select("url", "lastmod")
+    return pages.sitemap_urls(listings(spark, sf_dir).select(xml.alias("xml"))).select("url", "lastmod")
 
 
 @query("similar_pool", f"""{W}, c as (select a.id as a_id, b.id as id, case when a.city = b.city then 0 when a.county = b.county then 1 else 2 end as level, abs(b.price - a.price) / a.price + coalesce(abs(coalesce(b.area, 0) - a.area) / a.area, 0) as gap
-from (select * from listings where kind = 'nieruchomosc' and status = 'aktywna' and is_original and id % 97 = 0) a join (select * from listings where is_original and status = 'aktywna') b on a.kind = b.kind and a.property_type = b.property_type and a.transaction = b.transaction and a.voivodeship = b.voivodeship and a.id <> b.id
+from (select * from listings where status = 'aktywna' and is_original and id % 20 = 0) a join (select * from listings where is_original and status = 'aktywna') b on a.kind = b.kind and a.property_type = b.property_type and a.transaction = b.transaction and a.voivodeship = b.voivodeship and a.id <> b.id
 where b.price between a.price * 0.75 and a.price * 1.3 and (a.area is null or b.area between a.area * 0.75 and a.area * 1.3) and (a.property_type not in ('mieszkanie', 'dom') or a.rooms is null or b.rooms is null or abs(a.rooms - b.rooms) <= 1)),
-r as (select *, row_number() over (partition by a_id, level order by gap, id) as n from c) select a_id, id, level from r where n <= 3""")
+r as (select *, row_number() over (partition by a_id, level order by gap, id) as n from c) select a_id, id, level from r where n <= 300""")
 def _(spark, sf_dir):
     from kadastra.operators import similar
 
     df = listings(spark, sf_dir)
-    return similar.pools(df, df.where("kind = 'nieruchomosc' and status = 'aktywna' and is_original and id % 97 = 0"), 3).select("a_id", "id", "level")
+    return similar.pools(df, df.where("status = 'aktywna' and is_original and id % 20 = 0")).select("a_id", "id", "level")
 
 
 @query("price_cheapest_by_town", f"{W}select city, id, price from (select *, row_number() over (partition by city order by price, id) as n from listings where status = 'aktywna') where n = 1")

@@ -234,7 +234,7 @@ def _(spark, sf_dir):
     return places.region_of_point(listings(spark, sf_dir), boxes).select("id", "box_region")
 
 
-_ANCHORS = "kind = 'nieruchomosc' and status = 'aktywna' and is_original and id % 97 = 0"
+_ANCHORS = "status = 'aktywna' and is_original and id % 20 = 0"
 _LO, _HI = C.SIMILAR_LOW, C.SIMILAR_HIGH
 
 
@@ -264,9 +264,9 @@ def _(spark, sf_dir):
     return duplicates.dangling(df.where("id % 3 <> 0").select("id", F.lit(None).cast("long").alias("duplicate_of_id")).unionByName(links)).select("id", "original_id")
 
 
-@query("favorites_join", f"{W}select user_id, id, price from (select distinct user_id, event_id % 15000 as id from events where event_type = 'click') f join listings using (id)")
+@query("favorites_join", f"{W}select user_id, id, price from (select distinct user_id, event_id * 3 as id from events where event_type = 'click') f join listings using (id)")
 def _(spark, sf_dir):
-    marks = table(spark, sf_dir, "events").where("event_type = 'click'").select("user_id", (F.col("event_id") % 15000).alias("id")).distinct()
+    marks = table(spark, sf_dir, "events").where("event_type = 'click'").select("user_id", (F.col("event_id") * 3).alias("id")).distinct()
     return marks.join(listings(spark, sf_dir), "id").select("user_id", "id", "price")
 
 

@@ -19,16 +19,17 @@ def land(spark: SparkSession, path: str, schema, files_per_trigger: int = 50) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def snapshot_sink(spark: SparkSession, path: str, first: DataFrame, now: Callable[[], str]) -> Callable[[DataFrame, int], None]:
+def snapshot_sink(spark: SparkSession, path: str, first: DataFrame, now: Callable[[], str], at: str = "published") -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that keeps listings as numbered snapshots under ``path``. A batch that runs again
-    rewrites its own snapshot from the one before it, so replays change nothing."""
+    rewrites its own snapshot from the one before it, so replays change nothing. Of rows of a batch that repeat a key the
+    last by the source's own time (column ``at``) counts."""
 
     def read(number: int) -> DataFrame:
         return spark.read.parquet(f"{path}/snapshot={number}")
 
     def run(batch: DataFrame, number: int) -> None:
         current = read(number - 1) if number > 0 else first
-        merged = upsert.upsert(current, upsert.latest_per_key(batch.withColumn("__at", F.lit(number)), "__at").drop("__at"), F.lit(now()).cast("timestamp"))
+        merged = upsert.upsert(current, upsert.latest_per_key(batch, at if at in batch.columns else None), F.lit(now()).cast("timestamp"))
         merged.drop("change", "price_before").write.mode("overwrite").parquet(f"{path}/snapshot={number}")
 
     return run
@@ -48,16 +49,18 @@ def alert_sink(spark: SparkSession, path: str, searches: dict[int, Filters], cha
 
 
 def price_changes(events: DataFrame) -> DataFrame:
-    """Price changes of a stream of (listing_id, ts, price) by keyed state: the last price of each listing."""
+    """Price changes of a stream of (listing_id, ts, price) by keyed state: the last price of each listing, kept for good
+    (one number each). Rows without a price tell nothing and are passed over."""
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         out = []
         for f in frames:
-            for r in f.sort_values("ts").itertuples():
-                if last is None or abs(r.price - last) > C.PRICE_CHANGE:
-                    out.append((key[0], r.ts, r.price, last))
-                    last = r.price
+            f = f[f["price"].notna()].sort_values(["ts", "price"])
+            for at, price in zip(f["ts"], f["price"], strict=True):
+                if last is None or abs(price - last) > C.PRICE_CHANGE:
+                    out.append((key[0], at, price, last))
+                    last = price
         if last is not None:
             state.update((last,))
         yield pd.DataFrame(out, columns=["listing_id", "ts", "price", "previous"])

@@ -93,6 +93,30 @@ def test_duplicate_pairs(spark, a, b, linked):
     assert bool(links(spark, a, b)) is linked
 
 
+def test_a_hot_key_makes_no_clique(spark):
+    """Twenty thousand copies of one offer on many days: links in proportion to the copies, groups as from all pairs."""
+    n = 20_000
+    rows = spark.range(n).select(
+        "id", F.concat(F.lit("src"), F.col("id") % 7).alias("source_key"), F.lit("nieruchomosc").alias("kind"), F.lit("sprzedaz").alias("transaction"), F.lit("mieszkanie").alias("property_type"), F.lit("Ta sama oferta").alias("title"),
+        F.lit("opis " * 60).alias("description"), F.lit("Opole").alias("city"), F.lit("Rynek").alias("street"), F.lit(50.0).alias("area"), F.lit(3).alias("rooms"), F.when(F.col("id") % 2 == 0, 1).otherwise(2).alias("floor"), F.lit(400000.0).alias("price"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 9_000).alias("first_seen"), F.lit("prywatna").alias("seller_type"),
+    )
+    found = duplicates.fingerprints(rows)
+    pairs = duplicates.candidate_pairs(found).checkpoint()
+    assert n - 100 < pairs.count() < 2 * n
+    links = duplicates.verdicts(pairs).checkpoint()
+    got = duplicates.groups(found, links, lambda d: d.checkpoint()).groupBy("floor").agg(F.count_if("is_original").alias("originals"), F.max("copies_count").alias("copies")).collect()
+    assert sorted((r.floor, r.originals, r.copies) for r in got) == [(1, 1, n // 2 - 1), (2, 1, n // 2 - 1)]
+
+
+def test_upper_medians(spark):
+    random.seed(1)
+    rows = [(k, float(random.choice((random.randrange(500), 10_000 + random.randrange(300_000))))) for k in "abc" for _ in range(random.randrange(1, 400))] + [(None, 5.0), ("d", None)]
+    want = {k: sorted(v for x, v in rows if x == k and v is not None) for k in ("a", "b", "c", None)}
+    got = {r.k: r.upper_median for r in stats.upper_medians(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    assert got == {k: v[len(v) // 2] for k, v in want.items()}
+
+
 def test_duplicate_groups(spark):
     rows = spark.createDataFrame([(1, dt.datetime(2026, 1, 3), "posrednik"), (2, dt.datetime(2026, 1, 2), "posrednik"), (3, dt.datetime(2026, 1, 2), "prywatna"), (4, dt.datetime(2026, 1, 1), "x")], "id long, first_seen timestamp, seller_type string").withColumn("published", F.lit(None).cast("timestamp"))
     edges = spark.createDataFrame([(1, 2), (2, 3)], "a_id long, b_id long")
