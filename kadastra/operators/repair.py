@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kadastra import constants as C
 from kadastra.functions import dates, geo, numbers, text
+from kadastra.operators import duplicates, locate, places
 
 
 def _set(df: DataFrame, condition: Column, **values: Column) -> DataFrame:
@@ -85,6 +86,109 @@ def county_as_city(df: DataFrame, counties: list[str]) -> DataFrame:
     return _set(df, F.col("city").isin(*counties), county=F.coalesce("county", "city"), city=F.lit(None).cast("string"))
 
 
+POINT = {"lat": "double", "lon": "double", "geo_precision": "string"}
+
+
+def _no_point(df: DataFrame) -> dict[str, Column]:
+    return {c: F.lit(None).cast(t) for c, t in POINT.items() if c in df.columns}
+
+
+def regions_of_places(df: DataFrame, units: DataFrame) -> DataFrame:
+    """Listings with a town but no region get region, county and commune of the registry; a county named in one region only
+    tells towns of one name apart, and without it those stay open."""
+    open_ = F.col("city").isNotNull() & F.col("voivodeship").isNull()
+    counties = places.known(units).where("unit_kind = 'powiat'").groupBy("unit_key").agg(F.min("unit_region").alias("lo"), F.max("unit_region").alias("hi")).where("lo = hi").select("unit_key", F.col("lo").alias("county_region"))
+    asked = df.where(open_).join(places.small(counties), places.name_key(F.col("county")) == F.col("unit_key"), "left").select("city", "county", "county_region").distinct()
+    found = places.resolve(asked, units, "city", "county_region").where("unit_region is not null").select(F.col("city").alias("of_city"), F.col("county").alias("of_county"), "unit_region", F.col("unit_county").alias("found_county"), F.col("unit_commune").alias("found_commune"))
+    joined = df.join(found, open_ & (F.col("city") == F.col("of_city")) & F.col("county").eqNullSafe(F.col("of_county")), "left")
+    new = {"voivodeship": F.coalesce("voivodeship", "unit_region"), "county": F.coalesce("county", F.when(F.col("unit_region").isNotNull(), F.col("found_county"))), "commune": F.coalesce(F.col("found_commune"), *([F.col("commune")] if "commune" in df.columns else []))}
+    return joined.select(*((new[c].alias(c) if c in new else F.col(c)) for c in df.columns))
+
+
+def _moved(df: DataFrame, found: DataFrame, sure: Column) -> DataFrame:
+    """Listings moved to what ``found`` (of, new_city, new_county, new_commune, new_region) says where ``sure``; the point goes."""
+    joined = df.join(found, F.col("id") == F.col("of"), "left")
+    differs = ~(F.col("new_city").eqNullSafe(F.col("city")) & F.col("new_region").eqNullSafe(F.col("voivodeship")))
+    go = F.coalesce(sure & F.col("new_city").isNotNull() & differs, F.lit(False))
+    new = {"city": F.col("new_city"), "county": F.col("new_county"), "commune": F.col("new_commune"), "voivodeship": F.col("new_region"), **_no_point(df)}
+    return joined.select(*((F.when(go, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c)) for c in df.columns))
+
+
+def relocate_by_title(df: DataFrame, units: DataFrame, portals: list[str]) -> DataFrame:
+    """Listings of sources that give no town are placed again by their titles, where these name a town or have a cue."""
+    asked = df.where(~F.col("source_key").isin(*portals)).select(F.col("id").cast("string").alias("part"), F.col("title").alias("body"), F.lit(None).cast("string").alias("hint"))
+    found = locate.detect(asked, units).where(F.col("basis").isin("miasto", "wskazówka"))
+    found = found.select(F.col("part").cast("long").alias("of"), F.col("place").alias("new_city"), F.col("county").alias("new_county"), F.col("commune").alias("new_commune"), F.col("region").alias("new_region"))
+    return _moved(df, found, F.lit(True))
+
+
+def relocate_by_address(df: DataFrame, addresses: DataFrame, units: DataFrame) -> DataFrame:
+    """Listings whose stored page has an address (``addresses``: id, city, voivodeship) are placed by it."""
+    settled = locate.where_it_lies(addresses.where("length(trim(city)) > 0").select(F.col("id").alias("of"), "city", "voivodeship"), units)
+    found = settled.select("of", F.col("city").alias("new_city"), F.col("county").alias("new_county"), F.col("commune").alias("new_commune"), F.col("voivodeship").alias("new_region"))
+    return _moved(df, found, F.lit(True))
+
+
+def restore_city(df: DataFrame, units: DataFrame, sources: list[str]) -> DataFrame:
+    """Listings without a town get that part of their street and district which the registry has as a place; the parts left
+    over are district and street. Nothing is guessed where the registry knows none."""
+    asked = F.col("city").isNull() & F.col("source_key").isin(*sources) & (F.col("street").isNotNull() | F.col("district").isNotNull())
+    parts = F.filter(F.transform(F.concat(F.split(F.coalesce("street", F.lit("")), ","), F.array(F.coalesce("district", F.lit("")))), text.clean), lambda p: p != "")
+    each = df.where(asked).select(F.col("id").alias("of"), F.col("voivodeship").alias("region"), parts.alias("parts")).select("of", "region", "parts", F.posexplode("parts").alias("at", "part"))
+    known = places.known(units).where("unit_kind <> 'powiat'").select("unit_key").distinct()
+    last = each.join(places.small(known), places.name_key(F.col("part")) == F.col("unit_key")).groupBy("of", "region", "parts").agg(F.max_by("part", "at").alias("town"))
+    unit = places.resolve(last, units, "town", "region")
+    rest = F.filter("parts", lambda p: p != F.col("town"))
+    found = unit.select("of", F.coalesce("unit_name", "town").alias("new_city"), F.col("unit_county").alias("new_county"), F.col("unit_commune").alias("new_commune"), F.coalesce("unit_region", "region").alias("new_region"), F.try_element_at(rest, F.lit(-1)).alias("new_district"), F.nullif(F.array_join(F.slice(rest, 1, F.greatest(F.size(rest) - 1, F.lit(0))), ", "), F.lit("")).alias("new_street"))
+    joined = df.join(found, F.col("id") == F.col("of"), "left")
+    new = {"city": "new_city", "county": "new_county", "commune": "new_commune", "voivodeship": "new_region", "district": "new_district", "street": "new_street"}
+    go = F.col("of").isNotNull()
+    return joined.select(*((F.when(go, F.col(new[c])).otherwise(F.col(c)).alias(c) if c in new else F.when(go, F.lit(None).cast(POINT[c])).otherwise(F.col(c)).alias(c) if c in POINT else F.col(c)) for c in df.columns))
+
+
+def default_region(df: DataFrame, units: DataFrame, boxes: DataFrame, region: str = "opolskie", code: str = "16") -> DataFrame:
+    """Listings that carry a default region which nothing speaks for: that of their code, or of the one box that holds their
+    point, or of the registry's only region with such a town; otherwise none. County and commune go with it."""
+    held = boxes.limit(places.MAX_BOXES + 1).collect()
+    if len(held) > places.MAX_BOXES:
+        raise ValueError(f"over {places.MAX_BOXES} boxes")
+    near = F.array_compact(F.array(*(F.when(F.col("lat").between(b["lat_min"], b["lat_max"]) & F.col("lon").between(b["lon_min"], b["lon_max"]), b["voivodeship"]) for b in sorted(held, key=lambda b: b["voivodeship"]))))
+    of_code = places.small(units.where("voivodeship is not null").select(F.substring("teryt", 1, 2).alias("code"), F.col("voivodeship").alias("code_region")).distinct())
+    towns = places.known(units).groupBy("unit_key").agg(F.min("unit_region").alias("lo"), F.max("unit_region").alias("hi"), F.max(F.col("unit_region") == region).alias("here"))
+    rows = df.join(of_code, F.substring("teryt", 1, 2) == F.col("code"), "left").join(places.small(towns), places.name_key(F.col("city")) == F.col("unit_key"), "left")
+    has_point = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    by_point = F.when(F.array_contains(near, region), region).when(F.size(near) == 1, F.get(near, 0))
+    by_town = F.when(F.coalesce("here", F.lit(False)), region).when(F.col("lo") == F.col("hi"), F.col("lo"))
+    target = F.when(F.col("teryt").startswith(code), region).when(F.col("teryt").isNotNull(), F.coalesce("code_region", F.lit(region))).when(has_point, by_point).otherwise(by_town)
+    go = (F.col("voivodeship") == region) & ~F.coalesce(target == region, F.lit(False))
+    new = {"voivodeship": target, "county": F.lit(None).cast("string"), "commune": F.lit(None).cast("string")}
+    return rows.select(*((F.when(go, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c)) for c in df.columns))
+
+
+def recheck_links(df: DataFrame, links: DataFrame) -> DataFrame:
+    """The links (original_id, copy_id) that today's rules still make; ``df`` has fingerprints. Links to what is gone go too."""
+    row = lambda side: df.select(F.col("id").alias(f"{side}_key"), F.struct(*(F.col(c) for c in (*duplicates.COLUMNS, "fingerprint", "text_shingle"))).alias(side))
+    pairs = links.select("original_id", "copy_id").distinct().join(row("a"), F.col("original_id") == F.col("a_key")).join(row("b"), F.col("copy_id") == F.col("b_key"))
+    kept = duplicates.verdicts(pairs.select("a", "b"))
+    return kept.select(F.col("a_id").alias("original_id"), F.col("b_id").alias("copy_id"), "method", "score")
+
+
+def dates_from_raw(df: DataFrame, now: Column, paths: dict[str, dict[str, list[str]]], local: tuple[str, ...] = (), naive_local: tuple[str, ...] = ()) -> DataFrame:
+    """Dates read again from the stored answers: ``paths`` has, for each source, the columns and the JSON paths to try. Columns in
+    ``local`` are Warsaw wall clocks; sources in ``naive_local`` give Warsaw times without a zone."""
+    out: dict[str, Column] = {}
+    for source, fields in paths.items():
+        for field, tried in fields.items():
+            told = F.coalesce(*(F.nullif(F.get_json_object("raw", f"$.{p}"), F.lit("")) for p in tried))
+            moment = dates.parse_moment(told, now.cast("timestamp"), naive_local=source in naive_local)
+            if field in local:
+                wall = F.try_to_timestamp(F.substring(F.translate(told, "T", " "), 1, 19)).cast("timestamp_ntz")
+                moment = F.when(told.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d)?$"), wall).otherwise(dates.to_warsaw(moment))
+            kept = out.get(field, F.col(field))
+            out[field] = F.when((F.col("source_key") == source) & told.isNotNull() & moment.isNotNull(), moment.cast(dict(df.dtypes)[field])).otherwise(kept)
+    return df.withColumns({c: v for c, v in out.items() if c in df.columns})
+
+
 def future_dates(df: DataFrame, now: Column) -> DataFrame:
     return df.withColumn("published", dates.not_in_future(F.col("published"), now)) if "published" in df.columns else df
 
