@@ -1,7 +1,7 @@
 """The registered queries of the listing engine and their SQL twins."""
 
-from kadastra.plans import catalogue_data, catalogue_more, catalogue_search, catalogue_state
+from kadastra.plans import catalogue_data, catalogue_more, catalogue_search, catalogue_sources, catalogue_state
 
-MODULES = (catalogue_search, catalogue_data, catalogue_state, catalogue_more)
+MODULES = (catalogue_search, catalogue_data, catalogue_state, catalogue_more, catalogue_sources)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
