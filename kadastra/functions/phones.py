@@ -15,7 +15,16 @@ BLOCKED = ("0000", "1111", "1234567", "9999")
 #: Leading digits of Polish subscriber numbers (public numbering plan): area codes and mobile ranges.
 POLISH = re.compile(r"^(?:1[2-8]|2[2-9]|3[2-4]|4[1-468]|5[0-9]|6[0-35-9]|7[1-9]|8[1-79]|9[145])\d{7}$")
 
-PHONE = "array<struct<e164:string,national:string,masked:string,hashed:string>>"
+# Digits in words.
+SPELT = {"zero": "0", "jeden": "1", "dwa": "2", "trzy": "3", "cztery": "4", "pięć": "5", "piec": "5", "sześć": "6", "szesc": "6", "siedem": "7", "osiem": "8", "dziewięć": "9", "dziewiec": "9"}
+#: Seven or more digits in words in a row, with spaces, dots or dashes between them.
+SPELT_RUN = re.compile(rf"(?i)\b(?:{'|'.join(SPELT)})(?:[\s.,-]+(?:{'|'.join(SPELT)}|\d)){{6,}}\b")
+PHONE = "array<struct<e164:string,national:string,masked:string,hashed:string,origin:string>>"
+
+
+def spelt(t: str) -> str:
+    """A text in which numbers that are spelt digit by digit are digits."""
+    return SPELT_RUN.sub(lambda run: re.sub(r"[^\W\d_]+", lambda w: SPELT[w.group().lower()], run.group()), t)
 
 
 def national(raw: str, region: str = "PL") -> str | None:
@@ -38,21 +47,20 @@ def hashed(e164: str, key: bytes) -> str:
     return hashlib.blake2b(e164.encode(), digest_size=16, key=key).hexdigest()
 
 
-def phones(text: Column, key: str = "kadastra", region: str = "PL", most: int = 5) -> Column:
-    """Up to ``most`` distinct phone numbers of a text."""
-    code, secret = ("+1" if region == "US" else "+48"), key.encode()
+def found_in(t: str | None, key: str, region: str = "PL", most: int = 5, origin: str = "opis") -> list[dict]:
+    code, secret, out = ("+1" if region == "US" else "+48"), key.encode(), {}
+    for m in CANDIDATE.finditer(spelt(t or "")):
+        n = national(m.group(), region)
+        if n and len(out) < most:
+            out.setdefault(n, {"e164": code + n, "national": n, "masked": mask(n), "hashed": hashed(code + n, secret), "origin": origin})
+    return list(out.values())
+
 
+def phones(text: Column, key: str = "kadastra", region: str = "PL", most: int = 5, origin: str = "opis") -> Column:
+    """Up to ``most`` distinct phone numbers of a text, in digits or spelt, with where they come from."""
     @F.pandas_udf(PHONE)
     def found(texts: pd.Series) -> pd.Series:
-        def of(t):
-            out: dict[str, dict] = {}
-            for m in CANDIDATE.finditer(t or ""):
-                n = national(m.group(), region)
-                if n and len(out) < most:
-                    out.setdefault(n, {"e164": code + n, "national": n, "masked": mask(n), "hashed": hashed(code + n, secret)})
-            return list(out.values())
-
-        return texts.map(of)
+        return texts.map(lambda t: found_in(t, key, region, most, origin))
 
     return found(text)
 

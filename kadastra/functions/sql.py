@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from kadastra.functions import phones
 from kadastra.functions.fuzzy import token_set_ratio
 from kadastra.functions.text import ACCENTED, PLAIN
 
@@ -31,3 +32,9 @@ def register(spark: SparkSession) -> None:
         return pd.Series([token_set_ratio(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype="float64")
 
     spark.udf.register("token_set_ratio", ratio)
+
+    @F.pandas_udf(phones.PHONE)
+    def numbers_in(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: phones.found_in(t, "kadastra"))
+
+    spark.udf.register("extract_phones", numbers_in)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,13 +57,38 @@ def strip_html(text: Column) -> Column:
     return clean(bare)
 
 
-def unescape(text: Column) -> Column:
-    """The six common references decoded up to three times; texts are often encoded twice."""
-    out = F.coalesce(text, F.lit(""))
+def unescape(value: Column) -> Column:
+    """Character references decoded up to three times; texts are often encoded twice. The common ones need no Python."""
+
+    @F.pandas_udf("string")
+    def decoded(texts: pd.Series) -> pd.Series:
+        def of(t: str) -> str:
+            for _ in range(3):
+                found = html.unescape(t)
+                if found == t:
+                    break
+                t = found
+            return t
+
+        return texts.map(lambda t: of(t) if t and "&" in t else t)
+
+    plain = F.coalesce(value, F.lit(""))
+    out = plain
     for _ in range(3):
         for entity, char in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
             out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    return F.coalesce(decoded(F.when(out.rlike("&(?:#[0-9xX]|[A-Za-z])"), plain)), out)  # nulls are all that Python sees of the others
+
+
+def short_label(name: Column, most: int = 40) -> Column:
+    """A name for a narrow place; what is cut off is shown by an ellipsis."""
+    whole = F.trim(F.coalesce(name, F.lit("")))
+    return F.when(F.length(whole) <= most, whole).otherwise(F.concat(F.regexp_replace(F.substring(whole, 1, most - 1), "[ ,-]+$", ""), F.lit("…")))
+
+
+def source_label(name: Column, key: Column) -> Column:
+    """The name of a source as readers know it: up to the dash, or its key in words."""
+    return F.coalesce(F.nullif(F.get(F.split(name, " — "), 0), F.lit("")), F.replace(F.coalesce(key, F.lit("")), F.lit("_"), F.lit(" ")))
 
 
 def digest(*parts: Column) -> Column:

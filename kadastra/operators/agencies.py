@@ -51,6 +51,17 @@ def merge_catalogue(known: DataFrame, catalogue: DataFrame) -> DataFrame:
     return joined.select("slug", *(F.coalesce(f"b_{c}", c).alias(c) for c in ("name", "city", "expected")), phones.alias("phones"), (F.coalesce("verified", F.lit(False)) | F.col("b_name").isNotNull()).alias("verified"))
 
 
+def listed(agencies: DataFrame, name: str = "", city: str = "", voivodeship: str = "", with_offers: bool = False, page: int = 1, per_page: int = 100) -> DataFrame:
+    """A page of agencies: names and towns that hold what is asked, those with most listings first, then those that should have."""
+    rows = agencies
+    for column, asked in (("name", name), ("city", city)):
+        if asked.strip():
+            rows = rows.where(F.contains(F.lower(column), F.lower(F.lit(asked.strip()))))
+    rows = rows.where(F.col("voivodeship") == voivodeship) if voivodeship else rows
+    rows = rows.where(F.col("listings") > 0) if with_offers else rows
+    return rows.orderBy(F.col("listings").desc_nulls_last(), F.col("expected").desc_nulls_last(), "name", "id").offset((max(1, page) - 1) * per_page).limit(per_page)
+
+
 def coverage(agencies: DataFrame, counts: DataFrame) -> DataFrame:
     """Declared against collected offers."""
     return agencies.join(counts, agencies["id"] == counts["agency_id"], "left").select("id", "expected", F.coalesce("listings", F.lit(0)).alias("listings"), F.greatest(F.lit(0), F.col("expected") - F.coalesce("listings", F.lit(0))).alias("missing"))

@@ -108,6 +108,16 @@ def geocode(df: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     return filled, asked.join(cache.select("query_hash"), "query_hash", "left_anti")
 
 
+def invalidate(df: DataFrame, cache: DataFrame, imprecise: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Listings and cache to be geocoded anew: with ``imprecise``, listings with a street whose point is only that of a town or
+    district, and such cache rows of asked addresses with a comma; otherwise all."""
+    rough = F.coalesce(F.col("geo_precision").isin("city", "district"), F.lit(False)) if imprecise else F.lit(True)
+    go = (F.col("street").isNotNull() & rough) if imprecise else F.col("lat").isNotNull()
+    emptied = df.select(*((F.when(~go, F.col(c)).alias(c) if c in ("lat", "lon", "geo_precision") else F.col(c)) for c in df.columns))
+    stale = F.coalesce(F.col("precision").isin("city", "district") & F.col("query").contains(","), F.lit(False)) if imprecise else F.lit(True)
+    return emptied, cache.where(~stale)
+
+
 def parse_unit(value: Column) -> tuple[Column, Column, Column]:
     """Region, county and commune of a text like {Polska,małopolskie,wadowicki,Spytkowice}; names may be quoted."""
     parts = F.transform(F.regexp_extract_all(value, F.lit(r'("[^"]*"|[^{},]+)'), 1), lambda p: F.trim(F.translate(p, '"', "")))

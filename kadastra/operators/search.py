@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -100,6 +100,12 @@ class Filters:
         return cls(**out)
 
 
+def browsing(query: dict[str, str | list[str]]) -> Filters:
+    """Filters of a page for browsing: sales, unless the query says otherwise (an empty choice asks for all)."""
+    found = Filters.from_query(query)
+    return found if "transaction" in query else replace(found, transaction="sprzedaz")
+
+
 def place_clause(column: Column, value: str, known: dict[str, list[str]] | None = None) -> Column:
     """A name that the registry knows matches exactly (all spellings), another one as a folded beginning."""
     if known and (names := known.get(value)):
@@ -107,10 +113,12 @@ def place_clause(column: Column, value: str, known: dict[str, list[str]] | None
     return text.fold(column).startswith(text.fold(F.lit(value.strip())))
 
 
-def street_clause(column: Column, value: str, spark) -> Column | None:
-    """Every stemmed word of the street has to occur, in any order."""
-    terms = spark.range(1).select(text.street_terms(F.lit(value))).first()[0]
-    return reduce(Column.__and__, (F.contains(text.fold(column), F.lit(t)) for t in terms)) if terms else None
+def street_clause(column: Column, value: str) -> Column | None:
+    """Every stemmed word of the street has to occur, in any order; null if no word is left."""
+    if not value.strip():
+        return None
+    terms = text.street_terms(F.lit(value))  # a constant, which the optimizer folds
+    return F.forall(terms, lambda t: F.contains(text.fold(column), t)) & (F.size(terms) > 0)
 
 
 def predicate(f: Filters, df: DataFrame, now: str, known: dict[str, list[str]] | None = None) -> Column:
@@ -125,7 +133,7 @@ def predicate(f: Filters, df: DataFrame, now: str, known: dict[str, list[str]] |
     if f.district:
         out.append(text.fold(col("district")).startswith(text.fold(F.lit(f.district.strip()))))
     out += [col(name) == getattr(f, name) for name in ("voivodeship", "agency_id", "market") if getattr(f, name)]
-    if f.street and (clause := street_clause(col("street"), f.street, df.sparkSession)) is not None:
+    if f.street and (clause := street_clause(col("street"), f.street)) is not None:
         out.append(clause)
     if f.source:
         out.append(col("source_key").isin(*f.source))
@@ -139,8 +147,9 @@ def predicate(f: Filters, df: DataFrame, now: str, known: dict[str, list[str]] |
         out.append(col("is_original"))
     if f.only_active:
         out.append(col("status") == "aktywna")
-    if f.with_phone:
-        out.append(col("has_phone") if "has_phone" in df.columns else col("phone").isNotNull())
+    if f.with_phone:  # that one can call: the offer's own number or its agency's
+        own = col("has_phone") if "has_phone" in df.columns else col("phone").isNotNull()
+        out.append(own | F.coalesce(F.size("agency_phones") > 0, F.lit(False)) if "agency_phones" in df.columns else own)
     if f.period in C.PERIODS:
         since = dates.warsaw_midnight_utc(moment).cast("timestamp") if f.period == "dzis" else moment - F.make_dt_interval(F.lit(C.PERIODS[f.period]))
         out.append(col("listed_at") >= since)
@@ -205,6 +214,46 @@ def geojson(df: DataFrame) -> DataFrame:
     return df.select("id", F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties"))).alias("feature"))
 
 
+def with_contacts(page: DataFrame, phones: DataFrame, agencies: DataFrame) -> DataFrame:
+    """A page of results with its phones (listing_id, masked) and its agency (id, name) looked up in one batch each."""
+    ids = page.select("id", "agency_id")
+    numbers = phones.join(F.broadcast(ids.select(F.col("id").alias("listing_id"))), "listing_id", "left_semi").groupBy(F.col("listing_id").alias("id")).agg(F.array_sort(F.collect_set("masked")).alias("phones"))
+    known = agencies.join(F.broadcast(ids.select(F.col("agency_id").alias("of")).distinct()), F.col("id") == F.col("of"), "left_semi").select(F.col("id").alias("agency_id"), F.col("name").alias("agency_name"))
+    return page.join(numbers, "id", "left").join(known, "agency_id", "left").withColumn("phones", F.coalesce("phones", F.array().cast("array<string>")))
+
+
+#: What a record tells under a name of its own: place, seller, auction.
+NESTED = {
+    "location": ("voivodeship", "county", "commune", "city", "district", "street", "teryt", "lat", "lon", "geo_precision"),
+    "seller": ("seller_type", "seller_name", "agency_id"),
+    "auction": ("event_date", "deadline", "opening_price", "estimate_value", "deposit", "case_number", "authority"),
+}
+
+
+def records(df: DataFrame, description: int = 800) -> DataFrame:
+    """Listings as nested records: place, seller, the price against the median, and what only auctions have; columns that a
+    listing lacks are left out."""
+    have = {k: [c for c in columns if c in df.columns] for k, columns in NESTED.items()}
+    inner = {c for columns in have.values() for c in columns} | {"deal_ratio", "deal_level", "description"}
+    parts = [F.col(c) for c in df.columns if c not in inner]
+    if "description" in df.columns:
+        parts.append(F.substring("description", 1, description).alias("description"))
+    if "deal_ratio" in df.columns:
+        deal = F.struct(F.col("deal_ratio").alias("ratio"), F.col("deal_level").alias("level"), F.round((1 - F.col("deal_ratio")) * 100, 1).alias("below_percent"))
+        parts.append(F.when(F.col("deal_ratio").isNotNull(), deal).alias("deal"))
+    for name, columns in have.items():
+        if columns:
+            nested = F.struct(*columns)
+            parts.append((F.when(F.col("kind").isin("licytacja", "przetarg", "wykaz"), nested) if name == "auction" else nested).alias(name))
+    return df.select(*parts)
+
+
+def detail_queue(df: DataFrame, most: int) -> DataFrame:
+    """Whose detail page to read next: flats and houses first, then the newest."""
+    first = F.when(F.col("property_type").isin("mieszkanie", "dom"), 0).otherwise(1)
+    return df.orderBy(first, F.col("first_seen").desc_nulls_last(), F.col("id").desc()).limit(most)
+
+
 def active_filters(f: Filters) -> list[tuple[str, object]]:
     """What a search asks for beyond the defaults, for labels and saved searches."""
     plain = Filters()

@@ -131,3 +131,9 @@ def fill_empty(df: DataFrame, details: DataFrame, key: str = "id") -> DataFrame:
     """Details fill only what is empty."""
     d = details.select(F.col(key), *(F.col(c).alias(f"d_{c}") for c in details.columns if c != key))
     return df.join(d, key, "left").select(*((F.coalesce(c, f"d_{c}").alias(c) if f"d_{c}" in d.columns else F.col(c)) for c in df.columns))
+
+
+def archive(df: DataFrame, now: Column, days: int = C.RETENTION_DAYS) -> DataFrame:
+    """Inactive offers that were last seen before the retention time are archived."""
+    old = (F.col("status") == "nieaktywna") & (F.col("last_seen") < now - F.make_dt_interval(F.lit(days)))
+    return df.withColumn("status", F.when(F.coalesce(old, F.lit(False)), "archiwalna").otherwise(F.col("status")))

@@ -147,3 +147,13 @@ def test_token_set_ratio():
     assert fuzzy.token_set_ratio("", "x") == 0
     assert fuzzy.token_set_ratio("dom w opolu", "hala w krakowie") < 60
     assert fuzzy.indel_ratio("abcd", "abxd") == 75
+
+
+def test_references_labels_and_spelt_numbers(spark):
+    texts = ["SPA&amp;amp;GYM", "Dom &oacute;w &#8211; x", "a & b", None, "R&amp;D &nbsp;x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.o for r in df.orderBy("i").select(text.unescape(F.col("t")).alias("o")).collect()] == ["SPA&GYM", "Dom ów – x", "a & b", "", "R&D \u00a0x"]
+    got = spark.createDataFrame([("Portal Ogłoszeń — nieruchomości", "k"), (None, "bip_opole")], "n string, k string").select(text.source_label(F.col("n"), F.col("k")).alias("s"), text.short_label(F.lit("x" * 39 + ", yz")).alias("l")).collect()
+    assert [r.s for r in got] == ["Portal Ogłoszeń", "bip opole"] and got[0].l == "x" * 39 + "…"
+    told = spark.createDataFrame([("tel. sześć zero cztery 123 456",), ("sześć zero cztery jeden dwa trzy cztery pięć sześć",), ("jeden dwa trzy",)], "t string").select(phones.phones(F.col("t")).alias("p")).collect()
+    assert [x.e164 for x in told[1].p] == ["+48604123456"] and told[1].p[0].origin == "opis" and told[2].p == []

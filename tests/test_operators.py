@@ -22,9 +22,9 @@ def test_filters_from_query():
 
 def test_streets(spark):
     rows = spark.createDataFrame([(1, "Łódzka 12"), (2, "Jana Pawła II"), (3, "Ozimskiej"), (4, "Czesława Miłosza, Kleczków"), (5, None)], "id int, street string")
-    ids = lambda s: [r.id for r in rows.where(search.street_clause(F.col("street"), s, spark)).collect()]
+    ids = lambda s: [r.id for r in rows.where(search.street_clause(F.col("street"), s)).collect()]
     assert ids("ul. Łódzka") == [1] and ids("Pawła II") == [2] and ids("Ozimska") == [3] and ids("Miłosza Czesława") == [4]
-    assert search.street_clause(F.col("street"), "", spark) is None
+    assert search.street_clause(F.col("street"), "") is None
 
 
 def test_known_places_match_exactly(spark):
@@ -273,3 +273,39 @@ def test_nearest(spark):
     a = spark.createDataFrame([(1, 50.0, 18.0), (2, None, None)], "id long, lat double, lon double")
     b = spark.createDataFrame([(10, 50.005, 18.0), (11, 50.001, 18.001), (12, 51.0, 18.0)], "id long, lat double, lon double")
     assert [(r.a_id, r.b_id) for r in places.nearest(a, b).collect()] == [(1, 11)]
+
+
+def test_small_parts_of_search(spark):
+    assert search.browsing({}).transaction == "sprzedaz" and search.browsing({"transaction": ""}).transaction is None and search.browsing({"transaction": "wynajem"}).transaction == "wynajem"
+    rows = spark.createDataFrame(
+        [(1, "garaz", "licytacja", dt.datetime(2026, 1, 5), None, [], 7, 0.7, "miasto", "Opole", 100.0), (2, "dom", "nieruchomosc", dt.datetime(2026, 1, 1), "600", [], None, None, None, "Nysa", None), (3, "dom", "nieruchomosc", dt.datetime(2026, 1, 2), None, ["5"], 8, None, None, None, None)],
+        "id long, property_type string, kind string, first_seen timestamp, phone string, agency_phones array<string>, agency_id long, deal_ratio double, deal_level string, city string, opening_price double",
+    )
+    assert [r.id for r in search.detail_queue(rows, 2).collect()] == [3, 2]
+    f = Filters(with_phone=True, only_original=False, only_active=False)
+    assert {r.id for r in rows.where(search.predicate(f, rows, "2026-02-01 00:00:00")).collect()} == {2, 3}
+    got = {r.id: r for r in search.records(rows).collect()}
+    assert got[1].deal.below_percent == 30.0 and got[1].auction.opening_price == 100.0 and got[2].auction is None and got[2].deal is None and got[2].location.city == "Nysa" and got[3].seller.agency_id == 8
+    phones_ = spark.createDataFrame([(1, "600 *"), (1, "500 *"), (9, "x")], "listing_id long, masked string")
+    known = spark.createDataFrame([(7, "Biuro A", "Opole", "opolskie", 3, 5), (8, "Agencja B", None, None, 9, 1), (9, "Biuro C", "Opole", "opolskie", 0, 8)], "id long, name string, city string, voivodeship string, listings int, expected int")
+    got = {r.id: (r.phones, r.agency_name) for r in search.with_contacts(rows, phones_, known).collect()}
+    assert got == {1: (["500 *", "600 *"], "Biuro A"), 2: ([], None), 3: ([], "Agencja B")}
+    assert [r.id for r in agencies.listed(known).collect()] == [8, 7, 9] and [r.id for r in agencies.listed(known, name="biuro", city="OPO", with_offers=True).collect()] == [7]
+    seen = spark.createDataFrame([(1, "nieaktywna", dt.datetime(2020, 1, 1)), (2, "aktywna", dt.datetime(2020, 1, 1)), (3, "nieaktywna", dt.datetime(2026, 1, 1))], "id long, status string, last_seen timestamp")
+    assert [r.status for r in upsert.archive(seen, F.lit("2026-02-01").cast("timestamp")).orderBy("id").collect()] == ["archiwalna", "aktywna", "nieaktywna"]
+    points = spark.createDataFrame([(1, "Rynek", "city", 1.0, 1.0), (2, "Rynek", "portal", 1.0, 1.0), (3, None, "city", 1.0, 1.0)], "id long, street string, geo_precision string, lat double, lon double")
+    cache = spark.createDataFrame([("a", "Rynek, Opole", "city"), ("b", "Opole", "city"), ("c", "Rynek 1, Opole", "address")], "query_hash string, query string, precision string")
+    emptied, left = places.invalidate(points, cache)
+    assert {r.id: r.lat for r in emptied.collect()} == {1: None, 2: 1.0, 3: 1.0} and {r.query_hash for r in left.collect()} == {"b", "c"}
+
+
+def test_similar_offers_follow_their_rules(spark):
+    """Nearest place first; an anchor without price or region finds something; a twin is left out only if price and area are known."""
+    columns = "id long, kind string, property_type string, transaction string, status string, is_original boolean, price double, area double, rooms int, city string, county string, voivodeship string, lat double, lon double, district string"
+    row = lambda i, price=500000.0, area=50.0, rooms=2, city="Opole", county="c", region="opolskie", kind="mieszkanie": (i, "nieruchomosc", kind, "sprzedaz", "aktywna", True, price, area, rooms, city, county, region, None, None, None)
+    rows = [row(1), row(2, 520000.0, 52.0), row(3, 600000.0, 60.0, 3), row(4, 900000.0), row(5, area=90.0), row(6, 500500.0, 50.5), row(7, 510000.0, 51.0, city="Nysa"), row(8, kind="dom"), row(9, 505000.0, 51.0, city="X", county="d"), row(10, price=None, area=51.0)]
+    df = spark.createDataFrame(rows, columns)
+    got = [(r.id, r.level) for r in similar.similar(df, df.where("id = 1")).orderBy("place").collect()]
+    assert got == [(2, 0), (3, 0), (7, 1), (9, 2)]
+    no_price = spark.createDataFrame([row(20, price=None, area=None, rooms=None, region=None)], columns)
+    assert {r.id for r in similar.similar(df, no_price).collect()} >= {1, 2, 7}
