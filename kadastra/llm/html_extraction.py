@@ -41,8 +41,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 SPACE = re.compile(r"\s+")
 #: A neighbour that leaves less than one in this many characters of what the other one leaves is a copy of the page.
 COPY = 5
-#: Ranges for each shuffle partition, sampled keys for each range, and pages of a range at least.
-RANGES, SAMPLES, LEAST_PAGES = 4, 4, 32
+#: Ranges for each shuffle partition, sampled keys for each range, pages of a range at least, and of a partition at most (about).
+RANGES, SAMPLES, LEAST_PAGES, MOST_PAGES = 4, 4, 32, 32_768
 #: Bits of one table of the alignment; larger ones are cut in halves.
 TABLE_BITS = 1 << 28
 
@@ -267,7 +267,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"), F.col(html).alias("html"), key.alias("key"))
     keys = materialize(rows.select("key"), "page-keys")
     total = keys.count()
-    ranges = max(1, min(RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")), total // LEAST_PAGES))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(usual, -(-total // MOST_PAGES))
+    ranges = max(1, min(RANGES * partitions, total // LEAST_PAGES))
     sampled = sorted(r["key"] for r in keys.where(by_hash(sample_rate(total, SAMPLES * ranges), "key", salt="range")).distinct().collect())  # SAMPLES * ranges, about
     bounds = sampled[:: max(1, len(sampled) // ranges)][1:]
 
@@ -289,7 +291,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         return pd.Series([[int(at), *beside.get(k, ())] for k, at in zip(values, place(values), strict=True)])
 
     spread = rows.withColumn("to", dealt("key")).select("*", F.posexplode("to").alias("nth", "at")).withColumn("own", F.col("nth") == 0).drop("to", "nth")
-    ordered = spread.repartition("at").sortWithinPartitions("at", "key")
+    ordered = (spread.repartition(partitions, "at") if partitions > usual else spread.repartition("at")).sortWithinPartitions("at", "key")
     found = ordered.select("page_id", "url", "host", "path", "html", "at", "own").mapInPandas(_extract, RESULT)
     return found.select(F.col("page_id").alias(page_id), F.col("url").alias(url), "text", "n_chars", "n_shared", "n_named", "n_settled")
 
