@@ -81,7 +81,7 @@ def _(spark, sf_dir):
     return alerts.untold(alerts.matches(df, {1: Filters(property_type="mieszkanie", price_max=100000.0)}, NOW), channels, log)
 
 
-@query("alert_messages")
+@query("alert_messages", f"{W}select id, concat_ws(' · ', title, format('{{:,}}', cast(round_even(price, 0) as bigint)) || ' zł', format('{{:,.1f}}', cast(area as double)) || ' m²', concat_ws(', ', street, city)) as message from listings where kind = 'licytacja' and is_original and status = 'aktywna' order by listed_at desc nulls last, id desc limit 25")
 def _(spark, sf_dir):
     return alerts.message(search.page(listings(spark, sf_dir), Filters(kind="licytacja"), NOW))
 

@@ -204,9 +204,9 @@ def _(spark, sf_dir):
     return listings(spark, sf_dir).select("id", F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"))
 
 
-@query("geojson_features")
+@query("geojson_features", f"""{W}select id, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || cast(round(lon, 6) as varchar) || ',' || cast(round(lat, 6) as varchar) || ']}},"properties":{{"id":' || cast(id as varchar) || case when title is null then '' else ',"title":"' || title || '"' end || ',"price":' || cast(price as varchar) || '}}}}' as feature from listings""")
 def _(spark, sf_dir):
-    return search.geojson(listings(spark, sf_dir).select("id", "title", "lat", "lon", "price"))
+    return search.geojson(listings(spark, sf_dir).select("id", "title", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "price"))
 
 
 _KM = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"

@@ -139,7 +139,12 @@ def _(spark, sf_dir):
     return repair.unswap(table(spark, sf_dir, "orders").select("o_orderkey", swapped.alias("published")), now()).select("o_orderkey", "published")
 
 
-@query("repair_all_passes")
+_LIMITS = " ".join(f"when '{k}' then area between {low} and {high}" for k, (low, high) in C.AREA_LIMITS.items())
+
+
+@query("repair_all_passes", f"""{W}, a as (select *, coalesce(case property_type {_LIMITS} end, true) as fits from listings),
+r as (select *, case when fits then case when price / area >= 1 then floor(price / area * 100 + 0.5) / 100 else nullif(floor(price / area * 10000 + 0.5) / 10000, 0) end end as rate from a)
+select cast(0 as bigint) as price, count(*) filter (area is not null and not fits) as area, count(*) filter (rate is distinct from price_per_m2) as price_per_m2, cast(0 as bigint) as status, count(*) filter (title is null) as title, count(*) filter (not (lat between 48.9 and 55.05 and lon between 13.9 and 24.25)) as lat from r""")
 def _(spark, sf_dir):
     df = listings(spark, sf_dir).withColumn("lat", F.col("lat").cast("double")).withColumn("lon", F.col("lon").cast("double"))
     return repair.changed(df, repair.all_passes(df), ["price", "area", "price_per_m2", "status", "title", "lat"])
