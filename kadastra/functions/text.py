@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import html
 import unicodedata
 
@@ -10,7 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kadastra import constants as C
-from kadastra.functions import once
 
 
 def _accents() -> tuple[str, str]:
@@ -97,19 +97,21 @@ def digest(*parts: Column) -> Column:
 
 
 def shingle_hash(text: Column) -> Column:
-    """Digest of the first 64 distinct five-word shingles in order; null under twelve words."""
-    k = C.SHINGLE_WORDS
-
-    def of(words: Column) -> Column:
-        n = F.greatest(F.size(words) - k + 1, F.lit(0))
-        grams = F.slice(words, 1, n)
-        for j in range(2, k + 1):  # each word joined with the next ones, in time linear in the text
-            grams = F.zip_with(grams, F.slice(words, j, n), lambda x, y: F.concat_ws(" ", x, y))
-        top = F.slice(F.sort_array(F.array_distinct(grams)), 1, C.SHINGLES_KEPT)
-        return F.when(F.size(words) >= C.MIN_SHINGLE_WORDS, digest(F.array_join(top, "|")))
-
-    words = F.filter(F.split(norm_key(text), " "), lambda w: w != "")
-    return once(words, of)
+    """Digest of the first 64 distinct five-word shingles in order; null under twelve words. The key is made in the JVM; Python,
+    over Arrow, keeps the smallest shingles of each text, which no built-in function does without making and sorting all."""
+
+    @F.pandas_udf("string")
+    def smallest(keys: pd.Series) -> pd.Series:
+        def of(key: str | None) -> str | None:
+            words = key.split() if key else ()
+            if len(words) < C.MIN_SHINGLE_WORDS:
+                return None
+            grams = set(map(" ".join, zip(*(words[i:] for i in range(C.SHINGLE_WORDS)), strict=False)))
+            return "|".join(heapq.nsmallest(C.SHINGLES_KEPT, grams))
+
+        return keys.map(of)
+
+    return digest(smallest(norm_key(text)))
 
 
 def truncate(text: Column, limit: int = 220) -> Column:
