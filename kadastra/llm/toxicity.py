@@ -183,7 +183,7 @@ def _terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, label in zip(f["text"], f["label"], strict=True):
             words = set(WORDS.findall((text or "").lower()))
             counts[int(label)].update(words | {w[:k] + "*" for w in words for k in STEM if len(w) > k})
-            if len(counts[0]) + len(counts[1]) > 400_000:
+            if len(counts[0]) + len(counts[1]) > 150_000:
                 yield from out()
     yield from out()
 
