@@ -18,9 +18,9 @@ def scopes() -> Column:
     return F.array(*(F.struct(F.lit(level).alias("level"), scope.alias("scope")) for level, scope in zip(C.MARKET_LEVELS, (key("city"), key("county"), region), strict=True)))
 
 
-def comparable() -> Column:
+def comparable(df: DataFrame) -> Column:
     """Listings that medians are made of: no kiosks, allotments or lodgings, whatever type they are filed under."""
-    other = F.coalesce(F.col("title").rlike(C.NOT_COMPARABLE), F.lit(False))
+    other = F.coalesce(F.col("title").rlike(C.NOT_COMPARABLE), F.lit(False)) if "title" in df.columns else F.lit(False)
     return ~other & (F.col("status") == "aktywna") & (F.col("price_per_m2") > 0) & F.col("property_type").isin(*C.COMPARABLE_TYPES)
 
 
@@ -29,7 +29,7 @@ def medians(df: DataFrame, least: int = C.MIN_SAMPLE) -> DataFrame:
 
     A row goes to three keys that do not nest, so it is exploded; Spark aggregates each partition first.
     """
-    rows = df.where(comparable()).select(F.explode(scopes()).alias("at"), "property_type", "transaction", "price_per_m2").select("at.*", "property_type", "transaction", "price_per_m2")
+    rows = df.where(comparable(df)).select(F.explode(scopes()).alias("at"), "property_type", "transaction", "price_per_m2").select("at.*", "property_type", "transaction", "price_per_m2")
     found = rows.where("scope is not null").groupBy(*KEYS).agg(F.median("price_per_m2").alias("median"), F.count("*").alias("n"))
     return found.where(F.col("n") >= least)
 
@@ -39,7 +39,7 @@ def references(df: DataFrame, stats: DataFrame) -> DataFrame:
 
     One join instead of three: each listing asks with its three keys, and the best level answers.
     """
-    asked = df.where(comparable()).select("id", F.posexplode(scopes()).alias("rank", "at"), "property_type", "transaction").select("id", "rank", "at.*", "property_type", "transaction")
+    asked = df.where(comparable(df)).select("id", F.posexplode(scopes()).alias("rank", "at"), "property_type", "transaction").select("id", "rank", "at.*", "property_type", "transaction")
     answers = asked.join(stats, list(KEYS)).groupBy("id").agg(F.min(F.struct("rank", "level", "median", "n")).alias("best"))
     return df.join(answers, "id", "left").select(df["*"], F.col("best.median").alias("market_median"), F.col("best.level").alias("deal_level"), F.col("best.n").alias("market_sample"))
 

@@ -49,6 +49,13 @@ def test_market_falls_back_to_wider_levels(spark):
     assert market.score(rows.limit(0)).count() == 0
 
 
+def test_kiosks_and_lodgings_are_not_compared(spark):
+    rows = [(i, "aktywna", "dom", "sprzedaz", "Opole", "Opole", "opolskie", 5000.0 + i, title) for i, title in enumerate(["Dom z ogrodem"] * 8 + ["Domek holenderski", "Kiosk przy dworcu", "Noclegi dla firm", None])]
+    df = spark.createDataFrame(rows, "id long, status string, property_type string, transaction string, city string, county string, voivodeship string, price_per_m2 double, title string")
+    assert {r.n for r in market.medians(df).collect()} == {9}
+    assert {r.id for r in market.score(df).where("deal_ratio is null").collect()} == {8, 9, 10}
+
+
 def test_a_suspicious_ratio_is_no_bargain(spark):
     rows = _market(spark, 10, 1000.0).unionByName(_market(spark, 1, 100.0).withColumn("id", F.lit(99).cast("long")))
     assert market.score(rows).where("id = 99").first().deal_ratio is None
