@@ -96,10 +96,10 @@ def test_repairs_of_places(spark):
         PLACE,
     )
     assert places_of(repair.regions_of_places(rows, units)) == {1: ("Opole", "Opole", "opolskie", 1.0), 2: ("Osiek", "starogardzki", "pomorskie", None), 3: ("Osiek", None, None, None), 4: (None, None, None, None)}
-    rows = spark.createDataFrame([(1, "urzad", "Lokal w Sopocie", "Nysa", "nyski", None, "opolskie", None, None, None, 1.0, 2.0, "city"), (2, "olx", "Lokal w Sopocie", "Nysa", "nyski", None, "opolskie", None, None, None, 1.0, 2.0, "city"), (3, "urzad", "Dobra oferta", "Nysa", "nyski", None, "opolskie", None, None, None, 1.0, 2.0, "city"), (4, "urzad", "Dom w Nysie", "Nysa", "nyski", None, "opolskie", None, None, None, 1.0, 2.0, "city")], PLACE)
-    once = repair.relocate_by_title(rows, units, ["olx"])
+    rows = spark.createDataFrame([(1, "urzad", "Lokal w Sopocie", "Nysa", "nyski", None, "opolskie", None, None, None, 1.0, 2.0, "city"), (2, "portal", "Lokal w Sopocie", "Nysa", "nyski", None, "opolskie", None, None, None, 1.0, 2.0, "city"), (3, "urzad", "Dobra oferta", "Nysa", "nyski", None, "opolskie", None, None, None, 1.0, 2.0, "city"), (4, "urzad", "Dom w Nysie", "Nysa", "nyski", None, "opolskie", None, None, None, 1.0, 2.0, "city")], PLACE)
+    once = repair.relocate_by_title(rows, units, ["portal"])
     want = {1: ("Sopot", "Sopot", "pomorskie", None), 2: ("Nysa", "nyski", "opolskie", 1.0), 3: ("Nysa", "nyski", "opolskie", 1.0), 4: ("Nysa", "nyski", "opolskie", 1.0)}
-    assert places_of(once) == want and places_of(repair.relocate_by_title(once, units, ["olx"])) == want
+    assert places_of(once) == want and places_of(repair.relocate_by_title(once, units, ["portal"])) == want
     addresses = spark.createDataFrame([(1, "Gdańsk", "pomorskie"), (3, "Nysa", "opolskie"), (4, " ", None)], "id long, city string, voivodeship string")
     assert places_of(repair.relocate_by_address(rows, addresses, units)) == {1: ("Gdańsk", "Gdańsk", "pomorskie", None), 2: want[2], 3: want[3], 4: want[4]}
     rows = spark.createDataFrame([(1, "gratka", "t", None, "namysłowski", None, None, "Świerczów", "Biestrzykowice", None, 1.0, 1.0, "city"), (2, "gratka", "t", None, None, None, None, "Nigdzie", None, None, 1.0, 1.0, "city")], PLACE)
