@@ -1,7 +1,7 @@
 """The registered queries of the training-data operators."""
 
 import corpus_pipeline
-from kadastra.llm import decontamination, exact_dedup, html_extraction, language_id, mixing, quality, sharding, simhash, substring_dedup, toxicity
+from kadastra.llm import bpe, decontamination, exact_dedup, fim, html_extraction, language_id, mixing, periodic_runs, quality, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -14,9 +14,13 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_fim": fim.op11_fim,
+    "op12_bpe": bpe.op12_bpe,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_fim": fim.ORACLE,
 }
