@@ -1,7 +1,7 @@
 """Operator 12: encoding and decoding by byte-pair merges, with an index of pairs over the words of a chunk.
 
-A text is cut at the vocabulary's special tokens, normalised and split into words as the tokenizer's file says. The different
-words of a chunk of documents are encoded together: an index maps each pair of symbols that has a merge rank to all its
+A text is cut at the vocabulary's special tokens, normalised and split into words as the tokenizer's file says (each stretch
+between spaces once for all its occurrences). The different words of a chunk of documents are encoded together: an index maps each pair of symbols that has a merge rank to all its
 positions. The ranks that are active are applied in ascending order; each merge puts the pairs that it makes into the index,
 and the pairs that it ends are recognised by their symbols when their rank's turn comes. A word's ids then serve all its
 occurrences in the chunk.
@@ -19,8 +19,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +54,8 @@ class Vocabulary:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(sorted(map(regex.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
         self.words = regex.compile(WORDS)
-        self.tokens = {i: t for t, i in (ids | self.special).items()}
+        named = {i: t for t, i in (ids | self.special).items()}
+        self.tokens = pa.array([named.get(i) for i in range(max(named) + 1)], pa.string())
         names = byte_names()
         self.inner = np.array([ids[x] for x in names], np.int64)
         self.last = np.array([ids[x + WORD_END] for x in names], np.int64)
@@ -62,22 +63,16 @@ class Vocabulary:
         made = {c: r for r, (_, _, c) in enumerate(merges)}
         if len(made) < len(merges) or any(made.get(x, -1) >= r for r, (a, b, _) in enumerate(merges) for x in (a, b)):
             raise ValueError("a merge makes a pair of a lower rank")
-        self.bits = max(self.tokens).bit_length()
+        self.bits = max(named).bit_length()
         self.rank = {a << self.bits | b: r for r, (a, b, _) in enumerate(merges)}
         self.merges = merges
         pairs = np.array(list(self.rank), np.int64)
         order = np.argsort(pairs)
         self.pairs, self.pair_ranks = pairs[order], order
 
-    def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
-        """(special, piece) of a text in order; pieces that are not special are words."""
-        for i, part in enumerate(self.cut.split(text) if self.cut else [text]):
-            if i % 2:
-                yield True, part
-            elif part:
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()  # each character for itself
-                for word in self.words.findall(part):
-                    yield False, word
+    def split(self, stretch: str) -> list[str]:
+        """Words of a stretch of text without special tokens."""
+        return self.words.findall(unicodedata.normalize("NFC", stretch).replace("Σ", "σ").lower())  # each character for itself
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after the other, where each word begins, and the end)."""
@@ -142,29 +137,60 @@ class Vocabulary:
         return symbols
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, where each text begins, and the end)."""
-        seen: dict[str, int] = {}
-        number = seen.setdefault
-        # a word by its number, a special token by -1 - id
-        occurrences = [np.fromiter((-1 - self.special[w] if special else number(w, len(seen)) for special, w in self.pieces(t)), np.int64) for t in texts]
-        ids, starts = self.encode(list(seen))
-        flat = np.concatenate(occurrences) if occurrences else np.zeros(0, np.int64)
-        is_word = flat >= 0
-        sizes = np.ones(len(flat), np.int64)
-        sizes[is_word] = (starts[1:] - starts[:-1])[flat[is_word]]
-        first = np.r_[0, np.cumsum(sizes)]
-        out = np.zeros(first[-1], np.int32)
-        out[first[:-1][~is_word]] = -1 - flat[~is_word]
-        begin = np.where(is_word, starts[:-1][np.maximum(flat, 0)] if len(starts) > 1 else 0, 0)
-        inside = np.arange(first[-1]) - np.repeat(first[:-1], sizes)
-        words = np.repeat(is_word, sizes)
-        out[words] = ids[(np.repeat(begin, sizes) + inside)[words]]
-        return out, first[np.r_[0, np.cumsum([len(o) for o in occurrences])].astype(np.int64)]
-
-    def decode(self, ids: list[int], skip_special: bool = False) -> str:
-        """Tokens joined by a space: the file names no decoder."""
-        gone = set(self.special.values()) if skip_special else ()
-        return " ".join([self.tokens[i] for i in ids if i not in gone])
+        """(ids of all texts one after the other, where each text begins, and the end).
+
+        No word holds a space or a line feed, so stretches between these are split and encoded once for all their occurrences."""
+        stretches, words = _Numbers(), _Numbers()
+        of_text = []
+        for t in texts:
+            parts = self.cut.split(t) if self.cut else [t]
+            if len(parts) == 1:
+                numbers = list(map(stretches.__getitem__, t.replace("\n", " ").split(" ")))
+            else:
+                numbers = []
+                for i, part in enumerate(parts):
+                    numbers += [stretches[part,]] if i % 2 else map(stretches.__getitem__, part.replace("\n", " ").split(" "))
+            of_text.append(np.array(numbers, np.int64))
+        special = {t: -1 - k for k, t in enumerate(self.special)}
+        of_stretch = [np.array([special[x[0]]] if isinstance(x, tuple) else [words[w] for w in self.split(x)], np.int64) for x in stretches]
+        ids, starts = self.encode(list(words))
+        n = len(starts) - 1  # special tokens stand behind the words
+        ids, starts = np.r_[ids, np.array(list(self.special.values()), np.int32)], np.r_[starts, starts[-1] + 1 + np.arange(len(special))]
+        flat, bounds = _joined(of_stretch)
+        ids, starts = _taken(ids, starts, np.where(flat < 0, n - 1 - flat, flat), bounds)
+        return _taken(ids, starts, *_joined(of_text))
+
+    def decode(self, ids: pa.ListArray, skip_special: bool = False) -> pa.Array:
+        """Tokens joined by a space (the file names no decoder); null counts as no ids."""
+        ids = pc.fill_null(ids, []) if ids.null_count else ids
+        if skip_special:
+            kept = pc.invert(pc.is_in(ids.flatten(), pa.array(list(self.special.values()), pa.int32())))
+            upto = np.r_[0, np.cumsum(kept.to_numpy(zero_copy_only=False))]
+            offsets = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+            ids = pa.ListArray.from_arrays(pa.array(upto[offsets], pa.int32()), ids.flatten().filter(kept))
+        offsets = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.tokens.take(ids.flatten())), " ")
+
+
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def _joined(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays one after the other, and their bounds."""
+    return np.concatenate(arrays) if arrays else np.zeros(0, np.int64), np.r_[0, np.cumsum([len(a) for a in arrays], dtype=np.int64)]
+
+
+def _taken(values: np.ndarray, starts: np.ndarray, which: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``which`` of ragged rows (values, starts), one after the other, and where each group of them (bounds) begins and ends."""
+    sizes = (starts[1:] - starts[:-1])[which]
+    upto = np.r_[0, np.cumsum(sizes)]
+    at = np.arange(upto[-1]) + np.repeat(starts[:-1][which] - upto[:-1], sizes)
+    return values[at], upto[bounds]
 
 
 @lru_cache(maxsize=2)
@@ -182,15 +208,15 @@ def read_vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
+    for i, n in enumerate(sizes):
+        if size and size + n > CHUNK:
             yield start, i
             start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", row_id: str = "doc_id", into: str = "ids") -> DataFrame:
@@ -207,7 +233,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", row_id:
         known = _vocabulary(shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo, hi in _chunks(texts):
+            for lo, hi in _chunks([len(t) for t in texts]):
                 ids, starts = known.encode_texts(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))], names=["row_id", into])
 
@@ -221,14 +247,17 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", into:
 
     A column that has the name ``into`` already makes it take the next free one (a low line after it)."""
     shared, into = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(path)), free_name(encoded, into)
+    at = encoded.columns.index(ids)
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _vocabulary(shared.value)
         for batch in batches:
-            yield pd.Series([known.decode(x.tolist() if x is not None else [], skip_special) for x in batch], dtype=object)
+            for lo, hi in _chunks(pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_pylist()):
+                rows = batch.slice(lo, hi - lo)
+                yield rows.append_column(into, known.decode(rows.column(at), skip_special))
 
-    return encoded.withColumn(into, run(ids))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return encoded.mapInArrow(run, f"{schema}, `{into}` string")
 
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
