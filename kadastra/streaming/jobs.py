@@ -1,13 +1,11 @@
-"""Streams: landing folder to listings, price changes by state, alerts told once, rate limits, windows over events."""
+"""Streams: landing folder to listings, alerts told once, rate limits of a table, windows over events. Keyed state is in ``state``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kadastra import constants as C
 from kadastra.operators import alerts, upsert
@@ -35,37 +33,26 @@ def snapshot_sink(spark: SparkSession, path: str, first: DataFrame, now: Callabl
     return run
 
 
-def alert_sink(spark: SparkSession, path: str, searches: dict[int, Filters], channels: DataFrame, now: Callable[[], str], send: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that hands each (search, listing, channel) to ``send`` once, by a log under ``path``."""
+LOG = "search_id int, id long, channel string, run string, batch int"
 
-    def run(batch: DataFrame, number: int) -> None:
-        log = spark.read.schema("search_id int, id long, channel string, batch int").parquet(path) if number else spark.createDataFrame([], "search_id int, id long, channel string, batch int")
-        found = alerts.untold(alerts.matches(batch, searches, now()), channels, log.where(F.col("batch") != number))
-        out = found.select("search_id", "id", "channel")
-        out.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        send(spark.read.parquet(f"{path}/batch={number}"))
 
-    return run
+def alert_sink(
+    spark: SparkSession, path: str, searches: dict[int, Filters], channels: DataFrame, now: Callable[[], str], send: Callable[[DataFrame], None], run: str = "first"
+) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that hands each (search, listing, channel) to ``send`` once, by a log under ``path``.
 
+    A stream that begins anew with another checkpoint counts its batches from 0 again: give it another ``run``, and what
+    earlier runs have told is not told again."""
+    spark.createDataFrame([], LOG).drop("run", "batch").write.mode("append").parquet(path)  # the folder is there
+
+    def take(batch: DataFrame, number: int) -> None:
+        log = spark.read.schema(LOG).parquet(path)
+        found = alerts.untold(alerts.matches(batch, searches, now()), channels, log.where((F.col("run") != run) | (F.col("batch") != number)))
+        out = found.select("search_id", "id", "channel")
+        out.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
+        send(spark.read.parquet(f"{path}/run={run}/batch={number}"))
 
-def price_changes(events: DataFrame) -> DataFrame:
-    """Price changes of a stream of (listing_id, ts, price) by keyed state: the last price of each listing, kept for good
-    (one number each). Rows without a price tell nothing and are passed over."""
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for f in frames:
-            f = f[f["price"].notna()].sort_values(["ts", "price"])
-            for at, price in zip(f["ts"], f["price"], strict=True):
-                if last is None or abs(price - last) > C.PRICE_CHANGE:
-                    out.append((key[0], at, price, last))
-                    last = price
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["listing_id", "ts", "price", "previous"])
-
-    return events.groupBy("listing_id").applyInPandasWithState(run, "listing_id long, ts timestamp, price double, previous double", "price double", "append", GroupStateTimeout.NoTimeout)
+    return take
 
 
 def tumbling(events: DataFrame, length: str = "1 day", late: str = "2 days") -> DataFrame:

@@ -57,20 +57,6 @@ def test_export(spark, tmp_path):
     assert {r.key: (r.name, r.enabled) for r in export.sync_registry(known, file).collect()} == {"a": ("A", True), "b": (None, False), "z": ("gone", False)}
 
 
-EVENT = "listing_id long, ts timestamp, price double"
-
-
-def test_price_changes_stream(spark, tmp_path):
-    rows = [(1, dt.datetime(2026, 1, d), p) for d, p in ((1, 10.0), (2, 10.2), (3, 12.0))] + [(2, dt.datetime(2026, 1, 1), 5.0)]
-    spark.createDataFrame(rows, EVENT).write.json(str(tmp_path / "in"))
-    stream = spark.readStream.schema(EVENT).json(str(tmp_path / "in"))
-    q = jobs.price_changes(stream).writeStream.format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
-    found = {(r.listing_id, r.price): r.previous for r in spark.table("changes").collect()}
-    assert set(found) == {(1, 10.0), (1, 12.0), (2, 5.0)} and found[1, 12.0] == 10.0 and found[1, 10.0] is None
-
-
 def test_alert_stream_tells_once(spark, tmp_path):
     kinds = "id long, price double, listed_at timestamp, is_original boolean, status string"
     spark.createDataFrame([(1, 1.0, dt.datetime(2026, 1, 1), True, "aktywna")], kinds).write.json(str(tmp_path / "in"))
