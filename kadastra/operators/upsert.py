@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kadastra import constants as C
 from kadastra.functions import dates
+from kadastra.operators.hashing import row_hash
 
 KEY = ("source_key", "external_id")
 ADDRESS = ("voivodeship", "county", "city", "district", "street")

@@ -53,13 +53,13 @@ def streamed(rows: DataFrame, at: str, ticks: dict, make: Callable[[DataFrame, s
     return spark.read.schema(made.schema).parquet(f"{folder}/out")
 
 
-_OFFERS = """o as (select distinct event_type as source_key, cast(user_id as varchar) as external_id, date_trunc('milliseconds', ts) as at from events),
-p as (select source_key, day as at from (select distinct event_type as source_key from events), (select unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), interval 1 day)) as day from events) where extract(day from day) % 3 <> 0),
-n as (select *, lead(at) over (partition by source_key, external_id order by at) as later from o),
-g as (select n.source_key, external_id, n.at as last_seen, min(p.at) as at from n join p on p.source_key = n.source_key and p.at > n.at + interval 3 day and (later is null or p.at < later) group by all)"""
+_OFFERS = """o as (select distinct event_type as source_key, cast(user_id as varchar) as external_id, date_trunc('milliseconds', ts) as seen from events),
+p as (select source_key, day as ended from (select distinct event_type as source_key from events), (select unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), interval 1 day)) as day from events) where extract(day from day) % 3 <> 0),
+n as (select *, lead(seen) over (partition by source_key, external_id order by seen) as later from o),
+g as (select n.source_key, external_id, seen as last_seen, min(ended) as removed from n join p on p.source_key = n.source_key and ended > seen + interval 3 day and (later is null or ended < later) group by all)"""
 
 
-@query("absence_stream", f"with {_OFFERS} select source_key, external_id, last_seen, at from g")
+@query("absence_stream", f"with {_OFFERS} select source_key, external_id, last_seen, removed from g")
 def _(spark, sf_dir):
     """Users as offers of a source (the type of event); each source is passed over completely on two days of three."""
     events = table(spark, sf_dir, "events").select("event_type", "user_id", F.col("ts").cast("timestamp").alias("ts"))
@@ -68,7 +68,7 @@ def _(spark, sf_dir):
     days = F.sequence(*(F.date_trunc("day", F.lit(x).cast("timestamp")) for x in (lo, hi)), F.expr("interval 1 day"))
     passes = events.select(F.col("event_type").alias("source_key")).distinct().select("source_key", F.lit(None).cast("string").alias("external_id"), F.explode(days).alias("seen_at")).withColumn("complete", F.day("seen_at") % 3 != 0)
     found = streamed(seen.unionByName(passes), "seen_at", {"source_key": TICK, "external_id": TICK}, lambda s, late: state.absences(s, late))
-    return found.where((F.col("status") == "nieaktywna") & (F.col("source_key") != TICK)).select("source_key", "external_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), F.col("at").cast("timestamp_ntz").alias("at"))
+    return found.where((F.col("status") == "nieaktywna") & (F.col("source_key") != TICK)).select("source_key", "external_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), F.col("at").cast("timestamp_ntz").alias("removed"))
 
 
 @query("rate_limit_stream", "select event_id, recent, recent > 3 as refused from (select event_id, count(*) over (partition by user_id order by ts range between interval 24 hour preceding and current row) as recent from events)")

@@ -316,3 +316,11 @@ def test_similar_offers_follow_their_rules(spark):
     assert got == [(2, 0), (3, 0), (7, 1), (9, 2)]
     no_price = spark.createDataFrame([row(20, price=None, area=None, rooms=None, region=None)], columns)
     assert {r.id for r in similar.similar(df, no_price).collect()} >= {1, 2, 7}
+
+
+def test_latest_of_a_batch_with_maps(spark):
+    rows = [("a", "1", {"x": "1", "y": "2"}), ("a", "1", {"y": "2", "x": "1"}), ("a", "1", None), ("a", "2", {})]
+    batch = spark.createDataFrame(rows, "source_key string, external_id string, extra map<string,string>").selectExpr("*", "struct(extra) AS deep")
+    first = {r.external_id: r.extra for r in upsert.latest_per_key(batch).collect()}
+    again = {r.external_id: r.extra for r in upsert.latest_per_key(batch.orderBy(F.desc_nulls_last("external_id")).repartition(3)).collect()}
+    assert first == again and first["2"] == {}
