@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kadastra.llm.common import free_name, table
+from kadastra.llm.common import free_name, small_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of text whose words are encoded together, about; one longer text is a chunk of its own.
@@ -219,8 +219,9 @@ def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", row_id: str = "doc_id", into: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", row_id: str = "doc_id", into: str = "ids", decoded: str | None = None) -> DataFrame:
     """Row id and ``into``, the ids (array<int>) of each whole text, without special tokens around it; those in a text are found.
+    With ``decoded`` a column of that name has the text that these ids decode to, as ``decode`` gives it.
 
     A null text counts as empty and has no ids. Rows are encoded for themselves, so rows without an id and repeated ones are
     returned as they are; an empty table gives an empty result; columns other than the two named are not read. A text of many
@@ -232,13 +233,14 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", row_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _vocabulary(shared.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in _chunks([len(t) for t in texts]):
-                ids, starts = known.encode_texts(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))], names=["row_id", into])
+            for lo, hi in _chunks(pc.utf8_length(batch.column(1)).to_pylist()):
+                rows = batch.slice(lo, hi - lo)
+                ids, starts = known.encode_texts(rows.column(1).to_pylist())
+                coded = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), coded, *([known.decode(coded)] if decoded else [])], names=["row_id", into, *([decoded] if decoded else [])])
 
     source = docs.select(F.col(row_id).alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = source.mapInArrow(run, f"row_id {source.schema['row_id'].dataType.simpleString()}, `{into}` array<int>")
+    found = source.mapInArrow(run, f"row_id {source.schema['row_id'].dataType.simpleString()}, `{into}` array<int>" + (f", `{decoded}` string" if decoded else ""))
     return found.withColumnRenamed("row_id", row_id)
 
 
@@ -261,6 +263,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", into:
 
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode(encode(table(spark, sf_dir, "documents")))
+    small_batches(spark)
+    coded = encode(table(spark, sf_dir, "documents"), decoded="decoded")  # in one worker: two would hold the vocabulary twice
     listed = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
