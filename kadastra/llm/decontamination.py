@@ -11,8 +11,8 @@ is fixed, and the WAND tests can run over all windows of a batch at once:
 3. of the others, blocks whose block maxima do not reach it are skipped;
 4. only then are postings read and scored.
 
-Hits are verified: five-word shingles of the item's question (all but its last sentence) and the words of its answer
-(the last sentence) have to overlap with the text around the hit.
+Hits are verified: five-word shingles of the item's question (all but its last sentence), or of the whole item where the
+question alone was altered, and the words of its answer (the last sentence) have to overlap with the text around the hit.
 """
 
 from __future__ import annotations
@@ -226,7 +226,7 @@ def search(indexes: list[Index], texts: list[str]) -> list[tuple[int, int, float
                 known = index.items[item]  # noqa: B023
                 region = words[max(0, start - index.span) : start + 3 * index.span]  # noqa: B023
                 whole, question, answer = known.verify(region)
-                if whole >= OVERLAP or (question >= OVERLAP and answer >= ANSWER_OVERLAP):
+                if max(whole, question) >= OVERLAP and answer >= ANSWER_OVERLAP:
                     new = (score, whole, question, answer)
                     out[number, known.id] = max(out.get((number, known.id), new), new)
 

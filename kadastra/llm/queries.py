@@ -1,7 +1,6 @@
 """The registered queries of the training-data operators."""
 
-import corpus_pipeline
-from kadastra.llm import bpe, decontamination, exact_dedup, fim, html_extraction, language_id, mixing, periodic_runs, quality, sharding, simhash, substring_dedup, toxicity
+from kadastra.llm import bpe, decontamination, exact_dedup, fim, html_extraction, language_id, mixing, periodic_runs, pipeline, quality, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -17,7 +16,7 @@ QUERIES = {
     "op11_fim": fim.op11_fim,
     "op12_bpe": bpe.op12_bpe,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLE_SQL = {

@@ -33,7 +33,7 @@ FUZZY_LENGTH = 5
 WINDOW = 8
 THRESHOLD = 0.3
 #: Words whose lookup a worker remembers.
-MEMORY = 200_000
+MEMORY = 30_000
 
 WORDS = re.compile(r"\w+")
 OPEN, CLOSE = re.compile(r"""["“„«]|(?<!\w)['‘]"""), re.compile(r"""["”“»]|['’](?!\w)""")

@@ -60,6 +60,15 @@ def test_decontamination_finds_items_anywhere_and_of_any_length(spark):
     assert got == {(i, 1) for i in range(6)} | {(10, 2), (11, 3)}
 
 
+def test_decontamination_asks_for_the_answer(spark):
+    question, answer = words(71, 40), "vier ganz andere worte"
+    bench = spark.createDataFrame([(1, f"{question}. {answer}.")], "item_id long, text string")
+    around = words(72, 100)
+    rows = [(1, f"{around} {question} {around}", "en", "a"), (2, f"{around} {question}. {answer} {around}", "en", "a"), (3, f"{answer} {around}", "en", "a")]
+    hits = decontamination.contaminated(documents(spark, rows), bench).collect()
+    assert [(r.doc_id, r.question_overlap, r.answer_overlap) for r in hits] == [(2, 1.0, 1.0)]
+
+
 def test_decontamination_parts_of_the_index_agree(spark, corpus, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = {tuple(r) for r in decontamination.contaminated(corpus, bench).select("doc_id", "item_id", F.round("score", 6)).collect()}
