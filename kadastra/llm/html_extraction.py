@@ -7,7 +7,9 @@ a page and of its partner are aligned by a longest common subsequence, and share
 Markup settles what differencing cannot tell:
 
 * lines in an ``article`` or ``main`` element stay although shared: mirrored pages and repeated passages are content;
-* lines in elements named as navigation, adverts, comments and the like go although the partner has others there;
+* lines in elements named as navigation, adverts, comments and the like go although the partner has others there, but an
+  article or main element within such an element, or with such a name among others, is content (within a strong name or a form
+  only if there is no other one), and on a page without these elements names that leave nothing are passed over;
 * inside an article weaker names (notice, related, share) count only for shared lines, as a template's;
 * without such elements, a partner that leaves next to nothing is a copy: then the other neighbour counts, if it leaves more.
 
@@ -28,15 +30,19 @@ from pyspark.sql import functions as F
 
 from kadastra.llm.common import by_hash, materialize, sample_rate
 
-DROPPED = frozenset("nav header footer aside form script style noscript template iframe svg button select option textarea input dialog menu head title object canvas".split())
+#: Elements whose text is no content: blocks, and such as may stand within a line, which go on after them.
+DROPPED = frozenset("nav header footer aside form dialog menu head title".split())
+SILENT = frozenset("script style noscript template iframe svg button select option textarea canvas object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that a head may hold; any other one ends it.
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 CONTENT = frozenset({"article", "main"})
-#: Words of class and id values that mark boilerplate elements: anywhere, and outside articles (inside only if shared).
-STRONG = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reply|respond|ads?|advert\w*|sponsor\w*)(?:$|[\s_-])")
+#: Names in class and id values that mark boilerplate elements: anywhere, and outside articles (inside only if shared).
+STRONG = re.compile(r"(?:^|[\s_-])(?<!no[-_])(?:comments?|commentlist|disqus|replies|reply|respond|ads?|advert\w*|sponsor\w*)(?:$|[\s_-])")
 WEAK = re.compile(r"(?:^|[\s_-])(?:banner|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri\w*|signup|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|header|masthead|topbar|share|sharing|social|related|recommended|widget|pagination|pager)(?:$|[\s_-])")
+#: An article that is itself one of these is no content; other names of an article or main element say nothing about its text.
+NO_ARTICLE = frozenset("comment comment-body reply response ad ads advert advertisement sponsored teaser".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 SPACE = re.compile(r"\s+")
 #: A neighbour that leaves less than one in this many characters of what the other one leaves is a copy of the page.
@@ -46,8 +52,9 @@ RANGES, SAMPLES, LEAST_PAGES, MOST_PAGES = 4, 4, 32, 32_768
 #: Bits of one table of the alignment; larger ones are cut in halves.
 TABLE_BITS = 1 << 28
 
-#: Kinds of lines: in no named element; boilerplate by a strong or a weak name; in a content element; there with a weak name.
-PLAIN, CHROME, SOFT, INNER, HINT = range(5)
+#: Kinds of lines: in no named element; boilerplate by its element; in a form; boilerplate by a strong or a weak name; in a content
+#: element; there with a weak name; in a content element within a form or a strong name, which is the content if there is no other.
+PLAIN, CHROME, FORM, NAMED, SOFT, INNER, HINT, DOUBTFUL = range(8)
 
 
 class _Blocks(HTMLParser):
@@ -56,23 +63,25 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # tag, kind, emphatically dropped (no text is kept at all)
+        self.places: dict[str, list[int]] = {}  # of each tag where it is open in the stack
+        self.content = False  # whether there is a content element
         self.out: list[tuple[str, int]] = []
         self.parts: list[str] = []
 
     def state(self) -> tuple[int, bool]:
         return self.stack[-1][1:] if self.stack else (PLAIN, False)
 
-    def flush(self) -> None:
+    def flush(self, kind: int | None = None) -> None:
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             self.parts = []
             if text:
-                self.out.append((text, self.state()[0]))
+                self.out.append((text, self.state()[0] if kind is None else kind))
 
     def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS or tag in DROPPED:
+        if (tag in BLOCKS or tag in DROPPED) and not self.state()[1]:
             self.flush()
-        if tag not in IN_HEAD and any(x[0] == "head" for x in self.stack):  # a head whose end tag was left out
+        if tag not in IN_HEAD and self.places.get("head"):  # a head whose end tag was left out
             self._close("head")
         if tag in VOID:
             return
@@ -80,31 +89,47 @@ class _Blocks(HTMLParser):
             self._close(tag, until=("article", "main", "section", "div", "td", "ul", "ol", "blockquote", "body"))
         kind, silent = self.state()
         if tag not in ("html", "body"):
-            at = dict(attrs)
-            named = f"{at.get('class') or ''} {at.get('id') or ''}".lower()
-            inside = kind in (INNER, HINT)
-            if tag in DROPPED and not (tag == "header" and inside) or "hidden" in at or at.get("role") in ROLES or at.get("aria-hidden") == "true" or (named != " " and bool(STRONG.search(named))):
-                kind = CHROME
-            elif kind == PLAIN and tag in CONTENT or kind == SOFT and tag == "main":
-                kind = INNER
-            elif kind in (PLAIN, INNER) and named != " " and WEAK.search(named):
-                kind = HINT if inside else SOFT
-            silent = silent or tag in ("script", "style", "head", "title", "template", "noscript")
+            kind = self._kind(tag, dict(attrs), kind)
+        silent = silent or tag in SILENT or tag in ("head", "title")
+        self.places.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, kind, silent))
 
+    def _kind(self, tag: str, at: dict, kind: int) -> int:
+        if kind == CHROME:
+            return CHROME
+        named = f"{at.get('class') or ''} {at.get('id') or ''}".lower()
+        inside = kind in (INNER, HINT, DOUBTFUL)
+        if tag in DROPPED and tag != "form" and not (tag == "header" and inside) or "hidden" in at or at.get("role") in ROLES or at.get("aria-hidden") == "true":
+            return CHROME
+        if tag in CONTENT:
+            if not NO_ARTICLE.isdisjoint(named.split()):
+                return CHROME
+            self.content = True
+            return INNER if kind in (PLAIN, SOFT) else DOUBTFUL if kind in (FORM, NAMED) else kind
+        if tag == "form" or kind == FORM:
+            return CHROME if inside else FORM
+        if named != " " and STRONG.search(named):
+            return CHROME if inside else NAMED
+        if kind in (PLAIN, INNER) and named != " " and WEAK.search(named):
+            return HINT if inside else SOFT
+        return kind
+
     def _close(self, tag: str, until: tuple[str, ...] = ()) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
-            if self.stack[k][0] in until:
-                return
+        at = self.places.get(tag)
+        if not at or any((x := self.places.get(t)) and x[-1] > at[-1] for t in until):
+            return
+        for _ in range(len(self.stack) - at[-1]):
+            self.places[self.stack.pop()[0]].pop()
 
     def handle_endtag(self, tag):
-        if tag in BLOCKS or tag in DROPPED:
+        block, silent, at = tag in BLOCKS or tag in DROPPED, self.state()[1], self.places.get(tag)
+        if block and not silent:
             self.flush()
+        kind = self.stack[at[-1]][1] if at else None
         if tag not in VOID:
             self._close(tag)
+        if block and silent and at is not None and not self.state()[1]:  # a silent element within was left open
+            self.flush(kind)
 
     def handle_data(self, data):
         if not self.state()[1]:
@@ -117,7 +142,10 @@ def blocks(html: str) -> list[tuple[str, int]]:
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.out
+    settled = {DOUBTFUL: CHROME if any(kind == INNER for _, kind in parser.out) else INNER}
+    if parser.content:  # names elsewhere are right
+        settled |= {NAMED: CHROME, SOFT: CHROME}
+    return [(text, settled.get(kind, kind)) for text, kind in parser.out]
 
 
 def _rows(a: list[int], b: list[int]) -> list[int]:
@@ -193,7 +221,9 @@ def main_text(own: list[tuple[str, int]], near: list[list[tuple[str, int]]]) ->
     """The text of a page, and how many lines were deleted as shared, deleted by their names alone, and kept by their element
     although shared. ``near`` has the neighbours, the partner first."""
     lines = [text for text, _ in own]
-    open_ = [kind not in (CHROME, SOFT) for _, kind in own]
+    open_ = [kind not in (CHROME, FORM, NAMED, SOFT) for _, kind in own]
+    if not any(open_):  # names left nothing: then the difference to the partner alone decides
+        open_ = [kind not in (CHROME, FORM) for _, kind in own]
     held = any(kind in (INNER, HINT) for _, kind in own)
 
     def difference(other: list[tuple[str, int]]) -> tuple[set[int], int]:

@@ -580,3 +580,27 @@ def test_substring_dedup_awkward(spark, odd, none):
 
 def test_schema_constant(spark):
     assert documents(spark, []).columns[:5] == [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div id='content-sidebar-wrap'><article><p>One</p></article></div><div class=sidebar>x</div>", "One"),
+        ("<article class='post comments-open'>Two<div class='comments'>no</div></article><ol class=comments><li><article class='comment'>no</article></ol>", "Two"),
+        ("<div class='page no-ads'><article>Three</article></div>", "Three"),
+        ("<div class='widget'><main>Four</main></div><div class='related'>no</div>", "Four"),
+        ("<form><div><article>In a form</article></div><input></form><nav>no</nav>", "In a form"),
+        ("<div class=comments><article>teaser</article></div><article>real</article>", "real"),
+        ("<p>Join <button>ok</button> now</p>", "Join now"),
+        ("<div>a<button>b</div><p>c</p>", "a\nc"),
+        ("<div class='ads-page'><p>only this</p></div><form>login</form>", "only this"),
+        ("<article></article><div class=comments>no</div><form>login</form>", ""),
+    ],
+)
+def test_content_wins_over_names(html, text):
+    assert html_extraction.main_text(html_extraction.blocks(html), [])[0] == text
+
+
+def test_deep_nesting_takes_linear_time():
+    deep = html_extraction.blocks("<div>" * 100_000 + "x" + "</div>" * 100_000 + "<span>" * 50_000 + "<p>a<li>b" * 10_000)
+    assert len(deep) == 20_001
