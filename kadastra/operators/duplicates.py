@@ -8,6 +8,7 @@ all that decides are one class and make no pairs among themselves.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,25 +71,67 @@ def keys() -> Column:
     return F.array_distinct(F.filter(found, lambda k: k.isNotNull()))
 
 
+#: Groups of one cell, about, that one task compares with as many others.
+BLOCK = 4096
+#: Prices further apart than this on the logarithmic scale exclude a pair.
+PRICE_BAND = -math.log(1 - C.PRICE_SPREAD) * 1.000001
+#: Cell of listings without a price: they meet all others of their key.
+ANY = -(1 << 40)
+
+
+def units(df: DataFrame) -> DataFrame:
+    """Listings that may have copies, with ``class`` (a hash of all that verdicts look at), ``stretch`` of time and ``unit``, a hash of
+    both. Listings of one unit get the same verdict with any other and lie within the window of each other."""
+    stretch = F.floor(F.datediff("first_seen", F.lit("2000-01-01")) / C.DEDUP_WINDOW_DAYS)
+    rows = df.where(F.col("kind") != "przetarg").withColumn("class", F.xxhash64(*(x for c in JUDGED for x in (F.col(c), F.col(c).isNull()))))
+    return rows.withColumn("stretch", stretch).withColumn("unit", F.xxhash64("class", F.coalesce("stretch", F.lit(-1 << 40))))
+
+
+def _cells(stands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the comparison under a key: listings meet in cells of prices a PRICE_BAND wide, each with its own and the
+    next one, those without a price with all. Large cells are dealt to a grid of blocks (i, j) that meet one by one."""
+    auction = F.col("kind") == "licytacja"
+    own = F.when(auction, 0).when(F.col("price") > 0, F.floor(F.log("price") / PRICE_BAND)).otherwise(ANY).cast("long")
+    placed = stands.withColumn("own", own)
+    left = placed.withColumn("cell", F.explode(F.when(auction | (F.col("own") == ANY), F.array("own")).otherwise(F.array(F.col("own"), F.col("own") + 1))))
+    right = placed.withColumn("cell", F.explode(F.when(auction | (F.col("own") == ANY), F.array("own")).otherwise(F.array(F.col("own"), F.lit(ANY).cast("long")))))
+    sizes = left.groupBy("key", "cell").agg(F.count("*").alias("n")).join(right.groupBy("key", "cell").agg(F.count("*").alias("m")), ["key", "cell"])
+    sizes = sizes.select("key", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("m") / BLOCK).cast("int").alias("columns")).where("rows > 1 or columns > 1")  # few
+
+    def dealt(side: DataFrame, mine: str, other: str, at: tuple[str, str]) -> DataFrame:
+        found = side.join(sizes, ["key", "cell"], "left").withColumn(at[0], F.pmod(F.xxhash64("group", "id"), F.coalesce(mine, F.lit(1))).cast("int"))
+        return found.withColumn(at[1], F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("rows", "columns")
+
+    return dealt(left, "rows", "columns", ("i", "j")), dealt(right, "columns", "rows", ("j", "i"))
+
+
 def candidate_pairs(df: DataFrame) -> DataFrame:
-    """Pairs (a, b) of structs, a older by id, that share a key and lie within the window.
+    """Pairs (a, b) of structs, a older by id, that share a key, lie within the window and do not exclude each other.
 
-    Keys, ids, dates and a class meet, not listings: the class is a hash of all that verdicts look at, so listings of one
-    class get the same verdict with any other. Under a key the listings of a class and a stretch of time of the window's
-    length are paired with the first of them only, and classes and stretches meet by their first and last listings, which
-    are the nearest to all that lies outside. So groups come out as from all pairs, and copies make no pairs among
-    themselves. The columns are fetched for the pairs that are left.
+    Keys, ids, dates and what excludes a pair meet, not listings. Under a key the listings of a class and a stretch of time of
+    the window's length are paired with the first of them only, and classes and stretches meet by their first and last
+    listings, which are the nearest to all that lies outside. So groups come out as from all pairs, and copies make no pairs
+    among themselves. Different listings under one key (the flats of one agency) meet in cells of like prices, dealt to blocks
+    where a cell is large, and a pair with another street, unit, floor or price is never made. The columns are fetched for
+    the pairs that are left.
     """
     window = C.DEDUP_WINDOW_DAYS
-    rows = df.where(F.col("kind") != "przetarg").withColumn("class", F.xxhash64(*(x for c in JUDGED for x in (F.col(c), F.col(c).isNull()))))
-    stretch = F.floor(F.datediff("first_seen", F.lit("2000-01-01")) / window)
-    keyed = rows.select("id", "first_seen", F.explode(keys()).alias("key"), "class", stretch.alias("stretch")).withColumn("group", F.xxhash64("key", "class", F.coalesce("stretch", F.lit(-1 << 40))))
-    ends = keyed.groupBy("group").agg(F.first("key").alias("key"), F.min(F.struct("first_seen", "id")).alias("lo"), F.max(F.struct("first_seen", "id")).alias("hi"), F.count("*").alias("n"))
+    street, number = F.nullif(text.norm_key("street"), F.lit("")), F.nullif(F.regexp_extract(F.coalesce("title", F.lit("")), UNIT_NUMBER, 1), F.lit(""))
+    told = {"street_key": F.xxhash64(street), "number": number, "known_street": street.isNotNull()}
+    narrow = units(df).withColumns(told).select("id", "first_seen", "unit", "kind", "price", "floor", "source_key", "number", F.when(F.col("known_street"), F.col("street_key")).alias("street_key"), F.explode(keys()).alias("key"))
+    keyed = narrow.withColumn("group", F.xxhash64("key", "unit"))
+    same = [F.first(c).alias(c) for c in ("key", "kind", "price", "floor", "source_key", "number", "street_key")]  # alike within a class
+    ends = keyed.groupBy("group").agg(*same, F.min(F.struct("first_seen", "id")).alias("lo"), F.max(F.struct("first_seen", "id")).alias("hi"), F.count("*").alias("n"))
     stars = join_groups(keyed.select("id", "group"), ends.select("group", "lo.id", "n").withColumnRenamed("id", "first_id"), "group", "n").where("id <> first_id").select("id", F.col("first_id").alias("other"))
-    stands = ends.select("key", "group", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("at")).select("key", "group", "at.id", "at.first_seen")
-    a, b = (stands.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("group", "id", "first_seen"))) for side in "ab")
+    stands = ends.withColumn("at", F.explode(F.array_distinct(F.array("lo", "hi")))).select("key", "group", "at.id", "at.first_seen", "kind", "price", "floor", "source_key", "number", "street_key")
+    meet = ["key", "cell", "i", "j"]
+    a, b = (side.select(*meet, *(F.col(c).alias(f"{name}_{c}") for c in side.columns if c not in meet)) for name, side in zip("ab", _cells(stands), strict=True))
     near = F.coalesce(F.abs(F.datediff("a_first_seen", "b_first_seen")) <= window, F.lit(True))
-    across = a.join(b, "key").where((F.col("a_group") < F.col("b_group")) & near).select(F.col("a_id").alias("id"), F.col("b_id").alias("other"))
+    gap = _price_gap(F.col("a_price"), F.col("b_price"))
+    excluded = _differ(F.col("a_street_key"), F.col("b_street_key")) | _differ(F.col("a_number"), F.col("b_number")) | _differ(F.col("a_floor"), F.col("b_floor")) | F.coalesce(gap > C.PRICE_SPREAD, F.lit(False))
+    excluded = excluded | ((F.col("a_source_key") == F.col("b_source_key")) & F.coalesce(gap.isNotNull() & (F.abs(F.col("a_price") - F.col("b_price")) > 1.0), F.lit(False)))
+    once = F.when(F.col("a_own") == F.col("b_own"), F.col("a_group") < F.col("b_group")).otherwise(F.lit(True))
+    across = a.join(b, meet).where(once & near & ((F.col("a_kind") == "licytacja") | ~F.coalesce(excluded, F.lit(False)))).select(F.col("a_id").alias("id"), F.col("b_id").alias("other"))
     pairs = stars.unionByName(across).where("id <> other").select(F.least("id", "other").alias("a_id"), F.greatest("id", "other").alias("b_id")).distinct()
     row = lambda side: df.select(F.col("id").alias(f"{side}_id"), F.struct(*(F.col(c) for c in (*COLUMNS, "fingerprint", "text_shingle"))).alias(side))
     return pairs.join(row("a"), "a_id").join(row("b"), "b_id").select("a", "b")
@@ -133,13 +176,76 @@ def verdicts(pairs: DataFrame) -> DataFrame:
     return sure.unionByName(by_print).unionByName(by_text)
 
 
+def _rank() -> Column:
+    """The order in which listings are originals: the earlier offer, of equally early ones a private or institutional seller before
+    a developer, and that before others; then the smaller id."""
+    seller = F.when(F.col("seller_type").isin("prywatna", "komornik", "syndyk", "urzad"), 0).when(F.col("seller_type") == "deweloper", 1).otherwise(2)
+    return F.struct(F.coalesce("published", "first_seen").alias("since"), seller.alias("rank"), F.col("id"))
+
+
+def originals(edges: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of a graph of (u, v), u before v: the nodes ``u`` that no earlier original matches, by walking through the nodes in their order.
+
+    Done in rounds: a node without an undecided earlier neighbour is an original, its neighbours are not, and both leave the
+    graph. Nodes that are left without an edge are originals; only such with an edge in ``edges`` are returned.
+    """
+    nodes = save(edges.select(F.explode(F.array("u", "v")).alias("u")).distinct())
+    now, gone = save(edges.select("u", "v")), None
+    while not now.isEmpty():
+        first = save(now.groupBy("u").agg(F.count("*").alias("n")).join(now.select(F.col("v").alias("u")).distinct(), "u", "left_anti"))
+        copies = save(join_groups(now, first, "u", "n").select("v").distinct())
+        gone = copies if gone is None else save(gone.unionByName(copies))
+        left = now.join(first.select("u"), "u", "left_anti").join(copies, "v", "left_anti")
+        now = save(left.join(copies.select(F.col("v").alias("u")), "u", "left_anti").select("u", "v"))
+    return nodes if gone is None else nodes.join(gone.withColumnRenamed("v", "u"), "u", "left_anti")
+
+
+def strict_groups(df: DataFrame, links: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every listing with is_original, duplicate_of_id, copies_count, and the method and score of its own link to its original.
+
+    Unlike in ``groups``, a copy matches its original itself, not by way of others: listings are walked through from the
+    earliest on, one that matches an earlier original is its copy, else an original; of several originals that with
+    the highest score counts, of these the earliest. Listings of one unit (alike in all that decides, within the window)
+    are decided as one, by their earliest; those that lie outside the window of the original found are a group of their own.
+    """
+    window = C.DEDUP_WINDOW_DAYS
+    rows = save(units(df).select("id", "unit", "first_seen", _rank().alias("order")))
+    unit = save(rows.groupBy("unit").agg(F.min(F.struct("order", "first_seen")).alias("first"), F.count("*").alias("n")).select("unit", "first.order", F.col("first.first_seen").alias("since"), "n"))
+    of = lambda side: rows.select(F.col("id").alias(f"{side}_id"), F.col("unit").alias(f"{side}_unit"))
+    linked = save(links.join(of("a"), "a_id").join(of("b"), "b_id").groupBy("a_unit", "b_unit").agg(F.max(F.struct("score", F.col("method"))).alias("by")))
+    within = linked.where("a_unit = b_unit").select(F.col("a_unit").alias("unit"), F.col("by").alias("own_by"))
+    heads = unit.select(F.col("unit"), "order", "since")
+    x, y = (heads.select(*(F.col(c).alias(f"{side}_{c}") for c in heads.columns)) for side in "ab")
+    pairs = linked.where("a_unit <> b_unit").join(x, "a_unit").join(y, "b_unit").where(F.coalesce(F.abs(F.datediff("a_since", "b_since")) <= window, F.lit(True)))
+    first = F.col("a_order") < F.col("b_order")
+    side = lambda c, yes: F.when(first if yes else ~first, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
+    edges = save(pairs.select(side("unit", True).alias("u"), side("unit", False).alias("v"), side("order", True).alias("before"), side("since", True).alias("since"), "by").groupBy("u", "v").agg(F.max("by").alias("by"), F.first("before").alias("before"), F.first("since").alias("since")))
+    kept = originals(edges, save)
+    best = F.max_by(F.struct("u", "before", "since", "by"), F.struct(F.col("by.score"), -F.unix_micros("before.since"), -F.col("before.rank"), -F.col("before.id")))
+    chosen = edges.join(kept, "u").groupBy("v").agg(best.alias("best")).select(F.col("v").alias("unit"), F.col("best.before.id").alias("to"), F.col("best.since").alias("to_since"), "best.by")
+
+    members = join_groups(rows, unit.select("unit", F.col("order.id").alias("head"), "n"), "unit", "n")
+    marked = members.join(chosen, "unit", "left").join(within, "unit", "left")
+    near = F.col("to").isNotNull() & F.coalesce(F.abs(F.datediff("first_seen", "to_since")) <= window, F.lit(True))
+    marked = save(marked.withColumn("near", near))
+    # what is too far from the original of its unit, and units without one, keep together where the unit's listings match
+    rest = marked.where(~F.col("near") & F.col("own_by").isNotNull()).groupBy("unit").agg(F.min("order").alias("top"))
+    marked = marked.join(rest, "unit", "left")
+    target = F.when(F.col("near"), F.col("to")).when(F.col("top.id") != F.col("id"), F.col("top.id"))
+    link = F.when(F.col("near"), F.col("by")).when(F.col("top.id") != F.col("id"), F.col("own_by"))
+    decided = save(marked.select("id", target.alias("duplicate_of_id"), link.alias("link")))
+    counts = decided.where("duplicate_of_id is not null").groupBy(F.col("duplicate_of_id").alias("id")).agg(F.count("*").alias("copies"))
+    out = df.join(decided, "id", "left") if "duplicate_of_id" not in df.columns else df.drop("duplicate_of_id").join(decided, "id", "left")
+    out = out.join(counts, "id", "left")
+    columns = [F.col(c) for c in df.columns if c not in ("is_original", "duplicate_of_id", "copies_count", "method", "score")]
+    return out.select(*columns, F.col("duplicate_of_id").isNull().alias("is_original"), "duplicate_of_id", F.coalesce("copies", F.lit(0)).alias("copies_count"), F.col("link.method").alias("method"), F.col("link.score").alias("score"))
+
+
 def groups(df: DataFrame, links: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Every listing with its group's original and copies_count. The original is the earliest offer; of equally early
-    ones a private or institutional seller comes before a developer, and that before others; then the smaller id."""
+    """Every listing with its group's original (the first by ``_rank``) and copies_count."""
     parts = connected_components(links.select(F.col("a_id").alias("u"), F.col("b_id").alias("v")), save)
-    rank = F.when(F.col("seller_type").isin("prywatna", "komornik", "syndyk", "urzad"), 0).when(F.col("seller_type") == "deweloper", 1).otherwise(2)
     marked = df.join(parts, df["id"] == parts["node"], "left").withColumn("group_id", F.coalesce("component", "id"))
-    found = marked.groupBy("group_id").agg(F.min(F.struct(F.coalesce("published", "first_seen").alias("since"), rank.alias("rank"), F.col("id"))).alias("first"), (F.count("*") - 1).alias("copies"))
+    found = marked.groupBy("group_id").agg(F.min(_rank()).alias("first"), (F.count("*") - 1).alias("copies"))
     joined = marked.join(found, "group_id")
     own = F.col("first.id") == F.col("id")
     return joined.select(*(df[c] for c in df.columns if c not in ("is_original", "duplicate_of_id", "copies_count")), own.alias("is_original"), F.when(~own, F.col("first.id")).alias("duplicate_of_id"), F.when(own, F.col("copies")).otherwise(0).alias("copies_count"))

@@ -168,7 +168,7 @@ def _(spark, sf_dir):
 
 def _offers(df: DataFrame) -> DataFrame:
     """Listings of which some repeat others on a second portal."""
-    rows = df.where("area is not null").select("id", "source_key", "kind", "transaction", "property_type", F.concat(F.col("title"), F.lit(" numer "), (F.col("id") % 977).cast("string")).alias("title"), "city", "street", "area", F.col("rooms").cast("int").alias("rooms"), F.col("floor").cast("int").alias("floor"), "price", "seller_type", F.col("first_seen"), F.when(F.col("id") % 5 == 0, F.col("phone")).alias("phone_fingerprint"))
+    rows = df.select("id", "source_key", "kind", "transaction", "property_type", F.concat(F.col("title"), F.lit(" numer "), (F.col("id") % 977).cast("string")).alias("title"), "city", "street", "area", F.col("rooms").cast("int").alias("rooms"), F.col("floor").cast("int").alias("floor"), "price", "seller_type", F.col("first_seen"), F.when(F.col("id") % 5 == 0, F.col("phone")).alias("phone_fingerprint"))
     again = rows.where("id % 6 = 0").withColumns({"id": F.col("id") + 10_000_000, "source_key": F.lit("mirror"), "price": F.col("price") * 1.02, "first_seen": F.col("first_seen") + F.expr("interval 1 day")})
     return duplicates.fingerprints(rows.unionByName(again))
 
@@ -185,6 +185,13 @@ def _(spark, sf_dir):
     return duplicates.groups(rows, links, saved).select("id", "is_original", "duplicate_of_id", "copies_count")
 
 
+@query("dedup_strict")
+def _(spark, sf_dir):
+    rows = saved(_offers(listings(spark, sf_dir)))
+    links = saved(duplicates.verdicts(duplicates.candidate_pairs(rows)))
+    return duplicates.strict_groups(rows, links, saved).select("id", "is_original", "duplicate_of_id", "copies_count", "method", "score")
+
+
 @query("public_export", f"{W}select id, price, city, case when length(phone) = 9 then substr(phone, 1, 3) || ' *** ***' end as phone from listings where is_original and status = 'aktywna'")
 def _(spark, sf_dir):
     found = search.search(listings(spark, sf_dir), Filters(), NOW)
