@@ -33,19 +33,22 @@ FUZZY_LENGTH = 5
 WINDOW = 8
 THRESHOLD = 0.3
 #: Words whose lookup a worker remembers.
-MEMORY = 30_000
+MEMORY = 50_000
 
 WORDS = re.compile(r"\w+")
 OPEN, CLOSE = re.compile(r"""["“„«]|(?<!\w)['‘]"""), re.compile(r"""["”“»]|['’](?!\w)""")
 
 
+def shortenings(word: str) -> list[str]:
+    return [word[:i] + word[i + 1 :] for i in range(len(word))]
+
+
 @dataclass
 class Trie:
     """Terms with weights; a stem's term also accepts words that go on after it."""
 
     root: dict = field(default_factory=dict)
-    heads: set = field(default_factory=set)
-    tails: set = field(default_factory=set)
+    shortened: set = field(default_factory=set)  # long whole words, and what is left of them without one letter
 
     def add(self, term: str, weight: float, stem: bool) -> None:
         node = self.root
@@ -53,10 +56,9 @@ class Trie:
             node = node.setdefault(c, {})
         kind = "stem" if stem else "word"
         node[kind] = max(weight, node.get(kind, 0.0))
-        if not stem and len(term) >= FUZZY_LENGTH:  # one edit leaves the first two letters or the last three, or exchanges what lies between
+        if not stem and len(term) >= FUZZY_LENGTH:
             node["long"] = node[kind]
-            self.heads.update((term[:2], term[0] + term[2]))
-            self.tails.add(term[-3:])
+            self.shortened.update((term, *shortenings(term)))
 
     def exact(self, word: str) -> float:
         node, best = self.root, 0.0
@@ -75,8 +77,8 @@ class Trie:
         each node there, one edit leads to states that have to follow the rest of the word letter by letter.
         """
         n = len(word)
-        if n < FUZZY_LENGTH - 1 or (word[:2] not in self.heads and word[-3:] not in self.tails):
-            return 0.0
+        if n < FUZZY_LENGTH - 1 or (word not in self.shortened and self.shortened.isdisjoint(shortenings(word))):
+            return 0.0  # two words at one edit are equal, or without a letter of one, or of both
 
         def rest(node: dict, at: int) -> float:
             for c in word[at:]:
