@@ -141,3 +141,11 @@ MONTHS = {
     "grudnia": 12, "grudzień": 12,
 }
 WARSAW = "Europe/Warsaw"
+
+# Titles on notice boards. What is an offer; what tells how one ended; forms to be filled in; what lists put before a title.
+NOTICE_OFFER = r"(?iu)przetarg|nieruchomo|działk|dzialk|lokal|grunt|budynek|garaż|garaz|sprzeda|dzierżaw|dzierzaw|najem|najm|użytkowani|uzytkowani"
+NOTICE_RESULT = r"(?iuU)rozstrzygni|wynik\w*\b|unieważni|uniewazni|odwoła|odwola|zakończeni|zakonczeni|nie doszedł|nie doszedl|protok[oó][łl]|lista os[oó]b|zakwalifikowan|sprostowani|informacja o zamiarze"
+NOTICE_FORM = r"(?iuU)^(?:oświadczeni|oswiadczeni|formularz|regulamin|klauzul|wz[oó]r\b|druk\b|wniosek|zgłoszeni|zgloszeni|pełnomocnictw|pelnomocnictw|instrukcj)"
+NOTICE_PREFIX = r"(?iu)^\s*(?:więcej|wiecej|czytaj więcej|zobacz)\s*[»>:]*\s*"
+NOTICE_FILE = r"(?i)\.(pdf|docx?|odt|xlsx?|ods|zip|rtf|jpe?g|png|tiff?)(\?|$)"
+NOTICE_LENGTH, NOTICE_DAYS = 20, 365

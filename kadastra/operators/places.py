@@ -104,7 +104,7 @@ def geocode(df: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     c = cache.select("query_hash", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
     joined = df.withColumn("query_hash", key).join(c, "query_hash", "left")
     filled = joined.select(*((F.coalesce(x, f"c_{x}").alias(x) if x in ("lat", "lon") else F.col(x)) for x in df.columns))
-    asked = df.where("lat is null or lon is null").withColumn("query_hash", key).groupBy("query_hash").agg(F.first("street").alias("street"), F.first("city").alias("city"), F.count("*").alias("listings"))
+    asked = df.where("lat is null or lon is null").withColumn("query_hash", key).groupBy("query_hash").agg(F.min("street").alias("street"), F.min("city").alias("city"), F.count("*").alias("listings"))
     return filled, asked.join(cache.select("query_hash"), "query_hash", "left_anti")
 
 

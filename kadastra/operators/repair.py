@@ -51,8 +51,9 @@ def titles(df: DataFrame) -> DataFrame:
 
 
 def scripts(df: DataFrame) -> DataFrame:
-    """Descriptions that are page scripts become null."""
-    return _set(df, F.col("description").rlike(r"(?i)^\s*(?:window\.|var |function\s*\(|\{\"|<script)"), description=F.lit(None).cast("string"))
+    """Descriptions that hold code of a page become null."""
+    told = F.lower("description")
+    return _set(df, F.coalesce(told.contains("$(function") | told.contains("$(document)") | told.contains("{ margin"), F.lit(False)), description=F.lit(None).cast("string"))
 
 
 def old_notices(df: DataFrame, now: Column) -> DataFrame:

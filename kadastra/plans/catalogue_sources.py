@@ -53,6 +53,33 @@ def _(spark, sf_dir):
     return payloads.portal_offers(landed).select("external_id", "price", "area", "rooms", "floor", "city", "county", "voivodeship", "seller_type")
 
 
+@query("portal_lists", f"{W}select id, price from (select id, price, count(*) over (partition by id // 10) as n from listings) where n >= 3")
+def _(spark, sf_dir):
+    """Pages of three to ten offers in depths of their own, before them a breadcrumb with slugs and titles, behind them one promoted offer."""
+    df = listings(spark, sf_dir)
+    rows = df.select(F.floor(F.col("id") / 10).alias("g"), made(df, slug="cast(id as string)", title="'Oferta'", totalPrice="named_struct('value', price)").alias("item")).groupBy("g").agg(F.collect_list("item").alias("items")).where("size(items) >= 3")
+    deep = [F.when(F.col("g") % 2 == 0, F.repeat(F.lit(x), F.lit(20))).otherwise("") for x in ('{"x": [', "]}")]
+    crumb, promoted = '[{"slug": "p", "title": "Polska"}, {"slug": "o", "title": "Opole"}, {"slug": "r", "title": "Rynek"}]', '[{"slug": "top", "title": "Promowana", "price": 1}]'
+    found = F.concat(F.lit('{"props": {"breadcrumb": ' + crumb + ', "found": '), deep[0], F.lit("["), F.array_join("items", ","), F.lit("]"), deep[1], F.lit(', "organic": ' + promoted + "}}"))
+    return payloads.portal_offers(rows.select(page(found).alias("html"))).select(F.col("external_id").cast("long").alias("id"), "price")
+
+
+_DETAIL = "case when id % 3 = 0 then '600100200; 77 111 22 33' else '600100200' end"
+
+
+@query("portal_details", f"{W}select 'u' || cast(id as string) as url, {_DETAIL} as phones_raw, 'Opis ' || cast(id as string) as description, 1900 + id % 120 as year_built, case when id % 5 = 0 then 0 when id % 5 = 1 then -1 when id % 5 = 2 then 99 else id % 40 end as floor, case when id % 2 = 0 then 'pierwotny' else 'wtorny' end as market, county, city from listings")
+def _(spark, sf_dir):
+    df = listings(spark, sf_dir)
+    ad = made(
+        df, description="concat('  Opis ', id)", contactDetails="named_struct('phones', array('600100200', '', '600100200'))", owner="case when id % 3 = 0 then named_struct('phones', array('77 111 22 33', '600100200')) end",
+        target="named_struct('Build_year', concat(1900 + id % 120, case when id % 4 = 0 then '.0' else '' end), 'Floor_no', array(case id % 5 when 0 then 'ground_floor' when 1 then 'cellar' when 2 then 'attic' else concat('floor_', id % 40) end))",
+        characteristics="array(named_struct('key', 'rent', 'value', '1'), named_struct('key', 'market', 'value', case when id % 2 = 0 then 'PRIMARY' else 'secondary' end))",
+        location="named_struct('reverseGeocoding', named_struct('locations', array(named_struct('locationLevel', 'county', 'name', county), named_struct('locationLevel', 'city_or_village', 'name', city), named_struct('locationLevel', 'city_or_village', 'name', 'later'))))",
+    )
+    landed = df.select(F.concat(F.lit("u"), F.col("id")).alias("url"), page(F.concat(F.lit('{"props": {"pageProps": {"ad": '), ad, F.lit("}}}"))).alias("html"))
+    return payloads.portal_details(landed).select("url", F.array_join("phones_raw", "; ").alias("phones_raw"), "description", F.col("year_built").cast("long").alias("year_built"), F.col("floor").cast("long").alias("floor"), "market", "county", "city")
+
+
 @query("state_offers", f"{W}select cast(id as string) as external_id, price, area, cast(rooms as int) as rooms, city, 'Sieradzka' as street, case when transaction = 'wynajem' then 'wynajem' else 'sprzedaz' end as transaction from listings")
 def _(spark, sf_dir):
     df = listings(spark, sf_dir)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kadastra import constants as C
+
 SCRIPT = r'(?is)<script[^>]*type=["\']application/ld\+json["\'][^>]*>(.*?)</script>'
 
 
@@ -115,9 +117,21 @@ def sitemap_urls(files: DataFrame, body: str = "xml") -> DataFrame:
 
 
 def notice_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """Links of notice boards that lead to offers: (page, link); results, forms and page furniture are left out."""
+    """Links of notice boards that lead to offers: (page, link, label). Left out are files, short labels, results and other papers of
+    proceedings that are over, forms to be filled in, and other hosts. A link that a page has twice counts once, with its smallest
+    label."""
     found = pages.select(F.col(url).alias("page"), F.explode(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?is)(<a\s[^>]*href=["\'][^"\']+["\'][^>]*>.*?</a>)'), 1)).alias("a"))
-    rows = found.select("page", F.regexp_extract("a", r'(?is)href=["\']([^"\']+)', 1).alias("link"), F.trim(F.regexp_replace(F.regexp_replace("a", "<[^>]{1,400}>", " "), r"\s+", " ")).alias("label"))
-    offer = F.col("label").rlike(r"(?iu)przetarg|sprzeda|nieruchomo|dzia[łl]k|lokal|wykaz|rokowan")
-    other = F.col("label").rlike(r"(?iu)wynik|rozstrzygn|formularz|deklaracj|archiwum|regulamin|strona g[łl]ówna|^\s*(?:dalej|wstecz|więcej)\s*$")
-    return rows.where(offer & ~other & (F.length("label") > 10)).dropDuplicates(["page", "link"])
+    label = F.trim(F.regexp_replace(F.regexp_replace("a", "<[^>]{1,400}>", " "), r"\s+", " "))
+    rows = found.select("page", F.regexp_extract("a", r'(?is)href=["\']([^"\']+)', 1).alias("link"), F.trim(F.btrim(F.regexp_replace(label, C.NOTICE_PREFIX, ""), F.lit("()"))).alias("label"))
+    host = lambda c: F.lower(F.regexp_extract(c, r"^(?:https?:)?//([^/?#]+)", 1))
+    elsewhere = (host(F.col("link")) != "") & (host(F.col("link")) != host(F.col("page")))
+    own = F.regexp_replace("link", "/+$", "") == F.regexp_replace(F.coalesce("page", F.lit("")), "/+$", "")
+    kept = rows.where((F.length("label") >= C.NOTICE_LENGTH) & F.col("label").rlike(C.NOTICE_OFFER) & ~F.col("label").rlike(C.NOTICE_RESULT) & ~F.col("label").rlike(C.NOTICE_FORM) & ~F.col("link").rlike(C.NOTICE_FILE) & ~elsewhere & ~own)
+    return kept.groupBy("page", "link").agg(F.min("label").alias("label"))
+
+
+def current_notices(notices: DataFrame, now: Column, days: int = C.NOTICE_DAYS) -> DataFrame:
+    """Notices (event_date, published_at) that are still offers: the auction was yesterday at the earliest or is to come; without a date of
+    one, published no more than ``days`` ago. A notice without any date stays."""
+    ago = lambda c: F.floor((F.unix_micros(now) - F.unix_micros(F.col(c).cast("timestamp"))) / 86_400_000_000)
+    return notices.where(F.when(F.col("event_date").isNotNull(), ago("event_date") <= 1).when(F.col("published_at").isNotNull(), ago("published_at") <= days).otherwise(True))

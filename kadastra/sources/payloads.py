@@ -20,33 +20,45 @@ from kadastra.sources import pages
 LEVELS = {"voivodeship": "voivodeship", "county": "county", "commune": "commune", "city_or_village": "city", "district": "district"}
 SALE_WORDS = r"(?i)sprzeda|przetarg|licytacj|nieruchomo|lokal|działk|grunt|budyn"
 ELECTRONIC = r"(?i)elektron"
-#: How deep a document is searched for its list of items.
-DEPTH = 12
-
-
-def items_in(document: Column, needed: tuple[str, ...]) -> Column:
-    """The first list in a JSON document, wherever it is, that has objects with all the ``needed`` fields: these, as texts."""
-
-    def search(value, depth: int = 0) -> list[dict] | None:
-        if depth > DEPTH or not isinstance(value, (dict, list)):
-            return None
-        if isinstance(value, list):
-            hits = [v for v in value if isinstance(v, dict) and all(n in v for n in needed)]
-            if hits:
-                return hits
-        for inner in value if isinstance(value, list) else value.values():
-            found = search(inner, depth + 1)
-            if found:
-                return found
-        return None
+#: Names under which portals keep what a page lists, looked into first; and what an offer has beside its title.
+KNOWN_NAMES = ("items", "searchAds", "ads", "organic", "data", "pageProps", "props")
+OFFER_FIELDS = ("totalPrice", "areaInSquareMeters", "price")
+#: So many items make a list; links, breadcrumbs and promoted singles are shorter.
+LEAST_ITEMS = 3
+
+
+def items_in(document: Column, needed: tuple[str, ...], one_of: tuple[str, ...] = (), first: tuple[str, ...] = KNOWN_NAMES) -> Column:
+    """The items of a JSON document, as texts: the first list that has LEAST_ITEMS objects with all the ``needed`` fields and one of
+    ``one_of``, wherever and however deep it is; without such a list the first that has most of them.
+
+    Objects are searched in their order, but for the names in ``first``, which come before the others. What is no JSON
+    document, or too deep for a parser, has no items."""
+
+    def search(document) -> list[dict]:
+        best, stack = [], [document]
+        while stack:
+            value = stack.pop()
+            if isinstance(value, list):
+                hits = [v for v in value if isinstance(v, dict) and all(n in v for n in needed) and (not one_of or any(n in v for n in one_of))]
+                if len(hits) >= LEAST_ITEMS:
+                    return hits
+                if len(hits) > len(best):
+                    best = hits
+                inner = value
+            else:
+                names = [n for n in first if n in value]
+                inner = [value[n] for n in (*names, *(n for n in value if n not in first))]
+            stack += [x for x in reversed(inner) if isinstance(x, (dict, list))]
+        return best
 
     @F.pandas_udf("array<string>")
     def of(texts: pd.Series) -> pd.Series:
         def items(t):
             try:
-                return [json.dumps(x, ensure_ascii=False) for x in search(json.loads(t)) or []]
-            except (TypeError, ValueError):
+                found = json.loads(t)
+            except (TypeError, ValueError, RecursionError):
                 return []
+            return [json.dumps(x, ensure_ascii=False) for x in search(found)] if isinstance(found, (dict, list)) else []
 
         return texts.map(items)
 
@@ -83,7 +95,7 @@ def _word(value: Column, words: dict) -> Column:
 def portal_offers(landed: DataFrame, html: str = "html", base: str = "") -> DataFrame:
     """Offers in the embedded JSON of a portal's list pages: the items are wherever the page keeps them; places by level of the
     administrative hierarchy before those of the address; a hidden price is no price; times are Warsaw's."""
-    items = landed.select(F.explode(items_in(pages.next_data(F.col(html)), ("slug", "title"))).alias("item"))
+    items = landed.select(F.explode(items_in(pages.next_data(F.col(html)), ("slug", "title"), OFFER_FIELDS)).alias("item"))
     o = items.select(F.from_json("item", PORTAL).alias("o")).where("length(trim(o.slug)) > 0 and length(trim(o.title)) > 0")
     at = lambda field, address: F.coalesce(hierarchy(F.col("o.location.reverseGeocoding.locations"), field), *([clean(F.col(f"o.location.address.{address}.name"))] if address else []))
     seller = F.when(F.col("o.isPrivateOwner"), "prywatna").when(F.upper("o.agency.type") == "DEVELOPER", "deweloper").when(F.col("o.agency").isNotNull(), "posrednik").otherwise("nieznany")
@@ -115,6 +127,34 @@ def portal_offers(landed: DataFrame, html: str = "html", base: str = "") -> Data
     )
 
 
+# Floors in words on detail pages.
+DETAIL_FLOORS = {"ground_floor": 0, "cellar": -1, "garret": 99, "attic": 99}
+_TEXTS = "array<string>"
+DETAIL = (
+    f"description string, contactDetails struct<phones:{_TEXTS}>, owner struct<phones:{_TEXTS}>, characteristics array<struct<key:string,value:string>>,"
+    f" target struct<Build_year:string,Building_floors_num:string,Terrain_area:string,Floor_no:{_TEXTS},Building_type:{_TEXTS}>,"
+    f" location struct<address:struct<street:{_NAMED}>,reverseGeocoding:struct<locations:array<struct<locationLevel:string,name:string>>>,coordinates:struct<latitude:double,longitude:double>>"
+)
+
+
+def portal_details(landed: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """What a portal's detail pages tell beside the list: phones (the agent's, then the office's, each once), the full description,
+    year, floor, floors, building, plot, point, market and place. One row for each page with an offer in its embedded JSON;
+    ``upsert.fill_empty`` brings it to the listings."""
+    rows = landed.select(F.col(url).alias("url"), F.from_json(F.get_json_object(pages.next_data(F.col(html)), "$.props.pageProps.ad"), DETAIL).alias("ad")).where("ad is not null")
+    phones = F.array_distinct(F.filter(F.transform(F.concat(*(F.coalesce(f"ad.{c}.phones", F.array().cast("array<string>")) for c in ("contactDetails", "owner"))), clean), lambda x: x.isNotNull()))
+    whole = lambda c: F.regexp_extract(F.coalesce(c, F.lit("")), r"^\s*(-?\d+)(?:\.0*)?\s*$", 1).try_cast("int")
+    told = F.get("ad.target.Floor_no", F.lit(0))
+    floor = F.coalesce(F.try_element_at(F.create_map(*(x for k, v in DETAIL_FLOORS.items() for x in (F.lit(k), F.lit(v)))), told), F.regexp_extract(told, r"^floor_(\d+)$", 1).try_cast("int"))
+    market = F.get(F.filter("ad.characteristics", lambda c: c["key"] == "market"), F.lit(0))["value"]
+    at = lambda level: hierarchy(F.col("ad.location.reverseGeocoding.locations"), level)
+    return rows.select(
+        "url", phones.alias("phones_raw"), clean(F.col("ad.description")).alias("description"), whole(F.col("ad.target.Build_year")).alias("year_built"), floor.alias("floor"), whole(F.col("ad.target.Building_floors_num")).alias("floors_total"),
+        clean(F.get("ad.target.Building_type", F.lit(0))).alias("building_type"), numbers.parse_number(F.col("ad.target.Terrain_area")).alias("plot_area"), F.col("ad.location.coordinates.latitude").alias("lat"), F.col("ad.location.coordinates.longitude").alias("lon"),
+        F.when(F.lower(market) == "primary", "pierwotny").when(F.lower(market) == "secondary", "wtorny").alias("market"), *(at(level).alias(level) for level in LEVELS.values()), clean(F.col("ad.location.address.street.name")).alias("street"),
+    )
+
+
 STATE = "struct<offerList:struct<offers:struct<offers:array<struct<id:string,slug:string,name:string,description:string,deal_type:string,price:struct<total:string>,property:struct<type:string,size:string,room_number:string,building_year:string,floors:struct<floor:string,building_floors:string>,address_details:struct<city:string,street:string>>,coordinates:struct<lat:double,lon:double>,agency:struct<name:string,type:string>,agent:struct<name:string,last_name:string,phone_number:string>,is_private:boolean,market_type:string,created_at:string>>>>>"
 
 
@@ -157,10 +197,10 @@ def state_offers(landed: DataFrame, html: str = "html", base: str = "") -> DataF
 
 
 def official_auctions(landed: DataFrame, body: str = "value", base: str = "") -> DataFrame:
-    """Auctions of a tax office's API ({content: [...]}): cancelled and void ones are dropped, an item told twice counts once;
-    begin and deposit are Warsaw wall clocks."""
+    """Auctions of a tax office's API ({content: [...]}): cancelled and void ones are dropped; of an item told more than once the last
+    publication counts; begin and deposit are Warsaw wall clocks."""
     row = "struct<uuid:string,title:string,localization:string,startingPrice:string,saleBeginDateTime:string,saleEndDateTime:string,depositDueDate:string,publicationDateTime:string,cancellationDateTime:string,voidDateTime:string,electronicStateCode:string,announcementTypeCodes:array<string>>"
-    rows = landed.select(F.explode(F.from_json(body, f"struct<content:array<{row}>>")["content"]).alias("r")).where("length(r.uuid) > 0 and length(trim(r.title)) > 0 and r.cancellationDateTime is null and r.voidDateTime is null").dropDuplicates(["r"]).select("r.*").dropDuplicates(["uuid"])
+    rows = landed.select(F.explode(F.from_json(body, f"struct<content:array<{row}>>")["content"]).alias("r")).where("length(r.uuid) > 0 and length(trim(r.title)) > 0 and r.cancellationDateTime is null and r.voidDateTime is null").groupBy("r.uuid").agg(F.max(F.struct(F.coalesce("r.publicationDateTime", F.lit("")).alias("since"), "r")).alias("last")).select("last.r.*")
     price = numbers.parse_number(F.col("startingPrice"))
     wall = lambda c: F.try_to_timestamp(F.substring(F.translate(c, "T", " "), 1, 19)).cast("timestamp_ntz")
     return rows.select(F.col("uuid").alias("external_id"), F.concat(F.lit(f"{base}/auction/announcements/"), F.col("uuid")).alias("url"), F.lit("licytacja").alias("kind"), F.substring(text.clean(F.col("title")), 1, 400).alias("title"), price.alias("price"), price.alias("opening_price"), wall(F.col("saleBeginDateTime")).alias("event_date"), wall(F.coalesce("depositDueDate", "saleEndDateTime")).alias("deadline"), F.lit("urzad").alias("seller_type"), clean(F.col("localization")).alias("location_text"), numbers.area(F.col("title")).alias("area"))
