@@ -168,3 +168,32 @@ def _(spark, sf_dir):
     df = listings(spark, sf_dir).select("id", "source_key", F.col("listed_at").cast("timestamp_ntz").alias("published_at"), F.concat(F.lit('{"jsonld": {"datePosted": "'), F.date_format(F.col("listed_at") + F.expr("interval 3 hour"), "yyyy-MM-dd HH:mm:ss"), F.lit('"}}')).alias("raw"))
     again = repair.dates_from_raw(df, F.lit(NOW).cast("timestamp"), {"src1": {"published_at": ["datePosted", "jsonld.datePosted"]}})
     return again.select("id", F.col("published_at").cast("timestamp").alias("published_at"))
+
+
+CARDS = [
+    ("src0", "div.card", None, "h2", ".price", ".area", ".place", None, None, "nieruchomosc", None, None),
+    ("src1", "ul.found > li", "a.go", "a.go", "b", None, "i", None, None, "nieruchomosc", "posrednik", None),
+    ("src2", "a.tile", None, "strong", "em[data-kind=price]", None, None, None, None, "licytacja", None, None),
+    ("src3", "section article", None, "h3", None, None, None, None, None, "nieruchomosc", None, None),
+]
+
+
+@query("selector_offers", f"{W}select source_key, 'https://' || source_key || '.pl/o/' || cast(id as string) as url, 'Oferta ' || cast(id as string) as title, cast(1000 + id % 9000 as double) as price, case when source_key = 'src0' then area end as area, case when source_key in ('src0', 'src1') then city end as location_text, case source_key when 'src1' then 'posrednik' else 'nieznany' end as seller_type from listings where source_key in ('src0', 'src1', 'src2')")
+def _(spark, sf_dir):
+    """List pages of ten offers, of three sources with markup and selectors of their own; a fourth has other pages than it says."""
+    from kadastra.sources import cards
+
+    df = listings(spark, sf_dir).where("source_key in ('src0', 'src1', 'src2', 'src3')")
+    i, price = F.col("id").cast("string"), (F.lit(1000) + F.col("id") % 9000).cast("string")
+    kind = F.col("source_key")
+    card = (
+        F.when(kind == "src0", F.concat(F.lit('<div class="card wide"><h2> Oferta '), i, F.lit('</h2><a href="/o/'), i, F.lit('">więcej</a><span class="price">'), price, F.lit(' zł</span><span class="x area">'), F.coalesce(F.col("area").cast("string"), F.lit("")), F.lit(' m²</span><p class="place">'), F.col("city"), F.lit("</p></div>")))
+        .when(kind == "src1", F.concat(F.lit('<li><a href="/menu">menu</a><a class="go" href="https://src1.pl/o/'), i, F.lit('">Oferta '), i, F.lit("</a><b>"), price, F.lit(" PLN</b><i>"), F.col("city"), F.lit("</i>")))
+        .when(kind == "src2", F.concat(F.lit('<a class="tile" href="//src2.pl/o/'), i, F.lit('"><strong>Oferta '), i, F.lit("</strong><em>0 zł</em><em data-kind=price>"), price, F.lit(" zł</em></a>")))
+        .otherwise(F.concat(F.lit('<div class="card"><h3>Oferta '), i, F.lit("</h3></div>")))
+    )
+    pages = df.withColumn("card", card).groupBy("source_key", F.floor(F.col("id") / 60).alias("page")).agg(F.array_join(F.array_sort(F.collect_list("card")), "\n").alias("cards"))
+    body = F.concat(F.lit('<html><body><nav><a href="/">x</a></nav><ul class="found">'), F.col("cards"), F.lit("</ul></body></html>"))
+    landed = pages.select("source_key", F.concat(F.lit("https://"), F.col("source_key"), F.lit(".pl/szukaj?page="), F.col("page")).alias("url"), body.alias("html"))
+    found = cards.offers(landed, spark.createDataFrame(CARDS, cards.SOURCE), F.lit(NOW).cast("timestamp"))
+    return found.select("source_key", "url", "title", "price", F.when(F.col("source_key") == "src0", F.col("area")).alias("area"), "location_text", "seller_type")
