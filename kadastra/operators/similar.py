@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,15 +32,16 @@ def _at(prefix: str) -> Column:
     return F.array_compact(F.array(*keys))
 
 
-def candidates(df: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Active originals of the anchors' kind, type and transaction within the bands, with the nearest place they share as
+def candidates(df: DataFrame, anchors: DataFrame, levels: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+    """Active originals at the given ``levels`` of the anchors' kind, type and transaction within the bands, with the nearest place they share as
     ``level`` (0 town, 1 county, 2 region). Prices are bucketed by the logarithm, so the join is on equal keys: a band
     spans the bucket of the anchor and its neighbours. Anchors without a price take any price, those without an area any area."""
     bucket = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1.0))) / F.log(F.lit(C.SIMILAR_HIGH / 1.0))).cast("int")
     around = F.when(F.col("price").isNotNull(), F.array(*(bucket("price") + i for i in (-2, -1, 0, 1)))).otherwise(F.array(F.lit(None).cast("int")))
-    asked = anchors.select(*(F.col(c).alias(f"a_{c}") for c in ANCHOR), F.explode(around).alias("a_bucket")).withColumn("a_at", F.explode(_at("a_")))
+    wanted = lambda keys: F.filter(keys, lambda k: F.substring(k, 1, 1).isin(*map(str, levels)))
+    asked = anchors.select(*(F.col(c).alias(f"a_{c}") for c in ANCHOR), F.explode(around).alias("a_bucket")).withColumn("a_at", F.explode(wanted(_at("a_"))))
     extra = [c for c in ("images",) if c in df.columns]
-    rows = df.where((F.col("status") == "aktywna") & F.col("is_original")).withColumn("at", F.explode(_at("")))
+    rows = df.where((F.col("status") == "aktywna") & F.col("is_original")).withColumn("at", F.explode(wanted(_at(""))))
     on = [F.col("at") == F.col("a_at"), *(F.col(c) == F.col(f"a_{c}") for c in ("kind", "property_type", "transaction"))]
     priced = rows.where("price is not null").withColumn("bucket", bucket("price")).join(asked.where("a_price is not null"), [F.col("bucket") == F.col("a_bucket"), *on]).drop("bucket")
     unpriced = rows.join(asked.where("a_price is null"), on)
@@ -64,10 +67,10 @@ def closeness() -> Column:
     return price + size + rooms + away - district + bare
 
 
-def pools(df: DataFrame, anchors: DataFrame, pool: int = C.SIMILAR_POOL) -> DataFrame:
+def pools(df: DataFrame, anchors: DataFrame, pool: int = C.SIMILAR_POOL, levels: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     """The nearest ``pool`` candidates of each anchor and level, with closeness."""
     w = Window.partitionBy("a_id", "level").orderBy(relative_gap(), "id")
-    found = candidates(df, anchors).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= pool).drop("__n")
+    found = candidates(df, anchors, levels).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= pool).drop("__n")
     return found.withColumn("closeness", closeness())
 
 
@@ -78,25 +81,45 @@ def same_property(price_a, area_a, city_a, price_b, area_b, city_b) -> bool:
     return abs(price_a - price_b) <= 0.005 * price_a and abs(area_a - area_b) < 1.0 and (city_a or "").lower() == (city_b or "").lower()
 
 
-def similar(df: DataFrame, anchors: DataFrame, most: int = C.SIMILAR_LIMIT) -> DataFrame:
+CHOSEN = "a_id long, a_price double, a_area double, a_city string, id long, price double, area double, city string, level int, closeness double"
+
+
+def similar(df: DataFrame, anchors: DataFrame, save: Callable[[DataFrame], DataFrame], most: int = C.SIMILAR_LIMIT) -> DataFrame:
     """Up to ``most`` similar offers of each anchor: (a_id, id, level, closeness, place), nearest levels first, leaving
-    out the anchor's own property and what was already taken. Each anchor's pool is bounded, so a group fits a task."""
+    out the anchor's own property and what was already taken. Each anchor's pool is bounded, so a group fits a task.
+
+    The levels are gone through one by one: an anchor that its town fills never asks its county, nor its region. ``save`` has
+    to cut lineage (a checkpoint or a written table)."""
 
     def pick(pool: pd.DataFrame) -> pd.DataFrame:
         taken: list[tuple] = []
-        out = []
+        kept = []
         first = pool.iloc[0]
         seen = [(first["a_price"], first["a_area"], first["a_city"])]
         none = lambda x: None if pd.isna(x) else x
-        for r in pool.sort_values(["level", "closeness", "id"]).itertuples():
+        pool = pool.sort_values(["level", "closeness", "id"])
+        for k, r in enumerate(pool.itertuples()):
             own = (none(r.price), none(r.area), r.city)
             if any(same_property(*map(none, s), *own) for s in [*seen, *taken]):
                 continue
             taken.append(own)
-            out.append((r.a_id, r.id, r.level, r.closeness, len(out) + 1))
-            if len(out) == most:
+            kept.append(k)
+            if len(kept) == most:
                 break
-        return pd.DataFrame(out, columns=["a_id", "id", "level", "closeness", "place"])
-
-    chosen = pools(df, anchors).select("a_id", "a_price", "a_area", "a_city", "id", "price", "area", "city", "level", "closeness")
-    return chosen.groupBy("a_id").applyInPandas(pick, "a_id long, id long, level int, closeness double, place int")
+        return pool.iloc[kept].assign(place=range(1, len(kept) + 1))
+
+    columns = [c.split()[0] for c in CHOSEN.split(", ")]
+    open_, before, out = anchors, None, None
+    for level in (0, 1, 2):
+        pool = pools(df, open_, levels=(level,)).select(*columns)
+        if before is not None:  # what nearer levels gave is chosen again, first
+            pool = pool.unionByName(before.select(*columns))
+        chosen = save(pool.groupBy("a_id").applyInPandas(pick, CHOSEN + ", place int"))
+        if level == 2:
+            out = chosen if out is None else out.unionByName(chosen)
+            return out.select("a_id", "id", "level", "closeness", "place")
+        full = chosen.where(F.col("place") == most).select("a_id")
+        done = chosen.join(full, "a_id", "left_semi")
+        out = done if out is None else out.unionByName(done)
+        before = chosen.join(full, "a_id", "left_anti")
+        open_ = save(open_.join(full.withColumnRenamed("a_id", "id"), "id", "left_anti").select(*anchors.columns))

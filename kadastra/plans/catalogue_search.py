@@ -225,6 +225,16 @@ def _(spark, sf_dir):
     return places.nearest(df.where("kind = 'licytacja'"), df.where("kind = 'przetarg'"), 5.0).select("a_id", "b_id", F.round("km", 3).alias("km"))
 
 
+@query("nearest_rings", f"{W}, a as (select * from listings where kind = 'licytacja' and {_ACTIVE}), b as (select * from listings where kind = 'przetarg' and {_ACTIVE}), p as (select a.id as a_id, b.id as b_id, {_KM} as km from a, b) select a_id, arg_min(b_id, (km, b_id)) as b_id, round(min(km), 3) as km from p where km <= 5 group by a_id")
+def _(spark, sf_dir):
+    """The same by cells that grow until something is near."""
+    from kadastra.operators import geocoder
+    from kadastra.plans.catalogue_state import saved
+
+    df = listings(spark, sf_dir).where(_ACTIVE)
+    return geocoder.nearest(df.where("kind = 'licytacja'"), df.where("kind = 'przetarg'"), 5.0, saved).select("a_id", "b_id", F.round("km", 3).alias("km"))
+
+
 _BOXES = [("zachód", 49.0, 55.0, 14.0, 17.0), ("środek", 49.0, 55.0, 17.0, 20.0), ("małe", 51.0, 52.0, 18.0, 19.0)]
 
 
@@ -249,7 +259,9 @@ def _(spark, sf_dir):
 @query("similar_offers")
 def _(spark, sf_dir):
     df = listings(spark, sf_dir)
-    return similar.similar(df, df.where(_ANCHORS)).withColumn("closeness", F.round("closeness", 6))
+    from kadastra.plans.catalogue_state import saved
+
+    return similar.similar(df, saved(df.where(_ANCHORS)), saved).withColumn("closeness", F.round("closeness", 6))
 
 
 @query("copies_join", f"{W}select c.duplicate_of_id as original_id, count(*) as copies from listings c join listings o on o.id = c.duplicate_of_id group by 1")

@@ -196,7 +196,7 @@ def test_similar_offers(spark):
     rows = [(1, 500000.0, 50.0, 2, {}), (2, 520000.0, 52.0, 2, {}), (3, 600000.0, 60.0, 3, {}), (4, 900000.0, 50.0, 2, {}), (5, 500000.0, 120.0, 2, {}), (6, 500000.0, 51.0, 2, {"transaction": "wynajem"}), (7, 500500.0, 50.2, 2, {}), (8, 510000.0, 50.0, 2, {"status": "nieaktywna"}), (9, 520100.0, 52.3, 2, {})]
     kinds = "id long, price double, area double, rooms int, kind string, property_type string, transaction string, status string, is_original boolean, city string, county string, voivodeship string, lat double, lon double, district string"
     df = spark.createDataFrame([(i, p, a, r, *(base | m).values()) for i, p, a, r, m in rows], kinds)
-    found = [(r.id, r.place) for r in similar.similar(df, df.where("id = 1")).orderBy("place").collect()]
+    found = [(r.id, r.place) for r in similar.similar(df, df.where("id = 1"), lambda d: d.checkpoint()).orderBy("place").collect()]
     assert found == [(2, 1), (3, 2)]
 
 
@@ -312,10 +312,10 @@ def test_similar_offers_follow_their_rules(spark):
     row = lambda i, price=500000.0, area=50.0, rooms=2, city="Opole", county="c", region="opolskie", kind="mieszkanie": (i, "nieruchomosc", kind, "sprzedaz", "aktywna", True, price, area, rooms, city, county, region, None, None, None)
     rows = [row(1), row(2, 520000.0, 52.0), row(3, 600000.0, 60.0, 3), row(4, 900000.0), row(5, area=90.0), row(6, 500500.0, 50.5), row(7, 510000.0, 51.0, city="Nysa"), row(8, kind="dom"), row(9, 505000.0, 51.0, city="X", county="d"), row(10, price=None, area=51.0)]
     df = spark.createDataFrame(rows, columns)
-    got = [(r.id, r.level) for r in similar.similar(df, df.where("id = 1")).orderBy("place").collect()]
+    got = [(r.id, r.level) for r in similar.similar(df, df.where("id = 1"), lambda d: d.checkpoint()).orderBy("place").collect()]
     assert got == [(2, 0), (3, 0), (7, 1), (9, 2)]
     no_price = spark.createDataFrame([row(20, price=None, area=None, rooms=None, region=None)], columns)
-    assert {r.id for r in similar.similar(df, no_price).collect()} >= {1, 2, 7}
+    assert {r.id for r in similar.similar(df, no_price, lambda d: d.checkpoint()).collect()} >= {1, 2, 7}
 
 
 def test_latest_of_a_batch_with_maps(spark):
