@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kadastra import constants as C
-from kadastra.functions import dates, fuzzy, numbers, phones, text
+from kadastra.functions import dates, fuzzy, numbers, phones, sql, text
 from kadastra.operators import agencies, locate, normalize, upsert
 from kadastra.plans.catalogue_search import fold_sql
 from kadastra.plans import sample_places
@@ -86,11 +86,21 @@ _NUMBER = """case when contains(r, ',') and contains(r, '.') then replace(replac
 when contains(r, ',') then replace(r, ',', '.') when regexp_full_match(r, '\\d{0,3}\\.\\d{3}') then replace(r, '.', '') when length(r) - length(replace(r, '.', '')) > 1 then replace(r, '.', '') else r end"""
 
 
-@query("parse_number", f"with n as (select doc_id, {_RAW} as r from documents), f as (select doc_id, {_NUMBER} as x from n) select doc_id, case when regexp_full_match(x, '\\d+\\.?\\d*') then cast(x as double) end as number from f")
+_PARSED = f"with n as (select doc_id, {_RAW} as r from documents), f as (select doc_id, {_NUMBER} as x from n) select doc_id, case when regexp_full_match(x, '\\d+\\.?\\d*') then cast(x as double) end as number from f"
+
+
+@query("parse_number", _PARSED)
 def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", numbers.parse_number(F.col("text")).alias("number"))
 
 
+@query("sql_parse_number", _PARSED)
+def _(spark, sf_dir):
+    sql.register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents_of_numbers")
+    return spark.sql("select doc_id, parse_number_pl(text) as number from documents_of_numbers")
+
+
 _OFFER = "'Mieszkanie ' || cast(rooms as string) || '-pokojowe, ' || cast(cast(area as bigint) as string) || ' m2, działka ' || cast(id % 40 + 1 as string) || case id % 3 when 0 then ' arów' when 1 then ' ha' else ' m2' end || ', ' || cast(id % 9 as string) || ' piętro z ' || cast(id % 9 + 3 as string) || ', rok budowy ' || cast(1950 + id % 70 as string) || ', sygn. akt Km ' || cast(id as string) || '/23'"
 
 

@@ -157,3 +157,11 @@ def test_references_labels_and_spelt_numbers(spark):
     assert [r.s for r in got] == ["Portal Ogłoszeń", "bip opole"] and got[0].l == "x" * 39 + "…"
     told = spark.createDataFrame([("tel. sześć zero cztery 123 456",), ("sześć zero cztery jeden dwa trzy cztery pięć sześć",), ("jeden dwa trzy",)], "t string").select(phones.phones(F.col("t")).alias("p")).collect()
     assert [x.e164 for x in told[1].p] == ["+48604123456"] and told[1].p[0].origin == "opis" and told[2].p == []
+
+
+def test_sql_phones_take_their_key(spark):
+    from kadastra.functions import phones, sql
+
+    sql.register(spark)
+    rows = spark.sql("select inline(extract_phones('tel. 600 100 200', k)) from values ('a'), ('b') as t(k)").collect()
+    assert {r.hashed for r in rows} == {phones.hashed("+48600100200", k) for k in (b"a", b"b")}
