@@ -19,7 +19,7 @@ OWN = {*KEY, *POINT, "id", "first_seen", "last_seen", "initial_price", "status",
 def latest_per_key(batch: DataFrame, order: str | None = None) -> DataFrame:
     """One row per key of a batch: the last by ``order``; of equally late ones that with the largest hash of its values, so
     that a replay takes the same."""
-    w = Window.partitionBy(*KEY).orderBy(*([F.col(order).desc_nulls_last()] if order else []), F.desc(F.xxhash64(*batch.columns)))
+    w = Window.partitionBy(*KEY).orderBy(*([F.col(order).desc_nulls_last()] if order else []), F.desc(row_hash(batch)))
     return batch.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
