@@ -214,15 +214,15 @@ def _(spark, sf_dir):
 
 
 # Titles of a board, by id: those of the first five are offers.
-_TITLES = ["Przetarg na <b>sprzedaż</b> działki", "więcej » Dzierżawa gruntu rolnego", "(Najem lokalu użytkowego)", "Wykaz nieruchomości do zbycia", "Rokowania: garaż przy ulicy"]
-_TITLES += ["Wynik przetargu na lokal", "Unieważnienie przetargu na grunt", "Protokół z przetargu na działkę", "Lista osób do przetargu nr", "Sprostowanie: sprzedaż lokalu", "Formularz oferty na nieruchomość", "Wzór umowy najmu lokalu nr", "Druk wniosku o najem lokalu", "Godziny otwarcia urzędu gminy", "Lokal nr"]
-_LABELS = ["Przetarg na sprzedaż działki", "Dzierżawa gruntu rolnego", "Najem lokalu użytkowego)", "Wykaz nieruchomości do zbycia", "Rokowania: garaż przy ulicy"]
+_BOARD_TITLES = ["Przetarg na <b>sprzedaż</b> działki", "więcej » Dzierżawa gruntu rolnego", "(Najem lokalu użytkowego)", "Wykaz nieruchomości do zbycia", "Rokowania: garaż przy ulicy"]
+_BOARD_TITLES += ["Wynik przetargu na lokal", "Unieważnienie przetargu na grunt", "Protokół z przetargu na działkę", "Lista osób do przetargu nr", "Sprostowanie: sprzedaż lokalu", "Formularz oferty na nieruchomość", "Wzór umowy najmu lokalu nr", "Druk wniosku o najem lokalu", "Godziny otwarcia urzędu gminy", "Lokal nr"]
+_BOARD_LABELS = ["Przetarg na sprzedaż działki", "Dzierżawa gruntu rolnego", "Najem lokalu użytkowego)", "Wykaz nieruchomości do zbycia", "Rokowania: garaż przy ulicy"]
 
 
-@query("notice_links", f"{W}select 'https://bip.pl/u' || cast(id as string) as page, '/p/' || cast(id as string) as link, case id % 15 " + " ".join(f"when {k} then '{x}'" for k, x in enumerate(_LABELS)) + " end || ' 1' || cast(id as string) as label from listings where id % 15 < 5")
+@query("notice_links", f"{W}select 'https://bip.pl/u' || cast(id as string) as page, '/p/' || cast(id as string) as link, case id % 15 " + " ".join(f"when {k} then '{x}'" for k, x in enumerate(_BOARD_LABELS)) + " end || ' 1' || cast(id as string) as label from listings where id % 15 < 5")
 def _(spark, sf_dir):
     i = F.col("id").cast("string")
-    title = F.get(F.array(*map(F.lit, _TITLES)), (F.col("id") % len(_TITLES)).cast("int"))
+    title = F.get(F.array(*map(F.lit, _BOARD_TITLES)), (F.col("id") % len(_BOARD_TITLES)).cast("int"))
     html = F.concat(F.lit('<a href="/">Strona główna</a> <a class="x" href="/p/'), i, F.lit('">'), title, F.lit(" 1"), i, F.lit('</a><a href="/p/a.pdf">Przetarg na sprzedaż działki w pliku</a><a href="https://inna.pl/x">Przetarg na sprzedaż działki obok</a>'))
     return pages.notice_links(listings(spark, sf_dir).select(F.concat(F.lit("https://bip.pl/u"), i).alias("url"), html.alias("html"))).select("page", "link", "label")
 
