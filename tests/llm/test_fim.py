@@ -66,3 +66,14 @@ def test_lengths_meet_without_another_shuffle(spark, tmp_path):
     grouped = spark.read.parquet(str(tmp_path / "d")).selectExpr("doc_id k1", "doc_id k2", "array(1, 2) lengths").groupBy("k1", "k2").agg({"lengths": "first"}).withColumnRenamed("first(lengths)", "lengths")
     plan = fim.units(grouped, ["k1", "k2"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_query_equals_its_twin(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    names = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"]
+    want = con.execute(f"select {', '.join(names)} from ({fim.ORACLE}) order by doc_id").fetchall()
+    assert [tuple(r) for r in fim.op11_fim(spark, sf).select(*names).orderBy("doc_id").collect()] == want
