@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kadastra import constants as C
 from kadastra.functions.numbers import half_up
+from kadastra.operators import stats
 
 KEYS = ("level", "scope", "property_type", "transaction")
 
@@ -27,26 +28,26 @@ def comparable(df: DataFrame) -> Column:
 def medians(df: DataFrame, least: int = C.MIN_SAMPLE) -> DataFrame:
     """Median price per square metre of every level, scope, type and transaction with enough listings.
 
-    A row goes to three keys that do not nest, so it is exploded; Spark aggregates each partition first.
+    A row goes to three keys that do not nest, so it is exploded; equal prices are counted before the shuffle.
     """
     rows = df.where(comparable(df)).select(F.explode(scopes()).alias("at"), "property_type", "transaction", "price_per_m2").select("at.*", "property_type", "transaction", "price_per_m2")
-    found = rows.where("scope is not null").groupBy(*KEYS).agg(F.median("price_per_m2").alias("median"), F.count("*").alias("n"))
+    found = stats.medians(rows.where("scope is not null"), list(KEYS), "price_per_m2")
     return found.where(F.col("n") >= least)
 
 
-def references(df: DataFrame, stats: DataFrame) -> DataFrame:
+def references(df: DataFrame, known: DataFrame) -> DataFrame:
     """Listings with the median of the first level that has one: columns median, level and sample.
 
     One join instead of three: each listing asks with its three keys, and the best level answers.
     """
     asked = df.where(comparable(df)).select("id", F.posexplode(scopes()).alias("rank", "at"), "property_type", "transaction").select("id", "rank", "at.*", "property_type", "transaction")
-    answers = asked.join(stats, list(KEYS)).groupBy("id").agg(F.min(F.struct("rank", "level", "median", "n")).alias("best"))
+    answers = asked.join(known, list(KEYS)).groupBy("id").agg(F.min(F.struct("rank", "level", "median", "n")).alias("best"))
     return df.join(answers, "id", "left").select(df["*"], F.col("best.median").alias("market_median"), F.col("best.level").alias("deal_level"), F.col("best.n").alias("market_sample"))
 
 
-def score(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+def score(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Listings with deal_ratio (price per square metre over the median, 3 decimals; null under MIN_RATIO) and deal_level."""
-    found = references(df, medians(df) if stats is None else stats)
+    found = references(df, medians(df) if known is None else known)
     ratio = half_up(F.col("price_per_m2") / F.col("market_median"), 3)
     return found.withColumn("deal_ratio", F.when(ratio >= C.MIN_RATIO, ratio)).withColumn("deal_level", F.when(F.col("deal_ratio").isNotNull(), F.col("deal_level")))
 
@@ -55,11 +56,11 @@ def is_bargain() -> Column:
     return (F.col("deal_ratio") <= C.BARGAIN_RATIO) & F.col("deal_level").isin("miasto", "powiat") & (F.col("status") == "aktywna") & F.col("is_original")
 
 
-def levels(stats: DataFrame, city: str | None, county: str | None, voivodeship: str, kind: str, transaction: str) -> DataFrame:
+def levels(known: DataFrame, city: str | None, county: str | None, voivodeship: str, kind: str, transaction: str) -> DataFrame:
     """The medians of one place in the order of levels; the county is left out where it is the town."""
     scope = {"miasto": city and f"{city}|{voivodeship}", "powiat": county and county != city and f"{county}|{voivodeship}", "wojewodztwo": voivodeship}
     asked = [F.when((F.col("level") == level) & (F.col("scope") == s), i) for i, (level, s) in enumerate(scope.items()) if s]
-    return stats.where((F.col("property_type") == kind) & (F.col("transaction") == transaction)).withColumn("rank", F.coalesce(*asked)).where("rank is not null")
+    return known.where((F.col("property_type") == kind) & (F.col("transaction") == transaction)).withColumn("rank", F.coalesce(*asked)).where("rank is not null")
 
 
 def stale(scored: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -36,6 +36,29 @@ def upper_medians(df: DataFrame, key: str, column: str) -> DataFrame:
     return found.select(F.col("k").alias(key), F.col("v").alias("upper_median"))
 
 
+#: Ranges of positive values between a number and its double, in which a median is looked for.
+RANGES_A_DOUBLING = 32
+
+
+def medians(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, median, n): the mean of the one or two middle values of each group, of the rows with a positive ``column``.
+
+    Equal values are counted first, which Spark does before the shuffle; ranges of values are added up from these counts, and
+    only the ranges that hold a middle place are looked at by value. So no task holds or sorts the values of a group: its windows
+    see the ranges (some dozens for prices) and the different values of one or two ranges.
+    """
+    values = df.where(F.col(column) > 0).groupBy(*keys, F.col(column).alias("v")).agg(F.count("*").alias("n")).withColumn("range", F.floor(F.log2("v") * RANGES_A_DOUBLING))
+    group = Window.partitionBy(*keys)
+    up = values.groupBy(*keys, "range").agg(F.sum("n").alias("n")).withColumns({"sum": F.sum("n").over(group.orderBy("range")), "total": F.sum("n").over(group)})
+    middle = (F.col("sum") >= F.floor((F.col("total") + 1) / 2)) & (F.col("sum") - F.col("n") <= F.floor(F.col("total") / 2))
+    held = up.where(middle).select(*(F.col(k).alias(f"of_{k}") for k in keys), F.col("range").alias("in_range"), (F.col("sum") - F.col("n")).alias("below"), "total")
+    met = F.col("range") == F.col("in_range")
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    inner = values.join(held, met).withColumn("sum", F.sum("n").over(group.orderBy("v")) + F.min("below").over(group))
+    return inner.where(middle).groupBy(*keys).agg((F.min("v") * 0.5 + F.max("v") * 0.5).alias("median"), F.max("total").alias("n"))
+
+
 def totals(df: DataFrame, now: str) -> DataFrame:
     """All dashboard counts in one pass."""
     active, moment = F.col("status") == "aktywna", F.lit(now).cast("timestamp")
