@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kadastra import constants as C
@@ -229,7 +229,26 @@ def all_passes(df: DataFrame, needed: tuple[str, ...] = ("area", "plot_area", "t
     return df
 
 
-def changed(before: DataFrame, after: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
-    """Number of changed rows by column."""
-    b = before.select(key, *(F.col(c).alias(f"b_{c}") for c in columns))
-    return b.join(after, key).agg(*(F.count_if(~F.col(c).eqNullSafe(F.col(f"b_{c}"))).alias(c) for c in columns))
+#: Where a row's values are kept while the passes run over it.
+BEFORE = "row_before_repair"
+
+
+def _counted(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``all_passes`` over rows that carry their own values along, and the number of changed rows by column."""
+    kept = [c for c in columns if c in df.columns]
+    after = all_passes(df.withColumn(BEFORE, F.struct(*kept)) if kept else df)
+    return after, [F.count_if(~F.col(c).eqNullSafe(F.col(f"{BEFORE}.{c}")) if c in kept else F.col(c).isNotNull()).alias(c) for c in columns]
+
+
+def change_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Number of rows that ``all_passes`` changes, by column; one scan, no join, and ids need not be unique."""
+    after, counts = _counted(df, columns)
+    return after.agg(*counts)
+
+
+def observed(df: DataFrame, columns: list[str], name: str = "repairs") -> tuple[DataFrame, Observation]:
+    """``all_passes``, and the number of rows that it changes by column, counted in passing when its result is written
+    (``Observation.get``). A result that is written twice tells the counts of the first time."""
+    told = Observation(name)
+    after, counts = _counted(df, columns)
+    return after.observe(told, *counts).drop(BEFORE), told
