@@ -18,20 +18,86 @@ def recount(df: DataFrame) -> DataFrame:
     return ranked.groupBy("agency_id").agg(F.sum("c").alias("listings"), F.max(leads).alias("modal_city"))
 
 
+#: A word in over one of so many names counts as common; so there are fewer common words than this for each word of a name.
+COMMON_SHARE = 1000
+
+
+def _keys(names: DataFrame, common: DataFrame, grams: DataFrame, least: float) -> DataFrame:
+    """(name, kind, key, place, rare, size) of different names in words of a-z and 0-9: what a name can be found by.
+
+    Kind "w": its different words, rarest first; ``rare`` are the first ones, which together are longer than what may lack if a name
+    is covered by shared words to the extent that ``least`` asks for. Kind "g": pairs of neighbouring letters, the n-th of its kind
+    in ``place``, rarest first, and only so many that two names alike to that extent share one of them.
+    """
+    words = F.array_distinct(F.filter(F.split("name", " "), lambda w: w != ""))
+    rows = names.withColumn("words", words).where(F.size("words") > 0).withColumn("size", F.length(F.array_join("words", " ")))
+    each = rows.select("name", "size", F.explode("words").alias("key")).join(F.broadcast(common), "key", "left")
+    before = F.sum(F.length("key") + 1).over(Window.partitionBy("name").orderBy(F.coalesce("n", F.lit(0)), -F.length("key"), "key").rowsBetween(Window.unboundedPreceding, -1))
+    lacking = F.col("size") * ((2 - 2 * least) / (2 - least)) + 1e-6
+    by_word = each.select("name", F.lit("w").alias("kind"), "key", F.lit(0).alias("place"), (F.coalesce(before, F.lit(0)) <= lacking).alias("rare"), "size")
+    held = rows.select("name", "size", F.explode(_grams(F.col("words"))).alias("key")).groupBy("name", "size", "key").agg(F.count("*").cast("int").alias("times"))
+    placed = held.join(F.broadcast(grams), "key", "left").select("name", "size", "key", "n", F.explode(F.sequence(F.lit(1), "times")).alias("place"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.coalesce("n", F.lit(0)), "key", "place"))
+    # Of two names alike to the extent t, the shorter has at least t / (2 - t) of the other's letters. What the longer one lacks are
+    # deleted letters, each in two pairs.
+    apart = F.col("size") * ((2 - 1.5 * least) + (1 - 1.5 * least) * least / (2 - least)) + 1e-6
+    by_gram = placed.withColumn("rank", rank).where(F.col("rank") <= F.floor(apart) + 1).select("name", F.lit("g").alias("kind"), "key", "place", F.lit(True).alias("rare"), "size")
+    return by_word.unionByName(by_gram)
+
+
+def _grams(words: Column) -> Column:
+    """Pairs of neighbouring letters of each word, and its first and last letter with a space; they do not depend on the order of words."""
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(2)))
+    return F.flatten(F.transform(words, of))
+
+
+def candidates(left: DataFrame, right: DataFrame, least: float = C.AGENCY_MATCH / 100) -> DataFrame:
+    """(block, name, other): pairs of names of one block that may be alike to the extent ``least`` (0 to 1, over 2/3), by the best ratio
+    of their sets of words; none that is alike is left out. ``left`` and ``right`` are different (block, name).
+
+    Names are alike because shared words cover nearly the whole of one, so one of its rarest words is shared; or because they are
+    nearly the same letters, so one of the rarest pairs of letters of either is shared and the lengths are near. Words that half
+    a town's names have bring two names together only where a name has no others.
+    """
+    known = right.select("name").distinct()
+    words = known.select(F.explode(F.array_distinct(F.split("name", " "))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    common = words.where(F.col("n") * COMMON_SHARE > known.count())
+    grams = known.select(F.explode(_grams(F.array_distinct(F.split("name", " ")))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    mine = left.join(_keys(left.select("name").distinct(), common, grams, least), "name")
+    theirs = right.join(_keys(known, common, grams, least), "name").withColumnsRenamed({"name": "other", "rare": "other_rare", "size": "other_size"})
+    on = ["block", "kind", "key", "place"]
+    near = F.greatest("size", "other_size") * (least / (2 - least)) <= F.least("size", "other_size") + 1e-6
+    met = [
+        mine.where("kind = 'w' and rare").join(theirs.where("kind = 'w'"), on),
+        mine.where("kind = 'w' and not rare").join(theirs.where("kind = 'w' and other_rare"), on),
+        mine.where("kind = 'g'").join(theirs.where("kind = 'g'"), on).where(near),
+    ]
+    pairs = [m.select("block", "name", "other") for m in met]
+    return pairs[0].union(pairs[1]).union(pairs[2]).distinct()
+
+
+def blocks(name: Column, city: Column) -> Column:
+    """Where names may meet: the first four letters, and the town."""
+    return F.explode(F.array_compact(F.array(F.concat(F.lit("n|"), F.substring(name, 1, 4)), F.concat(F.lit("c|"), text.fold(city)))))
+
+
 def match(names: DataFrame, agencies: DataFrame) -> DataFrame:
     """(name, city) rows with the agency they mean: by equal slug, else the best fuzzy match among agencies of the same
-    town or with the same first four letters, at AGENCY_MATCH or more. Blocks are equi-joins; scores run on pairs in them."""
+    town or with the same first four letters, at AGENCY_MATCH or more (of equal ones the smallest id). Within a block names meet by
+    ``candidates``, so neither a town nor a common word makes all pairs; agencies of one name in a block count once."""
     asked = names.select("name", "city").distinct().withColumn("slug", text.slug(F.concat_ws("-", "name", F.coalesce("city", F.lit("")))))
     known = agencies.select(F.col("id").alias("agency_id"), F.col("name").alias("agency_name"), F.col("city").alias("agency_city"), "slug")
     exact = asked.join(known, "slug").select("name", "city", "agency_id", F.lit(100.0).alias("score"))
-    rest = asked.join(known.select("slug"), "slug", "left_anti")
-    block = lambda name, city: F.explode(F.array_distinct(F.filter(F.array(F.concat(F.lit("n|"), F.substring(text.norm_key(name), 1, 4)), F.concat(F.lit("c|"), text.fold(city))), lambda k: k.isNotNull())))
-    left = rest.select("name", "city", block(F.col("name"), F.col("city")).alias("block"))
-    right = known.select("agency_id", "agency_name", block(F.col("agency_name"), F.col("agency_city")).alias("block"))
-    pairs = left.join(right, "block").select("name", "city", "agency_id", "agency_name").distinct()
-    scored = pairs.withColumn("score", fuzzy.similarity(text.norm_key(F.col("name")), text.norm_key(F.col("agency_name")))).where(F.col("score") >= C.AGENCY_MATCH)
-    best = scored.groupBy("name", "city").agg(F.max_by("agency_id", F.struct("score", (-F.col("agency_id")).alias("o"))).alias("agency_id"), F.max("score").alias("score"))
-    return exact.unionByName(best)
+    key = text.norm_key(F.col("name"))
+    rest = asked.join(known.select("slug"), "slug", "left_anti").select("name", "city", key.alias("norm"), blocks(key, F.col("city")).alias("block"))
+    agency = text.norm_key(F.col("agency_name"))
+    there = known.select("agency_id", agency.alias("other"), blocks(agency, F.col("agency_city")).alias("block")).groupBy("block", "other").agg(F.min("agency_id").alias("agency_id"))
+    met = candidates(rest.select("block", F.col("norm").alias("name")).distinct(), there.select("block", F.col("other").alias("name")))
+    scored = met.select(F.col("name").alias("norm"), "other", "block").withColumn("score", fuzzy.similarity(F.col("norm"), F.col("other"))).where(F.col("score") >= C.AGENCY_MATCH)
+    first = F.max(F.struct("score", (-F.col("agency_id")).alias("minus")))
+    best = scored.join(there, ["block", "other"]).groupBy("block", "norm").agg(first.alias("best"))
+    found = rest.join(best, ["block", "norm"]).groupBy("name", "city").agg(F.max("best").alias("best")).select("name", "city", (-F.col("best.minus")).alias("agency_id"), F.col("best.score").alias("score"))
+    return exact.unionByName(found)
 
 
 def networks(names: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
