@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kadastra.operators import repair
 from kadastra.plans import sample_places
 from kadastra.plans.views import LISTINGS_SQL, NOW, listings
-from kadastra.sources import payloads
+from kadastra.sources import payloads, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -88,6 +88,20 @@ def _(spark, sf_dir):
     return payloads.state_offers(df.select(html.alias("html"))).select("external_id", "price", "area", "rooms", "city", "street", "transaction")
 
 
+@query("readers_by_registry", f"{W}select ['a', 'b', 'c'][id % 5 + 1] as source_key, ['state', 'rest', 'official_auctions'][id % 5 + 1] as scraper, cast(id as string) as external_id, price, case when id % 5 < 2 then city end as city from listings where id % 5 < 3")
+def _(spark, sf_dir):
+    """Three sources with readers of their own, one that is disabled, and one that the registry does not know."""
+    df = listings(spark, sf_dir).withColumn("source_key", F.expr("element_at(array('a', 'b', 'c', 'off', 'unknown'), cast(id % 5 as int) + 1)"))
+    state = made(df, id="cast(id as string)", slug="cast(id as string)", name="concat('Oferta ', id)", price="named_struct('total', cast(price as string))", property="named_struct('address_details', named_struct('city', city))")
+    rest = made(df, id="cast(id as string)", title="title", params="array(named_struct('key', 'price', 'value', named_struct('value', cast(price as string))))", location="named_struct('city', named_struct('name', city))")
+    auction = made(df, uuid="cast(id as string)", title="concat('Oferta ', id)", startingPrice="cast(price as string)")
+    state_page = F.concat(F.lit('<script>window.__INITIAL_STATE__ = {"offerList": {"offers": {"offers": ['), state, F.lit("]}}};</script>"))
+    body = F.when(F.col("source_key") == "b", rest).when(F.col("source_key") == "c", F.concat(F.lit('{"content": ['), auction, F.lit("]}"))).otherwise(state_page)
+    documents = df.select("source_key", F.concat(F.lit("https://x.pl/"), "id").alias("url"), body.alias("body"), F.lit(None).cast("string").alias("phrase"))
+    sources = spark.createDataFrame([("a", "state", True), ("b", "rest", True), ("c", "official_auctions", True), ("off", "state", False)], readers.SOURCE)
+    return readers.read(documents, sources, F.lit(NOW).cast("timestamp")).select("source_key", "scraper", "external_id", "price", "city")
+
+
 @query("official_auctions", f"{W}select 'u' || cast(id as string) as external_id, price as opening_price, city as location_text from listings where id % 11 <> 0")
 def _(spark, sf_dir):
     df = listings(spark, sf_dir)

@@ -27,18 +27,19 @@ def json_ld(html: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(SCRIPT), 1)
 
 
-def json_ld_offers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+def json_ld_offers(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = ()) -> DataFrame:
     """Offers in the JSON-LD of pages: items of an ItemList, or the described thing itself; nested itemOffered comes first."""
-    docs = pages.select(F.col(url).alias("page_url"), F.explode(json_ld(F.col(html))).alias("json"))
+    docs = pages.select(*keep, F.col(url).alias("page_url"), F.explode(json_ld(F.col(html))).alias("json"))
     inner = "struct<`@type`:string,name:string,url:string,description:string,datePosted:string,floorSize:struct<value:string>,numberOfRooms:string,address:struct<addressLocality:string,addressRegion:string,streetAddress:string>,offers:struct<price:string,priceCurrency:string,itemOffered:struct<name:string,floorSize:struct<value:string>,numberOfRooms:string,address:struct<addressLocality:string,addressRegion:string,streetAddress:string>>>>"
     fields = inner[7:-1]
     schema = f"struct<{fields},itemListElement:array<struct<position:int,item:{inner}>>>"
-    parsed = docs.select("page_url", F.from_json("json", schema).alias("d"))
+    parsed = docs.select(*keep, "page_url", F.from_json("json", schema).alias("d"))
     own = F.struct(*(F.col(f"d.`{n}`").alias(n) for n in ("@type", "name", "url", "description", "datePosted", "floorSize", "numberOfRooms", "address", "offers")))
     items = F.when(F.size("d.itemListElement") > 0, F.transform("d.itemListElement", lambda e: e["item"])).otherwise(F.array(own))
-    rows = parsed.where("d is not null").select("page_url", F.explode(items).alias("i")).where("i.name is not null or i.offers.itemOffered.name is not null")
+    rows = parsed.where("d is not null").select(*keep, "page_url", F.explode(items).alias("i")).where("i.name is not null or i.offers.itemOffered.name is not null")
     first = lambda path: F.coalesce(F.col(f"i.offers.itemOffered.{path}"), F.col(f"i.{path}"))
     return rows.select(
+        *keep,
         "page_url",
         F.coalesce("i.url", "page_url").alias("url"),
         F.coalesce("i.name", "i.offers.itemOffered.name").alias("title"),
@@ -53,15 +54,15 @@ def json_ld_offers(pages: DataFrame, html: str = "html", url: str = "url") -> Da
     )
 
 
-def rest_offers(lines: DataFrame, column: str = "value") -> DataFrame:
+def rest_offers(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Offers of a REST API whose parameters are a list of key and value: pivoted to columns."""
     schema = "id string, url string, title string, description string, created_time string, location struct<city:struct<name:string>,district:struct<name:string>,region:struct<name:string>>, map struct<lat:double,lon:double>, params array<struct<key:string,value:struct<key:string,label:string,value:string>>>, photos array<struct<link:string>>"
-    rows = lines.select(F.from_json(column, schema).alias("o")).where("o.id is not null")
+    rows = lines.select(*keep, F.from_json(column, schema).alias("o")).where("o.id is not null")
     params = F.map_from_entries(F.transform(F.array_distinct(F.coalesce("o.params", F.array())), lambda p: F.struct(p["key"], F.coalesce(p["value"]["value"], p["value"]["key"], p["value"]["label"]))))
     p = rows.withColumn("p", params)
     get = lambda k: F.try_element_at("p", F.lit(k))
     return p.select(
-        F.col("o.id").alias("external_id"), "o.url", "o.title", "o.description",
+        *keep, F.col("o.id").alias("external_id"), "o.url", "o.title", "o.description",
         get("price").try_cast("double").alias("price"), get("m").try_cast("double").alias("area"), get("rooms").alias("rooms_word"), get("floor_select").alias("floor_word"), get("market").alias("market"),
         F.col("o.location.city.name").alias("city"), F.col("o.location.district.name").alias("district"), F.col("o.location.region.name").alias("voivodeship"),
         F.col("o.map.lat").alias("lat"), F.col("o.map.lon").alias("lon"), F.transform("o.photos", lambda x: x["link"]).alias("images"), F.col("o.created_time").alias("published"),

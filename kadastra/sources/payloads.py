@@ -2,6 +2,7 @@
 
 Each takes a table of landed texts and returns offers (or agencies) as rows; fetching is not part of it. Documents whose
 shape varies are searched by a small helper that finds the list of items; everything else is ``from_json`` and columns.
+``keep`` names columns of the landed table that go along with each offer.
 """
 
 from __future__ import annotations
@@ -92,15 +93,16 @@ def _word(value: Column, words: dict) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(x for k, v in words.items() for x in (F.lit(k), F.lit(v).cast("int")))), told), told.try_cast("int"))
 
 
-def portal_offers(landed: DataFrame, html: str = "html", base: str = "") -> DataFrame:
+def portal_offers(landed: DataFrame, html: str = "html", base: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
     """Offers in the embedded JSON of a portal's list pages: the items are wherever the page keeps them; places by level of the
     administrative hierarchy before those of the address; a hidden price is no price; times are Warsaw's."""
-    items = landed.select(F.explode(items_in(pages.next_data(F.col(html)), ("slug", "title"), OFFER_FIELDS)).alias("item"))
-    o = items.select(F.from_json("item", PORTAL).alias("o")).where("length(trim(o.slug)) > 0 and length(trim(o.title)) > 0")
+    items = landed.select(*keep, F.explode(items_in(pages.next_data(F.col(html)), ("slug", "title"), OFFER_FIELDS)).alias("item"))
+    o = items.select(*keep, F.from_json("item", PORTAL).alias("o")).where("length(trim(o.slug)) > 0 and length(trim(o.title)) > 0")
     at = lambda field, address: F.coalesce(hierarchy(F.col("o.location.reverseGeocoding.locations"), field), *([clean(F.col(f"o.location.address.{address}.name"))] if address else []))
     seller = F.when(F.col("o.isPrivateOwner"), "prywatna").when(F.upper("o.agency.type") == "DEVELOPER", "deweloper").when(F.col("o.agency").isNotNull(), "posrednik").otherwise("nieznany")
     images = F.filter(F.transform("o.images", lambda i: F.coalesce(i["large"], i["medium"], i["small"])), lambda x: x.isNotNull())
     return o.select(
+        *keep,
         F.coalesce("o.id", "o.slug").alias("external_id"),
         F.concat(F.lit(base), F.col("o.slug")).alias("url"),
         clean(F.col("o.title")).alias("title"),
@@ -163,15 +165,16 @@ def mislabelled(moment: Column) -> Column:
     return dates.parse_moment(F.regexp_replace(F.trim(moment), "Z$", ""), F.lit(None).cast("timestamp"), naive_local=True)
 
 
-def state_offers(landed: DataFrame, html: str = "html", base: str = "") -> DataFrame:
+def state_offers(landed: DataFrame, html: str = "html", base: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
     """Offers in the initial state of a portal's list pages; numbers come as texts or numbers, times with a wrong zone."""
-    rows = landed.select(F.explode(F.from_json(pages.initial_state(F.col(html)), STATE)["offerList"]["offers"]["offers"]).alias("o"))
+    rows = landed.select(*keep, F.explode(F.from_json(pages.initial_state(F.col(html)), STATE)["offerList"]["offers"]["offers"]).alias("o"))
     rows = rows.where("length(trim(o.slug)) > 0 and length(trim(o.name)) > 0")
     agent = clean(F.concat_ws(" ", "o.agent.name", "o.agent.last_name"))
     name = F.coalesce(clean(F.col("o.agency.name")), agent)
     seller = F.when(F.col("o.is_private"), "prywatna").when(F.col("o.agency.type") == "developer", "deweloper").when(name.isNotNull(), "posrednik").otherwise("nieznany")
     number = lambda c: numbers.parse_number(F.col(c))
     return rows.select(
+        *keep,
         F.coalesce("o.id", "o.slug").alias("external_id"),
         F.concat(F.lit(f"{base}/oferta/"), F.col("o.slug"), F.lit("/")).alias("url"),
         clean(F.col("o.name")).alias("title"),
@@ -196,25 +199,26 @@ def state_offers(landed: DataFrame, html: str = "html", base: str = "") -> DataF
     )
 
 
-def official_auctions(landed: DataFrame, body: str = "value", base: str = "") -> DataFrame:
+def official_auctions(landed: DataFrame, body: str = "value", base: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
     """Auctions of a tax office's API ({content: [...]}): cancelled and void ones are dropped; of an item told more than once the last
     publication counts; begin and deposit are Warsaw wall clocks."""
     row = "struct<uuid:string,title:string,localization:string,startingPrice:string,saleBeginDateTime:string,saleEndDateTime:string,depositDueDate:string,publicationDateTime:string,cancellationDateTime:string,voidDateTime:string,electronicStateCode:string,announcementTypeCodes:array<string>>"
-    rows = landed.select(F.explode(F.from_json(body, f"struct<content:array<{row}>>")["content"]).alias("r")).where("length(r.uuid) > 0 and length(trim(r.title)) > 0 and r.cancellationDateTime is null and r.voidDateTime is null").groupBy("r.uuid").agg(F.max(F.struct(F.coalesce("r.publicationDateTime", F.lit("")).alias("since"), "r")).alias("last")).select("last.r.*")
+    rows = landed.select(*keep, F.explode(F.from_json(body, f"struct<content:array<{row}>>")["content"]).alias("r")).where("length(r.uuid) > 0 and length(trim(r.title)) > 0 and r.cancellationDateTime is null and r.voidDateTime is null").groupBy(*keep, "r.uuid").agg(F.max(F.struct(F.coalesce("r.publicationDateTime", F.lit("")).alias("since"), "r")).alias("last")).select(*keep, "last.r.*")
     price = numbers.parse_number(F.col("startingPrice"))
     wall = lambda c: F.try_to_timestamp(F.substring(F.translate(c, "T", " "), 1, 19)).cast("timestamp_ntz")
-    return rows.select(F.col("uuid").alias("external_id"), F.concat(F.lit(f"{base}/auction/announcements/"), F.col("uuid")).alias("url"), F.lit("licytacja").alias("kind"), F.substring(text.clean(F.col("title")), 1, 400).alias("title"), price.alias("price"), price.alias("opening_price"), wall(F.col("saleBeginDateTime")).alias("event_date"), wall(F.coalesce("depositDueDate", "saleEndDateTime")).alias("deadline"), F.lit("urzad").alias("seller_type"), clean(F.col("localization")).alias("location_text"), numbers.area(F.col("title")).alias("area"))
+    return rows.select(*keep, F.col("uuid").alias("external_id"), F.concat(F.lit(f"{base}/auction/announcements/"), F.col("uuid")).alias("url"), F.lit("licytacja").alias("kind"), F.substring(text.clean(F.col("title")), 1, 400).alias("title"), price.alias("price"), price.alias("opening_price"), wall(F.col("saleBeginDateTime")).alias("event_date"), wall(F.coalesce("depositDueDate", "saleEndDateTime")).alias("deadline"), F.lit("urzad").alias("seller_type"), clean(F.col("localization")).alias("location_text"), numbers.area(F.col("title")).alias("area"))
 
 
-def bailiff_auctions(landed: DataFrame, html: str = "html", electronic: bool = False) -> DataFrame:
+def bailiff_auctions(landed: DataFrame, html: str = "html", electronic: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Auctions on a bailiffs' list page: one card a link; the deposit is a tenth of the estimate, as the law has it. With
     ``electronic``, only auctions held online."""
-    cards = landed.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r'(?is)(<a\s[^>]*class="[^"]*\bauction\b[^"]*".*?</a>)'), 1)).alias("card"))
+    cards = landed.select(*keep, F.explode(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r'(?is)(<a\s[^>]*class="[^"]*\bauction\b[^"]*".*?</a>)'), 1)).alias("card"))
     bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]{1,400}>", " "), r"\s+", " "))
     part = lambda pattern: clean(bare(F.regexp_extract("card", pattern, 1)))
     money = lambda word: numbers.parse_number(F.regexp_replace(part(rf'(?is)class="[^"]*auction__price[^"]*"[^>]*>((?:(?!</div>).)*{word}.*?)</div>'), r"^[^\d]*", ""))
     estimate, opening = money("oszacowan"), money("wywo[łl]a")
     rows = cards.select(
+        *keep,
         F.nullif(F.regexp_extract("card", r"/licytacje/(\d+)", 1), F.lit("")).alias("external_id"),
         F.regexp_extract("card", r'href="([^"]+)"', 1).alias("url"),
         part(r'(?is)class="[^"]*auction__title[^"]*"[^>]*>(.*?)</').alias("title"),
@@ -226,23 +230,23 @@ def bailiff_auctions(landed: DataFrame, html: str = "html", electronic: bool = F
     return rows.withColumns({"kind": F.lit("licytacja"), "seller_type": F.lit("komornik"), "case_number": numbers.case_number(F.col("title"))})
 
 
-def notices_by_phrase(landed: DataFrame, phrase: str = "phrase", body: str = "value") -> DataFrame:
+def notices_by_phrase(landed: DataFrame, phrase: str = "phrase", body: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Notices of a court gazette ({list: [...]}) found by a phrase; one found by several counts once, by the first phrase."""
-    rows = landed.select(F.col(phrase).alias("phrase"), F.explode(F.from_json(body, "struct<list:array<struct<id:string,entityName:string,monitorNumber:string,dateOfPublication:string,signatureOfCase:string>>>")["list"]).alias("r"))
-    rows = rows.where("length(r.id) > 0 and length(trim(r.entityName)) > 0").groupBy("r.id").agg(F.min(F.struct("phrase", "r")).alias("m")).select("m.phrase", "m.r.*")
+    rows = landed.select(*keep, F.col(phrase).alias("phrase"), F.explode(F.from_json(body, "struct<list:array<struct<id:string,entityName:string,monitorNumber:string,dateOfPublication:string,signatureOfCase:string>>>")["list"]).alias("r"))
+    rows = rows.where("length(r.id) > 0 and length(trim(r.entityName)) > 0").groupBy(*keep, "r.id").agg(F.min(F.struct("phrase", "r")).alias("m")).select(*keep, "m.phrase", "m.r.*")
     entity, monitor = text.clean(F.col("entityName")), text.clean(F.col("monitorNumber"))
-    return rows.select(F.col("id").alias("external_id"), F.lit("licytacja").alias("kind"), F.substring(F.concat(F.lit("Obwieszczenie MSiG "), monitor, F.lit(": "), entity), 1, 400).alias("title"), "phrase", F.lit("syndyk").alias("seller_type"), F.coalesce(clean(F.col("signatureOfCase")), numbers.case_number(entity)).alias("case_number"), entity.alias("location_text"), text.property_type(entity, F.col("phrase")).alias("property_type"))
+    return rows.select(*keep, F.col("id").alias("external_id"), F.lit("licytacja").alias("kind"), F.substring(F.concat(F.lit("Obwieszczenie MSiG "), monitor, F.lit(": "), entity), 1, 400).alias("title"), "phrase", F.lit("syndyk").alias("seller_type"), F.coalesce(clean(F.col("signatureOfCase")), numbers.case_number(entity)).alias("case_number"), entity.alias("location_text"), text.property_type(entity, F.col("phrase")).alias("property_type"))
 
 
-def notices_by_word(landed: DataFrame, body: str = "value") -> DataFrame:
+def notices_by_word(landed: DataFrame, body: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Notices of an insolvency register, one a line, that tell of a sale."""
     row = "id string, numerObwieszczenia string, tytul string, rodzajObwieszczenia string, tresc string, opis string, cenaWywolawcza string, wartoscOszacowania string, wadium string, sygnatura string, syndyk string, miejscowosc string"
-    r = landed.select(F.from_json(body, row).alias("r")).select("r.*")
+    r = landed.select(*keep, F.from_json(body, row).alias("r")).select(*keep, "r.*")
     title, content = text.clean(F.coalesce("tytul", "rodzajObwieszczenia")), text.clean(F.coalesce("tresc", "opis"))
     rows = r.withColumns({"title": F.coalesce(F.nullif(title, F.lit("")), F.substring(content, 1, 160)), "content": content, "key": F.coalesce("id", "numerObwieszczenia")})
     rows = rows.where(F.concat_ws(" ", "title", "content").rlike(SALE_WORDS) & F.col("key").isNotNull())
     price = numbers.parse_number(F.col("cenaWywolawcza"))
-    return rows.select(F.col("key").alias("external_id"), F.lit("licytacja").alias("kind"), F.substring("title", 1, 400).alias("title"), F.nullif("content", F.lit("")).alias("description"), price.alias("price"), price.alias("opening_price"), numbers.parse_number(F.col("wartoscOszacowania")).alias("estimate_value"), numbers.parse_number(F.col("wadium")).alias("deposit"), F.coalesce(clean(F.col("sygnatura")), numbers.case_number(F.col("content"))).alias("case_number"), F.lit("syndyk").alias("seller_type"), clean(F.col("miejscowosc")).alias("city"), numbers.area(F.col("content")).alias("area"), text.property_type(F.col("title"), F.col("content")).alias("property_type"))
+    return rows.select(*keep, F.col("key").alias("external_id"), F.lit("licytacja").alias("kind"), F.substring("title", 1, 400).alias("title"), F.nullif("content", F.lit("")).alias("description"), price.alias("price"), price.alias("opening_price"), numbers.parse_number(F.col("wartoscOszacowania")).alias("estimate_value"), numbers.parse_number(F.col("wadium")).alias("deposit"), F.coalesce(clean(F.col("sygnatura")), numbers.case_number(F.col("content"))).alias("case_number"), F.lit("syndyk").alias("seller_type"), clean(F.col("miejscowosc")).alias("city"), numbers.area(F.col("content")).alias("area"), text.property_type(F.col("title"), F.col("content")).alias("property_type"))
 
 
 def tenders(landed: DataFrame, province: str, cpv: tuple[str, ...] = (), skipped: tuple[str, ...] = (), body: str = "value") -> DataFrame:
