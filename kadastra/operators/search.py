@@ -215,10 +215,11 @@ def geojson(df: DataFrame) -> DataFrame:
 
 
 def with_contacts(page: DataFrame, phones: DataFrame, agencies: DataFrame) -> DataFrame:
-    """A page of results with its phones (listing_id, masked) and its agency (id, name) looked up in one batch each."""
+    """A page of results with its phones (listing_id, masked) and its agency (id, name) looked up in one batch each. A page is
+    small, which Spark sees when it runs; many rows are joined by shuffles."""
     ids = page.select("id", "agency_id")
-    numbers = phones.join(F.broadcast(ids.select(F.col("id").alias("listing_id"))), "listing_id", "left_semi").groupBy(F.col("listing_id").alias("id")).agg(F.array_sort(F.collect_set("masked")).alias("phones"))
-    known = agencies.join(F.broadcast(ids.select(F.col("agency_id").alias("of")).distinct()), F.col("id") == F.col("of"), "left_semi").select(F.col("id").alias("agency_id"), F.col("name").alias("agency_name"))
+    numbers = phones.join(ids.select(F.col("id").alias("listing_id")), "listing_id", "left_semi").groupBy(F.col("listing_id").alias("id")).agg(F.array_sort(F.collect_set("masked")).alias("phones"))
+    known = agencies.join(ids.select(F.col("agency_id").alias("of")).distinct(), F.col("id") == F.col("of"), "left_semi").select(F.col("id").alias("agency_id"), F.col("name").alias("agency_name"))
     return page.join(numbers, "id", "left").join(known, "agency_id", "left").withColumn("phones", F.coalesce("phones", F.array().cast("array<string>")))
 
 
