@@ -46,4 +46,4 @@ def similarity(a: Column, b: Column) -> Column:
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([token_set_ratio(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype="float64")
 
-    return ratio(a, b)
+    return ratio.asNondeterministic()(a, b)  # so that a filter on the result does not run it a second time

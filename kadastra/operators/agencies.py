@@ -93,7 +93,9 @@ def match(names: DataFrame, agencies: DataFrame) -> DataFrame:
     agency = text.norm_key(F.col("agency_name"))
     there = known.select("agency_id", agency.alias("other"), blocks(agency, F.col("agency_city")).alias("block")).groupBy("block", "other").agg(F.min("agency_id").alias("agency_id"))
     met = candidates(rest.select("block", F.col("norm").alias("name")).distinct(), there.select("block", F.col("other").alias("name")))
-    scored = met.select(F.col("name").alias("norm"), "other", "block").withColumn("score", fuzzy.similarity(F.col("norm"), F.col("other"))).where(F.col("score") >= C.AGENCY_MATCH)
+    # Pairs are few bytes and much work, so their partitions are not to be made fewer by size.
+    spread = met.select(F.col("name").alias("norm"), "other", "block").repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    scored = spread.withColumn("score", fuzzy.similarity(F.col("norm"), F.col("other"))).where(F.col("score") >= C.AGENCY_MATCH)
     first = F.max(F.struct("score", (-F.col("agency_id")).alias("minus")))
     best = scored.join(there, ["block", "other"]).groupBy("block", "norm").agg(first.alias("best"))
     found = rest.join(best, ["block", "norm"]).groupBy("name", "city").agg(F.max("best").alias("best")).select("name", "city", (-F.col("best.minus")).alias("agency_id"), F.col("best.score").alias("score"))

@@ -276,10 +276,11 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.transform(found, lambda p: p["e164"]).alias("numbers"), phones.fingerprint(found).alias("fingerprint"))
 
 
-@query("token_set_match")
+@query("token_set_match", "select s_name || ' Nieruchomości' as name, 'city-' || cast(s_suppkey % 10 as string) as city, s_suppkey as agency_id, 100.0::double as score from supplier")
 def _(spark, sf_dir):
-    names = table(spark, sf_dir, "supplier").select(F.concat(F.col("s_name"), F.lit(" Nieruchomości")).alias("name"), F.concat(F.lit("city-"), F.col("s_suppkey")).alias("city"))
-    known = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Nieruchomości "), F.col("s_name")).alias("name"), F.concat(F.lit("city-"), F.col("s_suppkey")).alias("city")).withColumn("slug", text.slug(F.concat_ws("-", "name", "city")))
+    """Ten towns with many names that differ in a digit only; each name means the agency with its words in another order."""
+    names = table(spark, sf_dir, "supplier").select(F.concat(F.col("s_name"), F.lit(" Nieruchomości")).alias("name"), F.concat(F.lit("city-"), F.col("s_suppkey") % 10).alias("city"))
+    known = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Nieruchomości "), F.col("s_name")).alias("name"), F.concat(F.lit("city-"), F.col("s_suppkey") % 10).alias("city")).withColumn("slug", text.slug(F.concat_ws("-", "name", "city")))
     return agencies.match(names, known).withColumn("score", F.round("score", 2))
 
 

@@ -45,9 +45,9 @@ def _agencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.selectExpr("s_suppkey as id", "s_name as name", "n_name as city", "r_name as voivodeship", "s_suppkey % 50 as listings", "case when s_suppkey % 3 <> 0 then s_suppkey % 7 end as expected")
 
 
-@query("agency_list", f"select id, name, listings, expected from ({_AGENCIES}) where contains(lower(city), 'an') and listings > 0 order by listings desc nulls last, expected desc nulls last, name, id limit 100")
+@query("agency_list", f"select id, name, listings, expected from ({_AGENCIES}) where contains(lower(city), 'tion_1') and listings > 0 order by listings desc nulls last, expected desc nulls last, name, id limit 100")
 def _(spark, sf_dir):
-    return agencies.listed(_agencies(spark, sf_dir), city=" An ", with_offers=True).select("id", "name", "listings", "expected")
+    return agencies.listed(_agencies(spark, sf_dir), city=" tION_1 ", with_offers=True).select("id", "name", "listings", "expected")
 
 
 @query("agency_list_second_page", f"select id, name, listings from ({_AGENCIES}) order by listings desc nulls last, expected desc nulls last, name, id limit 25 offset 25")
