@@ -83,7 +83,7 @@ def unescape(value: Column) -> Column:
 def short_label(name: Column, most: int = 40) -> Column:
     """A name for a narrow place; what is cut off is shown by an ellipsis."""
     whole = F.trim(F.coalesce(name, F.lit("")))
-    return F.when(F.length(whole) <= most, whole).otherwise(F.concat(F.regexp_replace(F.substring(whole, 1, most - 1), "[ ,-]+$", ""), F.lit("…")))
+    return F.when(F.length(whole) <= most, whole).otherwise(F.concat(F.regexp_replace(F.substring(whole, 1, most - 1), r"[ ,-]+\z", ""), F.lit("…")))
 
 
 def source_label(name: Column, key: Column) -> Column:

@@ -118,5 +118,8 @@ def _(spark, sf_dir):
 
 @query("short_labels", f"{W}select id, case when length(title) <= 24 then title else regexp_replace(substr(title, 1, 23), '[ ,-]+$', '') || '…' end as label, case when id % 3 = 0 then 'Portal' else replace(source_key || '_' || city, '_', ' ') end as source from listings")
 def _(spark, sf_dir):
-    df = listings(spark, sf_dir)
-    return df.select("id", text.short_label(F.col("title"), 24).alias("label"), text.source_label(F.expr("case when id % 3 = 0 then 'Portal — oferty' when id % 3 = 1 then '' end"), F.concat_ws("_", "source_key", "city")).alias("source"))
+    """Listings without a title have no label, those without a town no key to be named by."""
+    name, key = F.expr("case when id % 3 = 0 then 'Portal — oferty' when id % 3 = 1 then '' end"), F.concat("source_key", F.lit("_"), "city")
+    label = F.when(F.col("title").isNotNull(), text.short_label(F.col("title"), 24))
+    source = F.when((F.col("id") % 3 == 0) | key.isNotNull(), text.source_label(name, key))
+    return listings(spark, sf_dir).select("id", label.alias("label"), source.alias("source"))

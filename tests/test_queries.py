@@ -45,6 +45,13 @@ def test_query(spark, duck, name):
         assert plain(got) == plain(want)
 
 
+def test_short_labels_tell_no_label_from_an_empty_one(spark, duck):
+    """Listings without rooms have no title; test_query takes null and empty for the same."""
+    got = {tuple(r) for r in registry.QUERIES["short_labels"](spark, SF).select("id", "label", "source").collect()}
+    assert got == set(duck.sql(f"select id, label, source from ({registry.ORACLE_SQL['short_labels']})").fetchall())
+    assert any(label is None for _, label, _ in got)
+
+
 def test_search_is_metamorphic(spark):
     """Filters narrow, empty ones ask for nothing, sorts sort with nulls last."""
     from kadastra.operators import search
