@@ -1,9 +1,11 @@
 """Near copies of the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more.
 
-MinHash bands find candidates: a pair at similarity 0.8 shares none of BANDS keys with a chance of (1 - 0.8**ROWS)**BANDS,
-5e-6, and less above. What shares a key, however indirectly, is a cluster; a pair is decided within its cluster by exact
-Jaccard similarity of whole shingle sets. Clusters too large for a task are dealt to blocks, and each two blocks meet.
-Equal sets are one node from the start.
+Operator 9 finds candidates: texts whose SimHash fingerprints links of at most simhash.DISTANCE bits connect, met by Golay-code
+keys. Most near copies at similarity 0.8 are further apart than that, so MinHash bands add candidates: a pair at similarity 0.8
+shares none of BANDS keys with a chance of (1 - 0.8**ROWS)**BANDS, 5e-6, and less above. What shares a component of
+fingerprints or a band's key, however indirectly, is a cluster; a pair is decided within its cluster by exact Jaccard similarity
+of whole shingle sets. Clusters too large for a task are dealt to blocks, and each two blocks meet. Equal sets are one node
+from the start.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kadastra.llm import simhash
 from kadastra.llm.common import free_name, materialize
 from kadastra.operators.graph import connected_components
 from kadastra.operators.hashing import row_hash
@@ -125,6 +128,17 @@ def pick_rows(docs: DataFrame, keys: DataFrame, names: tuple[str, str] = ("k1_of
     return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_NODES else keys, list(names))
 
 
+def by_fingerprints(source: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Node and key, which nodes share that have texts in one component of operator 9. Equal texts count once."""
+    components = simhash.near_duplicates(source, row_id="text_key").select("text_key", F.col("component_id").alias("key")).distinct()
+    return sketches.select("node", "text_key").distinct().join(components, "text_key").select("node", "key")
+
+
+def by_bands(sketches: DataFrame) -> DataFrame:
+    """Node and key for each band of its signature."""
+    return sketches.select("node", F.explode("bands").alias("key"))
+
+
 def one_of_each(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """One row of each group of near copies: the one with the smallest id, of these that with the smallest key of its values.
 
@@ -135,21 +149,21 @@ def one_of_each(docs: DataFrame, text: str = "text", row_id: str = "doc_id") ->
     k1, k2 = row_key(docs)
     names = free_name(docs, "k1_of_stage"), free_name(docs, "k2_of_stage")
     keyed = docs.withColumns(dict(zip(names, (k1, k2), strict=True)))
-    source = docs.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"), k1.alias("k1_of_stage"), k2.alias("k2_of_stage"))
-    sketches = materialize(source.mapInPandas(_sketches, "row_id long, k1_of_stage long, k2_of_stage long, node long, n_shingles long, bands array<long>"), "near-sketches")
+    source = docs.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"), k1.alias("k1_of_stage"), k2.alias("k2_of_stage"))
+    sketches = materialize(source.mapInPandas(_sketches, "row_id long, text_key long, k1_of_stage long, k2_of_stage long, node long, n_shingles long, bands array<long>"), "near-sketches")
     best = F.min(F.struct(F.col("row_id").isNull().alias("no_id"), "row_id", "k1_of_stage", "k2_of_stage")).alias("best")
     nodes = materialize(sketches.groupBy("node").agg(best, F.max("n_shingles").alias("n_shingles")), "near-nodes")
 
-    bands = sketches.select("node", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi").drop("hi")
-    stars = join_groups(bands, materialize(shared, "near-keys"), "key", "n").where("node > lo").select(F.col("node").alias("u"), F.col("lo").alias("v")).distinct()
+    keys = by_bands(sketches).unionByName(materialize(by_fingerprints(source, sketches), "near-components"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi").drop("hi")
+    stars = join_groups(keys, materialize(shared, "near-keys"), "key", "n").where("node > lo").select(F.col("node").alias("u"), F.col("lo").alias("v")).distinct()
     clusters = materialize(connected_components(stars, lambda df: materialize(df, "near-clusters")), "near-clustered").withColumnRenamed("component", "cluster")
 
     members = materialize(nodes.join(clusters, "node").select("node", "cluster", "n_shingles", "best.k1_of_stage", "best.k2_of_stage"), "near-members")
     size = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     size = size.select("cluster", "n", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = join_groups(members, size, "cluster", "n").select("node", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "k1_of_stage", "k2_of_stage")
-    sets = pick_rows(source.drop("row_id"), dealt).drop("k1_of_stage", "k2_of_stage").dropDuplicates(["node"])
+    sets = pick_rows(source.drop("row_id", "text_key"), dealt).drop("k1_of_stage", "k2_of_stage").dropDuplicates(["node"])
     sets = materialize(sets.select("node", "cluster", "blocks", "block", "text").mapInPandas(_sets, "node long, cluster long, blocks int, block int, shingles binary"), "near-sets")
     others = F.when(F.col("blocks") == 1, F.array(F.col("block"))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array(F.col("block"))))
     met = sets.withColumn("other", F.explode(others)).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "shingles")

@@ -29,6 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word Jaccard similarity of 0.8 or more): the one with the smallest id.
 
+    Candidates are the components of operator 9 (SimHash) and what MinHash bands add to them; an exact check decides.
     Rows are told apart by their values, not by id: rows without an id, or with one id and different texts, stay."""
     small_batches(spark)
     return near_copies.one_of_each(docs)

@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from kadastra.llm import near_copies, pipeline
+from kadastra.llm import near_copies, pipeline, simhash
 from tests.llm.helpers import documents, words
 
 
@@ -76,3 +76,21 @@ def test_rows_without_an_id_or_with_one_id_stay_and_are_decontaminated(spark, tm
     assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == [x for x in got if item not in x[1]]
     mixed = {(r.doc_id, r.text) for r in pipeline.mix_sources(spark, clean.withColumn("source", clean["text"]), None).collect()}
     assert any(i is None for i, _ in mixed)
+
+
+def test_stage_takes_candidates_of_operator_9(spark, monkeypatch):
+    """Without the bands the stage still finds what fingerprints of 4 bits connect; the exact check spares other texts of one fingerprint."""
+    calls, operator = [], simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *a, **k: calls.append(1) or operator(*a, **k))
+    rows = [(10 * k + j, edited(words(300 + k, 400), k * 10 + j, j), "en", "a") for k in range(20) for j in range(3)]
+    junk = [(1000 + k, "ha " * 500 + words(400 + k, 200), "en", "a") for k in range(2)]
+    assert len({simhash.fingerprint(t) for _, t, *_ in junk}) == 1 and len(set(naive_groups([t for _, t, *_ in junk]))) == 2
+    docs = documents(spark, rows + junk + [(2000, rows[0][1], "en", "b"), (None, None, "en", "b")])
+    groups = naive_groups([t for _, t, *_ in rows + junk])
+    want = {(rows + junk)[g][0] for g in groups} | {None}
+    assert {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, None).collect()} == want and calls == [1]
+    monkeypatch.setattr(near_copies, "by_bands", lambda sketches: sketches.selectExpr("node", "node as key").where("false"))
+    texts = {i: (simhash.fingerprint(t), naive_set(t)) for i, t, *_ in rows}
+    near = {j for i, j in itertools.combinations(texts, 2) if (texts[i][0] ^ texts[j][0]).bit_count() <= 4 and 10 * len(texts[i][1] & texts[j][1]) >= 8 * len(texts[i][1] | texts[j][1])}
+    assert near
+    assert {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, None).collect()} == {i for i, *_ in rows + junk} - near | {None}
