@@ -3,7 +3,8 @@
 A text is cut at the vocabulary's special tokens, normalised and split into words as the tokenizer's file says (each stretch
 between spaces once for all its occurrences). The different words of a chunk of documents are encoded together: an index maps each pair of symbols that has a merge rank to all its
 positions. The ranks that are active are applied in ascending order; each merge puts the pairs that it makes into the index,
-and the pairs that it ends are recognised by their symbols when their rank's turn comes. A word's ids then serve all its
+and the pairs that it ends are recognised by their symbols when their rank's turn comes. The positions of a rank are merged all
+at once while ranks have many, and one by one after that. A word's ids then serve all its
 occurrences in the chunk.
 
 The order by rank over the whole chunk is that of each word for itself, since a merge makes pairs of higher ranks only; a
@@ -33,6 +34,8 @@ CHUNK = 4_000_000
 #: What the pre-tokenizer of this kind of vocabulary keeps (a fixed value, as in the file).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
+#: Positions of a rank, on the average of late ones, from which all of a rank are merged at once.
+AT_ONCE = 30
 
 
 def byte_names() -> list[str]:
@@ -70,9 +73,10 @@ class Vocabulary:
         order = np.argsort(pairs)
         self.pairs, self.pair_ranks = pairs[order], order
 
-    def split(self, stretch: str) -> list[str]:
-        """Words of a stretch of text without special tokens."""
-        return self.words.findall(unicodedata.normalize("NFC", stretch).replace("Σ", "σ").lower())  # each character for itself
+    def split(self, stretches: list[str]) -> Iterator[list[str]]:
+        """Words of each stretch of text, without special tokens and line feeds in it."""
+        normal = unicodedata.normalize("NFC", "\n".join(stretches)).replace("Σ", "σ").lower()  # each character for itself
+        return ([x] if x.isalpha() else self.words.findall(x) for x in normal.split("\n"))
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after the other, where each word begins, and the end)."""
@@ -85,30 +89,65 @@ class Vocabulary:
         joined = np.ones(len(symbols), bool)  # with the symbol after it
         joined[ends] = False
 
-        index: dict[int, list[int]] = {}
+        n = len(symbols)
+        right = np.where(joined, np.arange(1, n + 1), -1)
+        left = np.r_[-1, np.where(joined, np.arange(n), -1)[:-1]] if n else np.zeros(0, np.int64)
         at = np.flatnonzero(joined)
-        pair = symbols[at] << self.bits | symbols[at + 1]
-        where = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        known = self.pairs[where] == pair
-        at, ranks = at[known], self.pair_ranks[where[known]]
-        order = np.argsort(ranks, kind="stable")
-        at, ranks = at[order], ranks[order]
-        bounds = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1], True]) if len(ranks) else []
-        for lo, hi in zip(bounds, bounds[1:], strict=False):
-            index[int(ranks[lo])] = at[lo:hi].tolist()
-
-        alive = self._merge(symbols.tolist(), joined, index)
-        symbols = np.array(alive, np.int64)
+        index: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+        self._enter(symbols[at] << self.bits | symbols[at + 1], at, index, active)
+        self._merge_at_once(symbols, right, left, index, active)
+        listed = {r: np.concatenate(parts).tolist() for r, parts in index.items()}
+        symbols = np.array(self._merge(symbols.tolist(), right.tolist(), left.tolist(), listed, active), np.int64)
         kept = symbols >= 0
         return symbols[kept].astype(np.int32), np.r_[0, np.cumsum(kept)][starts]
 
-    def _merge(self, symbols: list[int], joined: np.ndarray, index: dict[int, list[int]]) -> list[int]:
-        """Symbols after all merges; -1 where a symbol went into the one before it."""
-        n = len(symbols)
-        right = np.where(joined, np.arange(1, n + 1), -1).tolist()
-        left = np.r_[-1, np.where(joined, np.arange(n), -1)[:-1]].tolist() if n else []
-        active, rank, bits = list(index), self.rank, self.bits
-        heapq.heapify(active)
+    def _enter(self, pairs: np.ndarray, at: np.ndarray, index: dict[int, list[np.ndarray]], active: list[int]) -> None:
+        """Put the positions of pairs that have a rank into the index."""
+        where = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        known = self.pairs[where] == pairs
+        at, ranks = at[known], self.pair_ranks[where[known]]
+        if not len(ranks):
+            return
+        order = np.argsort(ranks, kind="stable")
+        at, ranks = at[order], ranks[order]
+        bounds = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+        for r, lo, hi in zip(ranks[bounds[:-1]].tolist(), bounds, bounds[1:], strict=False):
+            if r not in index:
+                index[r] = []
+                heapq.heappush(active, r)
+            index[r].append(at[lo:hi])
+
+    def _merge_at_once(self, symbols: np.ndarray, right: np.ndarray, left: np.ndarray, index: dict[int, list[np.ndarray]], active: list[int]) -> None:
+        """The merges of the lowest active ranks, each rank's all at once, until ranks have few positions. Changes its arguments."""
+        bits, size = self.bits, float(len(symbols))
+        while active and size >= AT_ONCE:
+            r = heapq.heappop(active)
+            a, b, made = self.merges[r]
+            p = index.pop(r)
+            p = np.unique(np.concatenate(p)) if len(p) > 1 else p[0]
+            size = 0.9 * min(size, 10 * AT_ONCE) + 0.1 * len(p)
+            q = right[p]
+            ok = (symbols[p] == a) & (q >= 0) & (symbols[q] == b)  # others were ended by a merge before
+            p, q = p[ok], q[ok]
+            if a == b:  # of overlapping pairs the first, then every second one
+                taken, end = np.ones(len(p), bool), -1
+                for i, (x, y) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+                    taken[i], end = x != end, -1 if x == end else y
+                p, q = p[taken], q[taken]
+            symbols[p], symbols[q] = made, -1
+            right[p] = after = right[q]
+            has = after >= 0
+            after, first = after[has], p[has]
+            left[after] = first
+            before = left[p]
+            before = before[before >= 0]
+            new = np.concatenate([made << bits | symbols[after], symbols[before] << bits | made])
+            self._enter(new, np.concatenate([first, before]), index, active)
+
+    def _merge(self, symbols: list[int], right: list[int], left: list[int], index: dict[int, list[int]], active: list[int]) -> list[int]:
+        """Symbols after all other merges; -1 where a symbol went into the one before it."""
+        rank, bits = self.rank, self.bits
         while active:
             r = heapq.heappop(active)
             a, b, made = self.merges[r]
@@ -152,11 +191,16 @@ class Vocabulary:
                     numbers += [stretches[part,]] if i % 2 else map(stretches.__getitem__, part.replace("\n", " ").split(" "))
             of_text.append(np.array(numbers, np.int64))
         special = {t: -1 - k for k, t in enumerate(self.special)}
-        of_stretch = [np.array([special[x[0]]] if isinstance(x, tuple) else [words[w] for w in self.split(x)], np.int64) for x in stretches]
+        flat, sizes = [], []
+        for x, found in zip(stretches, self.split(["" if isinstance(x, tuple) else x for x in stretches]), strict=bool(stretches)):
+            now = [special[x[0]]] if isinstance(x, tuple) else map(words.__getitem__, found)
+            before = len(flat)
+            flat += now
+            sizes.append(len(flat) - before)
+        flat, bounds = np.array(flat, np.int64), np.cumsum([0, *sizes])
         ids, starts = self.encode(list(words))
         n = len(starts) - 1  # special tokens stand behind the words
         ids, starts = np.r_[ids, np.array(list(self.special.values()), np.int32)], np.r_[starts, starts[-1] + 1 + np.arange(len(special))]
-        flat, bounds = _joined(of_stretch)
         ids, starts = _taken(ids, starts, np.where(flat < 0, n - 1 - flat, flat), bounds)
         return _taken(ids, starts, *_joined(of_text))
 

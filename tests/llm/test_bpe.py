@@ -88,3 +88,18 @@ def test_empty_table_and_wrong_vocabularies(spark, tmp_path):
         bpe.Vocabulary(json.dumps(spec))
     with pytest.raises(ValueError, match="not a vocabulary"):
         bpe.Vocabulary(json.dumps(spec | {"normalizer": {"normalizers": []}}))
+
+
+def test_merges_at_once_and_one_by_one_agree(monkeypatch):
+    """Whatever share of the merges is made rank by rank; overlapping pairs (aaaa) and neighbouring ones (abab) too."""
+    r, left, found = random.Random(3), [], []
+    listed = ["".join(r.choices("aab" if k % 3 == 0 else ["the", "ing", "ation", "er", "al", "st"], k=r.randrange(1, 8))) for k in range(5000)]
+    one_by_one = KNOWN._merge
+    monkeypatch.setattr(KNOWN, "_merge", lambda *a: left.append(sum(map(len, a[3].values()))) or one_by_one(*a))
+    for at_once in (0, bpe.AT_ONCE, 1 << 60):
+        monkeypatch.setattr(bpe, "AT_ONCE", at_once)
+        found.append([x.tolist() for x in KNOWN.encode(listed)])
+    assert found[0] == found[1] == found[2]
+    assert left[0] == 0 and left[1] < left[2] / 2  # few positions are left for single steps
+    ids, starts = found[0]
+    assert [ids[a:b] for a, b in zip(starts, starts[1:], strict=False)] == [library(w)[0] for w in listed]
