@@ -9,8 +9,11 @@ from kadastra import constants as C
 from kadastra.functions import once
 
 
-def parse_number(text: Column) -> Column:
-    """The first number of a text as a double; spaces part thousands, a comma the decimals."""
+def parse_number(text: Column, to_line_end: bool = True) -> Column:
+    """The first number of a text as a double; spaces part thousands, a comma the decimals. A line break behind the number is passed
+    over; without ``to_line_end`` it makes the number none, as in the SQL twin."""
+    space, end = (r"\s", "$") if to_line_end else (r"\t\n\f\r", r"\z")  # Java's $ also fits before a last line break, and its \s is wider than DuckDB's
+
     def read(raw: Column) -> Column:
         commas, dots = F.length(raw) - F.length(F.replace(raw, F.lit(","), F.lit(""))), F.length(raw) - F.length(F.replace(raw, F.lit("."), F.lit("")))
         no_dots, no_commas = F.replace(raw, F.lit("."), F.lit("")), F.replace(raw, F.lit(","), F.lit(""))
@@ -18,13 +21,13 @@ def parse_number(text: Column) -> Column:
             F.when((commas > 0) & (dots > 0), F.replace(no_dots, F.lit(","), F.lit(".")))
             .when(commas > 1, no_commas)
             .when(commas == 1, F.replace(raw, F.lit(","), F.lit(".")))
-            .when((dots == 1) & raw.rlike(r"^\d{0,3}\.\d{3}$"), no_dots)
+            .when((dots == 1) & raw.rlike(rf"^\d{{0,3}}\.\d{{3}}{end}"), no_dots)
             .when(dots > 1, no_dots)
             .otherwise(raw)
         )
 
-    raw = F.trim(F.regexp_replace(F.regexp_extract(F.translate(text, "\u00a0", " "), r"(\d[\d\s .,]*)", 1), " ", ""))
-    return once(once(raw, read), lambda x: F.when(x.rlike(r"^\d+\.?\d*$"), x.cast("double")))
+    raw = F.trim(F.regexp_replace(F.regexp_extract(F.translate(text, "\u00a0", " "), rf"(\d[\d{space} .,]*)", 1), " ", ""))
+    return once(once(raw, read), lambda x: F.when(x.rlike(rf"^\d+\.?\d*{end}"), x.cast("double")))
 
 
 def _group(text: Column, pattern: str, group: int = 1) -> Column:

@@ -52,6 +52,20 @@ def test_short_labels_tell_no_label_from_an_empty_one(spark, duck):
     assert any(label is None for _, label, _ in got)
 
 
+def numbers_with_line_breaks(spark, tmp_path, name):
+    """(of the query, of its SQL twin) for numbers that line breaks and other white space follow."""
+    texts = ["CC BY 4.0.\nNext line", "3.\n", "5\n\nx", "7\r\n", "1 200,50\n", "1.234\n", "6\x0b8", "6\x0b", "9\t", "2\u2028", "12 zł\n", "1.234", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    return [sorted(map(tuple, rows)) for rows in (registry.QUERIES[name](spark, str(tmp_path)).collect(), con.sql(registry.ORACLE_SQL[name]).fetchall())]
+
+
+def test_parse_number_tells_line_breaks_as_its_sql(spark, tmp_path):
+    got, want = numbers_with_line_breaks(spark, tmp_path, "parse_number")
+    assert got == want and got[0] == (0, None) and got[11] == (11, 1234.0)
+
+
 def test_search_is_metamorphic(spark):
     """Filters narrow, empty ones ask for nothing, sorts sort with nulls last."""
     from kadastra.operators import search
