@@ -175,20 +175,20 @@ def _offers(df: DataFrame) -> DataFrame:
 
 @query("dedup_links")
 def _(spark, sf_dir):
-    return duplicates.verdicts(duplicates.candidate_pairs(_offers(listings(spark, sf_dir))))
+    return duplicates.links(saved(_offers(listings(spark, sf_dir))), saved)
 
 
 @query("dedup_components")
 def _(spark, sf_dir):
     rows = saved(_offers(listings(spark, sf_dir)))
-    links = saved(duplicates.verdicts(duplicates.candidate_pairs(rows)))
+    links = saved(duplicates.links(rows, saved))
     return duplicates.groups(rows, links, saved).select("id", "is_original", "duplicate_of_id", "copies_count")
 
 
 @query("dedup_strict")
 def _(spark, sf_dir):
     rows = saved(_offers(listings(spark, sf_dir)))
-    links = saved(duplicates.verdicts(duplicates.candidate_pairs(rows)))
+    links = saved(duplicates.links(rows, saved))
     return duplicates.strict_groups(rows, links, saved).select("id", "is_original", "duplicate_of_id", "copies_count", "method", "score")
 
 

@@ -118,3 +118,22 @@ def test_a_hot_key_of_different_listings(spark, monkeypatch):
     pairs = duplicates.candidate_pairs(duplicates.fingerprints(rows).checkpoint()).checkpoint()
     assert pairs.where("b.id = a.id + 1 and a.id % 2 = 0").count() == n // 2
     assert pairs.count() < 2 * n
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_links_in_steps_equal_all_pairs(spark, monkeypatch, block):
+    """Links with descriptions fetched for the pairs that need them; what is left to run is short, whatever the offers come from."""
+    monkeypatch.setattr(duplicates, "BLOCK", block)
+    df = offers(spark, random_offers(3, 110)).checkpoint()
+    found = duplicates.links(df, lambda d: d.checkpoint())
+    got = [(r.a_id, r.b_id, r.method, r.score) for r in found.collect()]
+    want = {(r.a_id, r.b_id, r.method, r.score) for r in all_pairs(df).collect()}
+    assert sorted(got) == sorted(want) and {"text", "phone", "fingerprint", "licytacja"} <= {m for *_, m, _ in got}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 4
+
+
+def test_pairs_under_several_keys_count_once(spark):
+    rows = [{"id": i, "source_key": "ab"[i % 2], "street": "Polna", "price": 300_000.0 + i / 10, "phone_fingerprint": "x", "first_seen": DAY} for i in range(9)] + [{"id": 9, "source_key": "c", "street": "Polna", "price": None, "phone_fingerprint": "x", "first_seen": DAY}]
+    df = offers(spark, rows).checkpoint()
+    pairs = [(r.a.id, r.b.id) for r in duplicates.candidate_pairs(df).select("a", "b").collect()]
+    assert sorted(pairs) == sorted({(r.a_id, r.b_id) for r in all_pairs(df).collect()}) and len(pairs) == 45
