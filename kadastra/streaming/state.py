@@ -114,45 +114,55 @@ def absences(observations: DataFrame, late: str = "1 hour", days: float = C.MISS
 
 
 class _Limit(StatefulProcessor):
-    """Of one user: a ring of time buckets with the events in them."""
+    """Of one user: the events of the last window and those not yet decided, and one timer for the earliest bucket that is open."""
 
     def __init__(self, limit: int, seconds: int, ring: int):
         self.limit, self.window, self.step = limit, seconds * 1_000_000, -(-seconds * 1_000_000 // ring)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ring = handle.getMapState("ring", "bucket bigint", "at array<bigint>, event array<bigint>")
+        self.held = handle.getValueState("held", "at binary, event binary, done bigint, timer bigint")  # times and events as arrays of longs; those before ``done`` are decided
 
-    def _end(self, bucket: int) -> int:
-        """Milliseconds by which a bucket is over."""
-        return -(-(bucket + 1) * self.step // 1000)
+    def _end(self, at):
+        """Milliseconds by which the bucket of a time is over."""
+        return -(-(at // self.step + 1) * self.step // 1000)
+
+    def _state(self) -> tuple[np.ndarray, np.ndarray, int | None, int | None]:
+        found = self.held.get() if self.held.exists() else None
+        if found is None:
+            return np.empty(0, np.int64), np.empty(0, np.int64), None, None
+        return np.frombuffer(bytes(found[0]), np.int64), np.frombuffer(bytes(found[1]), np.int64), found[2], found[3]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         told = pd.concat(rows)
-        at, event = _micros(told["ts"]), told["event_id"].to_numpy(np.int64)
-        for bucket in np.unique(at // self.step).tolist():
-            inside = at // self.step == bucket
-            times, events = at[inside].tolist(), event[inside].tolist()
-            if self.ring.containsKey((bucket,)):
-                old = self.ring.getValue((bucket,))
-                times, events = [*old[0], *times], [*old[1], *events]
-            self.ring.updateValue((bucket,), (times, events))
-            self.handle.registerTimer(self._end(bucket))
+        new = _micros(told["ts"])
+        at, event, done, timer = self._state()
+        due = int(self._end(new.min()))
+        if timer is None or due < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        self.held.update((np.concatenate([at, new]).tobytes(), np.concatenate([event, told["event_id"].to_numpy(np.int64)]).tobytes(), done, timer))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        held = {k[0]: v for k, v in self.ring.iterator()}
-        due = next((b for b in held if self._end(b) == now), None)
-        if due is not None:
-            at, event = (np.array(x, np.int64) for x in held[due])
-            near = np.sort(np.concatenate([np.array(times, np.int64) for b, (times, _) in held.items() if b <= due]))
-            recent = np.searchsorted(near, at, "right") - np.searchsorted(near, at - self.window, "left")
-            yield pd.DataFrame({"user_id": key[0], "event_id": event, "ts": pd.to_datetime(at, unit="us"), "recent": recent, "refused": recent > self.limit})
-            self.handle.registerTimer(now + -(-self.window // 1000))  # by then nobody asks for this bucket
-        for b in held:
-            if self._end(b) * 1000 + self.window <= now * 1000:
-                self.ring.removeKey((b,))
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        at, event, done, _ = self._state()
+        over = (now * 1000 // self.step) * self.step  # buckets before are over
+        fresh = (at < over) & (at >= done) if done is not None else at < over
+        if fresh.any():
+            near, mine = np.sort(at), at[fresh]
+            recent = np.searchsorted(near, mine, "right") - np.searchsorted(near, mine - self.window, "left")
+            yield pd.DataFrame({"user_id": key[0], "event_id": event[fresh], "ts": pd.to_datetime(mine, unit="us"), "recent": recent, "refused": recent > self.limit})
+        open_ = at[at >= over]
+        kept = at >= over - self.window  # no event that is open or to come asks for earlier ones
+        if not kept.any():
+            self.held.clear()
+            return
+        timer = int(self._end(open_.min())) if len(open_) else -(-(int(at.max()) + self.window + self.step + 1) // 1000)  # by then nobody asks for these
+        self.handle.registerTimer(timer)
+        self.held.update((at[kept].tobytes(), event[kept].tobytes(), over, timer))
 
 
 def rate_limits(events: DataFrame, late: str = "10 minutes", limit: int = C.RATE_LIMIT, seconds: int = C.RATE_SECONDS, ring: int = RING) -> DataFrame:
@@ -161,7 +171,7 @@ def rate_limits(events: DataFrame, late: str = "10 minutes", limit: int = C.RATE
 
     Equals ``jobs.rate_limited`` over the same events as a table. An event is decided when the watermark has passed the end of
     its time bucket, a ``ring``-th of the window, so events up to ``late`` late count for others and are decided themselves.
-    The state holds the times of a user's last window only. Events without a user or time are passed over.
+    A user has one timer, at which all buckets that are over are decided together. The state holds a user's last window only. Events without a user or time are passed over.
     """
     rows = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id").where("user_id is not null and ts is not null")
     made = "user_id long, event_id long, ts timestamp, recent long, refused boolean"

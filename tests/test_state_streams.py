@@ -107,3 +107,57 @@ def test_alerts_of_an_earlier_run_are_not_told_again(spark, tmp_path):
         sink(spark.createDataFrame([row(i) for i in ids], kinds), 0)
     assert told == [[1], [2], [2]]
     assert spark.read.parquet(str(tmp_path / "log")).agg(F.count("*")).first()[0] == 2
+
+
+class Handle:
+    """Timers and one value, as a processor of one user sees them; all calls are counted."""
+
+    def __init__(self):
+        self.timers, self.value, self.calls = set(), None, 0
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+        self.calls += 1
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.calls = value, self.calls + 1
+
+    def clear(self):
+        self.value = None
+
+
+def test_a_limit_has_one_timer_for_all_buckets_that_are_over():
+    """Two thousand events of a user over a month: a few calls for each batch, not some for each bucket of time."""
+    import numpy as np
+    import pandas as pd
+
+    r = random.Random(6)
+    times = np.array(sorted(r.randrange(30 * 86_400 * 10**6) for _ in range(2000)), np.int64)
+    handle, limit, got = Handle(), state._Limit(3, 86_400, 12), {}
+    limit.init(handle)
+    for k in range(4):
+        part = slice(500 * k, 500 * (k + 1))
+        mark = int(times[part].max()) // 1000
+        list(limit.handleInputRows((1,), iter([pd.DataFrame({"ts": pd.to_datetime(times[part], unit="us"), "event_id": np.arange(2000)[part]})]), None))
+        for now in (mark, mark + 10**12) if k == 3 else (mark,):
+            while due := sorted(t for t in handle.timers if t <= now):
+                handle.timers.discard(due[0])
+                clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self, now=now: now, "getExpiryTimeInMs": lambda self, due=due: due[0]})()
+                for f in limit.handleExpiredTimer((1,), clock, clock):
+                    got |= dict(zip(f["event_id"].tolist(), f["recent"].tolist(), strict=True))
+    assert got == {i: int(np.sum((times <= t) & (times >= t - 86_400 * 10**6))) for i, t in enumerate(times.tolist())}
+    assert handle.value is None and not handle.timers and handle.calls < 40
