@@ -51,6 +51,33 @@ def _grams(words: Column) -> Column:
     return F.flatten(F.transform(words, of))
 
 
+def _sides(left: DataFrame, right: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """``left`` and ``right`` (block, name) with what their names can be found by."""
+    known = right.select("name").distinct()
+    words = known.select(F.explode(F.array_distinct(F.split("name", " "))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    common = words.where(F.col("n") * COMMON_SHARE > known.count())
+    grams = known.select(F.explode(_grams(F.array_distinct(F.split("name", " ")))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    mine = left.join(_keys(left.select("name").distinct(), common, grams, least), "name")
+    return mine, right.join(_keys(known, common, grams, least), "name").withColumnsRenamed({"name": "other", "rare": "other_rare", "size": "other_size"})
+
+
+def _by_words(mine: DataFrame, theirs: DataFrame) -> list[DataFrame]:
+    """Names that share a word that is rare for one of them; if all words of a name are in another one, its rarest is among these."""
+    on = ["block", "kind", "key", "place"]
+    return [
+        mine.where("kind = 'w' and rare").join(theirs.where("kind = 'w'"), on),
+        mine.where("kind = 'w' and not rare").join(theirs.where("kind = 'w' and other_rare"), on),
+    ]
+
+
+def covered(left: DataFrame, right: DataFrame, least: float = C.AGENCY_MATCH / 100) -> DataFrame:
+    """(block, name, other): the pairs of names of one block in which one has all words of the other. Just these have the ratio 100."""
+    pairs = [m.select("block", "name", "other") for m in _by_words(*_sides(left, right, least))]
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    held = (F.size(F.array_except(words("name"), words("other"))) == 0) | (F.size(F.array_except(words("other"), words("name"))) == 0)
+    return pairs[0].union(pairs[1]).where(held).distinct()
+
+
 def candidates(left: DataFrame, right: DataFrame, least: float = C.AGENCY_MATCH / 100) -> DataFrame:
     """(block, name, other): pairs of names of one block that may be alike to the extent ``least`` (0 to 1, over 2/3), by the best ratio
     of their sets of words; none that is alike is left out. ``left`` and ``right`` are different (block, name).
@@ -59,19 +86,10 @@ def candidates(left: DataFrame, right: DataFrame, least: float = C.AGENCY_MATCH
     nearly the same letters, so one of the rarest pairs of letters of either is shared and the lengths are near. Words that half
     a town's names have bring two names together only where a name has no others.
     """
-    known = right.select("name").distinct()
-    words = known.select(F.explode(F.array_distinct(F.split("name", " "))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    common = words.where(F.col("n") * COMMON_SHARE > known.count())
-    grams = known.select(F.explode(_grams(F.array_distinct(F.split("name", " ")))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    mine = left.join(_keys(left.select("name").distinct(), common, grams, least), "name")
-    theirs = right.join(_keys(known, common, grams, least), "name").withColumnsRenamed({"name": "other", "rare": "other_rare", "size": "other_size"})
+    mine, theirs = _sides(left, right, least)
     on = ["block", "kind", "key", "place"]
     near = F.greatest("size", "other_size") * (least / (2 - least)) <= F.least("size", "other_size") + 1e-6
-    met = [
-        mine.where("kind = 'w' and rare").join(theirs.where("kind = 'w'"), on),
-        mine.where("kind = 'w' and not rare").join(theirs.where("kind = 'w' and other_rare"), on),
-        mine.where("kind = 'g'").join(theirs.where("kind = 'g'"), on).where(near),
-    ]
+    met = [*_by_words(mine, theirs), mine.where("kind = 'g'").join(theirs.where("kind = 'g'"), on).where(near)]
     pairs = [m.select("block", "name", "other") for m in met]
     return pairs[0].union(pairs[1]).union(pairs[2]).distinct()
 
@@ -92,12 +110,18 @@ def match(names: DataFrame, agencies: DataFrame) -> DataFrame:
     rest = asked.join(known.select("slug"), "slug", "left_anti").select("name", "city", key.alias("norm"), blocks(key, F.col("city")).alias("block"))
     agency = text.norm_key(F.col("agency_name"))
     there = known.select("agency_id", agency.alias("other"), blocks(agency, F.col("agency_city")).alias("block")).groupBy("block", "other").agg(F.min("agency_id").alias("agency_id"))
-    met = candidates(rest.select("block", F.col("norm").alias("name")).distinct(), there.select("block", F.col("other").alias("name")))
+    wanted, others = rest.select("block", F.col("norm").alias("name")).distinct(), there.select("block", F.col("other").alias("name"))
+    # No ratio is over 100, so names that reach it in a block are compared no further; others of 100 would be covered as well.
+    full = covered(wanted, others).select("block", F.col("name").alias("norm"), "other", F.lit(100.0).alias("score"))
+    sure = rest.join(full.select("block", "norm").distinct(), ["block", "norm"]).select(F.col("name").alias("sure_name"), F.col("city").alias("sure_city")).distinct()
+    unsure = rest.join(sure, F.col("name").eqNullSafe(F.col("sure_name")) & F.col("city").eqNullSafe(F.col("sure_city")), "left_anti")
+    left = unsure.select("block", F.col("norm").alias("name")).distinct()
+    met = candidates(left, others)
     # Pairs are few bytes and much work, so their partitions are not to be made fewer by size.
     spread = met.select(F.col("name").alias("norm"), "other", "block").repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     scored = spread.withColumn("score", fuzzy.similarity(F.col("norm"), F.col("other"))).where(F.col("score") >= C.AGENCY_MATCH)
     first = F.max(F.struct("score", (-F.col("agency_id")).alias("minus")))
-    best = scored.join(there, ["block", "other"]).groupBy("block", "norm").agg(first.alias("best"))
+    best = full.unionByName(scored.select(full.columns)).join(there, ["block", "other"]).groupBy("block", "norm").agg(first.alias("best"))
     found = rest.join(best, ["block", "norm"]).groupBy("name", "city").agg(F.max("best").alias("best")).select("name", "city", (-F.col("best.minus")).alias("agency_id"), F.col("best.score").alias("score"))
     return exact.unionByName(found)
 

@@ -78,3 +78,17 @@ def test_repairs_are_counted_in_passing(spark):
     assert told.get == repair.change_counts(df, ["price", "status", "area"]).first().asDict() and told.get["price"] == 1
     plan = repair.change_counts(df, ["price"])._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_names_that_another_covers_are_compared_no_further(spark, monkeypatch):
+    """Names of one town that differ in a digit: each has its agency by equal words, and no pairs by ratios. One with a name of its own does."""
+    asked, find = [], agencies.candidates
+    monkeypatch.setattr(agencies, "candidates", lambda left, right, *rest: asked.append({tuple(r) for r in left.collect()}) or find(left, right, *rest))
+    known = [(i, f"Nieruchomości Biuro#{i:09}", "Opole", f"slug-{i}") for i in range(300)] + [(900, "Biuro 000000007 Nieruchomości", "Opole", "s"), (901, "Dom 1", "Nysa", "t"), (902, "Domek nad wodą 12", None, "u")]
+    names = [(f"Biuro#{i:09} Nieruchomości", "Opole") for i in range(300)] + [("Dom 1", "Nysa"), ("Dom 1", "Brzeg"), ("Domek nad wodo 12", None), ("Biuro#000000299 Nieruchomosci", None)]
+    got = agencies.match(spark.createDataFrame(names, "name string, city string"), spark.createDataFrame(known, "id long, name string, city string, slug string"))
+    found = {(r.name, r.city): (r.agency_id, round(r.score, 2)) for r in got.collect()}
+    assert all(found[f"Biuro#{i:09} Nieruchomości", "Opole"] == (i, 100.0) for i in range(300))
+    assert found["Dom 1", "Nysa"] == (901, 100.0) and ("Dom 1", "Brzeg") not in found or found["Dom 1", "Brzeg"] == (901, 100.0)
+    assert found["Domek nad wodo 12", None][0] == 902 and found["Domek nad wodo 12", None][1] < 100
+    assert asked and {name for _, name in asked[0]} <= {"domek nad wodo 12", "biuro 000000299 nieruchomosci", "dom 1"}
