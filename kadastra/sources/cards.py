@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +31,36 @@ def absolute(base: Column, link: Column) -> Column:
     )
 
 
+CARD = "source_key string, url string, card long, body string, title string, price string, area string, location string, date string, link string, image string, itself string"
+
+
+def _reader(asked: dict[str, dict[str, list]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Reads pages once each and gives a row for each card: its text, the text or address of the first element for each field, and its own address."""
+    names = [c.split()[0] for c in CARD.split(", ")]
+
+    def read(source_key: str, url: str, html: str | None) -> Iterator[tuple]:
+        page, wanted = elements.Page(html or ""), asked[source_key]
+        at = {f: page.find(chains) for f, chains in wanted.items()}
+        for card in at.pop("list", ()):
+            end, tag, attrs = page.rows[card][1], *page.rows[card][3:5]
+            first = {f: ns[k] for f, ns in at.items() if (k := bisect_right(ns, card)) < len(ns) and ns[k] <= end}
+            attr = lambda f, *keys: next((v for k in keys if f in first and (v := page.rows[first[f]][4].get(k))), None)  # noqa: E731, B023
+            texts = (page.text(first[f]) if f in first else None for f in ("title", "price", "area", "location", "date"))  # noqa: B023
+            yield (source_key, url, card, page.text(card), *texts, attr("link", "href"), attr("image", "src", "data-src"), attrs.get("href") if tag == "a" else None)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for row in zip(f["source_key"], f["url"], f["html"], strict=True):
+                out.extend(read(*row))
+                if len(out) > elements.STEP:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
+
+    return run
+
+
 def offers(landed: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
     """Offers of landed list pages (source_key, url, html) by the selectors of their source (``sources``: SOURCE, a row for each; the
     table of sources is read by the driver, like any configuration).
@@ -38,34 +72,27 @@ def offers(landed: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
     """
     spark = landed.sparkSession
     config = [r.asDict() for r in sources.where("list is not null").collect()]
-    asked = [(c["source_key"], f, c[f] or USUAL.get(f)) for c in config for f in FIELDS] + [(c["source_key"], "list", c["list"]) for c in config]
+    asked: dict[str, dict[str, list]] = {}
+    for c in config:
+        for f in ("list", *FIELDS):
+            if chosen := c[f] or USUAL.get(f):
+                asked.setdefault(c["source_key"], {}).setdefault(f, []).extend(elements.parse(chosen))
     known = spark.createDataFrame([(c["source_key"], c["kind"], c["seller_type"], c["authority"], *(c[f] is not None for f in ("price", "area"))) for c in config], "source_key string, kind string, seller_type string, authority string, own_price boolean, own_area boolean")
-    page = elements.elements(landed)
-    found = elements.matches(page, elements.steps(spark, [a for a in asked if a[2]]))
-    cards = found.where("name = 'list'").select("source_key", "url", F.col("n").alias("card"), F.col("end").alias("card_end"))
-    inside = found.where("name <> 'list'").join(cards, ["source_key", "url"]).where((F.col("n") > F.col("card")) & (F.col("n") <= F.col("card_end")))
-    first = inside.groupBy("source_key", "url", "card", "name").agg(F.min(F.struct("n", "end")).alias("at")).select("source_key", "url", "card", "name", "at.n", "at.end")
-    whole = cards.select("source_key", "url", "card", F.lit("body").alias("name"), F.col("card").alias("n"), F.col("card_end").alias("end"))
-    key = ["source_key", "url", "card", "name"]
-    told = elements.texts(page, first.where("name not in ('link', 'image')").unionByName(whole), key).withColumn("text", F.nullif(text.clean(F.col("text")), F.lit("")))
-    here = page.where("tag <> '#text'").select("source_key", "url", "n", "tag", "attrs")
-    value = lambda name: F.nullif(F.element_at("attrs", F.lit(name)), F.lit(""))
-    linked = first.where("name in ('link', 'image')").join(here, ["source_key", "url", "n"]).select(*key, F.when(F.col("name") == "link", value("href")).otherwise(F.coalesce(value("src"), value("data-src"))).alias("text"))
-    itself = whole.join(here, ["source_key", "url", "n"]).where("tag = 'a'").select("source_key", "url", "card", F.lit("itself").alias("name"), value("href").alias("text"))
-    names = ("body", "title", "price", "area", "location", "date", "link", "image", "itself")
-    wide = told.unionByName(linked).unionByName(itself).groupBy("source_key", "url", "card").pivot("name", list(names)).agg(F.first("text"))
-    rows = wide.join(known, "source_key").withColumn("href", F.coalesce("link", "itself")).withColumn("named", F.coalesce("title", F.nullif(F.trim(F.substring("body", 1, 180)), F.lit(""))))
+    found = landed.select(*(F.col(c).cast("string") for c in ("source_key", "url", "html"))).where(F.col("source_key").isin([*asked]) & F.col("url").isNotNull()).mapInPandas(_reader(asked), CARD)
+    told = {c: F.nullif(text.clean(F.col(c)), F.lit("")).alias(c) for c in ("body", "title", "price", "area", "location", "date")}
+    wide = found.select("source_key", "url", "card", *told.values(), *(F.nullif(c, F.lit("")).alias(c) for c in ("link", "image", "itself")))
+    rows = wide.withColumn("href", F.coalesce("link", "itself")).withColumn("named", F.coalesce("title", F.nullif(F.trim(F.substring("body", 1, 180)), F.lit(""))))
     rows = rows.where("href is not null and named is not null").withColumn("offer_url", absolute(F.col("url"), F.col("href")))
+    # What counts once is chosen before it is read, so that nobody reads what is not asked for.
+    once = rows.groupBy("source_key", "offer_url").agg(F.min_by(F.struct("url", "body", "named", "price", "area", "location", "date", "image"), F.struct("url", "card")).alias("o"))
+    rows = once.select("source_key", "offer_url", "o.*").join(known, "source_key")
     priced, sized = (F.when(F.col(f"own_{f}"), F.col(f)).otherwise(F.col("body")) for f in ("price", "area"))
-    made = rows.select(
-        "source_key", "offer_url", F.col("named").alias("title"), numbers.parse_number(priced).alias("price"), numbers.area(sized).alias("area"), numbers.rooms(F.col("body")).alias("rooms"), F.col("location").alias("location_text"),
+    return rows.select(
+        "source_key", F.col("offer_url").alias("url"), F.col("named").alias("title"), numbers.parse_number(priced).alias("price"), numbers.area(sized).alias("area"), numbers.rooms(F.col("body")).alias("rooms"), F.col("location").alias("location_text"),
         F.when(F.col("image").isNotNull(), F.array(absolute(F.col("url"), F.col("image")))).otherwise(F.array().cast("array<string>")).alias("images"), dates.parse_moment(F.col("date"), now).alias("published_at"),
         text.property_type(F.col("named"), F.col("body")).alias("property_type"), text.transaction(F.col("named"), F.col("body"), F.col("url")).alias("transaction"),
-        F.when(F.col("kind") == "licytacja", numbers.case_number(F.col("body"))).alias("case_number"), "kind", F.coalesce("seller_type", F.lit("nieznany")).alias("seller_type"), "authority", F.struct("url", "card").alias("at"),
+        F.when(F.col("kind") == "licytacja", numbers.case_number(F.col("body"))).alias("case_number"), "kind", F.coalesce("seller_type", F.lit("nieznany")).alias("seller_type"), "authority",
     )
-    columns = [c for c in made.columns if c not in ("source_key", "offer_url", "at")]
-    once = made.groupBy("source_key", "offer_url").agg(F.min_by(F.struct(*columns), "at").alias("o"))
-    return once.select("source_key", F.col("offer_url").alias("url"), "o.*")
 
 
 #: How labels of a detail page are read (fixed values): a column, the kind of its value, and the labels that mean it, folded.

@@ -8,6 +8,7 @@ key (its id, a class or its tag) in an ordinary join; the steps of a selector ar
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -94,6 +95,63 @@ def elements(landed: DataFrame, source: str = "source_key", url: str = "url", ht
     return landed.select(F.col(source).alias("source_key"), F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(run, ELEMENTS)
 
 
+_BLANK = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def _has(attrs: dict, name: str, op: str, wanted: str) -> bool:
+    """``_fits`` for one element and one attribute."""
+    value = attrs.get(name)
+    if value is None:
+        return False
+    if op == "~=":
+        return wanted in _BLANK.split(value)
+    return {"": True, "=": value == wanted, "*=": wanted in value, "^=": value.startswith(wanted), "$=": value.endswith(wanted), "|=": value == wanted or value.startswith(wanted + "-")}[op]
+
+
+class Page:
+    """One page, read once, in which selectors are looked up; finds what ``matches`` and ``texts`` find."""
+
+    def __init__(self, html: str):
+        self.rows = rows_of(html)
+        self.words = [r[0] for r in self.rows if r[3] == "#text"]
+        self.at: dict[str, list[int]] = {}  # of each tag, class and id
+        for n, _, _, tag, attrs, _ in self.rows:
+            if tag != "#text":
+                for key in {tag, "*", *("." + c for c in attrs.get("class", "").split()), "#" + attrs.get("id", "")}:
+                    self.at.setdefault(key, []).append(n)
+
+    def find(self, chains: list[list[tuple]]) -> list[int]:
+        """The elements that a parsed selector finds, in their order."""
+        out: set[int] = set()
+        for chain in chains:
+            now: set[int] = set()
+            for k, (child, tag, id_, classes, wanted) in enumerate(chain):
+                hits = []
+                for n in self.at.get(f"#{id_}" if id_ else f".{classes[0]}" if classes else tag or "*", ()):
+                    _, _, _, own, attrs, _ = self.rows[n]
+                    if (tag is None or tag == own) and (id_ is None or id_ == attrs.get("id")) and (not classes or set(classes) <= set(attrs.get("class", "").split())) and all(_has(attrs, *w) for w in wanted):
+                        hits.append(n)
+                if k and hits:
+                    held = now if child else self._around(now)
+                    hits = [n for n in hits if self.rows[n][2] in held]
+                now = set(hits)
+            out |= now
+        return sorted(out)
+
+    def _around(self, found: set[int]) -> set[int]:
+        """Elements that are one of those found or lie within one."""
+        held: set[int] = set()
+        for n, _, parent, tag, *_ in self.rows:
+            if tag != "#text" and (n in found or parent in held):
+                held.add(n)
+        return held
+
+    def text(self, n: int) -> str | None:
+        """The whole text within an element; None if there is no text."""
+        lo, hi = bisect_right(self.words, n), bisect_right(self.words, self.rows[n][1])
+        return "".join(self.rows[t][5] for t in self.words[lo:hi]) if hi > lo else None
+
+
 STEPS = "source_key string, name string, alt int, step int, last boolean, child boolean, key string, tag string, id string, classes array<string>, attrs array<struct<name:string,op:string,value:string>>"
 _COMPOUND = re.compile(r"(?P<tag>[\w-]+|\*)?(?P<rest>(?:[#.][\w-]+|\[[^\]]*\])*)$")
 _PART = re.compile(r"([#.])([\w-]+)|\[\s*([\w-]+)\s*(?:([*^$~|]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\]\s]*))\s*)?\]")

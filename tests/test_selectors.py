@@ -78,3 +78,26 @@ def test_typed_labels(spark):
     page = elements.elements(landed(spark, ("s", "u", html), ("s", "v", "<p>nothing</p>"), ("s", "w", None)))
     (got,) = cards.label_fields(page, now()).collect()
     assert (got.url, got.price, got.plot_area, got.city, got.rooms, got.voivodeship) == ("u", 1250000.0, 5000.0, "Brzeg", 4, None)
+
+
+def test_a_page_read_once_finds_what_the_joins_find(spark):
+    """Random pages and selectors of all kinds: elements and their texts."""
+    import random
+
+    r = random.Random(8)
+    piece = lambda: r.choice(["<div{}>", "<p{}>", "<a{}>", "<li{}>", "<ul{}>", "<b{}>", "<img{}>", "</div>", "</p>", "</a>", "</ul>", "t&amp;x ", "\n", "<td{}>", "<br>"]).format(r.choice(["", " class='x y'", ' class=" y"', " id=i", " class=z data-k='a-b c'", " data-k", " id='' class=x"]))
+    pages = [("s", f"u{i:02}", "".join(piece() for _ in range(60))) for i in range(25)] + [("s", "v", None), ("s", "w", PAGE)]
+    page = elements.elements(landed(spark, *pages)).checkpoint()
+    asked = ["div", "*", ".x.y", "#i", "p > a", "div a, li b", "div > .x p", "[data-k]", "a[data-k~=c]", "[data-k|=a]", "[data-k^='a-']", "[data-k$=c] b", "ul li > b", "[data-k*='b c']", "div div > div", "p#i.x"]
+    found = elements.matches(page, elements.steps(spark, [("s", str(i), q) for i, q in enumerate(asked)])).checkpoint()
+    want = {(x.url, x.name, x.n) for x in found.collect()}
+    read = {url: elements.Page(html or "") for _, url, html in pages}
+    assert {(url, str(i), n) for url, p in read.items() for i, q in enumerate(asked) for n in p.find(elements.parse(q))} == want and len(want) > 500
+    texts = {(x.url, x.n): x.text for x in elements.texts(page, found.select("source_key", "url", "n", "end").distinct(), ["source_key", "url", "n"]).collect()}
+    assert {(url, n): t for url, _, n in want if (t := read[url].text(n)) is not None} == texts
+
+
+def test_offers_read_each_page_once(spark):
+    found = cards.offers(landed(spark, ("portal", "https://p.pl/szukaj?s=1", PAGE)), spark.createDataFrame(SOURCES, cards.SOURCE), now())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and plan.count("Join") <= 1
