@@ -137,3 +137,13 @@ def test_pairs_under_several_keys_count_once(spark):
     df = offers(spark, rows).checkpoint()
     pairs = [(r.a.id, r.b.id) for r in duplicates.candidate_pairs(df).select("a", "b").collect()]
     assert sorted(pairs) == sorted({(r.a_id, r.b_id) for r in all_pairs(df).collect()}) and len(pairs) == 45
+
+
+def test_stands_are_narrow_and_dealt_out_once(spark):
+    """What meets under the keys holds no texts, and no side is shuffled before the join in which pairs are made."""
+    df = offers(spark, random_offers(5, 40)).checkpoint()
+    stands = df.select("id", F.col("id").alias("unit"), F.xxhash64("city").alias("key"), duplicates._told(F.col).alias("told")).checkpoint()
+    assert "string" not in stands.schema["told"].dataType.simpleString()
+    for side in duplicates._cells(stands, lambda d: d.checkpoint()):
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
