@@ -147,3 +147,11 @@ def test_stands_are_narrow_and_dealt_out_once(spark):
     for side in duplicates._cells(stands, lambda d: d.checkpoint()):
         plan = side._jdf.queryExecution().executedPlan().toString()
         assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_saved_tables_are_parquet_in_the_shared_folder(spark):
+    from kadastra.operators.skew import shared_dir
+    from kadastra.plans.catalogue_state import saved
+
+    files = saved(spark.range(5)).inputFiles()
+    assert files and all(shared_dir(spark) in f and f.endswith(".parquet") for f in files)
